@@ -47,7 +47,8 @@ def learn(rows: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]
     """Languages and the log frequency of each bucket, from rows (id, text, declared)."""
     common.small_batches(rows.sparkSession)
     hashed = F.xxhash64("id")
-    ids = rows.where("declared is not null and id is not null").select("id").distinct().orderBy(hashed, "id").limit(sample)
+    rows = rows.where("declared is not null and id is not null")
+    ids = rows.select("id").distinct().orderBy(hashed, "id").limit(sample)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -60,7 +61,7 @@ def learn(rows: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]
                     counts[name] += np.bincount(code[(names == name)[text]], minlength=BUCKETS)
         for name, c in counts.items():
             at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at), pa.array(c[at])], names=["declared", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(c[at])], names=["declared", "bucket", "n"])
 
     some = rows.join(F.broadcast(ids), "id").select("text", "declared")
     found = some.mapInArrow(task, "declared string, bucket long, n long").groupBy("declared", "bucket").agg(F.sum("n").alias("n")).collect()
@@ -81,9 +82,9 @@ def text_evidence(rows: DataFrame, names: list[str], table: np.ndarray) -> DataF
             for part, raw, at in common.slices(batch, limit=1 << 20):
                 code, text = trigram_codes(raw, at)
                 n = np.bincount(text, minlength=len(part))
-                ll = np.stack([np.bincount(text, weights[code, k], minlength=len(part)) for k in range(len(names))], axis=1)
+                ll = np.stack([np.bincount(text, weights[code, k], minlength=len(part)) for k in range(len(names))], axis=1).astype(float)
                 ll *= np.minimum(1, TEXT_TRIGRAMS / np.maximum(n, 1))[:, None]
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * len(names), pa.int32()), pa.array(ll.ravel()))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * len(names), pa.int32()), pa.array(ll.ravel(), pa.float64()))
                 yield pa.RecordBatch.from_arrays([part.column(k) for k in range(7)] + [lists, pa.array(n.astype(np.int64))], names=[x.split()[0] for x in fields.split(", ")])
 
     return rows.select("id", "declared", "suffix", "host", "domain", "__k1", "__k2", "text").mapInArrow(task, fields)
