@@ -30,30 +30,30 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_length: int = 1,
     text count once. Null and empty texts are one empty line, and an empty key is never
     common at a ``min_length`` of 1. Repeated rows get equal results. Other columns stay as they are.
     """
-    lines = F.split(common.text_of(text_col), "\n")
-    keyed = docs.withColumn("__lines", lines).withColumns({f"__k{k + 1}": c for k, c in enumerate(common.row_key(id_col, common.text_of(text_col)))})
-    keys = F.transform("__lines", line_key)
+    text = common.text_of(text_col)
+    # The row itself travels in one column, so that no name of its columns clashes with those used here.
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.split(text, "\n").alias("lines"), *common.row_key(id_col, text), *[c.alias(f"t{k}") for k, c in enumerate(common.row_key(text_col, F.lit("")))])
+    keys = F.transform("lines", line_key)
     hashes = F.transform(keys, lambda k: F.struct(F.xxhash64(k).alias("a"), F.xxhash64(F.lit(1), k).alias("b"), (F.char_length(k) >= min_length).alias("c")))
-    hashed = common.written(keyed.select("__k1", "__k2", hashes.alias("h"), *([] if count_copies else [c.alias(f"__t{k}") for k, c in enumerate(common.row_key(text_col, F.lit("")))])))
-    each = hashed if count_copies else hashed.groupBy("__t0", "__t1").agg(F.first("h").alias("h"))
+    hashed = common.written(keyed.select("__k1", "__k2", hashes.alias("h"), *([] if count_copies else ["t0", "t1"])))
+    each = hashed if count_copies else hashed.groupBy("t0", "t1").agg(F.first("h").alias("h"))
     counted = each.select(F.explode(F.array_distinct("h")).alias("h")).where("h.c").groupBy("h.a", "h.b").agg(F.count(F.lit(1)).alias("n"))
-    common_lines = common.written(counted.where(F.col("n") >= min_docs).select("a", "b", F.lit(True).alias("hit")))
+    common_lines = common.written(counted.where(F.col("n") >= min_docs).select("a", "b"))
     marks = (
         hashed.select("__k1", "__k2", F.posexplode("h").alias("pos", "h"))
         .select("__k1", "__k2", "pos", F.col("h.a").alias("a"), F.col("h.b").alias("b"), F.col("h.c").alias("c"))
         .where("c").join(common_lines, ["a", "b"])
-        .groupBy("__k1", "__k2").agg(F.collect_set("pos").alias("__at"))
+        .groupBy("__k1", "__k2").agg(F.collect_set("pos").alias("at"))
     )
-    joined = keyed.join(marks, ["__k1", "__k2"], "left")
+    joined = keyed.drop("t0", "t1").join(marks, ["__k1", "__k2"], "left")
     # Of marked positions p1 < p2 < ... the kept lines are the slices between; all is linear in the lines.
-    at = F.array_sort(F.coalesce("__at", F.array().cast("array<int>")))
-    bounds = F.concat(F.array(F.lit(-1)), at, F.array(F.size("__lines")))
-    runs = F.transform(F.sequence(F.lit(1), F.size("__b") - 1), lambda k: F.slice("__lines", F.element_at("__b", k) + 2, F.element_at("__b", k + 1) - F.element_at("__b", k) - 1))
-    kept = F.when(F.size("__b") == 2, F.col(text_col).cast("string")).otherwise(F.array_join(F.flatten(runs), "\n"))
-    names = [c for c in docs.columns]
-    return joined.withColumn("__b", bounds).select(
-        *[F.coalesce(kept, F.lit("")).alias(c) if c == text_col else F.col(f"`{c}`") for c in names],
-        F.size("__lines").cast("long").alias("__n_lines"), (F.size("__b") - 2).cast("long").alias("__n_dropped"),
+    at = F.array_sort(F.coalesce("at", F.array().cast("array<int>")))
+    bounds = F.concat(F.array(F.lit(-1)), at, F.array(F.size("lines")))
+    runs = F.transform(F.sequence(F.lit(1), F.size("bounds") - 1), lambda k: F.slice("lines", F.element_at("bounds", k) + 2, F.element_at("bounds", k + 1) - F.element_at("bounds", k) - 1))
+    kept = F.when(F.size("bounds") == 2, F.coalesce(F.col("whole").getField(text_col).cast("string"), F.lit(""))).otherwise(F.array_join(F.flatten(runs), "\n"))
+    return joined.withColumn("bounds", bounds).select(
+        *[(kept if c == text_col else F.col("whole").getField(c)).alias(c) for c in docs.columns],
+        F.size("lines").cast("long").alias("__n_lines"), (F.size("bounds") - 2).cast("long").alias("__n_dropped"),
     )
 
 
