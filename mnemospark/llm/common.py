@@ -87,7 +87,7 @@ def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES)
 
 def word_spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+``, and the first word of each text (end last)."""
-    inside = ~SPACE[raw]
+    inside = ~SPACE.take(raw)
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
@@ -131,10 +131,8 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def spans_array(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """The spans as an Arrow array of binaries; spans do not overlap and ascend."""
-    lengths = ends - starts
+def words_array(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The words that ``word_spans`` has found in ``raw`` as an Arrow array of binaries."""
     out = np.zeros(len(starts) + 1, np.int64)
-    np.cumsum(lengths, out=out[1:])
-    data = raw[np.repeat(starts - out[:-1], lengths) + np.arange(out[-1])] if len(starts) else raw[:0]
-    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(out), pa.py_buffer(np.ascontiguousarray(data))])
+    np.cumsum(ends - starts, out=out[1:])
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(out), pa.py_buffer(raw[~SPACE.take(raw)])])
