@@ -64,6 +64,15 @@ def row_key(id_col: str, text: Column) -> list[Column]:
     return [F.xxhash64(*parts).alias("__k1"), F.xxhash64(F.lit(1), *parts).alias("__k2")]
 
 
+def lowest_hashed(rows: DataFrame, id_col: str, n: int) -> DataFrame:
+    """The ``n`` rows of distinct ids whose hashes are lowest. Rows that cannot be among them are
+    filtered out where they are read, so that what is sorted does not grow with the table."""
+    space = 1 << 40
+    place = F.pmod(F.xxhash64(id_col), F.lit(space))
+    bound = min(space, int(space * 1.5 * n / max(1, rows.count())) + (space >> 20))
+    return rows.where(place < bound).orderBy(place, id_col).limit(n)
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts and where each begins, the end last. Null is empty."""
     if isinstance(column, pa.ChunkedArray):

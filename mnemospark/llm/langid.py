@@ -46,9 +46,8 @@ def trigram_codes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def learn(rows: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages and the log frequency of each bucket, from rows (id, text, declared)."""
     common.small_batches(rows.sparkSession)
-    hashed = F.xxhash64("id")
     rows = rows.where("declared is not null and id is not null")
-    ids = rows.select("id").distinct().orderBy(hashed, "id").limit(sample)
+    ids = common.lowest_hashed(common.written(rows.select("id").distinct()), "id", sample)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
