@@ -147,6 +147,6 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, width:
                             names=["doc_id", "item_id", "n_shingles", "n_found", "containment", "__k1", "__k2"],
                         )
 
-        found = read.mapInArrow(task, "doc_id long, item_id long, n_shingles long, n_found long, containment double, __k1 long, __k2 long")
+        found = read.mapInArrow(common.lean(task), "doc_id long, item_id long, n_shingles long, n_found long, containment double, __k1 long, __k2 long")
         out = found if out is None else out.union(found)
     return out

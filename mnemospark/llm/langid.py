@@ -63,7 +63,7 @@ def learn(rows: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(c[at])], names=["declared", "bucket", "n"])
 
     some = rows.join(F.broadcast(ids), "id").select("text", "declared")
-    found = some.mapInArrow(task, "declared string, bucket long, n long").groupBy("declared", "bucket").agg(F.sum("n").alias("n")).collect()
+    found = some.mapInArrow(common.lean(task), "declared string, bucket long, n long").groupBy("declared", "bucket").agg(F.sum("n").alias("n")).collect()
     names = sorted({r["declared"] for r in found})
     counts = np.full((len(names), BUCKETS), 0.5)
     for r in found:
@@ -86,7 +86,7 @@ def text_evidence(rows: DataFrame, names: list[str], table: np.ndarray) -> DataF
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * len(names), pa.int32()), pa.array(ll.ravel(), pa.float64()))
                 yield pa.RecordBatch.from_arrays([part.column(k) for k in range(7)] + [lists, pa.array(n.astype(np.int64))], names=[x.split()[0] for x in fields.split(", ")])
 
-    return rows.select("id", "declared", "suffix", "host", "domain", "__k1", "__k2", "text").mapInArrow(task, fields)
+    return rows.select("id", "declared", "suffix", "host", "domain", "__k1", "__k2", "text").mapInArrow(common.lean(task), fields)
 
 
 def _argmax(scores: Column, names: list[str]) -> Column:

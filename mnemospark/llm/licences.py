@@ -88,7 +88,7 @@ def word_files(files: DataFrame, vocabulary: Vocabulary) -> tuple[int, np.ndarra
                 n += len(part)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(total))), pa.array(np.concatenate([[n], total]))], names=["word", "n"])
 
-    sums = files.select("text").mapInArrow(task, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    sums = files.select("text").mapInArrow(common.lean(task), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(len(vocabulary.words) + 1, np.int64)
     for r in sums:
         out[r["word"] + 1] = r["n"]
@@ -138,7 +138,7 @@ def best_matches(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES)
                 best[d[better]], kind[d[better]], scope[d[better]] = c[better], line_t[inside][top][better], "line"
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(4)), pa.array([vocabulary.names[k] for k in kind]), pa.array(best), pa.array(scope, pa.string())], names=["id", "path", "k1", "k2", "licence", "cosine", "scope"])
 
-    return files.select("id", "path", "k1", "k2", "text").mapInArrow(task, "id long, path string, k1 long, k2 long, licence string, cosine double, scope string")
+    return files.select("id", "path", "k1", "k2", "text").mapInArrow(common.lean(task), "id long, path string, k1 long, k2 long, licence string, cosine double, scope string")
 
 
 def scan(files: DataFrame, id_col: str = "id", path_col: str = "path", text_col: str = "text", threshold: float = THRESHOLD, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:

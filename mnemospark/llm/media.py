@@ -167,7 +167,7 @@ def write_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 texts = [data[at[k] : at[k + 1]] for k in range(len(part))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([mux(padded(t)) for t in texts], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), common.text_of(text_col).alias("text")).mapInArrow(task, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), common.text_of(text_col).alias("text")).mapInArrow(common.lean(task), "doc_id long, n_bytes long, media binary")
 
 
 def read_media(media: DataFrame) -> DataFrame:
@@ -188,4 +188,4 @@ def read_media(media: DataFrame) -> DataFrame:
                 types = [x.split() for x in fields.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64() if t == "long" else pa.string()) for x, (_, t) in zip(zip(*rows), types)], names=[n for n, _ in types])
 
-    return media.mapInArrow(task, fields)
+    return media.mapInArrow(common.lean(task), fields)

@@ -144,4 +144,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
         if group:
             yield rows(group, sequence)[0]
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), common.text_of(text_col).alias("text")).mapInArrow(task, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), common.text_of(text_col).alias("text")).mapInArrow(common.lean(task), SCHEMA)

@@ -79,7 +79,7 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.concatenate(found)), part.column(2), part.column(3)], names=["doc_id", "fp", "__k1", "__k2"])
 
     text = common.text_of(text_col)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *common.row_key(id_col, text)).mapInArrow(task, "doc_id long, fp long, __k1 long, __k2 long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *common.row_key(id_col, text)).mapInArrow(common.lean(task), "doc_id long, fp long, __k1 long, __k2 long")
 
 
 class BKTree:
@@ -197,7 +197,7 @@ def links(nodes: DataFrame, radius: int, blocks: int | None = None, agree: int =
             if rows is not None:
                 yield rows
 
-    return dealt.mapInArrow(task, "fp long, root long")
+    return dealt.mapInArrow(common.lean(task), "fp long, root long")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -126,7 +126,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, width: int, id_col:
                 column = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer((first * width).astype(np.int32)), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays([part.column(0), column], names=["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), common.text_of(text_col).alias("text")).mapInArrow(task, "doc_id long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), common.text_of(text_col).alias("text")).mapInArrow(common.lean(task), "doc_id long, ids binary")
 
 
 def write_shards(ids: DataFrame, width: int, folder: str | None = None) -> DataFrame:
@@ -154,7 +154,7 @@ def write_shards(ids: DataFrame, width: int, folder: str | None = None) -> DataF
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "path": [path]} | {k: pa.array([v], pa.int64()) for k, v in numbers.items()})
 
     ordered = ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
-    manifest = common.written(ordered.mapInArrow(task, "shard long, path string, n_docs long, n_tokens long, low long, high long"))
+    manifest = common.written(ordered.mapInArrow(common.lean(task), "shard long, path string, n_docs long, n_tokens long, low long, high long"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard, not for each document
     return common.written(manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).withColumn("folder", F.lit(folder)))
 
@@ -180,7 +180,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                         yield _rows(out)
 
     shards = manifest.count()
-    return manifest.repartition(max(1, shards), "shard").mapInArrow(task, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.repartition(max(1, shards), "shard").mapInArrow(common.lean(task), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -216,7 +216,7 @@ def lookup(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_pydict({"doc_id": pa.array([reader.ids[p]], pa.int64()), "ids": [np.frombuffer(data, f"<u{reader.width}").astype(np.int64).tolist()]})
 
     dealt = wanted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().mapInArrow(deal, "doc_id long, shard long")
-    return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(task, "doc_id long, ids array<long>")
+    return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(common.lean(task), "doc_id long, ids array<long>")
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, width: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

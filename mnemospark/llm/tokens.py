@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Chunks whose ids a worker keeps; beyond, it forgets them all and starts anew.
-MEMO_CHUNKS = 700_000
+MEMO_CHUNKS = 400_000
 
 _CUTTERS = np.zeros(256, dtype=bool)
 _CUTTERS[[9, 10, 13, 32]] = True
