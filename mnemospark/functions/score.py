@@ -17,13 +17,13 @@ def salience(ts: Column, pain: Column, importance: Column, recurrence: Column, a
     recency = F.greatest(F.lit(0.0), F.least(F.lit(10.0), 10.0 - age_days(ts, as_of) * 0.3))
     five = F.lit(5)
     score = recency * (F.coalesce(pain, five) / 10.0) * (F.coalesce(importance, five) / 10.0) * F.least(F.coalesce(recurrence, F.lit(1)), F.lit(3))
-    return F.coalesce(score, F.lit(0.0))
+    return F.when(ts.isNotNull(), score).otherwise(0.0)
 
 
 def age_factor(staged_at: Column, as_of: Column) -> Column:
     """1 when staged, 2 from two weeks on; 1 without a date."""
     days = F.floor((F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(staged_at.cast("timestamp"))) / 86_400_000_000)
-    return F.coalesce(1.0 + F.least(F.lit(1.0), days / 14.0), F.lit(1.0))
+    return F.when(staged_at.isNotNull(), 1.0 + F.least(F.lit(1.0), days / 14.0)).otherwise(1.0)
 
 
 def priority(size: Column, canonical: Column, staged_at: Column, as_of: Column) -> Column:

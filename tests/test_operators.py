@@ -1,0 +1,287 @@
+"""Boundaries, ties and scenarios of the operators."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from mnemospark.functions import report, score, text
+from mnemospark.operators import claims, distil, extract, redact, retrieval, runtime
+from mnemospark.operators.graph import components
+from mnemospark.session import moment
+from mnemospark.sources import jsonl, markdown
+from mnemospark.sources.adapters import Adapter, Registry
+
+
+# --- clusters and bursts
+
+
+def brute_clusters(rows, threshold):
+    parent = {k: k for k, _, _ in rows}
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for i, oi, a in rows:
+        for j, oj, b in rows:
+            if i < j and oi == oj and a and b and len(set(a) & set(b)) / len(set(a) | set(b)) >= threshold:
+                x, y = sorted((root(i), root(j)))
+                parent[y] = x
+    return {k: root(k) for k, _, t in rows if t}
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 1.0])
+def test_clusters_are_single_linkage(spark, threshold):
+    rng = random.Random(4)
+    rows = [(k, rng.choice("xy"), sorted({rng.choice("abcdefghij") for _ in range(rng.randint(0, 5))})) for k in range(80)]
+    df = spark.createDataFrame(rows, "ord long, origin string, tokens array<string>")
+    assert {r.ord: r.cluster for r in distil.clusters(df, threshold).collect()} == brute_clusters(rows, threshold)
+
+
+def test_similarity_join_misses_no_pair(spark):
+    rng = random.Random(5)
+    rows = [(k, "o", sorted({f"t{int(rng.paretovariate(0.7)) % 30}" for _ in range(rng.randint(1, 12))})) for k in range(120)]
+    got = distil.similar_sets(spark.createDataFrame(rows, "set_id long, origin string, tokens array<string>"), 0.4)
+    want = {(i, j) for i, _, a in rows for j, _, b in rows if i < j and len(set(a) & set(b)) / len(set(a) | set(b)) >= 0.4}
+    assert {(r.a, r.b) for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("n, seconds, burst", [(500, 10, False), (501, 1799, True), (501, 1800, False), (2000, 9999, False), (2001, 9999, True)])
+def test_burst_boundaries(spark, n, seconds, burst):
+    base = spark.range(n).select(F.lit("c").alias("cluster"), F.lit("s").alias("skill"), F.lit("success").alias("result"), F.timestamp_seconds(F.lit(1_700_000_000) + F.when(F.col("id") == 0, 0).otherwise(seconds)).cast("timestamp_ntz").alias("ts"))
+    row = distil.bursts(base).first()
+    assert row.n == n and row.burst == burst and bool(row.reason) == burst
+
+
+def test_a_small_minority_does_not_shield_a_burst(spark):
+    rows = spark.range(1000).select(F.lit("c").alias("cluster"), F.lit("s").alias("skill"), F.when(F.col("id") < 50, "failure").otherwise("success").alias("result"), F.lit("2024-01-01").cast("timestamp_ntz").alias("ts"))
+    assert distil.bursts(rows).first().reason == "burst_dominant: n=1000 window_s=0 bucket=s/success frac=0.95"
+    assert not distil.bursts(rows.withColumn("result", F.when(F.col("result") == "failure", "failure").when(F.rand(1) < 0.2, "failure").otherwise("success"))).first().burst
+
+
+def test_components_of_a_long_chain(spark):
+    edges = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert {r.root for r in components(edges.repartition(5)).collect()} == {0}
+    assert components(edges.limit(0)).count() == 0
+
+
+# --- claims
+
+
+def brute_fold(events, start=None):
+    out, cur = [], dict(start or {})
+    for slot, ts, eid, cid, fp in sorted(events, key=lambda e: (e[1], e[2])):
+        c = cur.get(slot)
+        if c is None:
+            cur[slot] = (cid, fp, ts)
+        elif c[1] == fp:
+            if ts > c[2]:
+                cur[slot] = (cid, fp, ts)
+        elif ts > c[2]:
+            out.append((c[0], cid))
+            cur[slot] = (cid, fp, ts)
+        else:
+            out.append((cid, c[0]))
+    return sorted(out)
+
+
+def asserts(spark, events):
+    rows = [(s, "subject", cid, fp, fp, eid, float(ts)) for s, ts, eid, cid, fp in events]
+    return spark.createDataFrame(rows, "topic_key string, claim_subject string, claim_id string, fp string, value string, source_event_id string, ts double")
+
+
+def test_fold_with_ties_late_events_and_state(spark):
+    rng = random.Random(6)
+    events = [(rng.choice("ab"), rng.randint(0, 8), f"e{k:02}", f"c{k:02}", rng.choice("xyz")) for k in range(60)]
+    got = sorted((r.old, r.new) for r in claims.fold(asserts(spark, events)).collect())
+    assert got == brute_fold(events)
+    state = spark.createDataFrame([("a", "subject", "c-old", "x", 5.0)], "topic_key string, claim_subject string, claim_id string, fp string, ts double")
+    got = sorted((r.old, r.new) for r in claims.fold(asserts(spark, events), state).collect())
+    assert got == brute_fold(events, {"a": ("c-old", "x", 5.0)})
+
+
+def test_election_retraction_and_ties(spark):
+    events = [("a", 1, "e1", "c1", "x"), ("a", 2, "e2", "c3", "y"), ("a", 2, "e3", "c2", "z"), ("b", 1, "e4", "c4", "x")]
+    a = asserts(spark, events)
+    gone = spark.createDataFrame([("c2",), ("c4",)], "claim_id string")
+    got = {r.claim_id: (r.stance, r.superseded_by) for r in claims.elect(a, gone.limit(0)).collect()}
+    assert got == {"c1": ("superseded", "c2"), "c2": ("current", None), "c3": ("superseded", "c2"), "c4": ("current", None)}
+    got = {r.claim_id: (r.stance, r.superseded_by) for r in claims.elect(a, gone).collect()}
+    assert got == {"c1": ("superseded", "c3"), "c2": ("tombstone", None), "c3": ("current", None), "c4": ("tombstone", None)}
+
+
+def test_reruns_add_nothing(spark, sf):
+    from mnemospark import views
+
+    a = claims.extract(views.observations(spark, sf))
+    assert a.select("claim_id").distinct().count() == a.count()
+    assert a.join(a.select("claim_id"), "claim_id", "left_anti").count() == 0
+
+
+# --- retrieval
+
+
+def test_fusion_ties_and_pin(spark):
+    rows = [(1, 0, "a", 1), (1, 0, "b", 2), (1, 1, "b", 1), (1, 1, "c", 2), (1, 1, "d", 3)]
+    lists = spark.createDataFrame(rows, "qid long, variant int, path string, rank long")
+    assert [r.path for r in retrieval.fuse(lists).orderBy("rank").collect()] == ["b", "a", "c", "d"]
+    assert [r.path for r in retrieval.fuse(lists, pin=True).orderBy("rank").collect()] == ["a", "b", "c", "d"]
+
+
+def test_dense_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK", 2)
+    rng = random.Random(7)
+    vectors = [(f"p{k:03}", [rng.gauss(0, 1) for _ in range(8)]) for k in range(50)]
+    asks = [(q, [rng.gauss(0, 1) for _ in range(8)]) for q in range(5)]
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+    want = {q: [p for _, p in sorted((-round(cos(v, e), 6), p) for p, e in vectors)[:4]] for q, v in asks}
+    got = {}
+    for r in retrieval.dense(spark.createDataFrame(vectors, "path string, embedding array<double>").repartition(3), asks, 4).orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append(r.path)
+    assert got == want
+
+
+def test_budget_stops_at_the_first_overflow(spark):
+    rows = spark.createDataFrame([(1, 1, 50), (1, 2, 60), (1, 3, 5), (2, 1, 500)], "qid long, rank long, tokens long")
+    assert [(r.qid, r["rank"]) for r in retrieval.within_budget(rows, F.col("tokens"), 100, 10).collect()] == [(1, 1)]
+
+
+# --- replay
+
+
+def brute_replay(ops, budgets, policy):
+    engines, out = {}, []
+    for session, op, item in ops:
+        engine = engines.setdefault(session, runtime.Engine(budgets, policy))
+        engine.apply(op, item)
+    return {s: (e.turn, e.used, sorted(e.items)) for s, e in engines.items()}
+
+
+def test_engine_rules():
+    e = runtime.Engine({"b": 100}, "lru")
+    e.apply("turn")
+    e.apply("add", runtime.Item("x", "b", 60, pinned=True))
+    e.apply("turn")
+    e.apply("add", runtime.Item("y", "b", 30))
+    e.apply("add", runtime.Item("z", "free", 999))
+    assert sorted(e.items) == ["x", "y", "z"] and e.used == 1089
+    e.apply("add", runtime.Item("w", "b", 80))
+    assert sorted(e.items) == ["x", "y", "z"]  # of items touched alike the first by name goes, here the new one
+    e.apply("start")
+    assert e.turn == 0 and "x" in e.items  # a start keeps the items
+    e.apply("unpin", runtime.Item("x", "", 0))
+    e.apply("touch", runtime.Item("gone", "", 0))
+    assert not e.items["x"].pinned
+
+
+def test_stream_equals_batch(spark, sf):
+    from mnemospark import plans
+
+    last = {}
+    for r in plans.QUERIES["st3_manifests"](spark, sf).collect():
+        if r.session_id not in last or r.seq > last[r.session_id].seq:
+            last[r.session_id] = r
+    stream = {r.session_id: r for r in plans.QUERIES["st1_engine_stream"](spark, sf).collect()}
+    assert {s: (r.turn, r.budget_used, r.n_items) for s, r in last.items()} == {s: (r.turn, r.budget_used, r.n_items) for s, r in stream.items()}
+
+
+def test_timeline_adds_up(spark, sf):
+    from mnemospark import plans
+
+    state = {}
+    for r in sorted(plans.QUERIES["w11_timeline"](spark, sf).collect(), key=lambda r: (r.session_id, r.ord)):
+        items = state.setdefault(r.session_id, set())
+        assert not items & set(r.added) and set(r.evicted) <= items | set(r.added)
+        items |= set(r.added)
+        items -= set(r.evicted)
+    final = {}
+    for r in plans.QUERIES["st3_manifests"](spark, sf).collect():
+        if r.session_id not in final or r.seq > final[r.session_id].seq:
+            final[r.session_id] = r
+    assert {s: sorted(i) for s, i in state.items()} == {s: list(r.item_ids) for s, r in final.items()}
+
+
+# --- redaction and extraction
+
+
+def test_scan_suppresses_overlaps_and_allowed_lines():
+    key = "AKIA" + "ABCDEFGH" * 2
+    hits = redact.scan_text(f"a {key}\n# redact-allow\n{key}\n{key}\nAuthorization: Bearer ghp_{'a' * 36}\n")
+    assert [(k, n) for k, n, _ in hits] == [(1, "aws_access_key"), (4, "aws_access_key"), (5, "github_pat_classic"), (5, "auth_bearer")]
+    assert redact.scan_text("hash " + "0123456789abcdef" * 2) == []
+    assert [n for _, n, _ in redact.scan_text("x aZ3kQ9xW7vB2nM5pL8rT4yU6iO1eD0cF y")] == ["high_entropy"]
+
+
+def test_redaction_leaves_no_secret(spark):
+    from mnemospark.plans.ingest import SECRETS
+
+    native = {r.ord: r.text for r in spark.createDataFrame(SECRETS, "ord long, text string").select("ord", redact.substituted(F.col("text")).alias("text")).collect()}
+    for k, t in SECRETS[:4] + SECRETS[6:7]:
+        assert "[REDACTED:" in native[k] and "[REDACTED:" in redact.redact_text(t)[0]
+        assert not redact.scan_text(redact.redact_text(t)[0], None)
+    assert native[2].startswith("MY_TOKEN = '[REDACTED") and native[5] == "nothing here"
+    assert redact.backtracks("(a+)+") and not redact.backtracks("(ab)+c*")
+
+
+def test_extraction_rules():
+    e = lambda t: [(a, b, c) for a, b, c, _ in extract.extract(t)]
+    assert e("PS2 launch is on 2024-05-01") == [("project:ps2", "launch-date", "2024-05-01")]
+    assert e("PS2 will not launch on 2024-05-01") == [] and e("launch on 2024-05-01") == [] and e(None) == []
+    assert e("PS2 launch soon, launch 2024-01-02; launch 2024-03-04")[0][2] == "2024-01-02"
+    config = extract.Config(projects={"Atlas": ["atlas two"]})
+    assert [x[0] for x in extract.extract("the atlas two status: green", config=config)] == ["project:atlas"]
+
+
+# --- scalars, sources, registry
+
+
+def test_scalar_boundaries(spark):
+    row = spark.range(1).select(
+        score.salience(moment() - F.expr("INTERVAL 34 DAYS"), F.lit(10), F.lit(10), F.lit(9), moment()).alias("old"), score.salience(moment() + F.expr("INTERVAL 1 DAY"), F.lit(10), F.lit(10), F.lit(9), moment()).alias("future"),
+        score.salience(F.lit(None).cast("timestamp_ntz"), F.lit(1), F.lit(1), F.lit(1), moment()).alias("none"), text.token_estimate(F.lit("élan, a1b2c3d4e5")).alias("tokens"), text.jaccard(F.array(), F.array()).alias("empty"),
+        report.harness(F.lit("My Claude!")).alias("harness"), report.bucket(F.lit("2024-03-03 05:06:07").cast("timestamp_ntz"), "week").alias("week"), report.bucket(F.lit(None).cast("timestamp"), "day").alias("unknown"), report.compact(F.lit(0.5)).alias("half"),
+    ).first()
+    assert row.old == 0 and row.future == 30 and row.none == 0 and row.tokens == 1 + 1 + 2 and row.empty == 1
+    assert (row.harness, row.week, row.unknown, row.half) == ("claude-code", "2024-02-26T00:00:00Z", "unknown", "0.5")
+
+
+def test_markdown_folder(spark, tmp_path):
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    (tmp_path / "in" / "a.md").write_text("---\nname: N\n---\nbody")
+    (tmp_path / "in" / "sub" / "b.md").write_text("# H")
+    (tmp_path / "in" / "empty.md").write_text(" ")
+    (tmp_path / "in" / "x.txt").write_text("no")
+    root = str(tmp_path / "in")
+    assert {r.path for r in markdown.discover(spark, root).collect()} == {"a.md", "sub/b.md"}
+    assert {r.path for r in markdown.discover(spark, root, "*.md").collect()} == {"a.md"}
+    assert {r.path for r in markdown.discover(spark, root, exclude=["sub/**"]).collect()} == {"a.md"}
+    assert markdown.simple_front("a: 1\nl:\n  - x\n  - 'y'\nf: [p, q]\n# c") == {"a": "1", "l": ["x", "y"], "f": ["p", "q"]}
+
+
+def test_jsonl_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "k long, v string")
+    jsonl.append(rows, str(tmp_path / "log"))
+    jsonl.append(rows, str(tmp_path / "log"))
+    lines = jsonl.lines_of(spark, str(tmp_path / "log"))
+    assert jsonl.read(lines, "k long, v string").count() == 4
+    jsonl.replace(rows, str(tmp_path / "log"))
+    assert jsonl.counted(jsonl.lines_of(spark, str(tmp_path / "log")), "k long").first() == (2, 0, 0)
+
+
+def test_adapters(spark):
+    registry = Registry()
+    registry.register(Adapter("one", frozenset({"f1"}), lambda s, p: s.range(3)))
+    with pytest.raises(ValueError):
+        registry.register(Adapter("two", frozenset({"f1"}), lambda s, p: s.range(1)))
+    assert registry.dispatch(spark, "f1", "/a", "/b").count() == 3
+    with pytest.raises(ValueError):
+        registry.dispatch(spark, "f1", "/a", "/a/b")
+    with pytest.raises(KeyError):
+        registry.find("f2")
+    tables = extract.Registry()
+    tables.register("good", lambda t: t.limit(1))
+    tables.register("bad", lambda t: t.select("missing"))
+    out, errors = tables.run_all(spark.range(5))
+    assert list(out) == ["good"] and list(errors) == ["bad"]
