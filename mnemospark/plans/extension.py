@@ -1,0 +1,99 @@
+"""Queries of the extension points: table functions, providers, registries, counters, sinks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import udtf
+
+from .. import views
+from ..functions import text
+from ..operators import distil, extract, providers, redact
+from ..sources import jsonl
+from ..storage import shared_folder
+from .ingest import BODIES
+from .registry import ORACLES, query
+from .text import TOKENS
+
+CLAIM = T.StructType([T.StructField(c, T.StringType()) for c in ("topic_key", "claim_subject", "value", "raw")])
+
+
+@query("x1_extractor_table_function", ORACLES["f30_claim_extraction"])
+def x1(spark, sf):
+    """The extractor as a Python table function, joined laterally."""
+
+    class Extract:
+        def eval(self, body: str):
+            yield from extract.extract(body)
+
+    spark.udtf.register("extract_claims", udtf(Extract, returnType=CLAIM))
+    spark.createDataFrame(BODIES, "event_id string, body string").createOrReplaceTempView("__bodies")
+    return spark.sql("SELECT event_id, topic_key, claim_subject, value FROM __bodies, LATERAL extract_claims(body)")
+
+
+@query("x3_cached_answers")
+def x3(spark, sf):
+    """Answers for every fifth document; those asked before come from the cache."""
+    d = views.table(spark, sf, "documents").where("doc_id % 5 = 0").select(F.col("doc_id").alias("id"), F.substring("text", 1, 200).alias("prompt"))
+    first = providers.answered(d.where("id % 2 = 0"), providers.Offline(), "extract", ["topic", "value"])
+    cache = distil.written(first.select("digest", "answer").distinct())
+    return providers.answered(d, providers.Offline(), "extract", ["topic", "value"], cache)
+
+
+COUNTERS = {"words": text.token_estimate, "quarter": lambda c: F.floor(F.length(c) / 4).cast("long")}
+
+
+@query("x6_token_counters", f"SELECT doc_id, coalesce({TOKENS.format('text')}, 0) AS words, CAST(length(text) // 4 AS BIGINT) AS quarter FROM documents")
+def x6(spark, sf):
+    return views.table(spark, sf, "documents").select("doc_id", *[c(F.col("text")).alias(n) for n, c in COUNTERS.items()])
+
+
+@query("x7_namespace_registry", views.with_views("ep", "SELECT origin AS namespace, action, count(*) AS n FROM ep WHERE origin IN ('agentry.inbox', 'session.digest') GROUP BY 1, 2"))
+def x7(spark, sf):
+    registry, e = extract.Registry(), views.episodes(spark, sf)
+    for name in ("agentry.inbox", "session.digest"):
+        registry.register(name, lambda t, name=name: t.where(F.col("origin") == name).groupBy(F.lit(name).alias("namespace"), "action").agg(F.count(F.lit(1)).alias("n")))
+    registry.register("broken", lambda t: t.select("missing"))
+    tables, _ = registry.run_all(e)
+    out = None
+    for t in tables.values():
+        out = t if out is None else out.union(t)
+    return out
+
+
+@query("f22_pattern_guard", "SELECT unnest(['(a+)+', '(x*)*y', 'ab{2,}', '(ab)+', '(\\d+){3,}']) AS pattern, unnest([true, true, false, false, true]) AS dangerous")
+def f22(spark, sf):
+    """Checked on the driver before a pattern is used; patterns are a few typed by hand."""
+    return spark.createDataFrame([(p, redact.backtracks(p)) for p in ("(a+)+", "(x*)*y", "ab{2,}", "(ab)+", r"(\d+){3,}")], "pattern string, dangerous boolean")
+
+
+@query("sk1_append_log", "SELECT event_id, event_type FROM events UNION ALL SELECT event_id, event_type FROM events WHERE event_id % 10 = 0")
+def sk1(spark, sf):
+    e, path = views.table(spark, sf, "events").select("event_id", "event_type"), f"{shared_folder(spark)}/log"
+    jsonl.append(e, path)
+    jsonl.append(e.where("event_id % 10 = 0"), path)
+    return jsonl.read(jsonl.lines_of(spark, path), "event_id long, event_type string")
+
+
+@query("sk2_rewrite", "SELECT event_id FROM events WHERE event_id % 3 = 0")
+def sk2(spark, sf):
+    e, path = views.table(spark, sf, "events").select("event_id"), f"{shared_folder(spark)}/log"
+    jsonl.replace(e, path)
+    jsonl.replace(e.where("event_id % 3 = 0"), path)
+    return spark.read.json(path)
+
+
+PATHS = [("log.jsonl",), ("inbox/log.jsonl",), ("snapshots/log.jsonl",), ("digest/log.jsonl",)]
+
+
+@query("sc5_namespace_paths", "SELECT unnest(['log.jsonl', 'inbox/log.jsonl', 'digest/log.jsonl', 'inbox/log.jsonl', 'digest/log.jsonl']) AS path, unnest(['default', 'default', 'default', 'inbox', 'digest']) AS namespace")
+def sc5(spark, sf):
+    """The default namespace reads the top file and those of all namespaces but snapshots; others read their own."""
+    p = spark.createDataFrame(PATHS, "path string").withColumn("own", F.regexp_extract("path", "^([^/]+)/", 1)).where("own <> 'snapshots'")
+    return p.select("path", F.explode(F.array_distinct(F.array(F.lit("default"), F.when(F.col("own") == "", "default").otherwise(F.col("own"))))).alias("namespace"))
+
+
+@query("sc18_source_manifest", "SELECT coalesce(source, 'all') AS source, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS bytes, CASE WHEN sum(n_chars) > 100000 THEN 'large' ELSE 'small' END AS tier FROM documents GROUP BY ROLLUP (source)")
+def sc18(spark, sf):
+    out = views.table(spark, sf, "documents").rollup("source").agg(F.count(F.lit(1)).alias("files"), F.sum("n_chars").alias("bytes"))
+    return out.select(F.coalesce("source", F.lit("all")).alias("source"), "files", "bytes", F.when(F.col("bytes") > 100000, "large").otherwise("small").alias("tier"))
