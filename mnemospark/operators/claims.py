@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids
+from .ordered import fold as fold_rows
 
 SLOT = ["topic_key", "claim_subject"]
 
@@ -66,29 +67,25 @@ def fold(asserts: DataFrame, state: DataFrame | None = None) -> DataFrame:
     """The general run over each slot's events in order, with the state before it (topic_key, claim_subject, claim_id, fp, ts).
 
     Equal values make no transition; the newer becomes current. A different value supersedes the current one if it is newer,
-    and is superseded on arrival if it is not. A slot's events are folded in the JVM, over its ordered array.
+    and is superseded on arrival if it is not. A slot's events stream by in order.
     """
-    event = F.struct("ts", "source_event_id", "claim_id", "fp")
-    slots = asserts.groupBy(*SLOT).agg(F.array_sort(F.collect_list(event)).alias("events"))
-    none = F.lit(None)
-    start = F.struct(none.cast("string").alias("id"), none.cast("string").alias("fp"), none.cast("double").alias("ts"))
+    columns = [*SLOT, "ts", "source_event_id", "claim_id", "fp"]
+    events = asserts.select(F.lit(1).alias("phase"), *columns)
     if state is not None:
-        before = state.select(*SLOT, F.struct(F.col("claim_id").alias("id"), F.col("fp").alias("fp"), F.col("ts").alias("ts")).alias("start"))
-        slots = slots.join(before, SLOT, "left").withColumn("start", F.coalesce("start", start))
-    else:
-        slots = slots.withColumn("start", start)
-    move = "array<struct<old:string,new:string>>"
-    zero = F.struct(F.col("start").alias("cur"), F.array().cast(move).alias("out"))
-
-    def step(acc, e):
-        cur = acc["cur"]
-        new = F.struct(e["claim_id"].alias("id"), e["fp"].alias("fp"), e["ts"].alias("ts"))
-        newer = cur["id"].isNull() | (e["ts"] > cur["ts"])
-        differs = cur["id"].isNotNull() & (cur["fp"] != e["fp"])
-        pair = F.when(newer, F.struct(cur["id"].alias("old"), e["claim_id"].alias("new"))).otherwise(F.struct(e["claim_id"].alias("old"), cur["id"].alias("new")))
-        return F.struct(F.when(newer, new).otherwise(cur).alias("cur"), F.when(differs, F.concat(acc["out"], F.array(pair))).otherwise(acc["out"]).alias("out"))
-
-    return slots.select(F.explode(F.aggregate("events", zero, step, lambda acc: acc["out"])).alias("t")).select("t.old", "t.new")
+        before = state.select(F.lit(0).alias("phase"), *SLOT, "ts", F.lit("").alias("source_event_id"), "claim_id", "fp")
+        events = before.unionByName(events)
+
+    def step(current: list, e: object, out: list) -> None:
+        if not current:
+            current[:] = [e.claim_id, e.fp, e.ts]
+            return
+        newer = e.ts > current[2]
+        if current[1] != e.fp:
+            out.append((current[0], e.claim_id) if newer else (e.claim_id, current[0]))
+        if newer:
+            current[:] = [e.claim_id, e.fp, e.ts]
+
+    return fold_rows(events, SLOT, ["phase", "ts", "source_event_id"], "old string, new string", lambda key: [], step, lambda current, out: None)
 
 
 def resolve_overrides(log: DataFrame) -> DataFrame:

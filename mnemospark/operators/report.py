@@ -10,14 +10,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import report as R
+from .ordered import row_numbers
 
 
 def normalize_events(episodes: DataFrame) -> DataFrame:
     """Agent events in the reports' columns."""
     started = R.iso(F.col("ts"))
-    idx = F.row_number().over(Window.orderBy("ord")) - 1 if "idx" not in episodes.columns else F.col("idx")
+    if "idx" not in episodes.columns:
+        episodes = row_numbers(episodes, ["ord"], "idx").withColumn("idx", F.col("idx") - 1)
     tokens = F.coalesce("tokens_in", F.lit(0)) + F.coalesce("tokens_out", F.lit(0))
-    return episodes.withColumn("idx", idx).select(
+    return episodes.select(
         "ord", F.concat(F.lit("evt_"), F.substring(F.sha2(F.concat_ws("|", started, "skill", "action", F.coalesce("agent_id", F.lit("None")), F.col("idx").cast("string")), 256), 1, 16)).alias("id"),
         F.col("ts").alias("at"), started.alias("started_at"), R.harness(F.col("harness")).alias("harness"), "skill", "action",
         R.workflow(F.col("action"), F.col("skill")).alias("workflow"), R.phase(F.col("action"), F.col("skill")).alias("phase"), F.lit("agent").alias("run_type"),
@@ -117,15 +119,14 @@ def kpis(records: DataFrame, category: Column) -> DataFrame:
 def cron_timeline(runs: DataFrame) -> DataFrame:
     """A lane for each run, by start and name; offset and width in percent of the whole span, widths 0.8 at least.
 
-    Lanes number all runs, so their count comes from one ordered pass over narrow rows.
     """
     end = F.greatest("started_at", F.timestamp_millis(F.unix_millis(F.col("started_at").cast("timestamp")) + F.col("duration_ms")).cast("timestamp_ntz"))
     ms = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
     span = runs.agg(F.min("started_at").alias("first"), F.max(end).alias("last"))
     wide = F.greatest(F.lit(1), ms("last") - ms("first"))
     width = F.greatest(F.lit(1), ms("end") - ms("started_at"))
-    lane = F.row_number().over(Window.orderBy("started_at", "name", "ord")) - 1
-    return runs.withColumn("end", end).crossJoin(F.broadcast(span)).select(
+    lane = F.col("lane") - 1
+    return row_numbers(runs, ["started_at", "name", "ord"], "lane").withColumn("end", end).crossJoin(F.broadcast(span)).select(
         "ord", lane.cast("long").alias("lane"), "name", "duration_ms", F.round((ms("started_at") - ms("first")) / wide * 100, 3).alias("start_offset_pct"),
         F.round(F.greatest(width / wide * 100, F.lit(0.8)), 3).alias("width_pct"),
     )

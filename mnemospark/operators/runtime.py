@@ -6,13 +6,14 @@ task folds them as they stream by: it holds the items in force, never a session'
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import fold
+
 #: Caps of the default configuration; the bucket that does not count as used.
 BUDGETS = {"claude_md": 4000, "hot": 2000, "retrieved": 6000}
 UNCOUNTED = "claude_md"
@@ -87,27 +88,15 @@ def translate(events: DataFrame) -> DataFrame:
 
 
 def _fold(operations: DataFrame, schema: str, budgets: dict[str, int], policy: str, emit: Callable) -> DataFrame:
-    dealt = operations.repartition("session_id").sortWithinPartitions("session_id", "ord", "sub")
-
-    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in schema.split(", ")]
-        session, engine, out, held = None, None, [], {}
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                if row.session_id != session:
-                    if engine is not None:
-                        emit(out, engine, session, None, held)
-                    session, engine, held = row.session_id, Engine(budgets, policy), {}
-                item = None if row.id is None else Item(row.id, row.bucket, 0 if row.tokens is None or row.tokens != row.tokens else int(row.tokens), 0, bool(row.pinned), float(row.score or 0.0))
-                emit(out, engine, session, (row, item), held)
-            if out:
-                yield pd.DataFrame(out, columns=names)
-                out = []
-        if engine is not None:
-            emit(out, engine, session, None, held)
-            yield pd.DataFrame(out, columns=names)
-
-    return dealt.mapInPandas(task, schema)
+    """``emit(out, engine, session, step, held)`` sees each operation before it applies it, and None at a session's end."""
+
+    def step(state: tuple, row: object, out: list) -> None:
+        engine, session, held = state
+        item = None if row.id is None else Item(row.id, row.bucket, 0 if row.tokens is None or row.tokens != row.tokens else int(row.tokens), 0, bool(row.pinned), float(row.score or 0.0))
+        emit(out, engine, session, (row, item), held)
+
+    start = lambda key: (Engine(budgets, policy), key[0], {})
+    return fold(operations, ["session_id"], ["ord", "sub"], schema, start, step, lambda state, out: emit(out, state[0], state[1], None, state[2]))
 
 
 def manifests(operations: DataFrame, budgets: dict[str, int] = BUDGETS, policy: str = "lru") -> DataFrame:
@@ -178,16 +167,12 @@ def since_last_prompt(events: DataFrame) -> DataFrame:
 
 
 def chunks(messages: DataFrame, target: int) -> DataFrame:
-    """Greedy chunks of (session_id, ord, tokens) in order, closed before one would pass ``target``: a fold over each session's sizes.
-
-    Only positions and sizes are gathered for a session, not texts.
-    """
-    rows = messages.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("ord", "tokens"))).alias("m"))
-    zero = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("chunk"), F.array().cast("array<struct<ord:bigint,chunk:int>>").alias("out"))
+    """Greedy chunks of (session_id, ord, tokens) in order, closed before one would pass ``target``."""
 
-    def step(acc, m):
-        over = (acc["used"] + m["tokens"] > target) & (acc["used"] > 0)
-        chunk = acc["chunk"] + F.when(over, 1).otherwise(0)
-        return F.struct((F.when(over, 0).otherwise(acc["used"]) + m["tokens"]).cast("long").alias("used"), chunk.alias("chunk"), F.concat(acc["out"], F.array(F.struct(m["ord"].cast("long").alias("ord"), chunk.alias("chunk")))).alias("out"))
+    def step(state: list[int], m: object, out: list) -> None:
+        if state[0] + m.tokens > target and state[0]:
+            state[:] = [0, state[1] + 1]
+        state[0] += m.tokens
+        out.append((m.session_id, m.ord, state[1]))
 
-    return rows.select("session_id", F.explode(F.aggregate("m", zero, step, lambda acc: acc["out"])).alias("o")).select("session_id", "o.ord", F.col("o.chunk").cast("long").alias("chunk"))
+    return fold(messages.select("session_id", "ord", "tokens"), ["session_id"], ["ord"], "session_id long, ord long, chunk long", lambda key: [0, 0], step, lambda state, out: None)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import hashlib
+
 from pyspark.sql import functions as F
 
 from .. import views
 from ..functions import score, text
 from ..operators import distil as O
 from ..operators.graph import components
+from ..operators.ordered import fold, row_numbers
 from ..session import AS_OF, moment
 from .registry import query
 from .text import CLAIM, SALIENCE, WORDSET
@@ -209,7 +211,7 @@ PRIORITY = f"round(greatest(1, size) * greatest(0.1, s) * (1.0 + least(1.0, floo
 @query("t4_candidate_list", views.with_views("ep", f"WITH {CAND} SELECT id, row_number() OVER (ORDER BY {PRIORITY} DESC, id) AS place FROM ca"))
 def t4(spark, sf):
     p = F.round(score.priority(F.col("size"), F.col("s"), F.col("staged"), moment()), 6)
-    return candidates(spark, sf).withColumn("p", p).select("id", F.row_number().over(Window.orderBy(F.desc("p"), "id")).cast("long").alias("place"))
+    return row_numbers(candidates(spark, sf).select("id", p.alias("p")), [-F.col("p"), "id"], "place").select("id", "place")
 
 
 @query("t5_review_queue", views.with_views("ep", f"WITH {CAND} SELECT id, {PRIORITY} AS priority FROM ca ORDER BY priority DESC, id LIMIT 10"))
@@ -226,7 +228,8 @@ def t6(spark, sf):
 
 @query("t7_triage_order", views.with_views("ep", f"WITH {CAND} SELECT id, row_number() OVER (ORDER BY round(size * s, 6) DESC, id) AS place FROM ca"))
 def t7(spark, sf):
-    return candidates(spark, sf).select("id", F.row_number().over(Window.orderBy(F.desc(F.round(F.col("size") * F.col("s"), 6)), "id")).cast("long").alias("place"))
+    rated = candidates(spark, sf).select("id", F.round(F.col("size") * F.col("s"), 6).alias("p"))
+    return row_numbers(rated, [-F.col("p"), "id"], "place").select("id", "place")
 
 
 @query("a19_pending_counts", views.with_views("ep", "SELECT origin AS namespace, count(*) FILTER (importance >= 6) AS pending, count(*) FILTER (importance < 6 AND result = 'failure') AS misplaced FROM ep GROUP BY 1"))
@@ -236,10 +239,10 @@ def a19(spark, sf):
 
 @query("a20_set_digest", "SELECT source, sha256(string_agg(CAST(doc_id AS VARCHAR) || chr(0) || sha256(text) || chr(0), '' ORDER BY CAST(doc_id AS VARCHAR))) AS sha FROM documents GROUP BY 1")
 def a20(spark, sf):
-    """A digest of a set of files: names and hashes, sorted by name. Hashes go to the group, not texts."""
-    d = views.table(spark, sf, "documents").select("source", F.struct(F.col("doc_id").cast("string").alias("name"), F.sha2("text", 256).alias("sha")).alias("f"))
-    nul = F.lit("\x00")
-    return d.groupBy("source").agg(F.array_sort(F.collect_list("f")).alias("fs")).select("source", F.sha2(F.array_join(F.transform("fs", lambda f: F.concat(f["name"], nul, f["sha"], nul)), ""), 256).alias("sha"))
+    """A digest of a set of files: names and hashes, sorted by name, hashed as they stream by."""
+    d = views.table(spark, sf, "documents").select("source", F.col("doc_id").cast("string").alias("name"), F.sha2("text", 256).alias("sha"))
+    step = lambda state, row, out: state[1].update(f"{row.name}\0{row.sha}\0".encode())
+    return fold(d, ["source"], ["name"], "source string, sha string", lambda key: (key[0], hashlib.sha256()), step, lambda state, out: out.append((state[0], state[1].hexdigest())))
 
 
 @query("graph_components", "WITH RECURSIVE e AS (SELECT p_partkey AS a, (p_partkey * 7) % 500 AS b FROM part WHERE p_partkey % 3 = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS x, b AS y FROM u WHERE a <> b UNION SELECT r.x, u.b FROM r JOIN u ON u.a = r.y) SELECT x AS node, least(x, min(y)) AS root FROM r GROUP BY 1 HAVING least(x, min(y)) <> x")

@@ -11,6 +11,7 @@ from ..operators import claims as C
 from ..operators import extract as X
 from ..operators import lint as L
 from ..operators import redact as R
+from ..operators.ordered import row_numbers
 from ..sources import jsonl, markdown, transcripts
 from .registry import query
 
@@ -164,10 +165,8 @@ def sc21(spark, sf):
 
 @query("sk9_lessons_rewrite", views.with_views("ep", "SELECT skill AS id, arg_max(action, ord) AS claim, row_number() OVER (ORDER BY skill) AS place FROM ep GROUP BY 1"))
 def sk9(spark, sf):
-    from pyspark.sql import Window
-
     last = views.episodes(spark, sf).groupBy(F.col("skill").alias("id")).agg(F.max_by("action", "ord").alias("claim"))
-    return last.select("id", "claim", F.row_number().over(Window.orderBy("id")).cast("long").alias("place"))
+    return row_numbers(last, ["id"], "place").select("id", "claim", "place")
 
 
 @query("sk6_dual_rows", views.with_views("md", "SELECT m.path, m.type, coalesce(o.needs_review, false) AS needs_review FROM md m LEFT JOIN (SELECT path, needs_review FROM md WHERE doc_id % 2 = 0) o USING (path)"))

@@ -202,14 +202,11 @@ def f36(spark, sf):
 
 
 @query("u2_jaccard", f"""SELECT a, b, CASE WHEN len(x) = 0 AND len(y) = 0 THEN 1.0 ELSE round(CAST(len(list_intersect(x, y)) AS DOUBLE) / (len(x) + len(y) - len(list_intersect(x, y))), 6) END AS j FROM (
-  SELECT doc_id AS a, lead(doc_id) OVER (ORDER BY doc_id) AS b, {WORDSET.format('text')} AS x, lead({WORDSET.format('text')}) OVER (ORDER BY doc_id) AS y FROM documents) WHERE b IS NOT NULL""")
+  SELECT p.doc_id AS a, q.doc_id AS b, {WORDSET.format('p.text')} AS x, {WORDSET.format('q.text')} AS y FROM documents p JOIN documents q ON q.doc_id = p.doc_id + 1)""")
 def u2(spark, sf):
-    """Neighbours by id: joined on id + 1 after numbering, so no ordered window holds the texts."""
-    from pyspark.sql import Window
-
+    """Neighbours by id, by an equality join."""
     d = documents(spark, sf).select("doc_id", text.word_set(F.col("text")).alias("w"))
-    numbered = documents(spark, sf).select("doc_id", F.lead("doc_id").over(Window.orderBy("doc_id")).alias("b")).where("b is not null")
-    pairs = numbered.join(d, "doc_id").join(d.select(F.col("doc_id").alias("b"), F.col("w").alias("y")), "b")
+    pairs = d.join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("doc_id").alias("b"), F.col("w").alias("y")), "doc_id")
     return pairs.select(F.col("doc_id").alias("a"), "b", F.round(text.jaccard(F.col("w"), F.col("y")), 6).alias("j"))
 
 

@@ -285,3 +285,30 @@ def test_adapters(spark):
     tables.register("bad", lambda t: t.select("missing"))
     out, errors = tables.run_all(spark.range(5))
     assert list(out) == ["good"] and list(errors) == ["bad"]
+
+
+# --- order
+
+
+def test_row_numbers_are_those_of_a_sort(spark):
+    from mnemospark.operators.ordered import row_numbers
+
+    rng = random.Random(8)
+    values = [(rng.randint(0, 40), k) for k in range(500)] + [(None, 500)]
+    df = spark.createDataFrame(values, "v long, k long").repartition(7)
+    got = {r.k: r.n for r in row_numbers(df, [-F.col("v"), "k"]).collect()}
+    want = sorted(values, key=lambda x: (x[0] is not None, -(x[0] or 0), x[1]))
+    assert got == {k: n for n, (_, k) in enumerate(want, 1)}
+    assert row_numbers(df.limit(0), ["k"]).count() == 0
+
+
+def test_fold_streams_over_batches(spark):
+    from mnemospark.operators.ordered import fold
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = spark.range(1000).select((F.col("id") % 3).alias("k"), "id")
+        out = fold(rows, ["k"], ["id"], "k long, n long, last long", lambda key: [key[0], 0, 0], lambda s, r, o: s.__setitem__(slice(1, 3), [s[1] + 1, r.id]), lambda s, o: o.append(tuple(s)))
+        assert sorted(map(tuple, out.collect())) == [(0, 334, 999), (1, 333, 997), (2, 333, 998)]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
