@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_folder, written
+
 #: Bytes of text that a Python task handles at once.
 SLICE_BYTES = 1 << 20
 
@@ -24,32 +24,6 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 BLANKS = " \t\n\x0b\x0c\r"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share, deleted when the application ends.
-
-    It lies in ``spark.checkpoint.dir``. Only where that is unset, as in tests on one
-    machine, a local temporary folder takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="mnemospark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/mnemospark-{uuid.uuid4().hex}")
-    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    store.mkdirs(path)
-    store.deleteOnExit(path)
-    return store.makeQualified(path).toString()
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: its lineage is cut and its size known."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches hold at most 16 MB, so that long texts do not fill a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))

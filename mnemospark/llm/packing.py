@@ -131,7 +131,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
         encode = tokens.encoder(tokenizer).encode
         sequence, held, group = TaskContext.get().partitionId() << 33, 0, []
         for batch in batches:
-            for part, raw, at in common.slices(batch):
+            for part, raw, at in common.slices(batch, limit=tokens.ENCODE_BYTES):
                 ids, first = encode(raw, at, end_id)
                 ids = ids.astype("<u4", copy=False)
                 for k, key in enumerate(part.column(0).to_pylist()):

@@ -118,7 +118,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, width: int, id_col:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(tokenizer).encode
         for batch in batches:
-            for part, raw, at in common.slices(batch):
+            for part, raw, at in common.slices(batch, limit=tokens.ENCODE_BYTES):
                 ids, first = encode(raw, at, end_id)
                 if width == 2 and len(ids) and ids.max() > 0xFFFF:
                     raise ValueError("the vocabulary needs four bytes for an id")

@@ -8,8 +8,10 @@ import os
 import numpy as np
 import pyarrow as pa
 
-#: Chunks whose ids a worker keeps; beyond, it forgets them all and starts anew.
-MEMO_CHUNKS = 400_000
+#: Chunks whose ids a worker keeps; beyond, it forgets the half that it has met least often.
+MEMO_CHUNKS = 500_000
+#: Bytes of text to encode at once: the more, the fewer times a common word is looked up.
+ENCODE_BYTES = 2 << 20
 
 _CUTTERS = np.zeros(256, dtype=bool)
 _CUTTERS[[9, 10, 13, 32]] = True
@@ -61,6 +63,24 @@ class Encoder:
         self.used = 0
         self.first = np.zeros(1 << 18, np.int64)
         self.count = np.zeros(1 << 18, np.int64)
+        self.met = np.zeros(1 << 18, np.int32)
+
+    def _forget_rare(self) -> None:
+        n = len(self.memo)
+        keep = np.zeros(n, dtype=bool)
+        keep[np.argsort(-self.met[:n], kind="stable")[: MEMO_CHUNKS // 2]] = True
+        memo, ids, first, count, met = self.memo, self.ids, self.first[:n][keep], self.count[:n][keep], self.met[:n][keep]
+        self._forget()
+        self.memo = {chunk: k for k, chunk in enumerate(c for c, kept in zip(memo, keep.tolist()) if kept)}
+        upto = np.cumsum(count)
+        self.used = int(upto[-1]) if len(upto) else 0
+        self.ids = np.zeros(max(1 << 20, 2 * self.used), np.uint32)
+        self.ids[: self.used] = ids[np.repeat(first - upto + count, count) + np.arange(self.used)]
+        size = max(1 << 18, len(count))
+        for name, values in (("first", upto - count), ("count", count), ("met", met // 2)):
+            room = np.zeros(size, getattr(self, name).dtype)
+            room[: len(values)] = values
+            setattr(self, name, room)
 
     def _learn(self, chunks: list[bytes]) -> None:
         found = self.tokenizer.encode_batch_fast([c.decode("utf-8") for c in chunks], add_special_tokens=False)
@@ -69,7 +89,7 @@ class Encoder:
             if self.used + len(ids) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)])
             if slot == len(self.first):
-                self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
+                self.first, self.count, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count, self.met))
             self.ids[self.used : self.used + len(ids)] = ids
             self.first[slot], self.count[slot] = self.used, len(ids)
             self.used += len(ids)
@@ -93,14 +113,18 @@ class Encoder:
         bounds = np.append(cut, len(raw)).astype(np.int64)
         chunks = pa.Array.from_buffers(pa.large_binary(), len(cut), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(raw))])
         coded = chunks.dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.memo) + len(words) > MEMO_CHUNKS:
-            self._forget()
-        new = [w for w in words if w not in self.memo]
+            self._forget_rare()
+        found = list(map(self.memo.get, words))
+        new = [k for k, slot in enumerate(found) if slot is None]
         for k in range(0, len(new), 4096):
-            self._learn(new[k : k + 4096])
-        memo = self.memo
-        slots = np.fromiter((memo[w] for w in words), np.int64, len(words))[coded.indices.to_numpy(zero_copy_only=False)] if words else np.zeros(0, np.int64)
+            self._learn([words[i] for i in new[k : k + 4096]])
+        for k in new:
+            found[k] = self.memo[words[k]]
+        known = np.array(found, np.int64)
+        self.met[known] += 1
+        slots = known.take(coded.indices.to_numpy(zero_copy_only=False)) if words else known
         counts = self.count[slots]
         upto = np.zeros(len(slots) + 1, np.int64)
         np.cumsum(counts, out=upto[1:])
