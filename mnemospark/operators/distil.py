@@ -13,20 +13,25 @@ from .graph import components
 def similar_sets(rows: DataFrame, threshold: float) -> DataFrame:
     """(origin, a, b, similarity) of pairs of distinct token sets of one origin; rows are (origin, set_id, tokens).
 
-    Candidates share one of their rarest tokens: of m tokens, m - ceil(threshold * m) + 1 are enough,
-    or the pair could not reach the threshold. Sizes must fit, too. Candidates are then compared in full.
+    Tokens are ordered from rare to frequent. Of m tokens, the first m - ceil(threshold * m) + 1 are enough to
+    meet every similar set. At their first common token, at places i and j, sets of m and n tokens can
+    share 1 + min(m - i, n - j) at most; a pair that could not reach the overlap that the threshold asks for is
+    no candidate. Candidates are compared by hashes of tokens, and what passes by the tokens themselves.
     """
-    df = rows.select("origin", F.explode("tokens").alias("token")).groupBy("origin", "token").agg(F.count(F.lit(1)).alias("df"))
-    each = rows.select("origin", "set_id", F.size("tokens").alias("m"), F.explode("tokens").alias("token")).join(df, ["origin", "token"])
-    place = F.row_number().over(Window.partitionBy("origin", "set_id").orderBy("df", "token"))
-    prefix = each.withColumn("place", place).where(F.col("place") <= F.col("m") - F.ceil(threshold * F.col("m") - 1e-9) + 1).select("origin", "set_id", "m", "token")
-    other = prefix.select("origin", F.col("set_id").alias("b"), F.col("m").alias("mb"), "token")
-    close = (F.col("set_id") < F.col("b")) & (F.least("m", "mb") >= threshold * F.greatest("m", "mb") - 1e-9)
+    df = rows.select("origin", F.explode("tokens").alias("token")).groupBy("origin", "token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    each = rows.select("origin", "set_id", F.size("tokens").alias("m"), F.explode("tokens").alias("token")).join(df, ["origin", "token"], "left")
+    place = F.row_number().over(Window.partitionBy("origin", "set_id").orderBy(F.coalesce("df", F.lit(1)), "token"))
+    prefix = each.withColumn("i", place).where((F.col("i") <= F.col("m") - F.ceil(threshold * F.col("m") - 1e-9) + 1) & F.col("df").isNotNull()).select("origin", "set_id", "m", "i", "token")
+    other = prefix.select("origin", F.col("set_id").alias("b"), F.col("m").alias("n"), F.col("i").alias("j"), "token")
+    need = threshold / (1 + threshold) * (F.col("m") + F.col("n")) - 1e-9
+    close = (F.col("set_id") < F.col("b")) & (F.least("m", "n") >= threshold * F.greatest("m", "n") - 1e-9) & (1 + F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j")) >= need)
     pairs = prefix.join(other, ["origin", "token"]).where(close).select("origin", F.col("set_id").alias("a"), "b").distinct()
-    sets = rows.select("set_id", "tokens")
-    full = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("y")), "b")
+    hashed = rows.select("set_id", F.transform("tokens", lambda t: F.xxhash64(t)).alias("h"))
     common = F.size(F.array_intersect("x", "y"))
-    return full.withColumn("similarity", common / (F.size("x") + F.size("y") - common)).where(F.col("similarity") >= threshold).select("origin", "a", "b", "similarity")
+    similarity = common / (F.size("x") + F.size("y") - common)
+    compare = lambda pairs, sets, c: pairs.join(sets.select(F.col("set_id").alias("a"), F.col(c).alias("x")), "a").join(sets.select(F.col("set_id").alias("b"), F.col(c).alias("y")), "b").withColumn("similarity", similarity).where(F.col("similarity") >= threshold - 1e-12)
+    likely = compare(pairs, hashed, "h").select("origin", "a", "b")
+    return compare(likely, rows, "tokens").select("origin", "a", "b", "similarity")
 
 
 def clusters(rows: DataFrame, threshold: float) -> DataFrame:
