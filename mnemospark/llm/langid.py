@@ -29,20 +29,29 @@ SMOOTHING, DECLARED, SUFFIX, ACCEPT = 20.0, 0.9, 0.8, 0.5
 # Address suffixes of countries with one main language.
 SUFFIXES = {"de": "de", "at": "de", "li": "de", "fr": "fr", "mc": "fr", "es": "es", "mx": "es", "ar": "es", "cl": "es", "co": "es", "pe": "es", "uk": "en", "us": "en", "au": "en", "nz": "en", "ie": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl"}
 
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
 
 def trigram_codes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bucket of each trigram of letters and blanks (all else is a blank), and the text it is in."""
+    """The bucket of each trigram of letters and blanks (all else is a blank) with two letters at least, and the text it is in."""
     low = common.LOWER[raw]
-    letter = ((low >= 97) & (low <= 122)) | (low >= 128)
+    letter = _LETTER.take(low)
     low = np.where(letter, low, 32).astype(np.uint32)
     if len(low) < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     text = np.repeat(np.arange(len(at) - 1), np.diff(at))
     code = (low[:-2] << 16 | low[1:-1] << 8 | low[2:]) * np.uint32(0x9E3779B1) >> np.uint32(17)
-    use = (text[2:] == text[:-2]) & (letter[:-2] | letter[1:-1] | letter[2:])
+    use = (text[2:] == text[:-2]) & (letter[:-2].astype(np.int8) + letter[1:-1] + letter[2:] >= 2)
     return code[use].astype(np.int64), text[2:][use]
 
 
+def lettered(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which texts have a letter."""
+    upto = np.concatenate([[0], np.cumsum(_LETTER.take(raw))])
+    return upto[at[1:]] > upto[at[:-1]]
+
+
 def learn(rows: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages and the log frequency of each bucket, from rows (id, text, declared)."""
     common.small_batches(rows.sparkSession)
@@ -74,7 +83,7 @@ def learn(rows: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]
 def text_evidence(rows: DataFrame, names: list[str], table: np.ndarray) -> DataFrame:
     """``rows`` (id, text, declared, suffix, host, domain, __k1, __k2) with ``ll``, the text's log likelihoods, for text."""
     weights = table.T.astype(np.float64).copy()
-    fields = "id long, declared string, suffix string, host string, domain string, __k1 long, __k2 long, ll array<double>, n_trigrams long"
+    fields = "id long, declared string, suffix string, host string, domain string, __k1 long, __k2 long, ll array<double>, n_trigrams long, lettered boolean"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,7 +93,7 @@ def text_evidence(rows: DataFrame, names: list[str], table: np.ndarray) -> DataF
                 ll = np.stack([np.bincount(text, weights[code, k], minlength=len(part)) for k in range(len(names))], axis=1).astype(float)
                 ll *= np.minimum(1, TEXT_TRIGRAMS / np.maximum(n, 1))[:, None]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * len(names), pa.int32()), pa.array(ll.ravel(), pa.float64()))
-                yield pa.RecordBatch.from_arrays([part.column(k) for k in range(7)] + [lists, pa.array(n.astype(np.int64))], names=[x.split()[0] for x in fields.split(", ")])
+                yield pa.RecordBatch.from_arrays([part.column(k) for k in range(7)] + [lists, pa.array(n.astype(np.int64)), pa.array(lettered(raw, at))], names=[x.split()[0] for x in fields.split(", ")])
 
     return rows.select("id", "declared", "suffix", "host", "domain", "__k1", "__k2", "text").mapInArrow(common.lean(task), fields)
 
@@ -97,7 +106,7 @@ def identify(rows: DataFrame, names: list[str], table: np.ndarray, accept: float
     """id, language, posterior, text_language, accepted, and the row's key, for rows (id, text, declared, suffix, host, domain).
 
     Null declarations, suffixes and hosts are no evidence (a null host has the corpus prior). Null, empty and
-    letterless texts have no language of their own: they go by the other evidence and are not accepted.
+    letterless texts go by the other evidence and are not accepted; texts too short for a trigram go by it and may be.
     A tie goes to the language that sorts first. With no declared row at all there are no languages, and nothing is accepted.
     """
     keyed = rows.select("id", common.text_of("text").alias("text"), "declared", "suffix", "host", "domain", *common.row_key("id", common.text_of("text")))
@@ -127,7 +136,7 @@ def identify(rows: DataFrame, names: list[str], table: np.ndarray, accept: float
     best = F.array_max("post")
     share = 1 / F.aggregate("post", F.lit(0.0), lambda s, x: s + F.exp(x - best))
     out = joined.withColumn("post", post).withColumn("posterior", share)
-    return out.select("id", _argmax(F.col("post"), names).alias("language"), "posterior", "text_language", ((F.col("posterior") >= accept) & (F.col("n_trigrams") > 0)).alias("accepted"), "__k1", "__k2")
+    return out.select("id", _argmax(F.col("post"), names).alias("language"), "posterior", "text_language", ((F.col("posterior") >= accept) & F.col("lettered")).alias("accepted"), "__k1", "__k2")
 
 
 def document_rows(docs: DataFrame) -> DataFrame:
