@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..storage import written
+from .ordered import row_numbers
 
 #: BM25's k1 and b, and the constant of reciprocal rank fusion.
 K1, B, RRF_K = 1.2, 0.75, 60
@@ -52,16 +54,18 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame
     return ranked(scored, k=k)
 
 
-def dense(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int) -> DataFrame:
-    """(qid, path, score, rank): the ``k`` rows of (path, embedding) nearest to each query by cosine.
+def dense(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(qid, path, score, rank): the ``k`` rows of (path, embedding) nearest to each query (qid, embedding) by cosine.
 
-    Queries are handled in blocks of ``BLOCK``. A task multiplies its rows with a block and hands on its
-    best ``k``, so what is shuffled is k rows a query and task.
+    Queries are handled in blocks of ``BLOCK``, which is all that the driver and a task hold of them. A task
+    multiplies its rows with a block and hands on its best ``k``, so what is shuffled is k rows a query and task.
     """
     spark = vectors.sparkSession
+    numbered = written(row_numbers(queries.select("qid", "embedding"), ["qid"]).withColumn("block", F.floor((F.col("n") - 1) / BLOCK)))
+    blocks = (numbered.agg(F.max("block")).first()[0] or 0) + 1
     out = None
-    for first in range(0, max(1, len(queries)), BLOCK):
-        some = queries[first : first + BLOCK]
+    for block in range(blocks):
+        some = [(r["qid"], r["embedding"]) for r in numbered.where(F.col("block") == block).orderBy("n").collect()]
         ids = np.array([q for q, _ in some], np.int64)
         matrix = np.array([v for _, v in some], float).reshape(len(some), -1)
         matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
@@ -84,8 +88,10 @@ def dense(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int) ->
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best[0].shape[1])), pa.array(best[1].ravel().tolist(), pa.string()), pa.array(best[0].ravel())], names=["qid", "path", "score"])
 
         part = vectors.select(F.col("path").cast("string"), "embedding").mapInArrow(task, "qid long, path string, score double")
+        part = ranked(part, k=k)
+        part = part if blocks == 1 else written(part)
         out = part if out is None else out.union(part)
-    return ranked(out, k=k)
+    return out
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -49,7 +49,7 @@ def j4_clusters(spark, sf):
 
 
 BURST = """
-b1 AS (SELECT skill || '-' || CAST(user_id % 2 AS VARCHAR) AS cluster, skill, result, ts FROM ep WHERE skill < 'skill_5' UNION ALL SELECT 'tight', skill, 'success', TIMESTAMP '2024-01-01 00:00:00' + to_milliseconds(ord) FROM ep WHERE skill = 'skill_7'),
+b1 AS (SELECT skill || '-' || CAST(user_id % 2 AS VARCHAR) AS cluster, skill, result, ts FROM ep UNION ALL SELECT 'tight', skill, 'success', TIMESTAMP '2024-01-01 00:00:00' + to_milliseconds(ord) FROM ep WHERE skill = 'skill_7'),
 b2 AS (SELECT cluster, skill, result, count(*) AS n, min(epoch_us(ts)) AS f, max(epoch_us(ts)) AS l FROM b1 GROUP BY 1, 2, 3),
 b3 AS (SELECT cluster, CAST(sum(n) AS BIGINT) AS n, count(*) AS k, max(n) AS m, arg_max((skill, result), (n, skill, result)) AS top, (max(l) - min(f)) / 1e6 AS s FROM b2 GROUP BY 1)"""
 
@@ -60,7 +60,7 @@ CASE WHEN (k = 1 OR m / n >= 0.75) AND n > 150 THEN CASE WHEN k > 1 THEN 'chroni
 def a13(spark, sf):
     """With thresholds that fit the table; the defaults are larger."""
     e = views.episodes(spark, sf)
-    loose = e.where("skill < 'skill_5'").select(F.concat("skill", F.lit("-"), (F.col("user_id") % 2).cast("string")).alias("cluster"), "skill", "result", "ts")
+    loose = e.select(F.concat("skill", F.lit("-"), (F.col("user_id") % 2).cast("string")).alias("cluster"), "skill", "result", "ts")
     at = F.timestamp_micros(F.unix_micros(F.lit("2024-01-01").cast("timestamp")) + F.col("ord") * 1000).cast("timestamp_ntz")
     tight = e.where("skill = 'skill_7'").select(F.lit("tight").alias("cluster"), "skill", F.lit("success").alias("result"), at.alias("ts"))
     return O.bursts(loose.union(tight), 20, 1800, 150, 0.75)
@@ -68,7 +68,7 @@ def a13(spark, sf):
 
 # Episodes with text: documents, rated by their ids.
 RATED = f"""
-rt AS (SELECT cl.*, substr(text, 1, 80) AS claim, TIMESTAMP '{AS_OF}' - to_days(CAST(doc_id % 20 AS INT)) AS ts, doc_id % 10 + 1 AS pain_score, doc_id % 7 + 3 AS importance FROM cl JOIN documents ON doc_id = cl.ord),
+rt AS (SELECT cl.*, text AS claim, TIMESTAMP '{AS_OF}' - to_days(CAST(doc_id % 20 AS INT)) AS ts, doc_id % 10 + 1 AS pain_score, doc_id % 7 + 3 AS importance FROM cl JOIN documents ON doc_id = cl.ord),
 sl AS (SELECT *, round({SALIENCE}, 6) AS s FROM rt),
 bs AS (SELECT cluster, count(*) AS n, arg_max(claim, (s, -ord)) AS claim, arg_max(origin, (s, -ord)) AS origin, max(s) AS s FROM sl GROUP BY 1),
 sh AS (SELECT cluster, t, count(*) AS c FROM (SELECT cluster, unnest(w) AS t FROM sl) GROUP BY 1, 2),
@@ -79,16 +79,17 @@ pt AS (SELECT bs.cluster, bs.n, bs.s, bs.claim, bs.origin, top, substr(md5({CLAI
 @query("a14_patterns", f"WITH RECURSIVE {CLUSTERS}, {RATED} SELECT cluster, id, 'pattern_' || coalesce(nullif(top, ''), 'untitled') || '_' || substr(id, 1, 6) AS name, n AS cluster_size, round(s * least(3, n), 6) AS canonical_salience FROM pt")
 def a14(spark, sf):
     rows = token_rows(spark, sf)
-    d = views.table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), F.substring("text", 1, 80).alias("claim"), (moment() - F.make_dt_interval((F.col("doc_id") % 20).cast("int"))).alias("ts"), (F.col("doc_id") % 10 + 1).alias("pain_score"), (F.col("doc_id") % 7 + 3).alias("importance"))
+    d = views.table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), F.col("text").alias("claim"), (moment() - F.make_dt_interval((F.col("doc_id") % 20).cast("int"))).alias("ts"), (F.col("doc_id") % 10 + 1).alias("pain_score"), (F.col("doc_id") % 7 + 3).alias("importance"))
     members = O.clusters(rows, THETA).join(rows, "ord").join(d, "ord")
     return O.patterns(O.written(members), moment()).select("cluster", "id", "name", "cluster_size", "canonical_salience")
 
 
-@query("u3_common_tokens", f"WITH ws AS (SELECT source, {WORDSET.format('text')} AS w FROM documents WHERE lang = 'en' AND doc_id % 4 = 0), n AS (SELECT source, count(*) AS n FROM ws GROUP BY 1) SELECT x.source, t AS token FROM (SELECT source, t, count(*) AS c FROM (SELECT source, unnest(w) AS t FROM ws) GROUP BY 1, 2) x JOIN n ON n.source = x.source AND c = n")
+@query("u3_common_tokens", f"WITH ws AS (SELECT conv_id, {WORDSET.format('text')} AS w FROM conversations), n AS (SELECT conv_id, count(*) AS n FROM ws GROUP BY 1) SELECT x.conv_id, t AS token FROM (SELECT conv_id, t, count(*) AS c FROM (SELECT conv_id, unnest(w) AS t FROM ws) GROUP BY 1, 2) x JOIN n ON n.conv_id = x.conv_id AND c = n")
 def u3(spark, sf):
-    d = views.table(spark, sf, "documents").where("lang = 'en' and doc_id % 4 = 0").select("source", text.word_set(F.col("text")).alias("w"))
-    n = d.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    return d.select("source", F.explode("w").alias("token")).groupBy("source", "token").agg(F.count(F.lit(1)).alias("c")).join(n, "source").where("c = n").select("source", "token")
+    """Tokens that all turns of a conversation share: those counted as often as there are turns."""
+    d = views.table(spark, sf, "conversations").select("conv_id", text.word_set(F.col("text")).alias("w"))
+    n = d.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    return d.select("conv_id", F.explode("w").alias("token")).groupBy("conv_id", "token").agg(F.count(F.lit(1)).alias("c")).join(n, "conv_id").where("c = n").select("conv_id", "token")
 
 
 @query("u4_new_evidence", views.with_views("ep", "SELECT DISTINCT user_id, action FROM ep WHERE ts >= TIMESTAMP '2024-01-16' EXCEPT SELECT user_id, action FROM ep WHERE ts < TIMESTAMP '2024-01-16'"))
@@ -245,7 +246,8 @@ def a20(spark, sf):
     return fold(d, ["source"], ["name"], "source string, sha string", lambda key: (key[0], hashlib.sha256()), step, lambda state, out: out.append((state[0], state[1].hexdigest())))
 
 
-@query("graph_components", "WITH RECURSIVE e AS (SELECT p_partkey AS a, (p_partkey * 7) % 500 AS b FROM part WHERE p_partkey % 3 = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS x, b AS y FROM u WHERE a <> b UNION SELECT r.x, u.b FROM r JOIN u ON u.a = r.y) SELECT x AS node, least(x, min(y)) AS root FROM r GROUP BY 1 HAVING least(x, min(y)) <> x")
+@query("graph_components", "WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey - 1 AS b FROM part WHERE p_partkey % 9 <> 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS x, b AS y FROM u UNION SELECT r.x, u.b FROM r JOIN u ON u.a = r.y) SELECT x AS node, least(x, min(y)) AS root FROM r GROUP BY 1 HAVING least(x, min(y)) <> x")
 def graph(spark, sf):
-    p = views.table(spark, sf, "part").where("p_partkey % 3 = 0")
-    return components(p.select(F.col("p_partkey").alias("a"), ((F.col("p_partkey") * 7) % 500).alias("b")))
+    """Chains of nine parts, each linked to the one before."""
+    p = views.table(spark, sf, "part")
+    return components(p.where("p_partkey % 9 <> 0").select(F.col("p_partkey").alias("a"), (F.col("p_partkey") - 1).alias("b")))

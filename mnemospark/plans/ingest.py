@@ -218,10 +218,10 @@ def j6(spark, sf):
     return L.drift(d.where("doc_id % 6 <> 0"), live, "src0")
 
 
-@query("j9_trace", "SELECT c.conv_id AS session_id, d.doc_id FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 10 = 0) c JOIN documents d ON d.doc_id IN (c.conv_id, c.conv_id + 1) AND contains(substr('session-' || CAST(c.conv_id AS VARCHAR) || ' ' || d.text, 1, 4096), 'session-' || CAST(c.conv_id AS VARCHAR) || ' ')")
+@query("j9_trace", "SELECT c.conv_id AS session_id, d.doc_id FROM (SELECT DISTINCT conv_id FROM conversations) c JOIN documents d ON d.doc_id IN (c.conv_id, c.conv_id + 1) AND contains(substr('session-' || CAST(c.conv_id AS VARCHAR) || ' ' || d.text, 1, 4096), 'session-' || CAST(c.conv_id AS VARCHAR) || ' ')")
 def j9(spark, sf):
     """Digests name their session in the file's name or at the head of the text: the id is extracted and joined on equality, no pair is searched."""
-    c = views.table(spark, sf, "conversations").where("conv_id % 10 = 0").select("conv_id").distinct()
+    c = views.table(spark, sf, "conversations").select("conv_id").distinct()
     d = views.table(spark, sf, "documents")
     made = d.select("doc_id", F.explode(F.array(F.col("doc_id"), F.col("doc_id") - 1)).alias("s"), "text").select("doc_id", F.concat(F.lit("session-"), F.col("s"), F.lit(" "), "text").alias("digest"))
     named = made.select("doc_id", F.explode(F.regexp_extract_all(F.substring("digest", 1, 4096), F.lit(r"session-(\d+) "), F.lit(1))).alias("s"))
@@ -313,7 +313,7 @@ def x2(spark, sf):
 
 @query("x9_query_variants")
 def x9(spark, sf):
-    q = views.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.substring("text", 1, 60).alias("query"))
+    q = views.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
     return X.variants(q, lambda s: [" ".join(reversed(s.split())), s.upper(), s], 3)
 
 
@@ -358,7 +358,7 @@ def st12(spark, sf):
     from .distil import token_rows
 
     rows = token_rows(spark, sf)
-    d = views.table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), F.substring("text", 1, 80).alias("claim"), (moment() - F.make_dt_interval((F.col("doc_id") % 20).cast("int"))).alias("ts"), (F.col("doc_id") % 10 + 1).alias("pain_score"), (F.col("doc_id") % 7 + 3).alias("importance"), F.col("source").alias("skill"), F.lit("success").alias("result"))
+    d = views.table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), F.col("text").alias("claim"), (moment() - F.make_dt_interval((F.col("doc_id") % 20).cast("int"))).alias("ts"), (F.col("doc_id") % 10 + 1).alias("pain_score"), (F.col("doc_id") % 7 + 3).alias("importance"), F.col("source").alias("skill"), F.lit("success").alias("result"))
     members = D.written(D.clusters(rows, 0.5).join(rows, "ord").join(d, "ord"))
     calm = D.bursts(members).where("not burst").select("cluster")
     found = D.patterns(members.join(calm, "cluster", "left_semi"), moment()).where((score.narration(F.col("claim")) == "") & (F.col("canonical_salience") >= 7.0))

@@ -28,8 +28,8 @@ sc AS (SELECT qid, path, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * (
 bm AS (SELECT qid, path, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, path) AS rank FROM sc WHERE score > 0)"""
 SUPPORT = "sup AS (SELECT qid, path FROM qs JOIN md ON contains(body, text))"
 CORPUS = """
-vq AS (SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS q, label FROM embeddings WHERE vec_id % 50 = 0),
-vc AS (SELECT CAST(vec_id AS VARCHAR) AS path, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings WHERE vec_id % 50 <> 0),
+vq AS (SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS q, label FROM embeddings WHERE vec_id % 20 = 0),
+vc AS (SELECT CAST(vec_id AS VARCHAR) AS path, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings),
 de AS (SELECT * FROM (SELECT qid, path, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, path) AS rank FROM (SELECT qid, path, round(list_cosine_similarity(q, e), 6) AS score FROM vq, vc)) WHERE rank <= 20)"""
 
 
@@ -70,9 +70,9 @@ def f16(spark, sf):
 
 
 def vectors(spark, sf):
+    """All vectors, and as queries those whose id is divisible by 20."""
     e = views.table(spark, sf, "embeddings")
-    asks = [(r.vec_id, list(r.embedding)) for r in e.where("vec_id % 50 = 0").orderBy("vec_id").toLocalIterator()]
-    return e.where("vec_id % 50 <> 0").select(F.col("vec_id").cast("string").alias("path"), "embedding", "label"), asks
+    return e.select(F.col("vec_id").cast("string").alias("path"), "embedding"), e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding")
 
 
 def dense(spark, sf, k=20):
@@ -94,7 +94,7 @@ def t1(spark, sf):
 # Hybrid: a vector stands for the document of the same id, a pairing made for this query alone.
 HYBRID = views.with_views("md", f"""WITH {CORPUS},
 qt AS (SELECT qid, array_to_string({TERMS.format('body')}[1:{QUERY_TERMS}], ' ') AS query FROM vq JOIN md ON doc_id = qid),
-bag AS (SELECT CAST(doc_id AS VARCHAR) AS path, {TERMS.format('body')} AS b FROM md WHERE doc_id % 50 <> 0),
+bag AS (SELECT CAST(doc_id AS VARCHAR) AS path, {TERMS.format('body')} AS b FROM md),
 sz AS (SELECT count(*) AS n, avg(len(b)) AS avgdl FROM bag),
 post AS (SELECT path, dl, term, count(*) AS tf FROM (SELECT path, len(b) AS dl, unnest(b) AS term FROM bag) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
@@ -109,8 +109,8 @@ rk AS (SELECT qid, path, score, row_number() OVER (PARTITION BY qid ORDER BY CAS
 
 def legs(spark, sf):
     d = views.memory_docs(spark, sf)
-    asks = d.where("doc_id % 50 = 0").join(views.table(spark, sf, "embeddings"), F.col("doc_id") == F.col("vec_id"), "left_semi").select(F.col("doc_id").alias("qid"), F.array_join(F.slice(text.terms(F.col("body")), 1, QUERY_TERMS), " ").alias("query"))
-    corpus = d.where("doc_id % 50 <> 0").select(F.col("doc_id").cast("string").alias("path"), "body")
+    asks = d.where("doc_id % 20 = 0").join(views.table(spark, sf, "embeddings"), F.col("doc_id") == F.col("vec_id"), "left_semi").select(F.col("doc_id").alias("qid"), F.array_join(F.slice(text.terms(F.col("body")), 1, QUERY_TERMS), " ").alias("query"))
+    corpus = d.select(F.col("doc_id").cast("string").alias("path"), "body")
     sparse = O.bm25(corpus, asks, 20)
     return dense(spark, sf).select("qid", F.lit(0).alias("variant"), "path", "rank").unionByName(sparse.select("qid", F.lit(1).alias("variant"), "path", "rank"))
 

@@ -138,7 +138,7 @@ def test_dense_in_blocks(spark, monkeypatch):
     cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
     want = {q: [p for _, p in sorted((-round(cos(v, e), 6), p) for p, e in vectors)[:4]] for q, v in asks}
     got = {}
-    for r in retrieval.dense(spark.createDataFrame(vectors, "path string, embedding array<double>").repartition(3), asks, 4).orderBy("qid", "rank").collect():
+    for r in retrieval.dense(spark.createDataFrame(vectors, "path string, embedding array<double>").repartition(3), spark.createDataFrame(asks, "qid long, embedding array<double>"), 4).orderBy("qid", "rank").collect():
         got.setdefault(r.qid, []).append(r.path)
     assert got == want
 
