@@ -48,10 +48,10 @@ def x6(spark, sf):
     return views.table(spark, sf, "documents").select("doc_id", *[c(F.col("text")).alias(n) for n, c in COUNTERS.items()])
 
 
-@query("x7_namespace_registry", views.with_views("ep", "SELECT origin AS namespace, action, count(*) AS n FROM ep WHERE origin IN ('agentry.inbox', 'session.digest') GROUP BY 1, 2"))
+@query("x7_namespace_registry", views.with_views("ep", "SELECT origin AS namespace, action, count(*) AS n FROM ep WHERE origin IN ('team.inbox', 'session.digest') GROUP BY 1, 2"))
 def x7(spark, sf):
     registry, e = extract.Registry(), views.episodes(spark, sf)
-    for name in ("agentry.inbox", "session.digest"):
+    for name in ("team.inbox", "session.digest"):
         registry.register(name, lambda t, name=name: t.where(F.col("origin") == name).groupBy(F.lit(name).alias("namespace"), "action").agg(F.count(F.lit(1)).alias("n")))
     registry.register("broken", lambda t: t.select("missing"))
     tables, _ = registry.run_all(e)

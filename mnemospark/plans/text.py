@@ -87,9 +87,9 @@ def f10(spark, sf):
     return spark.createDataFrame(CONDITIONS, "ord long, c string").select("ord", text.canonical_condition(F.col("c")).alias("condition"))
 
 
-@query("f11_pattern_id", f"""SELECT doc_id, substr(md5({CLAIM.format('text')} || '||' || CASE WHEN lang < source THEN lang || '|' || source ELSE source || '|' || lang END || CASE WHEN doc_id % 2 = 0 THEN '' ELSE '||origin=agentry.inbox' END), 1, 12) AS id FROM documents""")
+@query("f11_pattern_id", f"""SELECT doc_id, substr(md5({CLAIM.format('text')} || '||' || CASE WHEN lang < source THEN lang || '|' || source ELSE source || '|' || lang END || CASE WHEN doc_id % 2 = 0 THEN '' ELSE '||origin=team.inbox' END), 1, 12) AS id FROM documents""")
 def f11(spark, sf):
-    origin = F.when(F.col("doc_id") % 2 == 0, ids.DEFAULT_ORIGIN).otherwise("agentry.inbox")
+    origin = F.when(F.col("doc_id") % 2 == 0, ids.DEFAULT_ORIGIN).otherwise("team.inbox")
     conditions = F.array(F.concat(F.lit(" "), F.upper("source")), F.col("lang"), F.lit("​"), F.col("source"))
     return documents(spark, sf).select("doc_id", ids.pattern_id(F.col("text"), conditions, origin).alias("id"))
 

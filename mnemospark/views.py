@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 HARNESSES = ["Claude Code", "open-claw", "hermes-2", "codex_cli", "Cursor", "opencode", "windsurf", "pi"]
-ORIGINS = ["coding.tool_call", "agentry.inbox", "session.digest"]
+ORIGINS = ["coding.tool_call", "team.inbox", "session.digest"]
 
 
 def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +83,7 @@ ep0 AS (
   SELECT event_id AS ord, ts, user_id, 'skill_' || CAST(user_id % 10 AS VARCHAR) AS skill, event_type AS action,
     CASE WHEN event_type = 'error' THEN 'failure' ELSE 'success' END AS result,
     CAST(CASE event_type WHEN 'purchase' THEN 9 WHEN 'signup' THEN 6 WHEN 'error' THEN 5 ELSE 3 END AS BIGINT) AS importance,
-    ['coding.tool_call', 'agentry.inbox', 'session.digest'][CAST(user_id % 3 + 1 AS INT)] AS origin,
+    ['coding.tool_call', 'team.inbox', 'session.digest'][CAST(user_id % 3 + 1 AS INT)] AS origin,
     ['Claude Code', 'open-claw', 'hermes-2', 'codex_cli', 'Cursor', 'opencode', 'windsurf', 'pi'][CAST(user_id % 8 + 1 AS INT)] AS harness,
     CAST(floor(value) AS BIGINT) AS tokens_in, CAST(json_extract_string(props, '$.k') AS BIGINT) AS tokens_out,
     CAST(floor(value * 100) AS BIGINT) AS duration_ms, round(value / 1000, 6) AS cost,
