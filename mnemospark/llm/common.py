@@ -25,8 +25,8 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches hold at most 16 MB, so that long texts do not fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    """Arrow batches hold at most 4 MB or one row, so that long texts fill neither the JVM's buffers nor a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def lean(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
