@@ -226,4 +226,4 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, width: int =
     ids come first; repeated ids lie side by side, ordered by their token ids. Other
     columns are ignored. An empty table writes no file and gives no rows.
     """
-    return read_shards(write_shards(common.written(tokenized(docs, tokenizer, end_id, width, id_col, text_col)), width))
+    return read_shards(write_shards(common.written(tokenized(docs, tokenizer, end_id, width, id_col, text_col), "zstd"), width))
