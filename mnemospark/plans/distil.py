@@ -92,10 +92,10 @@ def u3(spark, sf):
     return d.select("conv_id", F.explode("w").alias("token")).groupBy("conv_id", "token").agg(F.count(F.lit(1)).alias("c")).join(n, "conv_id").where("c = n").select("conv_id", "token")
 
 
-@query("u4_new_evidence", views.with_views("ep", "SELECT DISTINCT user_id, action FROM ep WHERE ts >= TIMESTAMP '2024-01-16' EXCEPT SELECT user_id, action FROM ep WHERE ts < TIMESTAMP '2024-01-16'"))
+@query("u4_new_evidence", views.with_views("ep", "SELECT DISTINCT user_id, tokens_out FROM ep WHERE ts >= TIMESTAMP '2024-01-16' EXCEPT SELECT user_id, tokens_out FROM ep WHERE ts < TIMESTAMP '2024-01-16'"))
 def u4(spark, sf):
     e = views.episodes(spark, sf)
-    return e.where("ts >= timestamp_ntz'2024-01-16'").select("user_id", "action").subtract(e.where("ts < timestamp_ntz'2024-01-16'").select("user_id", "action"))
+    return e.where("ts >= timestamp_ntz'2024-01-16'").select("user_id", "tokens_out").subtract(e.where("ts < timestamp_ntz'2024-01-16'").select("user_id", "tokens_out"))
 
 
 @query("u5_auto_clear", views.with_views("md", "SELECT path FROM md WHERE needs_review AND path NOT IN (SELECT path FROM md WHERE length(body) < 800)"))
