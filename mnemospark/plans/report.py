@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import views
 from ..functions import report as R
 from ..operators import report as O
+from ..operators.ordered import row_numbers
 from ..session import AS_OF, moment
 from .registry import query
 
@@ -187,14 +188,12 @@ SELECT coalesce(min_by(cat, r.ord), 'uncategorized') AS category, rid % 10 AS sl
 LEFT JOIN rules r ON (dim = 'harness' AND harness = val) OR (dim = 'workflow' AND workflow = val) OR (dim = 'status' AND status = val) OR (dim = 'run_type' AND run_type = val) GROUP BY rid"""))
 def pf16(spark, sf):
     """Rules are few and fixed, so they compile into one ordered CASE: no join at all."""
-    from pyspark.sql import Window
-
     rules = [("harness", "claude-code", "coding"), ("workflow", "skill_3", "research"), ("status", "error", "incident"), ("run_type", "cron", "scheduled")]
     ladder = F.when(F.lit(False), F.lit(""))
     for dim, value, name in rules:
         ladder = ladder.when(F.col(dim) == value, name)
-    rid = F.row_number().over(Window.orderBy("run_type", "at", "harness", "workflow", "status", "duration_ms")).cast("long")
-    return records(spark, sf).withColumn("rid", rid).select(ladder.otherwise("uncategorized").alias("category"), (F.col("rid") % 10).alias("slot"), "rid")
+    numbered = row_numbers(records(spark, sf), ["run_type", "at", "harness", "workflow", "status", "duration_ms"], "rid")
+    return numbered.select(ladder.otherwise("uncategorized").alias("category"), (F.col("rid") % 10).alias("slot"), "rid")
 
 
 @query("pf17_harness", views.with_views("ep", f"SELECT DISTINCT harness AS raw, {HARNESS} AS harness FROM ep"))

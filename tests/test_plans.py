@@ -41,3 +41,8 @@ def test_aggregations_combine_before_the_shuffle(spark, sf):
 def test_election_needs_no_ordered_window(spark, sf):
     plan = plan_of(plans.QUERIES["w1_current_election"](spark, sf))
     assert "min_by" in plan and plan.count("Window") <= 2  # the view's own lag
+
+
+def test_records_are_numbered_by_ranges(spark, sf):
+    plan = plan_of(plans.QUERIES["pf16_category_rules"](spark, sf))
+    assert "windowspecdefinition(run_type" not in plan and "windowspecdefinition(__range" in plan
