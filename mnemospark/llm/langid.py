@@ -15,13 +15,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 BUCKETS = 1 << 15
-#: Rows with a declared language from which trigram frequencies are learned: those whose ids hash lowest.
+#: Rows of each declared language from which its trigram frequencies are learned at most: those whose ids hash lowest.
 SAMPLE = 8000
 TEXT_TRIGRAMS = 60
 #: Pseudo-counts of the parent's prior; chance that a declaration or a suffix is right; least posterior of what is accepted.
@@ -52,11 +52,26 @@ def lettered(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return upto[at[1:]] > upto[at[:-1]]
 
 
+def lowest_of_each(rows: DataFrame, n: int) -> DataFrame:
+    """Of the distinct rows (id, declared), for each language the ``n`` whose ids hash lowest. Languages are counted over all
+    rows first, so that rows which cannot be among them go before any are sorted."""
+    space = 1 << 40
+    place = F.pmod(F.xxhash64("id"), F.lit(space))
+    sizes = rows.groupBy("declared").agg(F.count(F.lit(1)).alias("__n"))
+    bound = F.lit(space * 1.5 * n) / F.col("__n") + (space >> 20)
+    near = rows.join(F.broadcast(sizes), "declared").where((F.col("__n") <= n) | (place < bound))
+    rank = F.row_number().over(Window.partitionBy("declared").orderBy(place, "id"))
+    return near.withColumn("__rank", rank).where(F.col("__rank") <= n).select("id", "declared")
+
+
 def learn(rows: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages and the log frequency of each bucket, from rows (id, text, declared)."""
+    """Languages and the log frequency of each bucket, from rows (id, text, declared).
+
+    Languages are those declared in any row; one without a trigram in its sample is left out, as it has no frequencies.
+    """
     common.small_batches(rows.sparkSession)
     rows = rows.where("declared is not null and id is not null")
-    ids = common.lowest_hashed(common.written(rows.select("id").distinct()), "id", sample)
+    ids = lowest_of_each(common.written(rows.select("id", "declared").distinct()), sample)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -71,7 +86,7 @@ def learn(rows: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(c[at])], names=["declared", "bucket", "n"])
 
-    some = rows.join(F.broadcast(ids), "id").select("text", "declared")
+    some = rows.join(F.broadcast(ids), ["id", "declared"]).select("text", "declared")
     found = some.mapInArrow(common.lean(task), "declared string, bucket long, n long").groupBy("declared", "bucket").agg(F.sum("n").alias("n")).collect()
     names = sorted({r["declared"] for r in found})
     counts = np.full((len(names), BUCKETS), 0.5)
