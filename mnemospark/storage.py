@@ -7,15 +7,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a row group, which a task holds while it writes.
+BLOCK = 16 << 20
+
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that driver and executors share, deleted when the application ends.
 
-    It lies in ``spark.checkpoint.dir``. Only where that is unset, as in tests on one
-    machine, a local temporary folder takes its place.
+    It lies in ``spark.checkpoint.dir``. Only where that is unset and Spark runs in one process, as in tests,
+    a local temporary folder takes its place; executors of a cluster would not share it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="mnemospark-")
         spark.conf.set("spark.checkpoint.dir", base)
     jvm = spark.sparkContext._jvm
@@ -33,5 +38,5 @@ def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table"
-    df.write.option("compression", compression).parquet(path)
+    df.write.option("compression", compression).option("parquet.block.size", BLOCK).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
