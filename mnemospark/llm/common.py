@@ -25,8 +25,10 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches hold at most 4 MB or one row, so that long texts fill neither the JVM's buffers nor a Python worker."""
+    """Arrow batches hold at most 4 MB or one row, and readers take 512 rows at once, so that long texts fill neither the
+    JVM's buffers nor a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
 
 
 def lean(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -56,11 +58,15 @@ def row_key(id_col: str, text: Column) -> list[Column]:
 
 
 def lowest_hashed(rows: DataFrame, id_col: str, n: int) -> DataFrame:
-    """The ``n`` rows of distinct ids whose hashes are lowest. Rows that cannot be among them are
-    filtered out where they are read, so that what is sorted does not grow with the table."""
+    """The ``n`` rows of distinct ids whose hashes are lowest, or all if there are fewer. Rows that cannot be among them are
+    filtered out where they are read, so that what is sorted does not grow with the table; where too few hash below
+    the bound, it is doubled."""
     space = 1 << 40
     place = F.pmod(F.xxhash64(id_col), F.lit(space))
-    bound = min(space, int(space * 1.5 * n / max(1, rows.count())) + (space >> 20))
+    total = rows.count()
+    bound = min(space, int(space * 1.5 * n / max(1, total)) + (space >> 20))
+    while bound < space and rows.where(place < bound).count() < min(n, total):
+        bound = min(space, 2 * bound)
     return rows.where(place < bound).orderBy(place, id_col).limit(n)
 
 
