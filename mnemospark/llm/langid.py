@@ -24,10 +24,14 @@ BUCKETS = 1 << 15
 #: Rows of each declared language from which its trigram frequencies are learned at most: those whose ids hash lowest.
 SAMPLE = 8000
 TEXT_TRIGRAMS = 60
+#: Languages at most: those of most rows. The table of trigrams is languages x buckets, 67 MB at this bound.
+LANGUAGES = 256
 #: Pseudo-counts of the parent's prior; chance that a declaration or a suffix is right; least posterior of what is accepted.
 SMOOTHING, DECLARED, SUFFIX, ACCEPT = 20.0, 0.9, 0.8, 0.5
 # Address suffixes of countries with one main language.
 SUFFIXES = {"de": "de", "at": "de", "li": "de", "fr": "fr", "mc": "fr", "es": "es", "mx": "es", "ar": "es", "cl": "es", "co": "es", "pe": "es", "uk": "en", "us": "en", "au": "en", "nz": "en", "ie": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl"}
+# Names of languages, as they stand where a tag should.
+NAMES = {"english": "en", "german": "de", "deutsch": "de", "french": "fr", "français": "fr", "spanish": "es", "español": "es", "italian": "it", "italiano": "it", "portuguese": "pt", "português": "pt", "dutch": "nl", "nederlands": "nl", "polish": "pl", "polski": "pl"}
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -52,13 +56,20 @@ def lettered(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return upto[at[1:]] > upto[at[:-1]]
 
 
+def primary_tag(tag: Column) -> Column:
+    """The language of a tag such as ``en-US`` or ``en_gb``, or of a language's name; null for anything else."""
+    low = F.lower(F.trim(tag.cast("string")))
+    names = F.create_map(*[F.lit(x) for kv in NAMES.items() for x in kv])
+    return F.coalesce(F.try_element_at(names, low), F.nullif(F.regexp_extract(low, r"^([a-z]{2,3})(?:[-_].*)?$", 1), F.lit("")))
+
+
 def lowest_of_each(rows: DataFrame, n: int) -> DataFrame:
     """Of the distinct rows (id, declared), for each language the ``n`` whose ids hash lowest. Languages are counted over all
     rows first, so that rows which cannot be among them go before any are sorted."""
     space = 1 << 40
     place = F.pmod(F.xxhash64("id"), F.lit(space))
-    sizes = rows.groupBy("declared").agg(F.count(F.lit(1)).alias("__n"))
-    bound = F.lit(space * 1.5 * n) / F.col("__n") + (space >> 20)
+    sizes = rows.groupBy("declared").agg(F.count(F.lit(1)).alias("__n")).orderBy(F.desc("__n"), "declared").limit(LANGUAGES)
+    bound = F.lit(space * (1.5 * n + 10 * n**0.5 + 20)) / F.col("__n")  # fewer than n below it: beyond ten deviations
     near = rows.join(F.broadcast(sizes), "declared").where((F.col("__n") <= n) | (place < bound))
     rank = F.row_number().over(Window.partitionBy("declared").orderBy(place, "id"))
     return near.withColumn("__rank", rank).where(F.col("__rank") <= n).select("id", "declared")
@@ -67,7 +78,7 @@ def lowest_of_each(rows: DataFrame, n: int) -> DataFrame:
 def learn(rows: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages and the log frequency of each bucket, from rows (id, text, declared).
 
-    Languages are those declared in any row; one without a trigram in its sample is left out, as it has no frequencies.
+    Languages are those declared in any row, if need be the ``LANGUAGES`` of most rows; one without a trigram in its sample is left out, as it has no frequencies.
     """
     common.small_batches(rows.sparkSession)
     rows = rows.where("declared is not null and id is not null")
@@ -122,7 +133,7 @@ def identify(rows: DataFrame, names: list[str], table: np.ndarray, accept: float
 
     Null declarations, suffixes and hosts are no evidence (a null host has the corpus prior). Null, empty and
     letterless texts go by the other evidence and are not accepted; texts too short for a trigram go by it and may be.
-    A tie goes to the language that sorts first. With no declared row at all there are no languages, and nothing is accepted.
+    Repeated rows are identified, and counted for their host, as often as they come. A tie goes to the language that sorts first. With no declared row at all there are no languages, and nothing is accepted.
     """
     keyed = rows.select("id", common.text_of("text").alias("text"), "declared", "suffix", "host", "domain", *common.row_key("id", common.text_of("text")))
     if not names:
@@ -157,7 +168,7 @@ def identify(rows: DataFrame, names: list[str], table: np.ndarray, accept: float
 def document_rows(docs: DataFrame) -> DataFrame:
     """Evidence of a corpus table: ``lang`` is declared, ``source`` is the host."""
     host = F.col("source").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.nullif(F.lower(F.trim(F.col("lang").cast("string"))), F.lit("")).alias("declared"), F.lit(None).cast("string").alias("suffix"), host.alias("host"), F.regexp_replace(host, r"\d+$", "").alias("domain"))
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), primary_tag(F.col("lang")).alias("declared"), F.lit(None).cast("string").alias("suffix"), host.alias("host"), F.regexp_replace(host, r"\d+$", "").alias("domain"))
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
@@ -166,5 +177,5 @@ def page_rows(pages: DataFrame) -> DataFrame:
     top = F.element_at(F.split(host, r"\."), -1)
     pairs = [F.lit(x) for kv in SUFFIXES.items() for x in kv]
     body = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"<[^>]*>", " ")
-    declared = F.nullif(F.lower(F.regexp_extract("html", r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-zA-Z]{2,3})", 1)), F.lit(""))
+    declared = primary_tag(F.regexp_extract("html", r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-zA-Z_-]+)", 1))
     return pages.select(F.col("page_id").cast("long").alias("id"), body.alias("text"), declared.alias("declared"), F.try_element_at(F.create_map(*pairs), top).alias("suffix"), host.alias("host"), F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1).alias("domain"))

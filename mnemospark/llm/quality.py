@@ -3,7 +3,7 @@
 A document's strength is a linear function of features of its text. It is fitted to preference pairs, each
 a document labelled good and one labelled bad, by the logistic loss of the difference of
 their features. Documents are then split at a quantile of the score: the share of bad
-ones among the labels. Scores are scaled so that this quantile stands at ``CUT``.
+ones among the labels, over all labelled training rows. Scores are scaled so that this quantile stands at ``CUT``.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from . import common
 
 #: Labelled rows that the fit uses at most for each label: those of the smallest hashes of doc_id.
 SAMPLE = 8000
+#: Bins of one pass over the strengths for the quantile; a bin of no more rows is sorted.
+BINS, BIN_ROWS = 1024, 10_000
 #: Preference pairs of the fit, the penalty on weights, and the score at the quantile.
 PAIRS, RIDGE, CUT = 60_000, 1e-3, 0.3
 
@@ -84,8 +86,8 @@ class Model(NamedTuple):
         return 1 / (1 + np.exp(-(s + np.log(CUT / (1 - CUT)))))
 
 
-def fit(x: np.ndarray, y: np.ndarray, bad_share: float, seed: int = 7) -> Model:
-    """Fits strengths to pairs of good and bad rows by Newton's method."""
+def fit(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Model:
+    """Fits strengths to pairs of good and bad rows by Newton's method. The cut is left at zero."""
     good, bad = x[y == 1], x[y == 0]
     if not len(good) or not len(bad):
         return Model(np.zeros(WIDTH), 0.0 if not len(bad) else 1.0, 1.0)
@@ -104,19 +106,46 @@ def fit(x: np.ndarray, y: np.ndarray, bad_share: float, seed: int = 7) -> Model:
         if np.abs(step).max() < 1e-6:
             break
     s = x @ w
-    share = np.where(y == 1, (1 - bad_share) / len(good), bad_share / len(bad))  # the sample is balanced, the labels are not
-    order = np.argsort(s, kind="stable")
-    below = np.cumsum(share[order])
-    k = min(int(np.searchsorted(below, bad_share)), len(s) - 2)
-    scale = max(float(np.abs(s[y == 1].mean() - s[y == 0].mean())) / 6, 1e-9)
-    return Model(w, float((s[order[k]] + s[order[k + 1]]) / 2), scale)
+    return Model(w, 0.0, max(float(np.abs(s[y == 1].mean() - s[y == 0].mean())) / 6, 1e-9))
+
+
+def quantile(rows: DataFrame, column: str, share: float) -> float:
+    """Halfway between the last of the lowest ``share`` of all values and the next one.
+
+    Values are counted in bins, and the bin that holds the place is cut into bins again, until
+    it is small enough to be sorted or its values are equal. Without values it is zero.
+    """
+    low, high, n = rows.agg(F.min(column), F.max(column), F.count(column)).first()
+    if not n:
+        return 0.0
+    place = min(max(int(np.ceil(share * n)) - 1, 0), n - 1)  # from zero
+    before, held = 0, n
+    while held > BIN_ROWS and low < high:
+        width = (high - low) / BINS
+        number = F.least(F.lit(BINS - 1), F.floor((F.col(column) - low) / width)) if width else F.lit(0)
+        bins = rows.where(F.col(column).between(low, high)).groupBy(number.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min(column).alias("low"), F.max(column).alias("high")).orderBy("bin").collect()
+        for r in bins:
+            if before + r["n"] > place:
+                low, high, held = r["low"], r["high"], r["n"]
+                break
+            before += r["n"]
+    if low == high:
+        here = low if before + held > place + 1 else None
+    else:
+        values = sorted(r[0] for r in rows.where(F.col(column).between(low, high)).select(column).collect())
+        low = values[place - before]
+        here = values[place - before + 1] if place - before + 1 < len(values) else None
+    if here is None:
+        here = rows.where(F.col(column) > high).agg(F.min(column)).first()[0]
+    return float(low if here is None else (low + here) / 2)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, sample: int = SAMPLE) -> Model:
     """Learns from labels of rows whose crc32(id as text) mod ``folds`` is not 0.
 
-    At most ``sample`` rows of each label are used, those whose ids hash lowest. Ids with two different
-    labels, and null labels, are left out. Without rows of both labels all scores are equal.
+    The fit uses at most ``sample`` ids of each label, those that hash lowest, and of an id with several texts the one that
+    hashes lowest, so what the driver gathers has that bound. The quantile is taken over all labelled training rows. Ids with
+    two different labels, and null labels, are left out; repeated labels count once. Without rows of both labels all scores are equal.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
@@ -124,7 +153,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = common.written(one.where((F.col("y") == F.col("__y")) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != 0)).select("doc_id", (F.col("y") > 0).cast("int").alias("y")))
     share = known.agg(F.avg(1.0 - F.col("y"))).first()[0] or 0.0
     some = common.lowest_hashed(known.where("y = 0"), "doc_id", sample).union(common.lowest_hashed(known.where("y = 1"), "doc_id", sample))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), common.text_of(text_col).alias("text")).join(F.broadcast(some), "doc_id").select("doc_id", "y", "text")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), common.text_of(text_col).alias("text"))
+    rows = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,7 +164,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     found = sorted((r["doc_id"], bytes(r["x"]), r["y"]) for r in rows.mapInArrow(common.lean(task), "doc_id long, y int, x binary").collect())
     x = np.array([np.frombuffer(r[1], "<f4") for r in found], float).reshape(-1, WIDTH)
-    return fit(x, np.array([r[2] for r in found], int), share)
+    model = fit(x, np.array([r[2] for r in found], int))
+    if not model.weights.any():
+        return model
+    weights = model.weights
+
+    def strengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, raw, at in common.slices(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(features(raw, at) @ weights)], names=["s"])
+
+    labelled = common.written(texts.join(known.select("doc_id"), "doc_id").select("text").mapInArrow(common.lean(strengths), "s double"))
+    return model._replace(cut=quantile(labelled, "s", share))
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", folds: int = 5) -> DataFrame:

@@ -34,6 +34,8 @@ from . import common, tokens
 #: Fixed values of the zstandard seekable format.
 SKIPPABLE_SEEK, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 SKIPPABLE_INDEX = 0x184D2A50
+#: A task begins another shard at so many bytes of ids or documents, so that a shard's index stays small.
+SHARD_BYTES, SHARD_DOCS = 256 << 20, 500_000
 #: Bytes that are read at once where frames lie side by side.
 READ_BYTES = 8 << 20
 
@@ -130,30 +132,43 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, width: int, id_col:
 
 
 def write_shards(ids: DataFrame, width: int, folder: str | None = None) -> DataFrame:
-    """Writes (doc_id, ids) in order of doc_id, nulls first; the manifest has a row for each shard."""
+    """Writes (doc_id, ids) in order of doc_id, nulls first; the manifest has a row for each shard.
+
+    Rows are dealt by ranges of doc_id and a hash of their ids, so that rows of one doc_id, or without any, fall to several
+    tasks if they are many. A task writes shards of at most ``SHARD_BYTES`` and ``SHARD_DOCS``, a document more in bytes.
+    """
     spark = ids.sparkSession
     folder = folder or common.shared_folder(spark)
+    limit, most = SHARD_BYTES, SHARD_DOCS
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, writer, total = TaskContext.get().partitionId(), None, 0
+        part, number, writer, sink, path, total = TaskContext.get().partitionId(), 0, None, None, "", 0
         store, place = file_system(folder)
-        path = f"{place}/shard-{shard:07d}-{uuid.uuid4().hex}.zst"
+
+        def closed() -> pa.RecordBatch:
+            writer.close()
+            sink.close()
+            known = [x for x in writer.ids if x is not None] or [None]
+            numbers = {"n_docs": len(writer.ids), "n_tokens": total, "low": known[0], "high": known[-1]}
+            return pa.RecordBatch.from_pydict({"shard": pa.array([part << 32 | number], pa.int64()), "path": [path]} | {k: pa.array([v], pa.int64()) for k, v in numbers.items()})
+
         for batch in batches:
-            if writer is None and len(batch):
-                sink = store.open_output_stream(path, compression=None, buffer_size=1 << 20)
-                writer = Writer(sink, width)
             for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if writer is not None and (total * width >= limit or len(writer.ids) >= most):
+                    yield closed()
+                    writer, number, total = None, number + 1, 0
+                if writer is None:
+                    path = f"{place}/shard-{part:07d}-{number:05d}-{uuid.uuid4().hex}.zst"
+                    sink = store.open_output_stream(path, compression=None, buffer_size=1 << 20)
+                    writer = Writer(sink, width)
                 data = data.as_buffer().to_pybytes()
                 writer.add(doc_id, data)
                 total += len(data) // width
         if writer is not None:
-            writer.close()
-            sink.close()
-            known = [x for x in writer.ids if x is not None] or [None]
-            numbers = {"n_docs": len(writer.ids), "n_tokens": total, "low": known[0], "high": known[-1]}
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "path": [path]} | {k: pa.array([v], pa.int64()) for k, v in numbers.items()})
+            yield closed()
 
-    ordered = ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    hashed = ids.withColumn("__h", F.xxhash64("ids"))
+    ordered = hashed.repartitionByRange("doc_id", "__h").sortWithinPartitions("doc_id", "__h", "ids").select("doc_id", "ids")
     manifest = common.written(ordered.mapInArrow(common.lean(task), "shard long, path string, n_docs long, n_tokens long, low long, high long"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard, not for each document
     return common.written(manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).withColumn("folder", F.lit(folder)))
@@ -223,7 +238,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, width: int =
     """Writes all documents' ids and reads them back: doc_id, start, n_tokens, ids_crc32.
 
     ``start`` counts the ids of all documents before. Null and empty texts hold the end id alone. Null
-    ids come first; repeated ids lie side by side, ordered by their token ids. Other
+    ids come first; repeated ids lie side by side, ordered by a hash of their token ids. Other
     columns are ignored. An empty table writes no file and gives no rows.
     """
     return read_shards(write_shards(common.written(tokenized(docs, tokenizer, end_id, width, id_col, text_col), "zstd"), width))
