@@ -5,6 +5,10 @@ presentation time stamp, and is cut into 188-byte transport packets. Every eight
 random-access point with a program clock reference. Program association and program map tables, with their
 CRC, stand at the start. Reading parses the tables, checks the continuity counters of each
 stream, puts the PES packets together, and lists time stamps and random-access points.
+
+The reader takes any legal stream: null packets, packets sent twice, announced discontinuities, tables over several
+packets, network entries, several elementary streams, PES packets without a time stamp or of open length, and a start within a
+unit. What is damaged is reported as faults beside what could be read.
 """
 
 from __future__ import annotations
@@ -26,8 +30,11 @@ UNIT = 192
 #: Bytes of an access unit; ticks of 90 kHz between units; units between random-access points.
 ACCESS_BYTES, TICKS, ACCESS_EVERY = 16 * UNIT, 3600, 8
 # Fixed values of the transport stream format.
-SYNC, PACKET, PAT_PID, PMT_PID, STREAM_PID = 0x47, 188, 0x0000, 0x1000, 0x0100
+SYNC, PACKET, PAT_PID, PMT_PID, STREAM_PID, NULL_PID = 0x47, 188, 0x0000, 0x1000, 0x0100, 0x1FFF
 PRIVATE_DATA, PRIVATE_STREAM = 0x06, 0xBD
+#: Streams whose PES packets have no optional header (map, padding, private 2, ECM, EMM, DSM-CC, H.222.1 type E, directory).
+BARE_STREAMS = (0xBC, 0xBE, 0xBF, 0xF0, 0xF1, 0xF2, 0xF8, 0xFF)
+PADDING_STREAM = 0xBE
 
 
 def _crc_table() -> list[int]:
@@ -91,61 +98,165 @@ def mux(payload: bytes) -> bytes:
 
 
 class Stream(NamedTuple):
+    #: the bytes of all units, in the order in which they begin
     payload: bytes
     packets: int
-    stamps: list[int]
+    #: of each unit; None where it has none
+    stamps: list[int | None]
     #: (number of the packet, time stamp) of the random-access points
-    access: list[tuple[int, int]]
+    access: list[tuple[int, int | None]]
+    #: (number of the packet, what is wrong)
+    faults: list[tuple[int, str]]
+
+
+class _Sections:
+    """Puts the sections of one table PID together; each complete one goes to ``done``."""
+
+    def __init__(self, done):
+        self.done, self.held = done, None
+
+    def take(self, number: int, begins: bool, body: bytes) -> None:
+        if begins and body:
+            pointer = body[0]
+            if self.held is not None:
+                self._grow(number, body[1 : 1 + pointer])
+            self.held = b""
+            self._grow(number, body[1 + pointer :])
+        elif self.held is not None:
+            self._grow(number, body)
+
+    def _grow(self, number: int, more: bytes) -> None:
+        held = self.held + more
+        while len(held) >= 3 and held[0] != 0xFF:  # 0xFF: stuffing up to the end of the packet
+            size = 3 + (struct.unpack_from(">H", held, 1)[0] & 0xFFF)
+            if len(held) < size:
+                break
+            self.done(number, held[:size])
+            held = held[size:]
+        self.held = b"" if held[:1] == b"\xff" else held
+
+
+class _Reader:
+    def __init__(self):
+        self.faults: list[tuple[int, str]] = []
+        self.tables = {PAT_PID: _Sections(self.programs)}
+        self.streams: set[int] = set()
+        self.last: dict[int, tuple[int, bytes, bool]] = {}  # counter, packet, and whether it came twice
+        self.units: list[tuple[int, bool, list[bytes]]] = []  # first packet, random access, parts
+        self.open: dict[int, list[bytes] | None] = {}
+
+    def _checked(self, number: int, section: bytes, table_id: int) -> bool:
+        if section[0] != table_id or len(section) < 12:
+            return False
+        if section_crc(section):
+            self.faults.append((number, "table"))
+            return False
+        return bool(section[5] & 1)  # else it applies later
+
+    def programs(self, number: int, section: bytes) -> None:
+        if self._checked(number, section, 0):
+            for at in range(8, len(section) - 7, 4):
+                program, pid = struct.unpack_from(">HH", section, at)
+                if program:  # 0 names the network's PID
+                    self.tables.setdefault(pid & 0x1FFF, _Sections(self.parts))
+
+    def parts(self, number: int, section: bytes) -> None:
+        if self._checked(number, section, 2):
+            at = 12 + (struct.unpack_from(">H", section, 10)[0] & 0xFFF)
+            while at + 5 <= len(section) - 4:
+                self.streams.add(struct.unpack_from(">H", section, at + 1)[0] & 0x1FFF)
+                at += 5 + (struct.unpack_from(">H", section, at + 3)[0] & 0xFFF)
+
+    def packet(self, number: int, packet: bytes) -> None:
+        _, head, flags = struct.unpack_from(">BHB", packet)
+        pid, begins, body, marked, jump = head & 0x1FFF, bool(head & 0x4000), 4, False, False
+        if pid == NULL_PID:
+            return
+        if head & 0x8000:
+            self.faults.append((number, "error"))
+            return
+        if flags & 0x20:
+            size = packet[4]
+            if size > PACKET - 5:
+                self.faults.append((number, "field"))
+                return
+            if size:
+                jump, marked = bool(packet[5] & 0x80), bool(packet[5] & 0x40)
+            body += 1 + size
+        if not flags & 0x10:
+            return
+        if pid in self.last and not jump:
+            counter, before, twice = self.last[pid]
+            if flags & 15 == counter and not twice and (packet == before or self._same(packet, before)):
+                self.last[pid] = counter, before, True
+                return
+            if flags & 15 != counter + 1 & 15:
+                self.faults.append((number, "continuity"))
+        self.last[pid] = flags & 15, packet, False
+        if pid in self.tables:
+            self.tables[pid].take(number, begins, packet[body:])
+        elif pid in self.streams:
+            if flags & 0xC0:
+                self.faults.append((number, "scrambled"))
+            elif begins:
+                self.open[pid] = [packet[body:]]
+                self.units.append((number, marked, self.open[pid]))
+            elif self.open.get(pid) is not None:
+                self.open[pid].append(packet[body:])
+            else:
+                self.open[pid] = None  # the stream begins within a unit
+
+    @staticmethod
+    def _same(packet: bytes, before: bytes) -> bool:
+        """Whether one packet repeats the other but for the six bytes of its clock reference."""
+        return bool(packet[3] & 0x20 and packet[4] >= 7 and packet[5] & 0x10) and packet[:6] == before[:6] and packet[12:] == before[12:]
+
+    def unit(self, number: int, pes: bytes) -> tuple[bytes, int | None] | None:
+        """Bytes and time stamp of a PES packet; None for padding and for what is no PES packet."""
+        if len(pes) < 6 or pes[:3] != b"\0\0\1":
+            self.faults.append((number, "unit"))
+            return None
+        kind, size = pes[3], struct.unpack_from(">H", pes, 4)[0]
+        if size and len(pes) != 6 + size:
+            self.faults.append((number, "length"))
+            pes = pes[: 6 + size]
+        if kind in BARE_STREAMS:
+            return None if kind == PADDING_STREAM else (pes[6:], None)
+        if len(pes) < 9 or pes[6] >> 6 != 2 or len(pes) < 9 + pes[8]:
+            self.faults.append((number, "unit"))
+            return None
+        stamp = None
+        if pes[7] & 0x80 and pes[8] >= 5:
+            a, b, c = struct.unpack_from(">BHH", pes, 9)
+            stamp = (a >> 1 & 7) << 30 | (b >> 1) << 15 | c >> 1
+        return pes[9 + pes[8] :], stamp
 
 
 def demux(ts: bytes) -> Stream:
-    """Reads a stream with one program; raises ValueError if tables, counters or packets are damaged."""
-    if len(ts) % PACKET:
-        raise ValueError("the last packet is cut off")
-    tables, pids = {PAT_PID: "pat"}, set()
-    counters: dict[int, int] = {}
-    units: list[tuple[int, bool, list[bytes]]] = []  # first packet, random access, parts
-    for number, at in enumerate(range(0, len(ts), PACKET)):
-        sync, head, flags = struct.unpack_from(">BHB", ts, at)
-        if sync != SYNC:
-            raise ValueError(f"packet {number} has no sync byte")
-        pid, begins, body = head & 0x1FFF, head & 0x4000, at + 4
-        if flags & 0x10:
-            if pid in counters and flags & 15 != counters[pid] + 1 & 15:
-                raise ValueError(f"packet {number} breaks the continuity counter")
-            counters[pid] = flags & 15
-        marked = False
-        if flags & 0x20:
-            marked = bool(ts[body] and ts[body + 1] & 0x40)
-            body += 1 + ts[body]
-        if pid in tables and begins:
-            section = ts[body + 1 + ts[body] :]
-            size = 3 + (struct.unpack_from(">H", section, 1)[0] & 0xFFF)
-            if section_crc(section[:size]):
-                raise ValueError(f"the {tables[pid]} has a wrong checksum")
-            if tables[pid] == "pat":
-                tables[struct.unpack_from(">H", section, 10)[0] & 0x1FFF] = "pmt"
-            else:
-                entry = 12 + (struct.unpack_from(">H", section, 10)[0] & 0xFFF)
-                while entry < size - 4:
-                    pids.add(struct.unpack_from(">H", section, entry + 1)[0] & 0x1FFF)
-                    entry += 5 + (struct.unpack_from(">H", section, entry + 3)[0] & 0xFFF)
-        elif pid in pids and flags & 0x10:
-            if begins:
-                units.append((number, marked, []))
-            units[-1][2].append(ts[body : at + PACKET])
+    """Reads a stream. Damage is listed in ``faults``: lost sync bytes (sync), a cut last packet (cut), marked errors (error), impossible
+    adaptation fields (field), tables of a wrong checksum (table), gaps (continuity), scrambled packets (scrambled), units that
+    are no PES packets (unit) or not of their length (length)."""
+    reader, at, number = _Reader(), 0, 0
+    while at + PACKET <= len(ts):
+        if ts[at] != SYNC:
+            reader.faults.append((number, "sync"))
+            at += 1
+            while at + PACKET <= len(ts) and not (ts[at] == SYNC and (at + PACKET == len(ts) or ts[at + PACKET] == SYNC)):
+                at += 1
+            continue
+        reader.packet(number, ts[at : at + PACKET])
+        at, number = at + PACKET, number + 1
+    if at < len(ts):
+        reader.faults.append((number, "cut"))
     payload, stamps, access = [], [], []
-    for number, marked, parts in units:
-        pes = b"".join(parts)
-        size, optional = struct.unpack_from(">H", pes, 4)[0], pes[8]
-        if pes[:4] != b"\0\0\1" + bytes([PRIVATE_STREAM]) or not pes[7] & 0x80 or len(pes) != 6 + size:
-            raise ValueError(f"the PES packet at packet {number} is damaged")
-        a, b, c = struct.unpack_from(">BHH", pes, 9)
-        stamps.append((a >> 1 & 7) << 30 | (b >> 1) << 15 | c >> 1)
-        if marked:
-            access.append((number, stamps[-1]))
-        payload.append(pes[9 + optional :])
-    return Stream(b"".join(payload), len(ts) // PACKET, stamps, access)
+    for first, marked, parts in reader.units:
+        found = reader.unit(first, b"".join(parts))
+        if found:
+            payload.append(found[0])
+            stamps.append(found[1])
+            if marked:
+                access.append((first, found[1]))
+    return Stream(b"".join(payload), number, stamps, access, sorted(reader.faults))
 
 
 def padded(text: bytes) -> bytes:
@@ -155,8 +266,8 @@ def padded(text: bytes) -> bytes:
 def write_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes and the stream (``media``, binary) of each text.
 
-    A null text is empty; an empty one becomes one unit of spaces. Ids play no part in a
-    stream, so equal texts have equal streams. Repeated rows stay. Other columns are ignored.
+    A null text is empty; an empty one becomes one unit of spaces. A text of any length is one stream. Ids play no
+    part in a stream, so equal texts have equal streams. Repeated rows stay. Other columns are ignored.
     """
     common.small_batches(docs.sparkSession)
 
@@ -171,21 +282,24 @@ def write_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def read_media(media: DataFrame) -> DataFrame:
-    """What the streams hold: digests of payload and stream, and ``feature`` with packets, units,
-    last time stamp and random-access points (packet:time stamp)."""
-    fields = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    """What the streams hold: digests of payload and stream, ``feature`` with packets, units, last time stamp and
+    random-access points (packet:time stamp), and ``faults`` (packet:what), empty for a sound stream.
+
+    A null stream is an empty one: no packets, and an empty payload. Other columns are ignored.
+    """
+    fields = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, faults string"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc_id, n, ts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                ts = ts.as_buffer().to_pybytes()
+                ts = ts.as_buffer().to_pybytes() if ts.is_valid else b""
                 s = demux(ts)
                 points = ",".join(f"{p}:{t}" for p, t in s.access)
-                feature = f"packets={s.packets};units={len(s.stamps)};last={s.stamps[-1]};access={points}"
-                rows.append((doc_id, n, len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-16:]), len(ts), hashlib.sha256(ts).hexdigest(), feature))
+                feature = f"packets={s.packets};units={len(s.stamps)};last={s.stamps[-1] if s.stamps else None};access={points}"
+                rows.append((doc_id, n, len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-16:]), len(ts), hashlib.sha256(ts).hexdigest(), feature, ",".join(f"{p}:{w}" for p, w in s.faults)))
             if rows:
                 types = [x.split() for x in fields.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64() if t == "long" else pa.string()) for x, (_, t) in zip(zip(*rows), types)], names=[n for n, _ in types])
 
-    return media.mapInArrow(common.lean(task), fields)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(common.lean(task), fields)
