@@ -4,8 +4,9 @@ import __spark_entry__
 import corpus_pipeline
 from mnemospark.llm import queries
 
-from .helpers import ODD, docs
-from .test_lines_and_duplicates import brute_components, brute_contained, brute_fingerprint, line_key
+from .helpers import CLASHING, ODD, docs
+from .test_lines_and_duplicates import brute_contained, line_key
+from .test_neardup import brute_groups, partition
 
 
 def test_stages_in_order_and_registered():
@@ -36,8 +37,9 @@ def test_each_stage_against_brute_force(spark, sf):
                 kept = [x for x in r.text.split("\n") if not line_key(x) or count[line_key(x)] < 10]
                 assert after[k].text == "\n".join(kept) and after[k].n_chars == len(after[k].text)
         elif name == "near-duplicates":
-            groups = brute_components([(k, brute_fingerprint(r.text)) for k, r in before.items()])
-            assert set(after) == {c for _, _, c in groups} and all(before[k] == r for k, r in after.items())
+            rows = [(k, r.text) for k, r in before.items()]
+            groups = partition((g, k) for g, (k, _) in zip(brute_groups(rows), rows))
+            assert set(after) == {min(g) for g in groups} and all(before[k] == r for k, r in after.items())
         else:
             bad = {d for d, *_ in brute_contained([(k, r.text) for k, r in before.items()], items)}
             assert set(after) == set(before) - bad
@@ -49,7 +51,12 @@ def test_odd_rows_pass_all_stages(spark, sf):
     now = docs(spark, ODD, extra=True)
     for _, stage in corpus_pipeline.STAGES:
         now = stage(spark, now, sf)
-    assert now.count() > 0
+        if stage is not corpus_pipeline.pack:
+            assert len(now.columns) == 5 + len(CLASHING)
+            kept = {(r.doc_id, r.text) for r in now.select("doc_id", "text").collect()}
+            assert (10, ODD[11][1]) in kept and (14, "Ünïcode Ça va? ΑΣ") in kept
+    pieces = now.select("doc_id", "doc_tokens", "length").collect()
+    assert {r.doc_id for r in pieces} == {d for d, _ in kept}
     now = docs(spark, [])
     for _, stage in corpus_pipeline.STAGES:
         now = stage(spark, now, sf)
