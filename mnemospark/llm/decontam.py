@@ -1,15 +1,16 @@
 """Benchmark decontamination: items that documents contain, by MinHash containment search.
 
-An item's shingles are hashed, and its n distinct hashes are reduced to its sketch: the
-smallest floor((1 - t) * n) + 1 of them. A document that contains at least t * n of the item's shingles lacks at
-most (1 - t) * n, so it holds one of the sketch: no such pair is missed, however long the document. (Banded
-signatures of whole documents would miss it: the Jaccard similarity of a short item and a
-long document is near zero.) Items are partitioned by size. In each partition the sketches
-end below a common bound, and documents are probed with their smallest hashes only, those
-below it. A hit is a candidate; it is verified by counting exact shingles.
-
-Items are handled in blocks of at most ``BLOCK_SHINGLES`` shingles, whatever their number:
-what a task holds of them has that bound, and more items mean more passes over the documents.
+Both sides are signed by the smallest values of one hash over their distinct shingles (bottom sketches, the MinHash of one hash
+and many values). An item of n shingles has the smallest floor((1 - t) * n) + 1 of them as its signature. Items are partitioned by size; the largest
+value in a partition's signatures is the partition's bound. A document's signature for a partition is every one of its
+hashes up to that bound, so it grows with the document, and the signatures of a short item and a long document stay comparable.
+A document that contains at least t * n of the item's shingles lacks at
+most (1 - t) * n, so it holds one of the item's signature: no such pair is missed, however long the document. (Signatures of a fixed
+number of values, as banding takes, would miss it: the Jaccard similarity of an item of 20 shingles and a document of 20 000 is
+0.0008.) A common value is a candidate; it is verified by counting exact shingles.
+
+Items are handled in blocks of about ``BLOCK_SHINGLES`` shingles, whatever their number, one after the other:
+what the driver and a task hold of them has that bound, and more items mean more passes over the documents.
 Documents are read once a block and never shuffled.
 """
 
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -46,7 +47,7 @@ def _roll(h: np.ndarray, width: int) -> np.ndarray:
 
 
 class Items:
-    """A block of items: their sketches by size partition, and their shingles for the exact count."""
+    """A block of items: their signatures by size partition, and their shingles for the exact count."""
 
     def __init__(self, rows: list[tuple[int, str]], width: int, threshold: float):
         self.width, self.threshold = width, threshold
@@ -112,8 +113,9 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, width:
     """doc_id, item_id, n_shingles, n_found, containment, and the row's key, for the pairs at or over the threshold.
 
     Null, empty and blank texts and items are in no pair. An item of fewer words than
-    ``width`` is one shingle of all its words. Repeated rows of either table give repeated pairs. Null
-    ids stay null. Other columns are ignored.
+    ``width`` is one shingle of all its words. Repeated rows of either table give repeated pairs, and equal containments are
+    pairs each. Texts of any length are searched whole. Null ids stay null. Empty tables give no pairs. Other columns are
+    ignored, whatever their names.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
@@ -121,18 +123,14 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, width:
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *common.row_key(id_col, text))
     wanted = common.written(items.select(F.col(item_id).cast("long").alias("item_id"), common.text_of(item_text).alias("text")))
     size = F.size(F.split(F.col("text"), r"[\x20\x09-\x0D]+")).cast("long")
-    # Blocks by running sums within 64 groups of items; each ends as its shingles reach the bound.
-    spread = wanted.select("item_id", "text", F.pmod(F.xxhash64("text"), F.lit(64)).alias("g"), size.alias("n"))
     total = wanted.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-    if total <= BLOCK_SHINGLES:
-        blocks = [wanted]
-    else:
-        before = F.sum("n").over(Window.partitionBy("g").orderBy("text", "item_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        cut = common.written(spread.withColumn("b", F.floor(before / BLOCK_SHINGLES)))
-        blocks = [cut.where((F.col("g") == r["g"]) & (F.col("b") == r["b"])) for r in cut.select("g", "b").distinct().collect()]
+    n_blocks = max(1, -(-2 * total // BLOCK_SHINGLES)) if total > BLOCK_SHINGLES else 1
+    # Rows are dealt to blocks by hashes of their places, so that repeats of one item are spread as well: about half the bound in each.
+    dealt = common.written(wanted.withColumn("b", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_blocks)))) if n_blocks > 1 else wanted.withColumn("b", F.lit(0))
     out = None
-    for block in blocks:
-        held = spark.sparkContext.broadcast(Items([(r["item_id"], r["text"]) for r in block.collect()], width, threshold))
+    for number in range(n_blocks):
+        block = [(r["item_id"], r["text"]) for r in dealt.where(F.col("b") == number).collect()]
+        held = spark.sparkContext.broadcast(Items(block, width, threshold))
 
         def task(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             known = held.value
@@ -148,5 +146,22 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, width:
                         )
 
         found = read.mapInArrow(common.lean(task), "doc_id long, item_id long, n_shingles long, n_found long, containment double, __k1 long, __k2 long")
+        if n_blocks > 1:  # one block's items go before the next one's come
+            found = common.written(found)
+            held.unpersist()
         out = found if out is None else out.union(found)
     return out
+
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+_SHINGLES = "unnest(list_distinct(list_transform(range(1, len(w) - s + 2), lambda i: array_to_string(w[i:i + s - 1], ' '))))"
+#: The pairs by joining all shingles, for ``documents`` and ``benchmark``.
+CONTAINED_SQL = f"""
+WITH items AS (SELECT row_number() OVER () AS k, item_id, w, least(5, len(w)) AS s FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+  sought AS (SELECT k, item_id, s, {_SHINGLES} AS g FROM items),
+  sizes AS (SELECT k, count(*) AS n FROM sought GROUP BY 1),
+  texts AS (SELECT row_number() OVER () AS d, doc_id, {_WORDS} AS w FROM documents),
+  held AS (SELECT d, doc_id, s, {_SHINGLES} AS g FROM texts, (SELECT DISTINCT s FROM items) WHERE len(w) >= s)
+SELECT doc_id, item_id, n AS n_shingles, n_found, n_found / n AS containment
+FROM (SELECT d, doc_id, k, item_id, count(*) AS n_found FROM held JOIN sought USING (s, g) GROUP BY ALL) JOIN sizes USING (k)
+WHERE n_found >= 0.8 * n - 1e-9"""

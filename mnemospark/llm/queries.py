@@ -94,4 +94,4 @@ QUERIES: dict[str, Query] = {
     "language_of_pages": language_of_pages, "pipeline": pipeline,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": linededup.LINE_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": linededup.LINE_SQL, "op6_decontamination": decontam.CONTAINED_SQL}

@@ -6,9 +6,10 @@
    blocks - r of ``blocks`` blocks of bits, so each node goes to a shard for each choice of
    ``agree`` blocks and its bits there, and linked nodes share a shard. Lonely shards go.
 3. In each shard a BK-tree (children keyed by their Hamming distance to the parent) is
-   built and searched for all its nodes, following only edges within the radius. A shard of more
-   than ``SHARD_NODES`` nodes is split into several trees, and its nodes visit each of them.
-   A shard gives the links of a spanning forest, never all pairs.
+   built and searched for all its nodes, following only edges within the radius. A shard of more nodes than one tree holds
+   is cut into finer shards by the same rule over its other bits, as often as that can part its nodes; only what is
+   dense even then is split into several trees, which its nodes visit each. A shard's links are reduced to a
+   spanning forest while it is searched, so that all pairs are never held.
 4. Components of the links come from rounds of star contractions over written tables.
 
 Trees are not broadcast to all executors: together they grow with the corpus. Each tree goes with its
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from ..operators.graph import components
 from . import common
 
-#: Nodes of a tree.
-SHARD_NODES = 2048
+#: Nodes of a tree; times that a shard of more is cut into finer ones.
+SHARD_NODES, CUTS = 2048, 2
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -109,13 +110,13 @@ class BKTree:
         self.order = order
         self.keys = (self.parent * 65 + self.edge)[order]
 
-    def search(self, probes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """All (probe, node) indices within the radius."""
+    def search(self, probes: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All (probe, node) indices within the radius, for 256 probes at once."""
         probes = probes.astype(np.uint64)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        todo = [(np.arange(k, min(k + 256, len(probes))), 0) for k in range(0, len(probes), 256)] if len(self.values) else []
-        for block, root in todo:
-            q, node = block, np.full(len(block), root)
+        for k in range(0, len(probes), 256) if len(self.values) else ():
+            q = np.arange(k, min(k + 256, len(probes)))
+            node = np.zeros(len(q), np.int64)
+            found: list[tuple[np.ndarray, np.ndarray]] = []
             while len(q):
                 d = np.bitwise_count(probes[q] ^ self.values[node]).astype(np.int64)
                 near = d <= radius
@@ -126,9 +127,7 @@ class BKTree:
                 upto = np.cumsum(many)
                 q = np.repeat(q, many)
                 node = self.order[np.repeat(low - upto + many, many) + np.arange(upto[-1] if len(upto) else 0)]
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+            yield np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,17 +146,55 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         root = new
 
 
-def links(nodes: DataFrame, radius: int, blocks: int | None = None, agree: int = 2) -> DataFrame:
+def block_masks(bits: list[int], radius: int, agree: int) -> list[int]:
+    """Masks over the given bits: values that differ in at most ``radius`` of them agree under one mask at least."""
+    blocks = min(radius + agree, len(bits))
+    cuts = [len(bits) * k // blocks for k in range(blocks + 1)]
+    parts = [sum(1 << b for b in bits[cuts[k] : cuts[k + 1]]) for k in range(blocks)]
+    return [sum(some) for some in combinations(parts, agree)]
+
+
+def shard_masks(radius: int, agree: int, cuts: int) -> list[list[int]]:
+    """For the first sharding and each finer one the masks, those of each parent side by side."""
+    levels = [block_masks(list(range(64)), radius, agree)]
+    for _ in range(cuts):
+        rest = [[b for b in range(64) if not m >> b & 1] for m in levels[-1]]
+        if min(map(len, rest)) < radius + agree:
+            break
+        levels.append([m | finer for m, bits in zip(levels[-1], rest) for finer in block_masks(bits, radius, agree)])
+    return levels
+
+
+def shards(nodes: DataFrame, radius: int, agree: int = 2) -> DataFrame:
+    """(kind, bits, fp, n): nodes by shards, with the shard's size; ``kind`` is the mask. Lonely shards go."""
+    levels = shard_masks(radius, agree, CUTS)
+    out, now = None, nodes.select("fp", F.lit(0).alias("place"))
+    for depth, masks in enumerate(levels):
+        signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+        each = len(masks) // (1 if depth == 0 else len(levels[depth - 1]))
+        place = F.explode(F.sequence(F.col("place") * each, F.col("place") * each + each - 1)).alias("place")
+        mask = F.element_at(F.array(*map(F.lit, signed)), F.col("place") + 1)
+        cut = now.select("fp", place).withColumn("kind", mask).withColumn("bits", F.col("fp").bitwiseAND(F.col("kind")))
+        sizes = common.written(cut.groupBy("place", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+        members = cut.join(sizes, ["place", "bits"])
+        if depth + 1 < len(levels):
+            # A finer sharding makes ``each`` visits of a node, trees make one for each tree.
+            finer = F.col("n") > SHARD_NODES * (len(levels[depth + 1]) // len(masks))
+            dense = common.written(members.where(finer).select("fp", "place")) if not sizes.where(finer).isEmpty() else None
+            members = members.where(~finer)
+        else:
+            dense = None
+        members = members.select("kind", "bits", "fp", "n")
+        out = members if out is None else out.union(members)
+        if dense is None:
+            return out
+        now = dense
+    return out
+
+
+def links(nodes: DataFrame, radius: int, agree: int = 2) -> DataFrame:
     """(fp, root): within each shard, each node linked to others and the smallest of its component there."""
-    blocks = blocks or radius + agree
-    if blocks - radius < agree:
-        raise ValueError("blocks - radius has to be agree at least")
-    cuts = [64 * k // blocks for k in range(blocks + 1)]
-    masks = [sum(((1 << (cuts[k + 1] - cuts[k])) - 1) << cuts[k] for k in some) for some in combinations(range(blocks), agree)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    shards = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("kind", "bits"))
-    sizes = shards.groupBy("kind", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = shards.join(sizes, ["kind", "bits"]).withColumn("trees", F.ceil(F.col("n") / SHARD_NODES).cast("int"))
+    members = shards(nodes, radius, agree).withColumn("trees", F.ceil(F.col("n") / SHARD_NODES).cast("int"))
     own = F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int")
     visits = members.select("kind", "bits", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("tree"))
     dealt = visits.select("kind", "bits", "tree", "fp", (F.col("own") == F.col("tree")).alias("inside")).repartition("kind", "bits", "tree").sortWithinPartitions("kind", "bits", "tree", "fp")
@@ -167,9 +204,10 @@ def links(nodes: DataFrame, radius: int, blocks: int | None = None, agree: int =
             near = int(np.bitwise_count(fp[:1].view(np.uint64) ^ fp[1:].view(np.uint64))[0]) <= radius
             return (fp[1:], fp[:1]) if near else (fp[:0], fp[:0])
         tree = fp[inside]
-        q, node = BKTree(tree).search(fp, radius)
-        other = fp[q] != tree[node]
-        nodes, root = forest(fp[q][other], tree[node][other])
+        nodes = root = fp[:0]
+        for q, node in BKTree(tree).search(fp, radius):
+            other = fp[q] != tree[node]
+            nodes, root = forest(np.concatenate([nodes, fp[q][other]]), np.concatenate([root, tree[node][other]]))
         return nodes[nodes != root], root[nodes != root]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,8 +243,8 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, id_col: st
     """doc_id, fingerprint, component_id and the row's key for each row.
 
     Null, empty and blank texts have fingerprint zero and link like any other. Repeated rows fall into
-    one component. Null ids stay null; a component of null ids alone has a null id.
-    Other columns are ignored.
+    one component. Texts of any length are fingerprinted whole. Equal fingerprints of different texts are linked as all others are. Null
+    ids stay null; a component of null ids alone has a null id. An empty table gives no rows. Other columns are ignored, whatever their names.
     """
     prints = common.written(fingerprint_table(docs, id_col, text_col, width))
     nodes = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))

@@ -99,14 +99,31 @@ def test_bk_tree_finds_all_within_the_radius(values, radius):
     values = [v & 0xFF0000000000F00F for v in values]
     values = list(dict.fromkeys(values))
     tree = simhash.BKTree(np.array(values, np.uint64))
-    q, node = tree.search(np.array(values, np.uint64), radius)
+    q, node = (np.concatenate(x) for x in zip(*tree.search(np.array(values, np.uint64), radius)))
     want = {(i, j) for i, a in enumerate(values) for j, b in enumerate(values) if (a ^ b).bit_count() <= radius}
     assert sorted(zip(q.tolist(), node.tolist())) == sorted(want)
     # children of one node have distinct distances
     assert len(set(zip(tree.parent[1:].tolist(), tree.edge[1:].tolist()))) == len(values) - 1
 
 
-def test_links_of_split_shards_and_long_chains(spark, monkeypatch):
+def test_masks_miss_no_pair():
+    rng = np.random.default_rng(1)
+    levels = simhash.shard_masks(4, 2, 2)
+    assert [len(x) for x in levels] == [15, 225, 3375] and all(len(set(x)) == len(x) for x in levels[:1])
+    for _ in range(300):
+        a = int(rng.integers(0, 2**63))
+        b = a
+        for k in rng.choice(64, rng.integers(0, 5), replace=False):
+            b ^= 1 << int(k)
+        level = range(15)
+        for depth, masks in enumerate(levels):
+            # within every shard that both are in, they share a finer one
+            assert all(any((a ^ b) & masks[k] == 0 for k in group) for group in ([range(15)] if depth == 0 else [range(15 * p, 15 * p + 15) for p in level]))
+            level = [k for k in range(len(masks)) if (a ^ b) & masks[k] == 0]
+
+
+@pytest.mark.parametrize("size", [4, 16])
+def test_links_of_split_shards_and_long_chains(spark, monkeypatch, size):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**62)
     near = {int(base) ^ (1 << int(a)) ^ (1 << int(b)) ^ (1 << int(c)) for a, b, c in rng.integers(0, 63, (300, 3))}
@@ -116,7 +133,7 @@ def test_links_of_split_shards_and_long_chains(spark, monkeypatch):
         chain.append(x)
     values = sorted(near | set(chain) | {int(v) for v in rng.integers(0, 2**62, 200)})
     nodes = spark.createDataFrame([(v,) for v in values], "fp long")
-    monkeypatch.setattr(simhash, "SHARD_NODES", 16)
+    monkeypatch.setattr(simhash, "SHARD_NODES", size)
     roots = {r.node: r.root for r in simhash.components(simhash.links(nodes, 4).selectExpr("fp a", "root b")).collect()}
     got = {}
     for v in values:
