@@ -120,7 +120,8 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``n`` powers of the base, and of its inverse."""
     if len(_powers[0]) < n:
         for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
             p = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
@@ -131,7 +132,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span of bytes, by one running sum over all bytes."""
-    up, down = _power(len(raw) + 1)
+    up, down = powers(len(raw) + 1)
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
     return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))

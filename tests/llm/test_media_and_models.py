@@ -138,10 +138,11 @@ def test_op9_base_over_the_whole_table_and_held_out_gain(spark, sf):
     assert held and sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-@pytest.mark.parametrize("mixed", [1, 2, 1024])
-def test_mixing_is_a_probability_distribution(monkeypatch, mixed):
+START = np.tile(np.array(lm.WEIGHTS, np.float32), (lm.GATES, 1))
+
+
+def test_mixing_is_a_probability_distribution():
     """Over all sequences of one token and the end, the probabilities sum to one."""
-    monkeypatch.setattr(lm, "MIXED", mixed)
     code = lm.huffman([b"", b"a", b"bb", b"c"], [10, 6, 3, 1], 2)
     assert lm.huffman([b"", b"a", b"bb", b"c"], [10, 6, 3, 1], 2).node.tolist() == code.node.tolist()
     rng = np.random.default_rng(1)
@@ -150,8 +151,8 @@ def test_mixing_is_a_probability_distribution(monkeypatch, mixed):
     for text in ("", "a", "bb", "c", "zzz"):  # zzz: any other token
         raw, at = common.utf8(pa.array([f"a {text}"]))
         s = lm.Slice(code, raw, at)
-        bits = lm.mix(s, code, tables)
-        total += np.exp(bits[s.token == 1].sum() + code.rest[s.symbols[1]])  # the token after "a"; the end for ""
+        bits, _ = lm.mix(s, code, tables, START)
+        total += np.exp(bits[s.token == 1].sum())  # the token after "a"; the end for ""
     assert total == pytest.approx(1.0, abs=1e-4)
 
 
@@ -159,13 +160,20 @@ def test_slices_do_not_depend_on_each_other():
     code = lm.huffman([b"", b"a", b"b", b"c"], [10, 6, 3, 1], 2)
     tables = np.random.default_rng(2).integers(0, 30, (lm.CONTEXTS, 1 << lm.TABLE_BITS, 2)).astype(np.float32)
     texts = ["a b c", "", "b b a q r s t a", "c"]
-    alone = []
+    alone, segments = [], []
     for t in texts:
         raw, at = common.utf8(pa.array([t]))
-        alone.append(lm.mix(lm.Slice(code, raw, at), code, tables).sum())
+        s = lm.Slice(code, raw, at)
+        bits, _ = lm.mix(s, code, tables, START)
+        alone.append(bits.sum())
+        segments.append(s.segments(bits))
     raw, at = common.utf8(pa.array(texts))
     s = lm.Slice(code, raw, at)
-    assert np.bincount(s.text[s.token], lm.mix(s, code, tables)) == pytest.approx(np.array(alone), rel=1e-5)
+    bits, _ = lm.mix(s, code, tables, START)
+    assert np.bincount(s.text[s.token], bits) == pytest.approx(np.array(alone), rel=1e-5)
+    keys, values, edge = s.segments(bits)
+    assert keys.tolist() == [k for x, _, _ in segments for k in x.tolist()]
+    assert np.add.reduceat(values, edge[:-1]) == pytest.approx(np.array(alone), rel=1e-5)
 
 
 def test_huffman_code_is_complete_and_near_the_entropy():
