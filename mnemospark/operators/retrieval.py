@@ -1,15 +1,18 @@
-"""Ranked retrieval: BM25 over postings, dense top-k, rank fusion, review policy, budgets, quality.
+"""Ranked retrieval: BM25, dense top-k, rank fusion, review policy, budgets, quality.
 
-Queries come as a table, so that evaluating many is one job. Scores are rounded to six digits before
+Queries come as a table, so that evaluating many is one job. They are asked whole, in blocks of a bounded size: a task
+scores its documents against a block and hands on its best, so that what is shuffled is k rows a query and task, and
+never a row for each document and query. Scores are rounded to six digits before
 ranking and ties go by path, which makes ranks independent of the order of sums.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +22,8 @@ from .ordered import row_numbers
 
 #: BM25's k1 and b, and the constant of reciprocal rank fusion.
 K1, B, RRF_K = 1.2, 0.75, 60
-#: Query vectors that a task holds at once.
-BLOCK = 4096
+#: Queries, and (query, term) pairs, that a task holds at once; documents that it scores at once.
+BLOCK, BLOCK_TERMS, ROWS = 4096, 1_000_000, 256
 
 
 def postings(docs: DataFrame, path: str = "path", body: str = "body") -> DataFrame:
@@ -35,63 +38,200 @@ def ranked(scored: DataFrame, group: str = "qid", k: int | None = None) -> DataF
     return out if k is None else out.where(F.col("rank") <= k)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
-    """(qid, path, score, rank) of the documents that share a term with a query (qid, query).
+class Best:
+    """The best ``k`` (score, path) of each query so far."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.rows: list[list[tuple[float, str]]] = [[] for _ in range(queries)]
+        self.least = np.full(queries, -np.inf)
+
+    def take(self, scores: np.ndarray, paths: np.ndarray) -> None:
+        """Scores (document, query); those of -inf are no hits."""
+        place = np.argsort(np.argsort(paths, kind="stable"), kind="stable")
+        for q in np.flatnonzero((scores.max(axis=0, initial=-np.inf) >= self.least) & (scores.max(axis=0, initial=-np.inf) > -np.inf)):
+            column = scores[:, q]
+            some = np.flatnonzero((column >= self.least[q]) & (column > -np.inf))
+            if len(some) > self.k:
+                some = some[column[some] >= np.partition(column[some], -self.k)[-self.k]]
+                some = some[np.lexsort((place[some], -column[some]))[: self.k]]
+            rows = self.rows[q] = sorted(self.rows[q] + [(-column[i], paths[i]) for i in some])[: self.k]
+            if len(rows) == self.k:
+                self.least[q] = -rows[-1][0]
+
+    def batch(self, first: int) -> pa.RecordBatch:
+        flat = [(first + q, path, -score) for q, rows in enumerate(self.rows) for score, path in rows]
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in flat], t) for k, t in enumerate((pa.int64(), pa.string(), pa.float64()))], names=["n", "path", "score"])
+
+
+def bags(docs: DataFrame, more: list[str] | None = None) -> DataFrame:
+    """(path, bag, and other columns) of documents (path, body), tokenised once and written."""
+    return written(docs.select(F.col("path").cast("string").alias("path"), text.terms(F.col("body")).alias("bag"), *(more or [])))
+
+
+class Asked:
+    """Queries (qid, query) over documents' bags: numbered, weighted by BM25, and cut into blocks of whole queries."""
+
+    def __init__(self, docs: DataFrame, queries: DataFrame):
+        asked = queries.select("qid", F.explode(text.terms(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
+        wanted = asked.select("term").distinct()
+        df = docs.select(F.explode(F.array_distinct("bag")).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        n, self.mean = docs.agg(F.count(F.lit(1)), F.avg(F.size("bag"))).first()
+        idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        self.numbers = written(row_numbers(asked.select("qid").distinct(), ["qid"]))
+        self.weights = written(asked.join(df, "term").join(self.numbers, "qid").select("n", "qid", "term", (F.col("qtf") * idf).alias("w")))
+        most = self.weights.groupBy("n").count().agg(F.max("count"), F.max("n")).first()
+        self.step = max(1, min(BLOCK, BLOCK_TERMS // (most[0] or 1)))
+        self.last = most[1] or 0
+
+    def blocks(self) -> Iterator[tuple[int, int, list]]:
+        """For each block its first number, the number of its queries, and its (number, term, weight)."""
+        for first in range(1, self.last + 1, self.step):
+            rows = self.weights.where(F.col("n").between(first, first + self.step - 1)).select("n", "term", "w").collect()
+            yield first, self.step, rows
+
+
+def scorer(rows: list, first: int, queries: int, mean: float) -> Callable[[pa.Array], Iterator[tuple[int, int, np.ndarray]]]:
+    """A function from bags to (first, last, scores) of some documents at once; -inf where no term is shared."""
+    terms = sorted({r["term"] for r in rows})
+    place = {t: k for k, t in enumerate(terms)}
+    term = np.array([place[r["term"]] for r in rows], np.int64)
+    order = np.argsort(term, kind="stable")
+    query = np.array([r["n"] - first for r in rows], np.int64)[order]
+    weight = np.array([r["w"] for r in rows], float)[order]
+    start = np.searchsorted(term[order], np.arange(len(terms) + 1))
+
+    def scores(bag: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
+        found = pc.fill_null(pc.index_in(bag.flatten(), value_set=pa.array(terms, pa.string())), -1).to_numpy().astype(np.int64)
+        size = pc.fill_null(pc.list_value_length(bag), 0).to_numpy().astype(np.int64)
+        doc = np.repeat(np.arange(len(bag)), size)
+        pairs, tf = np.unique(doc[found >= 0] * len(terms) + found[found >= 0], return_counts=True)
+        doc, at = np.divmod(pairs, max(1, len(terms)))
+        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / (mean or 1)))
+        many = start[at + 1] - start[at]
+        for low in range(0, len(bag), ROWS):
+            high = min(low + ROWS, len(bag))
+            a, b = np.searchsorted(doc, (low, high))
+            times = many[a:b]
+            upto = np.cumsum(times)
+            spread = np.repeat(start[at[a:b]] - upto + times, times) + np.arange(upto[-1] if len(upto) else 0)
+            cell = np.repeat((doc[a:b] - low) * queries, times) + query[spread]
+            value = np.bincount(cell, np.repeat(part[a:b], times) * weight[spread], minlength=(high - low) * queries)
+            value = np.round(value, 6) + 0.0
+            yield low, high, np.where(value > 0, value, -np.inf).reshape(high - low, queries)
+
+    return scores
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(qid, path, score, rank) of the best ``k`` documents (path, body) for each query (qid, query), by all its terms.
+
+    Document lengths and frequencies are aggregated over all documents, which are tokenised once.
+    """
+    spark, texts = docs.sparkSession, bags(docs)
+    asked, out = Asked(texts, queries), None
+    for first, number, rows in asked.blocks():
+        held = spark.sparkContext.broadcast(rows)
+
+        def task(batches: Iterator[pa.RecordBatch], first=first, number=number, held=held, mean=asked.mean) -> Iterator[pa.RecordBatch]:
+            scores, best = scorer(held.value, first, number, mean), Best(number, k)
+            for batch in batches:
+                paths = np.array(batch.column(0).to_pylist(), dtype=object)
+                for low, high, value in scores(batch.column(1)):
+                    best.take(value, paths[low:high])
+            yield best.batch(first)
+
+        part = texts.select("path", "bag").mapInArrow(task, "n long, path string, score double")
+        part = part if asked.last <= asked.step else written(ranked(part, "n", k).drop("rank"))
+        out = part if out is None else out.union(part)
+    if out is None:
+        out = spark.createDataFrame([], "n long, path string, score double")
+    return ranked(out.join(asked.numbers, "n").select("qid", "path", "score"), k=k)
 
-    Only postings of query terms are joined; document lengths and frequencies are aggregated
-    over all documents.
+
+def standing(docs: DataFrame, queries: DataFrame, support: DataFrame, size: Column) -> DataFrame:
+    """(qid, best, depth) for the queries of ``support`` (qid, path): the rank of the best supporting document among all, and the sum of
+    ``size`` up to it; null if it is no hit.
+
+    Ranks are counted, not sorted: supporting documents are scored first, then the documents before the best of them.
     """
-    bags = docs.select("path", text.terms(F.col("body")).alias("bag"))
-    size = bags.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("bag")).alias("avgdl"))
-    asked = queries.select("qid", F.explode(text.terms(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    wanted = asked.select("term").distinct()
-    post = bags.select("path", F.size("bag").alias("dl"), F.explode("bag").alias("term")).join(wanted, "term", "left_semi").groupBy("path", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    hits = post.join(df.join(asked, "term"), "term").crossJoin(F.broadcast(size))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("qtf") * idf * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
-    scored = hits.groupBy("qid", "path").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
-    return ranked(scored, k=k)
+    spark, texts = docs.sparkSession, bags(docs, [size.cast("long").alias("size")])
+    asked, out = Asked(texts, queries), None
+    for first, number, rows in asked.blocks():
+        held = spark.sparkContext.broadcast(rows)
+        mine = support.select("qid", "path").distinct().join(asked.numbers.where(F.col("n").between(first, first + number - 1)), "qid")
+
+        def own(batches: Iterator[pa.RecordBatch], first=first, number=number, held=held, mean=asked.mean) -> Iterator[pa.RecordBatch]:
+            scores = scorer(held.value, first, number, mean)
+            for batch in batches:
+                n = batch.column(3).to_numpy() - first
+                value = np.concatenate([v[np.arange(high - low), n[low:high]] for low, high, v in scores(batch.column(1))])
+                yield pa.RecordBatch.from_arrays([batch.column(3), batch.column(0), batch.column(2), pa.array(value)], names=["n", "path", "size", "score"])
+
+        scored = texts.join(mine.select("n", "path"), "path").select("path", "bag", "size", "n").mapInArrow(own, "n long, path string, size long, score double").where("score > 0")
+        top = [tuple(r) for r in scored.groupBy("n").agg(F.min_by(F.struct("score", "path", "size"), F.struct(-F.col("score"), "path")).alias("b")).select("n", "b.*").collect()]  # a row a query of the block
+        marks = spark.sparkContext.broadcast(top)
+
+        def before(batches: Iterator[pa.RecordBatch], first=first, number=number, held=held, marks=marks, mean=asked.mean) -> Iterator[pa.RecordBatch]:
+            scores = scorer(held.value, first, number, mean)
+            known = sorted(marks.value)
+            at = np.array([n - first for n, *_ in known], np.int64)
+            mark, name = np.array([s for _, s, *_ in known]), np.array([p for _, _, p, _ in known], dtype=object)
+            count, depth = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+            for batch in batches:
+                paths, sizes = np.array(batch.column(0).to_pylist(), dtype=object), batch.column(2).to_numpy()
+                for low, high, value in scores(batch.column(1)) if len(at) else ():
+                    value = value[:, at]
+                    ahead = value > mark
+                    for d, q in zip(*np.nonzero(value == mark)):
+                        ahead[d, q] = paths[low + d] < name[q]
+                    count += ahead.sum(axis=0)
+                    depth += sizes[low:high] @ ahead
+            yield pa.RecordBatch.from_arrays([pa.array(at + first), pa.array(count), pa.array(depth)], names=["n", "count", "depth"])
+
+        found = texts.select("path", "bag", "size").mapInArrow(before, "n long, count long, depth long").groupBy("n").agg(F.sum("count").alias("count"), F.sum("depth").alias("depth"))
+        own_size = spark.createDataFrame([(n, size) for n, _, _, size in top], "n long, size long")
+        part = written(found.join(own_size, "n").select("n", (F.col("count") + 1).alias("best"), (F.col("depth") + F.col("size")).alias("depth")))
+        out = part if out is None else out.union(part)
+    wanted = support.select("qid").distinct()
+    if out is None:
+        return wanted.select("qid", F.lit(None).cast("long").alias("best"), F.lit(None).cast("long").alias("depth"))
+    return wanted.join(out.join(asked.numbers, "n").select("qid", "best", "depth"), "qid", "left")
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(qid, path, score, rank): the ``k`` rows of (path, embedding) nearest to each query (qid, embedding) by cosine.
 
     Queries are handled in blocks of ``BLOCK``, which is all that the driver and a task hold of them. A task
-    multiplies its rows with a block and hands on its best ``k``, so what is shuffled is k rows a query and task.
+    multiplies its rows with a block and hands on its best ``k``. Rows without a vector are no hits.
     """
     spark = vectors.sparkSession
-    numbered = written(row_numbers(queries.select("qid", "embedding"), ["qid"]).withColumn("block", F.floor((F.col("n") - 1) / BLOCK)))
-    blocks = (numbered.agg(F.max("block")).first()[0] or 0) + 1
-    out = None
-    for block in range(blocks):
-        some = [(r["qid"], r["embedding"]) for r in numbered.where(F.col("block") == block).orderBy("n").collect()]
-        ids = np.array([q for q, _ in some], np.int64)
-        matrix = np.array([v for _, v in some], float).reshape(len(some), -1)
-        matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
-        held = spark.sparkContext.broadcast((ids, matrix))
-
-        def task(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            ids, matrix = held.value
-            best = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), dtype=object)
+    numbered = written(row_numbers(queries.select("qid", "embedding"), ["qid"]))
+    last = numbered.agg(F.max("n")).first()[0] or 0
+    out = spark.createDataFrame([], "n long, path string, score double") if not last else None
+    for first in range(1, last + 1, BLOCK):
+        some = [r["embedding"] for r in numbered.where(F.col("n").between(first, first + BLOCK - 1)).orderBy("n").collect()]
+        matrix = np.array(some, float).reshape(len(some), -1)
+        held = spark.sparkContext.broadcast(matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12))
+
+        def task(batches: Iterator[pa.RecordBatch], held=held, first=first) -> Iterator[pa.RecordBatch]:
+            matrix = held.value
+            best = Best(len(matrix), k)
             for batch in batches:
-                if not len(batch) or not len(ids):
+                batch = batch.filter(batch.column(1).is_valid())
+                if not len(batch):
                     continue
-                rows = np.array(batch.column(1).to_pylist(), float)
-                norm = np.maximum(np.linalg.norm(rows, axis=1), 1e-12)
-                score = np.round(matrix @ (rows / norm[:, None]).T, 6) + 0.0
-                names = np.broadcast_to(np.array(batch.column(0).to_pylist(), dtype=object), score.shape)
-                score, names = np.concatenate([best[0], score], axis=1), np.concatenate([best[1], names], axis=1)
-                order = np.array([np.lexsort((n.astype(str), -s))[:k] for s, n in zip(score, names)])
-                best = np.take_along_axis(score, order, 1), np.take_along_axis(names, order, 1)
-            if best[0].size:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best[0].shape[1])), pa.array(best[1].ravel().tolist(), pa.string()), pa.array(best[0].ravel())], names=["qid", "path", "score"])
-
-        part = vectors.select(F.col("path").cast("string"), "embedding").mapInArrow(task, "qid long, path string, score double")
-        part = ranked(part, k=k)
-        part = part if blocks == 1 else written(part)
+                rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(batch), -1)
+                rows = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
+                paths = np.array(batch.column(0).to_pylist(), dtype=object)
+                for low in range(0, len(rows), ROWS):
+                    best.take(np.round(rows[low : low + ROWS] @ matrix.T, 6) + 0.0, paths[low : low + ROWS])
+            yield best.batch(first)
+
+        part = vectors.select(F.col("path").cast("string"), "embedding").mapInArrow(task, "n long, path string, score double")
+        part = part if last <= BLOCK else written(ranked(part, "n", k).drop("rank"))
         out = part if out is None else out.union(part)
-    return out
+    return ranked(out.join(numbered.select("n", "qid"), "n").select("qid", "path", "score"), k=k)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -141,7 +281,7 @@ def within_budget(hits: DataFrame, tokens: Column, budget: int, header: int = 0)
 
 
 def relevance(hits: DataFrame, queries: DataFrame, support: DataFrame) -> DataFrame:
-    """The best rank of a supporting document for each query, null if none was found."""
+    """The best rank of a supporting document among given hits for each query, null if there is none."""
     found = hits.join(support, ["qid", "path"], "left_semi").groupBy("qid").agg(F.min("rank").alias("best"))
     return queries.select("qid").join(found, "qid", "left")
 

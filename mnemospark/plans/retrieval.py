@@ -13,11 +13,9 @@ from ..operators import retrieval as O
 from .registry import query
 from .text import PROMPT, STOP3, TERMS, TOKENS
 
-QUERY_TERMS = 12
-
-# Benchmark items ask with their first terms; documents with the item verbatim support them.
+# Benchmark items ask with their whole text; documents with the item verbatim support them.
 BM25 = f"""
-qs AS (SELECT item_id AS qid, array_to_string({TERMS.format('text')}[1:{QUERY_TERMS}], ' ') AS query, text FROM benchmark),
+qs AS (SELECT item_id AS qid, text AS query, text FROM benchmark),
 bag AS (SELECT path, {TERMS.format('body')} AS b FROM md),
 sz AS (SELECT count(*) AS n, avg(len(b)) AS avgdl FROM bag),
 post AS (SELECT path, dl, term, count(*) AS tf FROM (SELECT path, len(b) AS dl, unnest(b) AS term FROM bag) GROUP BY ALL),
@@ -39,21 +37,23 @@ def bm(sql, more=""):
 
 def asked(spark, sf):
     b = views.table(spark, sf, "benchmark")
-    return b.select(F.col("item_id").alias("qid"), F.array_join(F.slice(text.terms(F.col("text")), 1, QUERY_TERMS), " ").alias("query"), "text")
+    return b.select(F.col("item_id").alias("qid"), F.col("text").alias("query"), "text")
 
 
-def hits(spark, sf, k=None):
+def hits(spark, sf, k):
     return O.bm25(views.memory_docs(spark, sf), asked(spark, sf), k)
 
 
 def support(spark, sf):
-    """Documents that hold an item verbatim. An item is one of few; its first words find the candidates."""
-    first = lambda c: F.substring(c, 1, 24)
-    items = asked(spark, sf).select("qid", F.col("text").alias("item"), F.element_at(text.terms(F.col("text")), 1).alias("t"))
-    longest = F.array_sort(F.array_distinct(text.terms(F.col("item"))), lambda a, b: F.length(b) - F.length(a))
+    """Documents that hold an item verbatim. Items meet only documents with their longest term; bodies come last."""
+    items = asked(spark, sf).select("qid", F.col("text").alias("item"))
+    longest = F.array_sort(F.array_distinct(text.terms(F.col("item"))), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).otherwise(1))
     items = items.select("qid", "item", F.element_at(longest, 1).alias("term"))
-    docs = views.memory_docs(spark, sf).select("path", "body", F.explode(F.array_distinct(text.terms(F.col("body")))).alias("term"))
-    return docs.join(items, "term").where(F.col("body").contains(F.col("item"))).select("qid", "path")
+    docs = views.memory_docs(spark, sf)
+    terms = docs.select("path", F.explode(F.array_distinct(text.terms(F.col("body")))).alias("term"))
+    near = terms.join(items.select("qid", "term"), "term").select("qid", "path")
+    bodies = docs.select("path", "body").join(near, "path").join(items.select("qid", "item"), "qid")
+    return bodies.where(F.col("body").contains(F.col("item"))).select("qid", "path")
 
 
 @query("t10_bm25", bm("SELECT * FROM bm WHERE rank <= 20"))
@@ -93,7 +93,7 @@ def t1(spark, sf):
 
 # Hybrid: a vector stands for the document of the same id, a pairing made for this query alone.
 HYBRID = views.with_views("md", f"""WITH {CORPUS},
-qt AS (SELECT qid, array_to_string({TERMS.format('body')}[1:{QUERY_TERMS}], ' ') AS query FROM vq JOIN md ON doc_id = qid),
+qt AS (SELECT qid, body AS query FROM vq JOIN md ON doc_id = qid),
 bag AS (SELECT CAST(doc_id AS VARCHAR) AS path, {TERMS.format('body')} AS b FROM md),
 sz AS (SELECT count(*) AS n, avg(len(b)) AS avgdl FROM bag),
 post AS (SELECT path, dl, term, count(*) AS tf FROM (SELECT path, len(b) AS dl, unnest(b) AS term FROM bag) GROUP BY ALL),
@@ -109,7 +109,7 @@ rk AS (SELECT qid, path, score, row_number() OVER (PARTITION BY qid ORDER BY CAS
 
 def legs(spark, sf):
     d = views.memory_docs(spark, sf)
-    asks = d.where("doc_id % 20 = 0").join(views.table(spark, sf, "embeddings"), F.col("doc_id") == F.col("vec_id"), "left_semi").select(F.col("doc_id").alias("qid"), F.array_join(F.slice(text.terms(F.col("body")), 1, QUERY_TERMS), " ").alias("query"))
+    asks = d.where("doc_id % 20 = 0").join(views.table(spark, sf, "embeddings"), F.col("doc_id") == F.col("vec_id"), "left_semi").select(F.col("doc_id").alias("qid"), F.col("body").alias("query"))
     corpus = d.select(F.col("doc_id").cast("string").alias("path"), "body")
     sparse = O.bm25(corpus, asks, 20)
     return dense(spark, sf).select("qid", F.lit(0).alias("variant"), "path", "rank").unionByName(sparse.select("qid", F.lit(1).alias("variant"), "path", "rank"))
@@ -172,8 +172,10 @@ BEST = ", b AS (SELECT q.qid, min(bm.rank) AS best FROM (SELECT DISTINCT qid FRO
 
 
 def best(spark, sf):
-    s = support(spark, sf)
-    return O.relevance(hits(spark, sf), s.select("qid").distinct(), s)
+    """The rank of the best supporting document of each item, and the quarter tokens up to it."""
+    from ..storage import written
+
+    return O.standing(views.memory_docs(spark, sf), asked(spark, sf), written(support(spark, sf)), F.floor(F.length("body") / 4))
 
 
 @query("a21_retrieval_quality", bm("SELECT count(*) AS queries, round(avg(CAST(coalesce(best <= 1, false) AS INT)), 6) AS recall_1, round(avg(CAST(coalesce(best <= 3, false) AS INT)), 6) AS recall_3, round(avg(CAST(coalesce(best <= 5, false) AS INT)), 6) AS recall_5, round(avg(coalesce(1.0 / best, 0)), 6) AS mrr FROM b", f", {SUPPORT}{BEST}"))
@@ -197,9 +199,7 @@ def a23(spark, sf):
   SELECT bm.qid, min(d.used) AS depth FROM (SELECT qid, path, rank, sum(length(body) // 4) OVER (PARTITION BY qid ORDER BY rank ROWS UNBOUNDED PRECEDING) AS used FROM bm JOIN md USING (path)) d JOIN bm USING (qid, path) JOIN sup USING (qid, path) GROUP BY 1),
   (SELECT unnest([CAST(500 AS BIGINT), 2000, 8000, 36000]) AS budget) GROUP BY 1""", f", {SUPPORT}"))
 def a24(spark, sf):
-    size = views.memory_docs(spark, sf).select("path", F.floor(F.length("body") / 4).cast("long").alias("tokens"))
-    used = F.sum("tokens").over(Window.partitionBy("qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    depth = hits(spark, sf).join(size, "path").withColumn("used", used).join(support(spark, sf), ["qid", "path"], "left_semi").groupBy("qid").agg(F.min("used").alias("depth"))
+    depth = best(spark, sf).where("best is not null")
     budgets = depth.select("depth", F.explode(F.array(*[F.lit(b).cast("long") for b in (500, 2000, 8000, 36000)])).alias("budget"))
     return budgets.groupBy("budget").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("depth") <= F.col("budget")).alias("hits"))
 

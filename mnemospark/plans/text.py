@@ -17,7 +17,7 @@ CLAIM = r"trim(regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}_\s]',
 
 
 def documents(spark, sf):
-    return views.table(spark, sf, "documents")
+    return views.spread(views.table(spark, sf, "documents"))
 
 
 def joined(tokens):

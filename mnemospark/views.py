@@ -14,6 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a table that one task reads.
+SPLIT = 128 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of less than one split, which one task would read, dealt to all cores: worth it for work on texts."""
+    small = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < SPLIT
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if small else df
+
+
 HARNESSES = ["Claude Code", "open-claw", "hermes-2", "codex_cli", "Cursor", "opencode", "windsurf", "pi"]
 ORIGINS = ["coding.tool_call", "team.inbox", "session.digest"]
 
@@ -70,7 +80,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def memory_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Memory documents: path, source, type, body, and a review flag from the labels."""
-    d, q = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality")
+    d, q = spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels").select("doc_id", "quality")
     return d.join(q, "doc_id", "left").select(
         "doc_id", F.concat(F.lit("doc/"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("path"), "source", F.col("text").alias("body"),
         F.col("lang").alias("type"), F.coalesce(F.col("quality") == 0, F.lit(False)).alias("needs_review"),
