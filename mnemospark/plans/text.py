@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import views
 from ..functions import ids, score, text
+from ..operators.redact import char_entropy
 from ..session import AS_OF, moment
 from .registry import query
 
@@ -114,10 +115,8 @@ def f14(spark, sf):
 @query("f17_entropy", """SELECT doc_id, round(-sum(p * log2(p)), 6) AS bits FROM (SELECT doc_id, count(*) / sum(count(*)) OVER (PARTITION BY doc_id) AS p
 FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents) GROUP BY doc_id, ch) GROUP BY 1""")
 def f17(spark, sf):
-    chars = documents(spark, sf).select("doc_id", F.explode(F.split("text", "")).alias("ch")).where("ch <> ''")
-    n = chars.groupBy("doc_id", "ch").agg(F.count(F.lit(1)).alias("n"))
-    # -sum(p log p) is log N - sum(n log n) / N: one pass over the counts of each text.
-    return n.groupBy("doc_id").agg(F.round(F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n"), 6).alias("bits"))
+    """Characters are counted within each row."""
+    return documents(spark, sf).where(F.length("text") > 0).select("doc_id", F.round(char_entropy(F.col("text")), 6).alias("bits"))
 
 
 @query("f23_substitutions", "SELECT doc_id, CAST(len(regexp_extract_all(text, '(?i)\\bthe\\b')) AS BIGINT) AS the, CAST(len(regexp_extract_all(text, '[0-9]+')) AS BIGINT) AS num, md5(regexp_replace(regexp_replace(text, '(?i)\\bthe\\b', '<t>', 'g'), '[0-9]+', '<n>', 'g')) AS scrubbed FROM documents")
