@@ -8,17 +8,17 @@ from pyspark.sql.functions import udtf
 
 from .. import views
 from ..functions import text
-from ..operators import distil, extract, providers, redact
+from ..operators import distil, extract, providers
 from ..sources import jsonl
 from ..storage import shared_folder
-from .ingest import BODIES
-from .registry import ORACLES, query
+from .derived import BODIES, CLAIMS
+from .registry import query
 from .text import TOKENS
 
 CLAIM = T.StructType([T.StructField(c, T.StringType()) for c in ("topic_key", "claim_subject", "value", "raw")])
 
 
-@query("x1_extractor_table_function", ORACLES["f30_claim_extraction"])
+@query("x1_extractor_table_function", CLAIMS)
 def x1(spark, sf):
     """The extractor as a Python table function, joined laterally."""
 
@@ -27,7 +27,7 @@ def x1(spark, sf):
             yield from extract.extract(body)
 
     spark.udtf.register("extract_claims", udtf(Extract, returnType=CLAIM))
-    spark.createDataFrame(BODIES, "event_id string, body string").createOrReplaceTempView("__bodies")
+    BODIES.rows(spark, sf).createOrReplaceTempView("__bodies")
     return spark.sql("SELECT event_id, topic_key, claim_subject, value FROM __bodies, LATERAL extract_claims(body)")
 
 
@@ -61,12 +61,6 @@ def x7(spark, sf):
     return out
 
 
-@query("f22_pattern_guard", "SELECT unnest(['(a+)+', '(x*)*y', 'ab{2,}', '(ab)+', '(\\d+){3,}']) AS pattern, unnest([true, true, false, false, true]) AS dangerous")
-def f22(spark, sf):
-    """Checked on the driver before a pattern is used; patterns are a few typed by hand."""
-    return spark.createDataFrame([(p, redact.backtracks(p)) for p in ("(a+)+", "(x*)*y", "ab{2,}", "(ab)+", r"(\d+){3,}")], "pattern string, dangerous boolean")
-
-
 @query("sk1_append_log", "SELECT event_id, event_type FROM events UNION ALL SELECT event_id, event_type FROM events WHERE event_id % 10 = 0")
 def sk1(spark, sf):
     e, path = views.table(spark, sf, "events").select("event_id", "event_type"), f"{shared_folder(spark)}/log"
@@ -83,16 +77,6 @@ def sk2(spark, sf):
     return spark.read.json(path)
 
 
-PATHS = [("log.jsonl",), ("inbox/log.jsonl",), ("snapshots/log.jsonl",), ("digest/log.jsonl",)]
-
-
-@query("sc5_namespace_paths", "SELECT unnest(['log.jsonl', 'inbox/log.jsonl', 'digest/log.jsonl', 'inbox/log.jsonl', 'digest/log.jsonl']) AS path, unnest(['default', 'default', 'default', 'inbox', 'digest']) AS namespace")
-def sc5(spark, sf):
-    """The default namespace reads the top file and those of all namespaces but snapshots; others read their own."""
-    p = spark.createDataFrame(PATHS, "path string").withColumn("own", F.regexp_extract("path", "^([^/]+)/", 1)).where("own <> 'snapshots'")
-    return p.select("path", F.explode(F.array_distinct(F.array(F.lit("default"), F.when(F.col("own") == "", "default").otherwise(F.col("own"))))).alias("namespace"))
-
-
 @query("sc18_source_manifest", "SELECT coalesce(source, 'all') AS source, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS bytes, CASE WHEN sum(n_chars) > 100000 THEN 'large' ELSE 'small' END AS tier FROM documents GROUP BY ROLLUP (source)")
 def sc18(spark, sf):
     out = views.table(spark, sf, "documents").rollup("source").agg(F.count(F.lit(1)).alias("files"), F.sum("n_chars").alias("bytes"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import views
 from ..functions import score
@@ -12,7 +11,7 @@ from ..operators import extract as X
 from ..operators import lint as L
 from ..operators import redact as R
 from ..operators.ordered import row_numbers
-from ..sources import jsonl, markdown, transcripts
+from ..sources import jsonl, transcripts
 from .registry import query
 
 EVENT = "event_id long, event_type string, value double, schema_version string"
@@ -42,42 +41,6 @@ def sc3(spark, sf):
     return jsonl.read(raw_lines(spark, sf), EVENT).where(jsonl.known_version(F.col("schema_version"))).select("event_id")
 
 
-STRICT = T.StructType([T.StructField("schema_version", T.StringType()), T.StructField("event", T.StringType()), T.StructField("ts_ms", T.LongType())])
-STRICT_LINES = [
-    (1, '{"schema_version": "1.1", "event": "Stop", "ts_ms": 5}'), (2, '{"schema_version": "1.0", "event": "Stop", "ts_ms": 5}'), (3, '{"schema_version": "1.1", "event": "Stop"}'),
-    (4, '{"schema_version": "1.1", "event": "Stop", "ts_ms": 5, "extra": 1}'), (5, '{"schema_version": "1.1", "event": "Stop", "ts_ms": 5, "x_note": "' + "a" * 2000 + '"}'), (6, "broken"), (7, '{"schema_version": "1.1", "event": "Stop", "ts_ms": 5, "x_note": "ok"}'),
-]
-
-
-@query("sc4_strict_events", "SELECT unnest([CAST(1 AS BIGINT), 2, 3, 4, 5, 6, 7]) AS ord, unnest([NULL, 'version:1.0', 'missing:ts_ms', 'unknown:extra', 'large:x_note', 'malformed', NULL]) AS problem")
-def sc4(spark, sf):
-    return jsonl.strict(spark.createDataFrame(STRICT_LINES, "ord long, line string"), STRICT, ["schema_version", "event", "ts_ms"], "1.1").select("ord", "problem")
-
-
-MEMORY = [
-    ("notes/a.md", "---\nname: Alpha note\ntype: feedback\ntags: [x, y]\n---\n# Head\nbody"), ("b.md", "# Second\ntext"), ("notes/c.md", "plain"), ("d.md", "---\nbad: : :\n  - x\n---\nrest"), ("e.md", "---\r\nname: 'Q'\r\n---\r\nwin"), ("archive/f.md", "gone"), ("g.md", "  "),
-]
-
-
-def memory_files(spark):
-    return spark.createDataFrame(MEMORY, "path string, text string").where(F.col("path").rlike(score.glob_pattern("**/*.md")) & ~score.excluded(F.col("path"), ["archive/**"]) & (F.trim("text") != ""))
-
-
-@query("sc6_markdown_scan", "SELECT unnest(['notes/a.md', 'b.md', 'notes/c.md', 'd.md', 'e.md']) AS path, unnest(['Alpha note', 'Second', 'c', 'd', 'Q']) AS title")
-def sc6(spark, sf):
-    return markdown.parsed(memory_files(spark)).select("path", markdown.title(F.col("frontmatter"), F.col("text"), F.col("path")).alias("title"))
-
-
-@query("sc9_frontmatter")
-def sc9(spark, sf):
-    return markdown.parsed(memory_files(spark)).select("path", F.to_json("frontmatter").alias("frontmatter"), "body")
-
-
-@query("sc10_simple_frontmatter")
-def sc10(spark, sf):
-    return memory_files(spark).select("path", F.to_json(markdown.parse_simple(markdown.block(F.col("text")))).alias("front"))
-
-
 def records(spark, sf):
     """Conversations as transcript records, with a tool call in every assistant turn and its result in the user turn after."""
     c = views.table(spark, sf, "conversations")
@@ -122,47 +85,11 @@ def sc15(spark, sf):
     return transcripts.changed_files(d, before).select("doc_id")
 
 
-LISTING = [
-    ("a", "MEMORY.md"), ("a", "voice.md"), ("b", "personal/notes/x.md"), ("b", "feedback_a.md"), ("c", "semantic/lessons/l.md"), ("d", "x.plan.md"), ("e", "sessions/2024/01/02/rollout-1.jsonl"), ("f", "history.jsonl"), ("f", "config.toml"),
-    ("g", "readme.md"), ("h", "data.bin"), ("i", ".cursorrules"), ("j", "x.plan.md"), ("j", "MEMORY.md"), ("k", "user_me.md"),
-]
-
-
-@query("sc16_format_detection", "SELECT unnest(['a', 'b', 'c', 'd', 'e', 'f', 'g', 'h', 'i', 'j', 'k']) AS source, unnest(['claude-code-flat', 'claude-code-mixed', 'claude-code-nested', 'cursor-plans', 'codex-cli', 'codex-cli', 'unknown', 'empty', 'cursor-rules', 'claude-code-flat', 'claude-code-flat']) AS format")
-def sc16(spark, sf):
-    return markdown.detect_format(spark.createDataFrame(LISTING, "source string, path string"))
-
-
 @query("sc17_candidate_sources", "SELECT source, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS bytes FROM documents GROUP BY 1")
 def sc17(spark, sf):
     return views.table(spark, sf, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("files"), F.sum("n_chars").alias("bytes"))
 
 
-FILES = ["MEMORY.md", "feedback_x.md", "user_y.md", "project_z.md", "cycle-1.md", "cycle_2.md", "reference_r.md", "other.md"]
-
-
-@query("sc19_routing", "SELECT unnest([" + ", ".join(f"'{f}'" for f in FILES) + "]) AS name, unnest(['index', 'feedback', 'user', 'project', 'cycle', 'cycle', 'reference', 'misc']) AS route")
-def sc19(spark, sf):
-    return spark.createDataFrame([(f,) for f in FILES], "name string").select("name", markdown.categorize(F.col("name")).alias("route"))
-
-
-NOTES = [(1, "Use tabs.\n\n**Why:** they align\n\n**How to apply:** in Makefiles"), (2, "Only a claim"), (3, "Claim\nHow to apply: always\nWhy: because")]
-
-
-@query("sc20_feedback", "SELECT unnest([CAST(1 AS BIGINT), 2, 3]) AS ord, unnest(['Use tabs.', 'Only a claim', 'Claim']) AS claim, unnest(['they align', '', 'because']) AS why, unnest(['in Makefiles', '', 'always']) AS how")
-def sc20(spark, sf):
-    out = spark.createDataFrame(NOTES, "ord long, t string").select("ord", markdown.feedback(F.col("t")).alias("f"))
-    strip = lambda c: F.btrim(F.col(c), F.lit(" \n"))
-    return out.select("ord", *[strip(f"f.{c}").alias(c) for c in ("claim", "why", "how")])
-
-
-@query("sc21_index_lines", "SELECT unnest(['alpha', 'b-c']) AS stem, unnest(['first hook', 'other']) AS hook")
-def sc21(spark, sf):
-    text = "# Index\n- [Alpha](notes/alpha.md) — first hook\n- [No hook](x.md)\n  - [B](b-c.md) - other \nplain"
-    lines = spark.createDataFrame([(text,)], "t string").select(F.explode(F.split("t", "\n")).alias("line"))
-    return lines.select(markdown.index_hooks(F.col("line")).alias("h")).where("h is not null").select("h.stem", "h.hook")
-
-
 @query("sk9_lessons_rewrite", views.with_views("ep", "SELECT skill AS id, arg_max(action, ord) AS claim, row_number() OVER (ORDER BY skill) AS place FROM ep GROUP BY 1"))
 def sk9(spark, sf):
     last = views.episodes(spark, sf).groupBy(F.col("skill").alias("id")).agg(F.max_by("action", "ord").alias("claim"))
@@ -185,32 +112,6 @@ def j2(spark, sf):
     return transcripts.tool_pairs(records(spark, sf), seen).select("session_id", "id", "result")
 
 
-LINKED = [("a.md", "see [[Beta Note#Top]] and [[Gone]]\nand [[C# notes]] [[alpha.md|x]]"), ("b.md", "[[<name>]] `/etc/hosts` `/no/such/file.md:12` [t](/missing/x%20y.md) [w](https://x.y/z)\n`cat \"/a b/c.md\" /tmp/q`"), ("c.md", "nothing")]
-
-
-@query("j5_dead_wikilinks", "SELECT 'a.md' AS file, CAST(1 AS BIGINT) AS line, 'dead_wikilink' AS kind, 'Gone' AS detail")
-def j5(spark, sf):
-    known = spark.createDataFrame([("beta note",), ("C# Notes",), ("Alpha",)], "name string")
-    return L.wiki_links(spark.createDataFrame(LINKED, "file string, body string"), known)
-
-
-@query("j18_dead_paths", "SELECT 'b.md' AS file, unnest([CAST(1 AS BIGINT), 1, 2]) AS line, unnest(['dead_path', 'broken_local_link', 'dead_path']) AS kind, unnest(['/no/such/file.md', '/missing/x y.md', '/tmp/q']) AS detail")
-def j18(spark, sf):
-    listing = spark.createDataFrame([("/etc/hosts",), ("/a b/c.md",)], "path string")
-    return L.dead_paths(spark.createDataFrame(LINKED, "file string, body string"), listing)
-
-
-@query("t13_sorted_findings")
-def t13(spark, sf):
-    return j5(spark, sf).union(j18(spark, sf)).orderBy("file", "line", "kind")
-
-
-@query("f35_path_candidates")
-def f35(spark, sf):
-    spans = spark.createDataFrame([("/Users/me/My Notes/p.md (old)",), ('cat "/x/My Notes/p.md" /y/z.md',), ("no path",), ("~/a/b.md.",)], "span string")
-    return spans.select("span", F.array_join(L.candidates("span"), "|").alias("paths"))
-
-
 @query("j6_drift", "SELECT area, path, status FROM (SELECT coalesce(a.source, b.source) AS area, CAST(coalesce(a.doc_id, b.doc_id) AS VARCHAR) AS path, CASE WHEN b.doc_id IS NULL THEN 'missing' WHEN a.doc_id IS NULL THEN CASE WHEN b.source <> 'src0' THEN 'extra' END WHEN a.n_chars <> b.n_chars THEN 'stale' END AS status FROM (SELECT * FROM documents WHERE doc_id % 6 <> 0) a FULL JOIN (SELECT doc_id, source, CASE WHEN doc_id % 7 = 0 THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents WHERE doc_id % 5 <> 0) b USING (doc_id)) WHERE status IS NOT NULL")
 def j6(spark, sf):
     d = views.table(spark, sf, "documents").select(F.col("source").alias("area"), F.col("doc_id").cast("string").alias("path"), F.col("n_chars").alias("sha"), "doc_id")
@@ -314,39 +215,12 @@ def f21(spark, sf):
     return R.redacted(texts(spark, sf), threshold=R.THRESHOLD).select("doc_id", F.md5("text").alias("redacted"), F.array_join("hits", ",").alias("hits"))
 
 
-BODIES = [
-    ("e1", "PS2 launch is on 2024-05-01 for all"), ("e2", "OKR status: green now"), ("e3", "PS2 will not launch on 2024-06-01"), ("e4", "PS2 owner Alice Smith"), ("e5", "D0A8DQ7BP0U status: red"), ("e6", "MYPROJ decision: use Spark"), ("e7", None), ("e8", "launch 2024-01-01 without project"), ("e9", "PS2 launch 2024-02-30"),
-]
-
-
-@query("f30_claim_extraction", "SELECT unnest(['e1', 'e2', 'e4', 'e6']) AS event_id, unnest(['project:ps2', 'project:okr', 'project:ps2', 'project:myproj']) AS topic_key, unnest(['launch-date', 'status', 'owner', 'decision']) AS claim_subject, unnest(['2024-05-01', 'green', 'alice', 'myproj decision: use spark']) AS value")
-def f30(spark, sf):
-    return X.claims(spark.createDataFrame(BODIES, "event_id string, body string")).select("event_id", "topic_key", "claim_subject", "value")
-
-
-@query("x2_hybrid_extractor")
-def x2(spark, sf):
-    def fallback(body):
-        if body is None:
-            raise ValueError("no text")
-        return [("misc", "note", body[:20].lower(), body)]
-
-    return X.claims(spark.createDataFrame(BODIES, "event_id string, body string"), fallback=fallback)
-
-
 @query("x9_query_variants")
 def x9(spark, sf):
     q = views.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
     return X.variants(q, lambda s: [" ".join(reversed(s.split())), s.upper(), s], 3)
 
 
-@query("f32_yaml_scalars", "SELECT unnest([CAST(1 AS BIGINT), 2, 3, 4, 5]) AS ord, unnest(['plain text', '\"a: b\"', '\"true\"', '\"say \\\"hi\\\"\"', '\"- x\"']) AS safe")
-def f32(spark, sf):
-    rows = spark.createDataFrame([(1, "plain text"), (2, "a: b"), (3, "true"), (4, 'say "hi"'), (5, "- x")], "ord long, v string")
-    risky = F.when(F.col("v").contains('"'), F.concat(F.lit('"'), F.replace("v", F.lit('"'), F.lit('\\"')), F.lit('"'))).otherwise(markdown.yaml_safe(F.col("v")))
-    return rows.select("ord", risky.alias("safe"))
-
-
 @query("sk4_export_shapes", views.with_views("ep", "SELECT ord, CAST(ord AS VARCHAR) || ',' || skill || ',' || action AS csv FROM ep"))
 def sk4(spark, sf):
     """CSV and JSON lines of one table; writers are Spark's own."""

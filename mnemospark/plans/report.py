@@ -201,15 +201,6 @@ def pf17(spark, sf):
     return views.episodes(spark, sf).select(F.col("harness").alias("raw"), R.harness(F.col("harness")).alias("harness")).distinct()
 
 
-PHRASES = "(VALUES (1, 'design the api', 'writer'), (2, 'audit', 'security'), (3, 'run tests', 'x'), (4, 'deploy', 'ops'), (5, 'Investigate crash', 'y'), (6, 'learn', 'z'), (7, 'chat', 'Free Talk!'), (8, '', '')) t(ord, action, skill)"
-
-
-@query("pf18_phase_workflow", f"SELECT CAST(ord AS BIGINT) AS ord, {PHASE} AS phase, CASE WHEN ({PHASE}) <> 'analysis' THEN ({PHASE}) ELSE {SLUG.format('skill', 'analysis')} END AS workflow FROM {PHRASES}")
-def pf18(spark, sf):
-    rows = spark.sql(f"SELECT * FROM {PHRASES}")
-    return rows.select(F.col("ord").cast("long").alias("ord"), R.phase(F.col("action"), F.col("skill")).alias("phase"), R.workflow(F.col("action"), F.col("skill")).alias("workflow"))
-
-
 @query("pf19_event_normalize", views.with_views("ep", f"""SELECT ord, 'evt_' || substr(sha256({ISO.format('ts')} || '|' || skill || '|' || action || '|' || coalesce(agent_id, 'None') || '|' || CAST(row_number() OVER (ORDER BY ord) - 1 AS VARCHAR)), 1, 16) AS id,
   {ISO.format('ts')} AS started_at, {HARNESS} AS harness, CASE WHEN result = 'failure' THEN 'error' ELSE result END AS status, nullif(tokens_in + tokens_out, 0) AS tokens_total, {PHASE} AS phase FROM ep"""))
 def pf19(spark, sf):
@@ -229,16 +220,3 @@ def u1(spark, sf):
 @query("f28_time_buckets", views.with_views("cr", "SELECT ord, strftime(date_trunc('week', started_at), '%Y-%m-%dT%H:%M:%SZ') AS week, strftime(date_trunc('month', started_at), '%Y-%m-%dT%H:%M:%SZ') AS month FROM cr"))
 def f28(spark, sf):
     return views.cron_runs(spark, sf).select("ord", R.bucket(F.col("started_at"), "week").alias("week"), R.bucket(F.col("started_at"), "month").alias("month"))
-
-
-@query("f29_safe_numbers", "SELECT CAST(ord AS BIGINT) AS ord, TRY_CAST(v AS DOUBLE) AS num, CAST(round_even(TRY_CAST(v AS DOUBLE), 0) AS BIGINT) AS whole FROM (VALUES (1, '2.5'), (2, '3.5'), (3, ''), (4, 'x'), (5, '-7'), (6, '1e3'), (7, NULL)) t(ord, v)")
-def f29(spark, sf):
-    rows = spark.createDataFrame([(1, "2.5"), (2, "3.5"), (3, ""), (4, "x"), (5, "-7"), (6, "1e3"), (7, None)], "ord long, v string")
-    number = F.nullif(F.col("v").try_cast("double"), F.lit(float("nan")))
-    return rows.select("ord", number.alias("num"), F.bround(number).cast("long").alias("whole"))
-
-
-@query("f37_compact_values", "SELECT CAST(ord AS BIGINT) AS ord, c AS compact, b AS bar FROM (VALUES (1, '1.2M', '##################'), (2, '12.5k', '------------------'), (3, '7', '------------------'), (4, '0.25', '------------------'), (5, 'n/a', '------------------'), (6, '617.3k', '#########---------')) t(ord, c, b)")
-def f37(spark, sf):
-    rows = spark.createDataFrame([(1, 1234567.0), (2, 12500.0), (3, 7.0), (4, 0.25), (5, None), (6, 617283.5)], "ord long, v double")
-    return rows.select("ord", R.compact(F.col("v")).alias("compact"), R.bar(F.col("v"), F.lit(1234567.0)).alias("bar"))

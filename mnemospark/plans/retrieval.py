@@ -11,7 +11,7 @@ from .. import views
 from ..functions import text
 from ..operators import retrieval as O
 from .registry import query
-from .text import PROMPT, STOP3, TERMS, TOKENS
+from .text import PROMPT, TERMS, TOKENS
 
 # Benchmark items ask with their whole text; documents with the item verbatim support them.
 BM25 = f"""
@@ -306,20 +306,3 @@ def j14(spark, sf):
     index = d.where("doc_id % 333 <> 0").select("doc_id", F.col("n_chars").alias("m"))
     joined = d.join(index, "doc_id", "left")
     return joined.groupBy("source").agg(F.bool_or(F.col("m").isNull() | (F.col("m") != F.col("n_chars"))).alias("needs_refresh"))
-
-
-PATHS = [("docs/a.md",), ("docs/b.md",), ("lib/a.md",), ("lib/abc.txt",)]
-ASKS = [("docs/a.md",), ("docs/",), ("a.md",), ("abc",), ("zzz",)]
-
-
-@query("j16_resolve", """WITH p AS (SELECT unnest(['docs/a.md', 'docs/b.md', 'lib/a.md', 'lib/abc.txt']) AS path), a AS (SELECT unnest(['docs/a.md', 'docs/', 'a.md', 'abc', 'zzz']) AS ask),
-m AS (SELECT ask, path, CASE WHEN path = ask THEN 1 WHEN starts_with(path, ask) THEN 2 WHEN regexp_extract(path, '[^/]*$') = ask THEN 3 WHEN contains(path, ask) THEN 4 END AS level FROM p, a)
-SELECT a.ask, count(m.path) AS matches, CASE WHEN count(m.path) = 1 THEN max(m.path) END AS resolved FROM a LEFT JOIN (SELECT *, min(level) OVER (PARTITION BY ask) AS best FROM m WHERE level IS NOT NULL) m ON m.ask = a.ask AND level = best GROUP BY 1""")
-def j16(spark, sf):
-    """Requests are a few typed by hand, so they are broadcast against the listing."""
-    p, a = spark.createDataFrame(PATHS, "path string"), spark.createDataFrame(ASKS, "ask string")
-    level = F.when(F.col("path") == F.col("ask"), 1).when(F.col("path").startswith(F.col("ask")), 2).when(F.regexp_extract("path", "[^/]*$", 0) == F.col("ask"), 3).when(F.col("path").contains(F.col("ask")), 4)
-    found = p.join(F.broadcast(a), F.col("path").contains(F.col("ask"))).withColumn("level", level)
-    best = found.withColumn("best", F.min("level").over(Window.partitionBy("ask"))).where("level = best")
-    n = best.groupBy("ask").agg(F.count(F.lit(1)).alias("matches"), F.max("path").alias("p"))
-    return a.join(n, "ask", "left").select("ask", F.coalesce("matches", F.lit(0)).alias("matches"), F.when(F.col("matches") == 1, F.col("p")).alias("resolved"))

@@ -79,15 +79,6 @@ def f9(spark, sf):
     return documents(spark, sf).select("doc_id", F.md5(text.normalized_claim(F.col("text"))).alias("claim"))
 
 
-CONDITIONS = [(1, " Alpha "), (2, "alpha​"), (3, "Cross-Region"), (4, "a \tb"), (5, ""), (6, "﻿Über")]
-CONDITION_VALUES = "(VALUES " + ", ".join(f"({k}, '{c}')" for k, c in CONDITIONS) + ") t(ord, c)"
-
-
-@query("f10_canonical_condition", f"SELECT CAST(ord AS BIGINT) AS ord, lower(trim(regexp_replace(regexp_replace(c, '[​‌‍⁠﻿]', '', 'g'), '[\\s ]+', ' ', 'g'))) AS condition FROM {CONDITION_VALUES}")
-def f10(spark, sf):
-    return spark.createDataFrame(CONDITIONS, "ord long, c string").select("ord", text.canonical_condition(F.col("c")).alias("condition"))
-
-
 @query("f11_pattern_id", f"""SELECT doc_id, substr(md5({CLAIM.format('text')} || '||' || CASE WHEN lang < source THEN lang || '|' || source ELSE source || '|' || lang END || CASE WHEN doc_id % 2 = 0 THEN '' ELSE '||origin=team.inbox' END), 1, 12) AS id FROM documents""")
 def f11(spark, sf):
     origin = F.when(F.col("doc_id") % 2 == 0, ids.DEFAULT_ORIGIN).otherwise("team.inbox")
@@ -129,55 +120,12 @@ def f23(spark, sf):
     return documents(spark, sf).select("doc_id", *hits, F.md5(out).alias("scrubbed"))
 
 
-UNTRUSTED = [(1, "a\r\nb\x1b[31mred\x1b[0m"), (2, "x <System-Reminder a=1> y </ system-reminder>"), (3, "<!-- /runtime-reinject --> z"), (4, "[RECALL-doc-3-START] body [recall-doc-3-end]"), (5, "bell\x07\x00 tab\tend"), (6, "plain")]
-
-
-def sanitized(col):
-    out = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.replace(col, F.lit("\r\n"), F.lit("\n")), "\x1b\\[[0-?]*[ -/]*[@-~]", ""), "\x1b", ""), "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]", "")
-    out = F.regexp_replace(out, r"(?i)<\s*/?\s*system-reminder\b[^>]*>", "[blocked-tag:system-reminder]")
-    out = F.regexp_replace(out, r"(?i)<!--\s*(/?)\s*runtime-reinject\s*-->", "[blocked-marker:$1runtime-reinject]")
-    return F.regexp_replace(F.regexp_replace(out, r"(?i)\[recall-doc-(\d+)-start\]", "[blocked-fence:recall-doc-$1-start]"), r"(?i)\[recall-doc-(\d+)-end\]", "[blocked-fence:recall-doc-$1-end]")
-
-
-def sanitize(col, size):
-    """Control characters go, wrapper marks are made inert, the text is cut, and marks cut into shape are made inert again."""
-    return F.substring(sanitized(F.substring(sanitized(col), 1, size)), 1, size)
-
-
-_S = "'a\nbred', 'x [blocked-tag:system-reminder] y [blocked-tag:system-reminder]', '[blocked-marker:/runtime-reinject] z', '[blocked-fence:recall-doc-3-start] body [blocked-fence:recall-doc-3-end]', 'bell tab\tend', 'plain'"
-
-
-@query("f24_sanitize", f"SELECT unnest([CAST(1 AS BIGINT), 2, 3, 4, 5, 6]) AS ord, unnest([{_S}]) AS safe")
-def f24(spark, sf):
-    return spark.createDataFrame(UNTRUSTED, "ord long, t string").select("ord", sanitize(F.col("t"), 200).alias("safe"))
-
-
-FM = "(VALUES (1, 'ann', NULL, 'bob', '2024-01-02T03:04:05'), (2, NULL, 'import', NULL, NULL), (3, NULL, NULL, NULL, NULL), (4, '', 'cli', '', '2024-05-06'))"
-
-
-@query("f25_provenance", f"""SELECT CAST(ord AS BIGINT) AS ord, CASE WHEN l = '' THEN 'none' ELSE l END AS label FROM (
-  SELECT ord, concat_ws(', ', coalesce(nullif(a, ''), nullif(b, '')), 'reviewed-by=' || nullif(c, ''), substr(nullif(d, ''), 1, 10)) AS l FROM {FM} t(ord, a, b, c, d))""")
-def f25(spark, sf):
-    some = lambda c: F.nullif(F.col(c), F.lit(""))
-    label = F.concat_ws(", ", F.coalesce(some("a"), some("b")), F.concat(F.lit("reviewed-by="), some("c")), F.substring(some("d"), 1, 10))
-    return spark.sql(f"SELECT * FROM {FM} t(ord, a, b, c, d)").select(F.col("ord").cast("long").alias("ord"), F.when(label == "", "none").otherwise(label).alias("label"))
-
-
 @query("f26_scrub", "SELECT doc_id, substr(replace(replace(regexp_replace(text, '\\s+', ' ', 'g'), '<', '&lt;'), '>', '&gt;'), 1, 300) AS safe FROM documents")
 def f26(spark, sf):
     flat = F.regexp_replace("text", r"\s+", " ")
     return documents(spark, sf).select("doc_id", F.substring(F.replace(F.replace(flat, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), 1, 300).alias("safe"))
 
 
-NAMES = "(VALUES (1, '  My  File!! Name '), (2, 'Ünïcode-Ça'), (3, '***'), (4, 'a_b-c'), (5, 'X')) t(ord, v)"
-
-
-@query("f27_slugs", f"""SELECT CAST(ord AS BIGINT) AS ord, CASE WHEN s = '' THEN 'unknown' ELSE substr(s, 1, 80) END AS slug, trim(regexp_replace(lower(v), '[^a-z0-9]+', '-', 'g'), '-') AS dashed FROM (
-  SELECT ord, v, trim(regexp_replace(lower(trim(v)), '[^\\p{{L}}\\p{{N}}]+', '_', 'g'), '_') AS s FROM {NAMES})""")
-def f27(spark, sf):
-    return spark.sql(f"SELECT * FROM {NAMES}").select(F.col("ord").cast("long").alias("ord"), text.slug(F.col("v")).alias("slug"), text.dashed_slug(F.col("v")).alias("dashed"))
-
-
 @query("f31_digest_path", "SELECT doc_id, '2024-01-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') || '__' || regexp_replace(substr(trim(regexp_replace(lower(substr(text, 1, 80)), '[^a-z0-9]+', '-', 'g'), '-'), 1, 60), '-+$', '') || '__' || substr(sha1(CAST(doc_id AS VARCHAR)), 1, 8) || '.md' AS path FROM documents")
 def f31(spark, sf):
     day = F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0")
@@ -226,26 +174,6 @@ def pf2(spark, sf):
     return views.observations(spark, sf).where(row > mark).select("event_id")
 
 
-@query("pf4_since", f"SELECT unnest(['7d', '24h', '30m', '60s', '2024-01-01']) AS since, unnest([epoch_ms(TIMESTAMP '{AS_OF}') - 604800000, epoch_ms(TIMESTAMP '{AS_OF}') - 86400000, epoch_ms(TIMESTAMP '{AS_OF}') - 1800000, epoch_ms(TIMESTAMP '{AS_OF}') - 60000, epoch_ms(TIMESTAMP '2024-01-01')]) AS ms")
-def pf4(spark, sf):
-    rows = spark.createDataFrame([(s,) for s in ("7d", "24h", "30m", "60s", "2024-01-01")], "since string")
-    unit = F.create_map(*[F.lit(x) for kv in {"d": 86400, "h": 3600, "m": 60, "s": 1}.items() for x in kv])
-    n, u = F.regexp_extract("since", r"^(\d+)([dhms])$", 1), F.regexp_extract("since", r"^(\d+)([dhms])$", 2)
-    now = F.unix_millis(moment().cast("timestamp"))
-    return rows.select("since", F.when(n != "", now - n.try_cast("long") * F.try_element_at(unit, u) * 1000).otherwise(F.unix_millis(F.try_to_timestamp("since"))).alias("ms"))
-
-
-@query("pf5_natural_window")
-def pf5(spark, sf):
-    rows = spark.createDataFrame([(1, "show the last 3 days by hour"), (2, "weekly trend for this quarter"), (3, "past 45 days monthly"), (4, "everything"), (5, "today")], "ord long, request string")
-    low = F.lower("request")
-    days = F.regexp_extract(low, r"(\d+)\s*days?", 1).try_cast("int")
-    days = F.when(days.isNotNull(), days).when(low.rlike("today|yesterday"), 1).when(low.rlike(r"\bweek\b"), 7).when(low.rlike(r"\bmonth\b"), 30).when(low.rlike("quarter"), 90)
-    window = F.when(days <= 7, "7d").when(days <= 30, "30d").when(days <= 90, "90d").otherwise("all")
-    bucket = F.when(low.rlike("hour"), "hour").when(low.rlike("weekly|by week"), "week").when(low.rlike("monthly|by month"), "month").otherwise("day")
-    return rows.select("ord", window.alias("window"), bucket.alias("bucket"))
-
-
 @query("pf6_payload_filter", views.with_views("md", "SELECT path FROM md WHERE type = 'fr' AND source = 'src3'"))
 def pf6(spark, sf):
     return views.memory_docs(spark, sf).where((F.col("type") == "fr") & (F.col("source") == "src3")).select("path")
@@ -269,31 +197,11 @@ def pf9(spark, sf):
     return views.episodes(spark, sf).select("ord", F.round(F.col("tokens_out") / 100.0, 6).alias("value")).where("value >= 0.7")
 
 
-CLAIMS = [(1, "Edited plan.md: replaced"), (2, "Wrote a.md (3 lines)"), (3, "Ran: ls"), (4, "FAILURE in x-y: boom"), (5, "Prefer small commits"), (6, "High-stakes op FAILED (secret): x"), (7, " Command failed: cd /tmp/x"), (8, "Tool Bash completed successfully"), (9, None)]
-CLAIM_VALUES = "(VALUES " + ", ".join(f"({k}, {'NULL' if c is None else repr(c)})" for k, c in CLAIMS) + ") t(ord, claim)"
-NARR = score.NARRATION.replace("'", "''")
-
-
-@query("pf10_narration", f"SELECT CAST(ord AS BIGINT) AS ord, CASE WHEN regexp_matches(trim(coalesce(claim, '')), '{NARR}') THEN 'activity_log:' || regexp_replace(lower(split_part(regexp_replace(trim(claim), '\\s+', ' ', 'g'), ' ', 1)), ':+$', '') ELSE '' END AS reason FROM {CLAIM_VALUES}")
-def pf10(spark, sf):
-    return spark.createDataFrame(CLAIMS, "ord long, claim string").select("ord", score.narration(F.col("claim")).alias("reason"))
-
-
-EVIDENCE = [(1, "use /tmp/x", ["2024"]), (2, "fine", ["/a/-sandbox-/b", "/x-test/y", "2024"]), (3, "fine", ["/a/b", "/x-test/y"]), (4, "ok", []), (5, "Detected potential secret", None)]
-
-
-@query("pf11_noise", "SELECT unnest([CAST(1 AS BIGINT), 2, 3, 4, 5]) AS ord, unnest([true, true, false, false, true]) AS noise")
-def pf11(spark, sf):
-    rows = spark.createDataFrame(EVIDENCE, "ord long, claim string, evidence array<string>")
-    paths = F.filter(F.coalesce("evidence", F.array().cast("array<string>")), lambda e: e.contains("/"))
-    return rows.select("ord", (score.noise(F.col("claim")) | ((F.size(paths) > 0) & F.forall(paths, lambda p: score.noise(p)))).alias("noise"))
-
-
-@query("pf12_heuristic_gate", f"""SELECT doc_id, length(c) < 20 AS too_short, len({WORDSET.format('c')}) < 3 AS few_words, round_even(0.5 * least(1.0, length(c) / 100.0) + 0.5 * least(1.0, (doc_id % 7) / 5.0), 3) AS confidence FROM (SELECT doc_id, trim(substr(text, 1, CAST(doc_id % 90 AS INT))) AS c FROM documents)""")
+@query("pf12_heuristic_gate", f"""SELECT conv_id, turn, length(c) < 20 AS too_short, len({WORDSET.format('c')}) < 3 AS few_words, round_even(0.5 * least(1.0, length(c) / 100.0) + 0.5 * least(1.0, (turn % 7) / 5.0), 3) AS confidence FROM (SELECT conv_id, turn, trim(text) AS c FROM conversations)""")
 def pf12(spark, sf):
-    claim = F.trim(F.expr("substring(text, 1, cast(doc_id % 90 as int))"))
-    confidence = F.bround(0.5 * F.least(F.lit(1.0), F.length("c") / 100.0) + 0.5 * F.least(F.lit(1.0), (F.col("doc_id") % 7) / 5.0), 3)
-    return documents(spark, sf).select("doc_id", claim.alias("c")).select("doc_id", (F.length("c") < 20).alias("too_short"), (F.size(text.word_set(F.col("c"))) < 3).alias("few_words"), confidence.alias("confidence"))
+    confidence = F.bround(0.5 * F.least(F.lit(1.0), F.length("c") / 100.0) + 0.5 * F.least(F.lit(1.0), (F.col("turn") % 7) / 5.0), 3)
+    said = views.table(spark, sf, "conversations").select("conv_id", "turn", F.trim("text").alias("c"))
+    return said.select("conv_id", "turn", (F.length("c") < 20).alias("too_short"), (F.size(text.word_set(F.col("c"))) < 3).alias("few_words"), confidence.alias("confidence"))
 
 
 @query("pf13_promotion", views.with_views("ep", f"SELECT ord FROM ep WHERE round({SALIENCE} * 3, 6) >= 7.0"))
@@ -302,16 +210,6 @@ def pf13(spark, sf):
     return views.episodes(spark, sf).where(F.round(s, 6) >= 7.0).select("ord")
 
 
-REVIEW = [(1, "true", ""), (2, " YES ", ""), (3, "no", ""), (4, None, "---\nneeds_review: true\nbad: : x\n---\nbody"), (5, None, "---\na: 1\n---\nneeds_review: true"), (6, "1", "")]
-
-
-@query("pf14_needs_review", "SELECT unnest([CAST(1 AS BIGINT), 2, 3, 4, 5, 6]) AS ord, unnest([true, true, false, true, false, true]) AS flagged")
-def pf14(spark, sf):
-    block = F.regexp_extract("raw", r"(?s)^(---.*?)\n---", 1)
-    flag = F.when(F.col("v").isNotNull(), F.lower(F.trim("v")).isin("true", "yes", "1")).otherwise(block.rlike(r"(?im)^needs_review:\s*[\"']?(true|yes|1)[\"']?\s*$"))
-    return spark.createDataFrame(REVIEW, "ord long, v string, raw string").select("ord", flag.alias("flagged"))
-
-
 @query("pf15_review_reconcile", views.with_views("md", "SELECT coalesce(f.path, l.path) AS path, CASE WHEN l.path IS NULL THEN 'clear' WHEN f.path IS NULL THEN 'mark' ELSE 'keep' END AS action FROM (SELECT path FROM md WHERE needs_review) f FULL JOIN (SELECT path FROM md WHERE length(body) < 300) l ON f.path = l.path"))
 def pf15(spark, sf):
     d = views.memory_docs(spark, sf)
@@ -319,35 +217,6 @@ def pf15(spark, sf):
     return flagged.join(found, "path", "full_outer").select("path", F.when(F.col("l").isNull(), "clear").when(F.col("f").isNull(), "mark").otherwise("keep").alias("action"))
 
 
-TOOLS = [(1, "Bash", "deploy to production", True), (2, "Edit", "src/config.py", True), (3, "Write", "a.txt", False), (4, "Read", "deployment notes", True), (5, "Bash", "run the TEST", False), (6, "Bash", "rollback now", False)]
-TOOL_VALUES = "(VALUES " + ", ".join(f"({k}, '{t}', '{a}', {str(s).lower()})" for k, t, a, s in TOOLS) + ") t(ord, tool, args, ok)"
-IMPORTANCE = f"CASE WHEN regexp_matches(args, '{score.HIGH}') THEN 9 WHEN regexp_matches(args, '{score.MEDIUM}') THEN 6 WHEN tool IN ('Edit', 'MultiEdit', 'Write') THEN 5 ELSE 3 END"
-
-
-@query("pf21_importance", f"SELECT CAST(ord AS BIGINT) AS ord, CAST({IMPORTANCE} AS BIGINT) AS importance FROM {TOOL_VALUES}")
-def pf21(spark, sf):
-    return spark.createDataFrame(TOOLS, "ord long, tool string, args string, ok boolean").select("ord", score.importance(F.col("tool"), F.col("args")).alias("importance"))
-
-
-@query("pf22_pain", f"SELECT CAST(ord AS BIGINT) AS ord, CAST(CASE WHEN NOT ok THEN CASE WHEN i < 9 THEN 8 ELSE 10 END WHEN i >= 8 THEN 5 WHEN i >= 6 THEN 3 ELSE 2 END AS BIGINT) AS pain FROM (SELECT *, {IMPORTANCE} AS i FROM {TOOL_VALUES})")
-def pf22(spark, sf):
-    rows = spark.createDataFrame(TOOLS, "ord long, tool string, args string, ok boolean")
-    return rows.select("ord", score.pain(score.importance(F.col("tool"), F.col("args")), F.col("ok")).alias("pain"))
-
-
-RUNS = [
-    (1, "Bash", "make || true", False, False, "build failed", 0, ""), (2, "Bash", "make", False, False, "failed", 0, ""), (3, "Bash", "echo '|| true'", False, False, "permission denied for the user on this host", 0, ""),
-    (4, "Bash", "grep Error log", False, False, "", 0, "Error: x"), (5, "Bash", "run", False, False, "", 2, ""), (6, "Read", "", False, False, "", None, "Error: no such file\nmore"), (7, "Read", "", False, False, "", None, "all fine\nerror later"),
-    (8, "Read", "", True, False, "", None, "fine"), (9, "Bash", "x", False, True, "", 0, ""), (10, "Bash", "x; true ", False, False, "", 3, ""), (11, "Bash", "x", None, None, None, None, None),
-]
-
-
-@query("pf23_success", "SELECT unnest([CAST(1 AS BIGINT), 2, 3, 4, 5, 6, 7, 8, 9, 10, 11]) AS ord, unnest([false, true, false, true, false, false, true, false, false, false, true]) AS ok")
-def pf23(spark, sf):
-    rows = spark.createDataFrame(RUNS, "ord long, tool string, command string, is_error boolean, interrupted boolean, stderr string, exit_code int, output string")
-    return rows.select("ord", score.succeeded(*map(F.col, ("tool", "command", "is_error", "interrupted", "stderr", "exit_code", "output"))).alias("ok"))
-
-
 @query("pf24_labels", views.with_views("ep", "SELECT ord, CASE action WHEN 'view' THEN 'Read page ' || CAST(tokens_out AS VARCHAR) WHEN 'click' THEN 'Ran: click ' || CAST(tokens_out AS VARCHAR) WHEN 'error' THEN 'FAILURE in ' || skill || ': code ' || CAST(tokens_out AS VARCHAR) ELSE 'Tool ' || action || ' completed successfully' END AS reflection FROM ep"))
 def pf24(spark, sf):
     k = F.col("tokens_out").cast("string")
@@ -355,42 +224,12 @@ def pf24(spark, sf):
     return views.episodes(spark, sf).select("ord", label.alias("reflection"))
 
 
-DIGESTS = "(VALUES (1, 'Shipped it!', 14, 'a, b'), (2, 'blocked by review', 0, ''), (3, 'partial', NULL, 'x'), (4, 'odd', 7, NULL)) t(ord, outcome, salience, tags)"
-
-
-@query("pf25_digest", f"SELECT CAST(ord AS BIGINT) AS ord, CASE WHEN contains(lower(outcome), 'shipped') THEN 'shipped' WHEN contains(lower(outcome), 'blocked') THEN 'blocked' WHEN contains(lower(outcome), 'partial') THEN 'partial' ELSE 'unknown' END AS outcome, CAST(greatest(1, least(10, coalesce(salience, 5))) AS BIGINT) AS salience, CAST(CASE WHEN coalesce(tags, '') = '' THEN 0 ELSE len(string_split(tags, ', ')) END AS BIGINT) AS n_tags FROM {DIGESTS}")
-def pf25(spark, sf):
-    low = F.lower("outcome")
-    kind = F.when(low.contains("shipped"), "shipped").when(low.contains("blocked"), "blocked").when(low.contains("partial"), "partial").otherwise("unknown")
-    n = F.when(F.coalesce("tags", F.lit("")) == "", 0).otherwise(F.size(F.split("tags", ", ")))
-    return spark.sql(f"SELECT * FROM {DIGESTS}").select(F.col("ord").cast("long").alias("ord"), kind.alias("outcome"), F.greatest(F.lit(1), F.least(F.lit(10), F.coalesce("salience", F.lit(5)))).cast("long").alias("salience"), n.cast("long").alias("n_tags"))
-
-
 @query("pf26_origin", views.with_views("ep", "SELECT ord, coalesce(nullif(CASE WHEN ord % 3 = 0 THEN '' WHEN ord % 3 = 1 THEN origin END, ''), 'coding.tool_call') AS origin FROM ep"))
 def pf26(spark, sf):
     raw = F.when(F.col("ord") % 3 == 0, "").when(F.col("ord") % 3 == 1, F.col("origin"))
     return views.episodes(spark, sf).select("ord", F.coalesce(F.nullif(raw, F.lit("")), F.lit(ids.DEFAULT_ORIGIN)).alias("origin"))
 
 
-STAMPS = [(1, "1700000000", None), (2, "1700000000000", None), (3, "1700000000000000", None), (4, "2024-01-02T03:04:05Z", None), (5, "2024-01-02", None), (6, "soon", "2024-01-02T00:00:00+02:00"), (7, None, None), (8, "-5", None), (9, "1.5e9", None)]
-
-
-@query("pf27_epoch", "SELECT unnest([CAST(1 AS BIGINT), 2, 3, 4, 5, 6, 7, 8, 9]) AS ord, unnest([1700000000.0, 1700000000.0, 1700000000.0, 1704164645.0, 1704153600.0, 1704146400.0, NULL, NULL, 1500000000.0]::DOUBLE[]) AS epoch, unnest(['float-epoch-s', 'float-epoch-ms', 'float-epoch-us', 'iso', 'iso', 'kernel-ts', NULL, NULL, 'float-epoch-s']) AS label")
-def pf27(spark, sf):
-    rows = spark.createDataFrame(STAMPS, "ord long, v string, ts string").withColumn("e", score.epoch_of(F.col("v"), F.col("ts")))
-    return rows.select("ord", "e.epoch", "e.label")
-
-
-NAMESPACES = ["default", "team-a", "Team", "1x", "a" * 33, "snapshots", "x_1"]
-RESERVED = ["snapshots", "candidates", "archive"]
-
-
-@query("pf28_namespaces", "SELECT unnest([" + ", ".join(f"'{n}'" for n in NAMESPACES) + "]) AS namespace, unnest([true, true, false, false, false, false, true]) AS valid")
-def pf28(spark, sf):
-    n = F.col("namespace")
-    return spark.createDataFrame([(x,) for x in NAMESPACES], "namespace string").select("namespace", (n.rlike("^[a-z][a-z0-9_-]{0,31}$") & ~n.isin(RESERVED)).alias("valid"))
-
-
 @query("pf29_substring_search", "SELECT doc_id FROM documents WHERE contains(lower(text), 'with') OR contains(lower(source), 'src1') ORDER BY doc_id DESC LIMIT 25")
 def pf29(spark, sf):
     return documents(spark, sf).where(F.lower("text").contains("with") | F.lower("source").contains("src1")).select("doc_id").orderBy(F.desc("doc_id")).limit(25)
@@ -402,18 +241,3 @@ def pf30(spark, sf):
     last = views.episodes(spark, sf).groupBy("skill").agg(F.max_by("action", "ord").alias("last"), F.max("ts").alias("at"))
     age = F.unix_seconds(moment("2024-01-30 20:00:00").cast("timestamp")) - F.unix_micros(F.col("at").cast("timestamp")) / 1e6
     return last.select("skill", F.when(F.col("last").contains("error"), "blocked").when(age > 7200, "stale").otherwise("ok").alias("status"))
-
-
-PATHS = ["a.md", "d/a.md", "d/e/b.md", "d/e/x.txt", "node_modules/p.md", "archive/old/z.md", "archive"]
-PATH_VALUES = "(VALUES " + ", ".join(f"('{p}')" for p in PATHS) + ") t(path)"
-
-
-@query("sc7_globs", f"SELECT path, regexp_matches(path, '^(?:.*/)?[^/]*\\.md$') AS any_md, regexp_matches(path, '^[^/]*\\.md$') AS top_md, regexp_matches(path, '^d/.*$') AS below_d FROM {PATH_VALUES}")
-def sc7(spark, sf):
-    rows = spark.createDataFrame([(p,) for p in PATHS], "path string")
-    return rows.select("path", *[F.col("path").rlike(score.glob_pattern(g)).alias(n) for n, g in (("any_md", "**/*.md"), ("top_md", "*.md"), ("below_d", "d/**"))])
-
-
-@query("sc8_excludes", f"SELECT path, starts_with(path, 'archive/') OR path = 'archive' OR starts_with(path, 'node_modules/') OR path LIKE '%.txt' AS excluded FROM {PATH_VALUES}")
-def sc8(spark, sf):
-    return spark.createDataFrame([(p,) for p in PATHS], "path string").select("path", score.excluded(F.col("path"), ["archive/**", "node_modules/**", "*.txt"]).alias("excluded"))
