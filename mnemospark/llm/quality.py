@@ -171,10 +171,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def strengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, raw, at in common.slices(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(features(raw, at) @ weights)], names=["s"])
+            for part, raw, at in common.slices(batch):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(features(raw, at) @ weights)], names=["doc_id", "s"])
 
-    labelled = common.written(texts.join(known.select("doc_id"), "doc_id").select("text").mapInArrow(common.lean(strengths), "s double"))
+    # All documents are scored where they are read, and only their scores meet the labels: texts are not shuffled.
+    labelled = common.written(texts.mapInArrow(common.lean(strengths), "doc_id long, s double").join(known.select("doc_id"), "doc_id").select("s"))
     return model._replace(cut=quantile(labelled, "s", share))
 
 
