@@ -10,28 +10,66 @@ from ..storage import written
 from .graph import components
 
 
-def similar_sets(rows: DataFrame, threshold: float) -> DataFrame:
-    """(origin, a, b, similarity) of pairs of distinct token sets of one origin; rows are (origin, set_id, tokens).
+def prefixes(rows: DataFrame, threshold: float) -> DataFrame:
+    """(origin, token, set_id, m, i): the places i of the tokens of each set of m that are enough to meet every similar set.
 
-    Tokens are ordered from rare to frequent. Of m tokens, the first m - ceil(threshold * m) + 1 are enough to
-    meet every similar set. At their first common token, at places i and j, sets of m and n tokens can
-    share 1 + min(m - i, n - j) at most; a pair that could not reach the overlap that the threshold asks for is
-    no candidate. Candidates are compared by hashes of tokens, and what passes by the tokens themselves.
+    Tokens are ordered from rare to frequent; of m, the first m - ceil(threshold * m) + 1 are enough.
     """
     df = rows.select("origin", F.explode("tokens").alias("token")).groupBy("origin", "token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     each = rows.select("origin", "set_id", F.size("tokens").alias("m"), F.explode("tokens").alias("token")).join(df, ["origin", "token"], "left")
     place = F.row_number().over(Window.partitionBy("origin", "set_id").orderBy(F.coalesce("df", F.lit(1)), "token"))
-    prefix = each.withColumn("i", place).where((F.col("i") <= F.col("m") - F.ceil(threshold * F.col("m") - 1e-9) + 1) & F.col("df").isNotNull()).select("origin", "set_id", "m", "i", "token")
-    other = prefix.select("origin", F.col("set_id").alias("b"), F.col("m").alias("n"), F.col("i").alias("j"), "token")
-    need = threshold / (1 + threshold) * (F.col("m") + F.col("n")) - 1e-9
-    close = (F.col("set_id") < F.col("b")) & (F.least("m", "n") >= threshold * F.greatest("m", "n") - 1e-9) & (1 + F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j")) >= need)
-    pairs = prefix.join(other, ["origin", "token"]).where(close).select("origin", F.col("set_id").alias("a"), "b").distinct()
-    hashed = rows.select("set_id", F.transform("tokens", lambda t: F.xxhash64(t)).alias("h"))
+    return each.withColumn("i", place).where((F.col("i") <= F.col("m") - F.ceil(threshold * F.col("m") - 1e-9) + 1) & F.col("df").isNotNull()).select("origin", "token", "set_id", "m", "i")
+
+
+def candidates(left: DataFrame, right: DataFrame, threshold: float, more: Column) -> DataFrame:
+    """(origin, a, b) of sets that meet in a token of both prefixes and could be similar.
+
+    At their first common token, at places i and j, sets of m and n tokens can share 1 + min(m - i, n - j) at most; a
+    pair that could not reach the overlap that the threshold asks for is no candidate.
+    """
+    other = right.select("origin", "token", *[F.col(c).alias(f"o_{c}") for c in right.columns if c not in ("origin", "token")])
+    need = threshold / (1 + threshold) * (F.col("m") + F.col("o_m")) - 1e-9
+    close = (F.least("m", "o_m") >= threshold * F.greatest("m", "o_m") - 1e-9) & (1 + F.least(F.col("m") - F.col("i"), F.col("o_m") - F.col("o_i")) >= need)
+    return left.join(other, ["origin", "token"]).where(close & more).select("origin", F.least("set_id", "o_set_id").alias("a"), F.greatest("set_id", "o_set_id").alias("b")).distinct()
+
+
+def compared(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(origin, a, b, similarity) of the pairs at or over the threshold; ``sets`` has (set_id, items)."""
     common = F.size(F.array_intersect("x", "y"))
-    similarity = common / (F.size("x") + F.size("y") - common)
-    compare = lambda pairs, sets, c: pairs.join(sets.select(F.col("set_id").alias("a"), F.col(c).alias("x")), "a").join(sets.select(F.col("set_id").alias("b"), F.col(c).alias("y")), "b").withColumn("similarity", similarity).where(F.col("similarity") >= threshold - 1e-12)
-    likely = compare(pairs, hashed, "h").select("origin", "a", "b")
-    return compare(likely, rows, "tokens").select("origin", "a", "b", "similarity")
+    both = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("items").alias("y")), "b")
+    return both.withColumn("similarity", common / (F.size("x") + F.size("y") - common)).where(F.col("similarity") >= threshold - 1e-12).select("origin", "a", "b", "similarity")
+
+
+def hashed(rows: DataFrame) -> DataFrame:
+    return rows.select("set_id", F.transform("tokens", lambda t: F.xxhash64(t)).alias("items"))
+
+
+def similar_sets(rows: DataFrame, threshold: float) -> DataFrame:
+    """(origin, a, b, similarity) of pairs of distinct token sets of one origin; rows are (origin, set_id, tokens).
+
+    Candidates are compared by hashes of tokens, and what passes by the tokens themselves.
+    """
+    prefix = written(prefixes(rows, threshold))
+    likely = compared(candidates(prefix, prefix, threshold, F.col("set_id") < F.col("o_set_id")), hashed(rows), threshold).drop("similarity")
+    return compared(likely, rows.select("set_id", F.col("tokens").alias("items")), threshold)
+
+
+def linked_sets(rows: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links that join the same sets as all similar pairs would, but no pair within what is joined already.
+
+    Every set is compared with the smallest of each prefix token first. Then sets that share a prefix token and still lie in different
+    components are compared; tokens whose sets are all joined are done. So a group of near-equal sets makes as many pairs as it has members.
+    """
+    prefix, items = written(prefixes(rows, threshold)), written(hashed(rows))
+    least = F.min_by(F.struct("set_id", "m", "i"), "set_id").alias("hub")
+    hubs = prefix.groupBy("origin", "token").agg(least, F.count(F.lit(1)).alias("n")).where("n > 1").select("origin", "token", "hub.*")
+    stars = written(compared(candidates(prefix, hubs, threshold, F.col("set_id") > F.col("o_set_id")), items, threshold).select("a", "b"))
+    roots = components(stars).select(F.col("node").alias("__node"), "root")
+    rooted = written(prefix.join(roots, F.col("set_id") == F.col("__node"), "left").withColumn("root", F.coalesce("root", "set_id")).drop("__node"))
+    open_ = rooted.groupBy("origin", "token").agg(F.min("root").alias("__low"), F.max("root").alias("__high")).where("__low <> __high").select("origin", "token")
+    left = rooted.join(open_, ["origin", "token"])
+    rest = candidates(left, left, threshold, (F.col("root") < F.col("o_root")))
+    return stars.union(compared(rest, items, threshold).select("a", "b"))
 
 
 def clusters(rows: DataFrame, threshold: float) -> DataFrame:
@@ -39,11 +77,11 @@ def clusters(rows: DataFrame, threshold: float) -> DataFrame:
 
     Rows of equal sets are one node, so that repetition costs nothing. Empty sets join no cluster.
     """
-    rows = written(rows.where(F.size("tokens") > 0))
-    sets = written(rows.groupBy("origin", "tokens").agg(F.min("ord").alias("set_id")))
-    roots = components(similar_sets(sets, threshold).select("a", "b"))
-    named = sets.join(roots, sets["set_id"] == roots["node"], "left").select("origin", "tokens", F.coalesce("root", "set_id").alias("cluster"))
-    return rows.join(named, ["origin", "tokens"]).select("ord", "cluster")
+    rows = written(rows.where(F.size("tokens") > 0).withColumn("__set", F.struct(F.xxhash64("tokens"), F.xxhash64(F.lit(1), "tokens"))))
+    sets = written(rows.groupBy("origin", "__set").agg(F.min_by(F.struct("ord", "tokens"), "ord").alias("one")).select("origin", "__set", F.col("one.ord").alias("set_id"), "one.tokens"))
+    roots = components(linked_sets(sets, threshold))
+    named = sets.join(roots, sets["set_id"] == roots["node"], "left").select("origin", "__set", F.coalesce("root", "set_id").alias("cluster"))
+    return rows.join(named, ["origin", "__set"]).select("ord", "cluster")
 
 
 def bursts(members: DataFrame, max_n: int = 500, max_seconds: int = 1800, chronic: int = 2000, dominant: float = 0.95) -> DataFrame:

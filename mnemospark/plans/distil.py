@@ -19,7 +19,7 @@ THETA = 0.5
 
 
 def token_rows(spark, sf):
-    d = views.table(spark, sf, "documents")
+    d = views.spread(views.table(spark, sf, "documents"))
     return d.select(F.col("doc_id").alias("ord"), F.col("lang").alias("origin"), text.word_set(F.col("text")).alias("tokens"))
 
 
