@@ -38,10 +38,10 @@ POLICIES: dict[str, Callable[[Item], tuple]] = {
 
 
 class Engine:
-    """Items by id, and the turn. A session's start resets the turn, not the items."""
+    """Items by id, and the turn. A session's start resets the turn, not the items. A policy is one of ``POLICIES``, or an order of one's own."""
 
-    def __init__(self, budgets: dict[str, int], policy: str):
-        self.budgets, self.order = budgets, POLICIES[policy]
+    def __init__(self, budgets: dict[str, int], policy: str | Callable[[Item], tuple]):
+        self.budgets, self.order = budgets, POLICIES[policy] if isinstance(policy, str) else policy
         self.items: dict[str, Item] = {}
         self.turn = 0
 

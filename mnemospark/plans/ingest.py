@@ -215,7 +215,8 @@ def f21(spark, sf):
     return R.redacted(texts(spark, sf), threshold=R.THRESHOLD).select("doc_id", F.md5("text").alias("redacted"), F.array_join("hits", ",").alias("hits"))
 
 
-@query("x9_query_variants")
+@query("x9_query_variants", """SELECT item_id AS qid, 0 AS variant, text AS query FROM benchmark UNION ALL
+SELECT item_id, 1, r FROM (SELECT item_id, text, lower(array_to_string(list_reverse(regexp_split_to_array(trim(text), '\\s+')), ' ')) AS r FROM benchmark) WHERE r <> lower(trim(text))""")
 def x9(spark, sf):
     q = views.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
     return X.variants(q, lambda s: [" ".join(reversed(s.split())), s.upper(), s], 3)
@@ -227,7 +228,8 @@ def sk4(spark, sf):
     return views.episodes(spark, sf).select("ord", F.to_csv(F.struct("ord", "skill", "action")).alias("csv"))
 
 
-@query("st11_digest_backfill")
+@query("st11_digest_backfill", """SELECT conv_id AS session_id, CASE WHEN count(*) >= 3 THEN substr(arg_min(CASE WHEN role = 'user' AND turn > 0 THEN 'out' || chr(10) || text ELSE text END, turn), 1, 40) END AS title, CASE WHEN count(*) < 3 THEN 'too short' END AS error
+FROM conversations WHERE role IN ('user', 'assistant') GROUP BY 1""")
 def st11(spark, sf):
     """One digest for each session; a session that fails gets its error, and the others go on."""
     said = transcripts.messages(records(spark, sf)).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.min_by("text", "ord").alias("first"))

@@ -204,7 +204,9 @@ def a24(spark, sf):
     return budgets.groupBy("budget").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("depth") <= F.col("budget")).alias("hits"))
 
 
-@query("a26_scaled_corpus")
+@query("a26_scaled_corpus", views.with_views("md", f"""WITH md3 AS (SELECT path || '#' || v AS path, body || ' variant' || v AS body FROM md, (SELECT unnest([0, 1, 2]) AS v)), {BM25.replace("FROM md)", "FROM md3)")}, {SUPPORT}
+SELECT count(*) AS queries, round(avg(CAST(coalesce(family <= 5, false) AS INT)), 6) AS family_recall, round(avg(CAST(coalesce(exact <= 5, false) AS INT)), 6) AS exact_recall FROM (SELECT DISTINCT qid FROM sup) q
+LEFT JOIN (SELECT bm.qid, min(rank) AS family, min(rank) FILTER (bm.path LIKE '%#0') AS exact FROM bm JOIN sup ON sup.qid = bm.qid AND sup.path = split_part(bm.path, '#', 1) WHERE rank <= 15 GROUP BY 1) h USING (qid)"""))
 def a26(spark, sf):
     """Recall when every document has two variants more: of the family, and of the exact document."""
     docs = views.memory_docs(spark, sf).select("path", "body")
@@ -261,9 +263,10 @@ def t8(spark, sf):
     return O.ranked(scored, k=5)
 
 
-@query("t9_context_block")
+@query("t9_context_block", bm("SELECT qid, substr(string_agg(part, chr(10) ORDER BY rank), 1, 800) AS block FROM (SELECT qid, rank, part, sum(length(part)) OVER (PARTITION BY qid ORDER BY rank ROWS UNBOUNDED PRECEDING) AS upto FROM (SELECT qid, rank, substr(body, 1, 300) AS part FROM bm JOIN md USING (path) WHERE rank <= 5)) WHERE upto <= 800 OR rank = 1 GROUP BY 1"))
 def t9(spark, sf):
-    """Hits as one block a query, cut to a quarter token a character; a single hit is cut, not dropped."""
+    """Hits as one block a query, cut to a quarter token a character; a single hit is cut, not dropped. A block shows the first 300
+    characters of a document, and 800 at most: what is shown is the feature, ranking reads whole texts."""
     d = views.memory_docs(spark, sf).select("path", F.substring("body", 1, 300).alias("part"))
     rows = hits(spark, sf, 5).join(d, "path")
     size = F.sum(F.length("part")).over(Window.partitionBy("qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow))

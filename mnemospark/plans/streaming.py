@@ -15,10 +15,10 @@ from .runtime import runtime_events
 EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
 
-def copied(spark, table, parts):
-    """The table as a folder of files, as a growing log would be."""
+def copied(spark, table, parts, *keys):
+    """The table as a folder of files, as a growing log would be; rows of equal keys lie in one file."""
     path = f"{shared_folder(spark)}/in"
-    table.repartition(parts).write.parquet(path)
+    table.repartition(parts, *keys).write.parquet(path)
     return path
 
 
@@ -45,9 +45,9 @@ def st8_stream(spark, sf):
 
 @query("st1_engine_stream")
 def st1_stream(spark, sf):
-    """The engine over a stream; its last state is that of the batch replay."""
+    """The engine over a stream; its last state is that of the batch replay. Each session's operations come in one file, many sessions in each."""
     ops = translate(runtime_events(spark, sf))
-    source, base = copied(spark, ops, 1), shared_folder(spark)
+    source, base = copied(spark, ops, 8, "session_id"), shared_folder(spark)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ops.schema)
 
     def keep(batch, number):

@@ -98,7 +98,8 @@ def f13(spark, sf):
     return views.episodes(spark, sf).select("ord", ids.event_id(F.col("skill"), F.col("ord"), F.col("action")).alias("event_id"), ids.content_id(F.col("action")).alias("content_id"))
 
 
-@query("f14_uuid5")
+@query("f14_uuid5", views.with_views("md", """SELECT path, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || ['8', '9', 'a', 'b'][(strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1] || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id
+FROM (SELECT path, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(path)) AS h FROM md)"""))
 def f14(spark, sf):
     return views.memory_docs(spark, sf).select("path", ids.uuid5(F.col("path")).alias("id"))
 
