@@ -216,7 +216,8 @@ def f21(spark, sf):
 
 
 @query("x9_query_variants", """SELECT item_id AS qid, 0 AS variant, text AS query FROM benchmark UNION ALL
-SELECT item_id, 1, r FROM (SELECT item_id, text, lower(array_to_string(list_reverse(regexp_split_to_array(trim(text), '\\s+')), ' ')) AS r FROM benchmark) WHERE r <> lower(trim(text))""")
+SELECT item_id, 1, r FROM (SELECT item_id, text, lower(array_to_string(list_reverse(regexp_split_to_array(trim(text), '\\s+')), ' ')) AS r FROM benchmark) WHERE r <> lower(trim(text))
+UNION ALL SELECT item_id, 2, replace(lower(trim(text)), 'ß', 'ss') FROM benchmark WHERE contains(text, 'ß')""")
 def x9(spark, sf):
     q = views.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
     return X.variants(q, lambda s: [" ".join(reversed(s.split())), s.upper(), s], 3)
