@@ -148,7 +148,11 @@ for _policy, _sql in (
         return O.review_policy(found, policy).where("rank <= 5").select("qid", "path", "score", "rank")
 
 
-@query("t3_rerank")
+_WORDS = "list_distinct(regexp_extract_all(lower({0}), '[a-z0-9_]+'))"
+
+
+@query("t3_rerank", bm(f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, path) AS rank FROM (SELECT qid, path, round(len(list_intersect(a, b)) / greatest(1, len(a)), 6) AS score
+  FROM (SELECT bm.qid, path, {_WORDS.format('query')} AS a, {_WORDS.format('body')} AS b FROM bm JOIN md USING (path) JOIN qs USING (qid) WHERE rank <= 20))) WHERE rank <= 5"""))
 def t3(spark, sf):
     """Reranking by a pluggable scorer of pairs; here overlap of term sets, as a Pandas UDF."""
     @pandas_udf("double")
