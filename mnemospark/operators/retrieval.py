@@ -142,7 +142,9 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             yield best.batch(first)
 
         part = texts.select("path", "bag").mapInArrow(task, "n long, path string, score double")
-        part = part if asked.last <= asked.step else written(ranked(part, "n", k).drop("rank"))
+        if asked.last > asked.step:  # one block's queries go before the next one's come
+            part = written(ranked(part, "n", k).drop("rank"))
+            held.unpersist()
         out = part if out is None else out.union(part)
     if out is None:
         out = spark.createDataFrame([], "n long, path string, score double")
@@ -192,6 +194,8 @@ def standing(docs: DataFrame, queries: DataFrame, support: DataFrame, size: Colu
         found = texts.select("path", "bag", "size").mapInArrow(before, "n long, count long, depth long").groupBy("n").agg(F.sum("count").alias("count"), F.sum("depth").alias("depth"))
         own_size = spark.createDataFrame([(n, size) for n, _, _, size in top], "n long, size long")
         part = written(found.join(own_size, "n").select("n", (F.col("count") + 1).alias("best"), (F.col("depth") + F.col("size")).alias("depth")))
+        held.unpersist()
+        marks.unpersist()
         out = part if out is None else out.union(part)
     wanted = support.select("qid").distinct()
     if out is None:
@@ -229,7 +233,9 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             yield best.batch(first)
 
         part = vectors.select(F.col("path").cast("string"), "embedding").mapInArrow(task, "n long, path string, score double")
-        part = part if last <= BLOCK else written(ranked(part, "n", k).drop("rank"))
+        if last > BLOCK:
+            part = written(ranked(part, "n", k).drop("rank"))
+            held.unpersist()
         out = part if out is None else out.union(part)
     return ranked(out.join(numbered.select("n", "qid"), "n").select("qid", "path", "score"), k=k)
 

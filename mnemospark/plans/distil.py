@@ -110,12 +110,12 @@ def u6(spark, sf):
 
 
 DIGEST = """
-dg AS (SELECT conv_id AS ord, list_transform(regexp_extract_all(arg_min(text, turn), '[a-zA-Z]+')[1:4], lambda x: CASE WHEN length(x) % 2 = 0 THEN upper(x) ELSE ' ' || x END) AS tags, CASE WHEN count(*) >= 6 THEN 'long' ELSE 'short' END AS outcome FROM conversations GROUP BY 1)"""
+dg AS (SELECT conv_id AS ord, list_transform(regexp_extract_all(arg_min(text, turn), '[a-zA-Z]+'), lambda x: CASE WHEN length(x) % 2 = 0 THEN upper(x) ELSE ' ' || x END) AS tags, CASE WHEN count(*) >= 6 THEN 'long' ELSE 'short' END AS outcome FROM conversations GROUP BY 1)"""
 
 
 def digests(spark, sf):
     c = views.table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("ord")).agg(F.min_by("text", "turn").alias("t"), F.when(F.count(F.lit(1)) >= 6, "long").otherwise("short").alias("outcome"))
-    tags = F.transform(F.slice(F.regexp_extract_all("t", F.lit("[a-zA-Z]+"), F.lit(0)), 1, 4), lambda x: F.when(F.length(x) % 2 == 0, F.upper(x)).otherwise(F.concat(F.lit(" "), x)))
+    tags = F.transform(F.regexp_extract_all("t", F.lit("[a-zA-Z]+"), F.lit(0)), lambda x: F.when(F.length(x) % 2 == 0, F.upper(x)).otherwise(F.concat(F.lit(" "), x)))
     return c.select("ord", tags.alias("tags"), "outcome")
 
 
