@@ -40,8 +40,30 @@ def compared(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.withColumn("similarity", common / (F.size("x") + F.size("y") - common)).where(F.col("similarity") >= threshold - 1e-12).select("origin", "a", "b", "similarity")
 
 
+#: Words of 64 bits of a set's parity bitmap; sets that share a prefix token from which on they are compared with the smallest first.
+BITMAP, DENSE = 16, 100
+
+
 def hashed(rows: DataFrame) -> DataFrame:
-    return rows.select("set_id", F.transform("tokens", lambda t: F.xxhash64(t)).alias("items"))
+    """(set_id, m, parity, items) of sets: hashes of the tokens, and how many of them, modulo 2, fall to each of 1024 bits."""
+    items = rows.select("set_id", F.size("tokens").alias("m"), F.transform("tokens", lambda t: F.xxhash64(t)).alias("items"))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    bit = F.transform("items", lambda x: F.struct(F.pmod(x, F.lit(BITMAP)).alias("w"), F.pmod(F.shiftright(x, 8), F.lit(64)).cast("int").alias("b")))
+    word = lambda w: F.aggregate(F.filter("bits", lambda x: x["w"] == w), zero, lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", one, x["b"])))
+    return items.withColumn("bits", bit).select("set_id", "m", F.array(*[word(w) for w in range(BITMAP)]).alias("parity"), "items")
+
+
+def likely(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(origin, a, b) of the pairs of hashed sets at or over the threshold.
+
+    Every token that one set alone has flips one bit of its parity at most, so bits that differ bound the tokens that do; bitmaps are
+    joined first, and items for the pairs alone that pass.
+    """
+    small = lambda c: sets.select(F.col("set_id").alias(c), F.col("m").alias(f"m_{c}"), F.col("parity").alias(f"p_{c}"))
+    apart = F.aggregate(F.zip_with("p_a", "p_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
+    most = (F.col("m_a") + F.col("m_b")) * ((1 - threshold) / (1 + threshold)) + 1e-9
+    near = pairs.join(small("a"), "a").join(small("b"), "b").where(apart <= most).select("origin", "a", "b")
+    return compared(near, sets, threshold).select("origin", "a", "b")
 
 
 def similar_sets(rows: DataFrame, threshold: float) -> DataFrame:
@@ -50,26 +72,29 @@ def similar_sets(rows: DataFrame, threshold: float) -> DataFrame:
     Candidates are compared by hashes of tokens, and what passes by the tokens themselves.
     """
     prefix = written(prefixes(rows, threshold))
-    likely = compared(candidates(prefix, prefix, threshold, F.col("set_id") < F.col("o_set_id")), hashed(rows), threshold).drop("similarity")
-    return compared(likely, rows.select("set_id", F.col("tokens").alias("items")), threshold)
+    close = likely(candidates(prefix, prefix, threshold, F.col("set_id") < F.col("o_set_id")), written(hashed(rows)), threshold)
+    return compared(close, rows.select("set_id", F.col("tokens").alias("items")), threshold)
 
 
 def linked_sets(rows: DataFrame, threshold: float) -> DataFrame:
     """(a, b): links that join the same sets as all similar pairs would, but no pair within what is joined already.
 
-    Every set is compared with the smallest of each prefix token first. Then sets that share a prefix token and still lie in different
-    components are compared; tokens whose sets are all joined are done. So a group of near-equal sets makes as many pairs as it has members.
+    Where more than ``DENSE`` sets share a prefix token, each is compared with the smallest of them first. Then sets that share a prefix
+    token and still lie in different components are compared; tokens whose sets are all joined are done. So a group of
+    near-equal sets makes as many pairs as it has members.
     """
     prefix, items = written(prefixes(rows, threshold)), written(hashed(rows))
     least = F.min_by(F.struct("set_id", "m", "i"), "set_id").alias("hub")
-    hubs = prefix.groupBy("origin", "token").agg(least, F.count(F.lit(1)).alias("n")).where("n > 1").select("origin", "token", "hub.*")
-    stars = written(compared(candidates(prefix, hubs, threshold, F.col("set_id") > F.col("o_set_id")), items, threshold).select("a", "b"))
+    hubs = written(prefix.groupBy("origin", "token").agg(least, F.count(F.lit(1)).alias("n")).where(F.col("n") > DENSE).select("origin", "token", "hub.*"))
+    if hubs.isEmpty():
+        return likely(candidates(prefix, prefix, threshold, F.col("set_id") < F.col("o_set_id")), items, threshold).select("a", "b")
+    stars = written(likely(candidates(prefix, hubs, threshold, F.col("set_id") > F.col("o_set_id")), items, threshold).select("a", "b"))
     roots = components(stars).select(F.col("node").alias("__node"), "root")
     rooted = written(prefix.join(roots, F.col("set_id") == F.col("__node"), "left").withColumn("root", F.coalesce("root", "set_id")).drop("__node"))
     open_ = rooted.groupBy("origin", "token").agg(F.min("root").alias("__low"), F.max("root").alias("__high")).where("__low <> __high").select("origin", "token")
     left = rooted.join(open_, ["origin", "token"])
     rest = candidates(left, left, threshold, (F.col("root") < F.col("o_root")))
-    return stars.union(compared(rest, items, threshold).select("a", "b"))
+    return stars.union(likely(rest, items, threshold).select("a", "b"))
 
 
 def clusters(rows: DataFrame, threshold: float) -> DataFrame:

@@ -17,6 +17,19 @@ from mnemospark.sources.adapters import Adapter, Registry
 # --- clusters and bursts
 
 
+@pytest.mark.parametrize("dense", [0, 100])
+def test_near_equal_sets_make_few_pairs(spark, monkeypatch, dense):
+    """A group of 2000 sets that differ from one set in a token each, and sets that are alike in pairs."""
+    monkeypatch.setattr(distil, "DENSE", dense)
+    rows = [(k, "o", sorted([f"t{j}" for j in range(30)] + [f"x{k}"])) for k in range(2000)] + [(5000 + k, "o", sorted([f"y{k // 2}", f"z{k // 2}", f"w{k}"])) for k in range(40)]
+    table = spark.createDataFrame(rows, "ord long, origin string, tokens array<string>")
+    made = []
+    monkeypatch.setattr(distil, "compared", lambda pairs, *a, f=distil.compared: made.append(pairs.cache()) or f(made[-1], *a))
+    got = {r.ord: r.cluster for r in distil.clusters(table, 0.5).collect()}
+    assert got == {k: 0 for k in range(2000)} | {5000 + k: 5000 + k // 2 * 2 for k in range(40)}
+    assert sum(p.count() for p in made) < 3 * len(rows)
+
+
 def brute_clusters(rows, threshold):
     parent = {k: k for k, _, _ in rows}
 
