@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, divergence, langid, licences, linededup, lm, media, packing, quality, simhash, tokenfile
+from . import decontam, divergence, langid, licences, linededup, lm, media, packing, quality, secrets, simhash, tokenfile
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,6 +74,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(rows, *langid.learn(rows)).select(F.col("id").alias("doc_id"), "language", "posterior", "text_language", "accepted")
 
 
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in each document."""
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances between the sources of each language, and the terms that set a source apart."""
     return divergence.audit(table(spark, sf_dir, "documents"))
@@ -96,7 +101,7 @@ QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing, "op2_licences": op2_licences, "op3_line_dedup": op3_line_dedup, "op4_simhash": op4_simhash,
     "op5_token_file": op5_token_file, "op6_decontamination": op6_decontamination, "op7_transport_stream": op7_transport_stream,
     "op8_quality": op8_quality, "op9_context_mixing": op9_context_mixing, "op10_language": op10_language,
-    "op13_divergence": op13_divergence,
+    "op12_secrets": op12_secrets, "op13_divergence": op13_divergence,
     "language_of_pages": language_of_pages, "pipeline": pipeline,
 }
 
