@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, divergence, langid, licences, linededup, lm, media, packing, quality, secrets, simhash, tokenfile
+from . import alignment, decontam, divergence, langid, licences, linededup, lm, media, packing, quality, secrets, simhash, tokenfile
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,6 +74,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(rows, *langid.learn(rows)).select(F.col("id").alias("doc_id"), "language", "posterior", "text_language", "accepted")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How a byte-level and a piece vocabulary align over each document."""
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in each document."""
     return secrets.report(table(spark, sf_dir, "documents"))
@@ -101,7 +106,7 @@ QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing, "op2_licences": op2_licences, "op3_line_dedup": op3_line_dedup, "op4_simhash": op4_simhash,
     "op5_token_file": op5_token_file, "op6_decontamination": op6_decontamination, "op7_transport_stream": op7_transport_stream,
     "op8_quality": op8_quality, "op9_context_mixing": op9_context_mixing, "op10_language": op10_language,
-    "op12_secrets": op12_secrets, "op13_divergence": op13_divergence,
+    "op11_alignment": op11_alignment, "op12_secrets": op12_secrets, "op13_divergence": op13_divergence,
     "language_of_pages": language_of_pages, "pipeline": pipeline,
 }
 
