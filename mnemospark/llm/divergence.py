@@ -13,27 +13,64 @@ Terms are ranked in windows. All sums are of whole numbers, in 64 bits where the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import common
 from .common import text_of, written
-from .linededup import SMALL, UPPER
 
-#: What a term is made of: all characters beyond ASCII, and its letters.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What a term is made of, [^\x00-\x40\x5B-\x60\x7B-\x7F]: all characters beyond ASCII, and its letters.
+TERM = np.zeros(256, dtype=bool)
+TERM[0x41:0x5B] = TERM[0x61:0x7B] = TERM[0x80:] = True
+#: Bytes of texts whose terms a task counts at once.
+COUNTED = 4 << 20
 SCALE = 1_000_000_000
 
 
+def terms_of(raw: np.ndarray, at: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The terms of all texts, in order, with A-Z in lower case, and how many each text has."""
+    inside = TERM.take(raw)
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    full = at[:-1] < at[1:]
+    first[at[:-1][full]] = inside[at[:-1][full]]
+    last[at[1:][full] - 1] = inside[at[1:][full] - 1]
+    starts = np.flatnonzero(first)
+    ends = np.append(0, np.cumsum(np.flatnonzero(last) + 1 - starts))
+    terms = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(common.LOWER.take(raw[inside]))])
+    return terms, np.diff(np.searchsorted(starts, at))
+
+
 def occurrences(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(lang, source, term, n, docs): occurrences of a term in a group, and the rows that hold it. One pass over texts, summed before it is shuffled."""
-    terms = F.regexp_extract_all(F.translate(text_of(text_col), UPPER, SMALL), F.lit(TERM), F.lit(0))
-    held = docs.select(text_of("lang").alias("lang"), text_of("source").alias("source"), terms.alias("terms"))
-    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    both = F.concat(
-        F.transform("terms", lambda t: F.struct(t.alias("term"), one.alias("n"), none.alias("docs"))),
-        F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), none.alias("n"), one.alias("docs"))),
-    )
-    return held.select("lang", "source", F.explode(both).alias("x")).groupBy("lang", "source", "x.term").agg(F.sum("x.n").alias("n"), F.sum("x.docs").alias("docs"))
+    """(lang, source, term, n, docs): occurrences of a term in a group, and the rows that hold it. One pass over texts; tasks count the terms of
+    a few megabytes at once, and Spark sums these counts before it shuffles them."""
+    common.small_batches(docs.sparkSession)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, raw, at in common.slices(batch, limit=COUNTED):
+                terms, per = terms_of(raw, at)
+                terms, langs, sources = (x.dictionary_encode() for x in (terms, part.column(0), part.column(1)))
+                code = lambda x: x.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                many, wide = max(1, len(terms.dictionary)), len(sources.dictionary)
+                group = code(langs) * wide + code(sources)
+                # First each text's terms, with their number; then each group's, over its texts.
+                both, n = np.unique(np.repeat(np.arange(len(part)), per) * many + code(terms), return_counts=True)
+                text, term = np.divmod(both, many)
+                key, place = np.unique(group[text] * many + term, return_inverse=True)
+                at_group, term = np.divmod(key, many)
+                total, held = np.bincount(place.ravel(), n, len(key)).astype(np.int64), np.bincount(place.ravel(), minlength=len(key))
+                taken = [langs.dictionary.take(pa.array(at_group // wide)), sources.dictionary.take(pa.array(at_group % wide)), terms.dictionary.take(pa.array(term)).cast(pa.large_string()).cast(pa.string())]
+                yield pa.RecordBatch.from_arrays([*taken, pa.array(total), pa.array(held)], names=["lang", "source", "term", "n", "docs"])
+
+    texts = docs.select(text_of("lang").alias("lang"), text_of("source").alias("source"), text_of(text_col).alias("text"))
+    counts = texts.mapInArrow(common.lean(task), "lang string, source string, term string, n long, docs long")
+    return counts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def share(count: Column, total: Column, kept: Column, smooth: int = 5) -> Column:
