@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import types as T
 from . import common, tokens
 
 #: Chunks, and bytes of them, that a worker remembers.
-MEMO_CHUNKS, MEMO_BYTES = 300_000, 48 << 20
+MEMO_CHUNKS, MEMO_BYTES = 300_000, 96 << 20
 #: Pairs that at least one link in so many has are looked up in a broadcast, which has no more rows than this; all others are joined.
 HEAD = 1 << 18
 
@@ -38,32 +39,55 @@ def byte_level() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
-def groups(a: list[int], b: list[int]) -> list[tuple[int, int, int, int]]:
+def components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first A, end A, first B, end B) of each component of the graph in which tokens that overlap are linked. ``a`` and ``b`` are
-    the ends of all tokens, of the same bytes."""
-    parent = list(range(len(a) + len(b)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    i = j = 0
-    while i < len(a) and j < len(b):
-        one, two = root(i), root(len(a) + j)
-        parent[max(one, two)] = min(one, two)
-        end = min(a[i], b[j])
-        i, j = i + (a[i] == end), j + (b[j] == end)
-    # Components are runs of both sequences: a run's root is its first A token.
-    firsts = [k for k in range(len(a)) if root(k) == k]
-    of_b = [root(len(a) + k) for k in range(len(b))]
-    out, at = [], 0
-    for k, first in enumerate(firsts):
-        begin = at
-        while at < len(b) and of_b[at] == first:
-            at += 1
-        out.append((first, firsts[k + 1] if k + 1 < len(firsts) else len(a), begin, at))
-    return out
+    the ends of all tokens, of the same bytes; components come in their order.
+
+    Union-find over all edges at once: roots are hooked to smaller roots and paths are shortened, until no edge has two roots.
+    """
+    first = np.searchsorted(b, np.append(0, a[:-1]), side="right")
+    many = np.searchsorted(b, a, side="left") + 1 - first
+    upto = np.cumsum(many)
+    u = np.repeat(np.arange(len(a)), many)
+    v = len(a) + np.repeat(first - upto + many, many) + np.arange(len(u))
+    root = np.arange(len(a) + len(b))
+    while True:
+        one, two = root[u], root[v]
+        apart = one != two
+        if not apart.any():
+            break
+        one, two = one[apart], two[apart]
+        np.minimum.at(root, np.maximum(one, two), np.minimum(one, two))
+        while not np.array_equal(root, root[root]):
+            root = root[root]
+    # A component's root is its first A token.
+    begin = np.flatnonzero(root[: len(a)] == np.arange(len(a)))
+    begin_b = np.searchsorted(root[len(a) :], begin)
+    return begin, np.append(begin[1:], len(a))[: len(begin)], begin_b, np.append(begin_b[1:], len(b))[: len(begin)]
+
+
+def written_ids(ids: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Ids in decimal, each with the byte in ``ends`` behind it, and where each begins (the end last)."""
+    width = len(str(int(ids.max(initial=0))))
+    digits = ids[:, None] // 10 ** np.arange(width - 1, -1, -1)
+    shown = np.column_stack([digits % 10 + 48, ends]).astype(np.uint8)
+    kept = np.column_stack([digits > 0, np.ones(len(ids), bool)])
+    kept[:, width - 1] = True
+    return shown[kept].tobytes(), np.append(0, np.cumsum(kept.sum(axis=1)))
+
+
+class Vocabulary:
+    """The bytes of all ids, side by side."""
+
+    def __init__(self, entries: list[bytes]):
+        self.size = np.array([*map(len, entries)], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(entries), np.uint8)
+
+    def bytes_of(self, ids: np.ndarray) -> np.ndarray:
+        size = self.size[ids]
+        upto = np.cumsum(size)
+        return self.data[np.repeat(self.first[ids] - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)]
 
 
 class Aligner:
@@ -79,10 +103,11 @@ class Aligner:
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True  # their strings in a text are plain text
         self.b = SentencePieceProcessor(model_file=path_b)
-        at = byte_level()
-        self.bytes_a = {k: bytes(at.get(c, 0) for c in entry) for entry, k in self.a.get_vocab(with_added_tokens=True).items()}
+        at, entries = byte_level(), self.a.get_vocab(with_added_tokens=True)
+        named = {k: entry for entry, k in entries.items()}
+        self.bytes_a = Vocabulary([bytes(at.get(c, 0) for c in named.get(k, "")) for k in range(max(named) + 1)])
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
-        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
+        self.bytes_b = Vocabulary([bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)])
         self.blank = self.b.piece_to_id("▁")
         # A piece that goes on after a blank may span a cut: then texts are aligned whole.
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
@@ -91,37 +116,57 @@ class Aligner:
     def _forget(self) -> None:
         self.memo: dict[bytes, int] = {}
         self.held = 0
-        self.shown: list[str] = []
-        self.numbers: list[tuple[int, int, int, bool]] = []
-        self.links: list[list[int]] = []
-        self._arrays: tuple | None = None
+        self.shown: list[bytes] = []
+        self.numbers, self.links = [np.zeros((0, 4), np.int64)], [np.zeros(0, np.int64)]
 
     def _learn(self, chunks: list[bytes]) -> None:
         texts = [c.decode("utf-8") for c in chunks]
         coded_a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
         # B puts the blank before a text itself, but for an empty one.
         coded_b = [ids or [self.blank] for ids in self.b.encode([t[1:] for t in texts], num_threads=1)]
-        for chunk, a, b in zip(chunks, coded_a, coded_b):
-            parts_a, parts_b = [self.bytes_a[x] for x in a], [self.bytes_b[x] for x in b]
-            good = b"".join(parts_a) == chunk and b"".join(parts_b) == chunk
-            shown, links = "", []
-            if good:
-                found = groups(np.cumsum([*map(len, parts_a)]).tolist(), np.cumsum([*map(len, parts_b)]).tolist())
-                shown = ";".join(f"{','.join(map(str, a[i:j]))}|{','.join(map(str, b[k:m]))}" for i, j, k, m in found)
-                links = [a[j - 1] << 32 | b[m - 1] for _, j, _, m in found]
-            self.memo[chunk] = len(self.shown)
-            self.shown.append(shown)
-            self.numbers.append((len(a), len(b), len(links), good))
-            self.links.append(links)
-            self.held += 4 * len(chunk) + len(shown) + 8 * len(links)
-        self._arrays = None
+        many = [np.fromiter(map(len, x), np.int64, len(x)) for x in (coded_a, coded_b)]
+        good = self._given_back(chunks, coded_a, coded_b, many)
+        kept = np.flatnonzero(good).tolist()
+        a, b = (np.fromiter(chain.from_iterable(x[k] for k in kept), np.int64) for x in (coded_a, coded_b))
+        first_a, end_a, first_b, end_b = components(np.cumsum(self.bytes_a.size[a]), np.cumsum(self.bytes_b.size[b]))
+        # Tokens in the order in which they are shown: of each component A's, then B's.
+        both, n = np.concatenate([a, b]), len(first_a)
+        group = np.concatenate([np.repeat(np.arange(n) * 2, end_a - first_a), np.repeat(np.arange(n) * 2 + 1, end_b - first_b)])
+        order = np.argsort(group, kind="stable")
+        group = group[order]
+        last = np.append(group[1:] != group[:-1], True)[: len(group)]
+        shown, at = written_ids(both[order], np.where(last, np.where(group % 2, ord(";"), ord("|")), ord(",")))
+        size = (many[0] + many[1]) * good
+        at = at[np.append(0, np.cumsum(size))].tolist()
+        per = np.zeros(len(chunks), np.int64)
+        own = np.searchsorted(np.cumsum(many[0] * good), first_a, side="right")  # the chunk of a component
+        np.add.at(per, own, 1)
+        begin = len(self.shown)
+        self.memo.update(zip(chunks, range(begin, begin + len(chunks))))
+        self.shown += [shown[i:j] for i, j in zip(at, at[1:])]
+        self.numbers.append(np.column_stack([*many, per, good]))
+        self.links.append(a[end_a - 1] << 32 | b[end_b - 1])
+        self.held += sum(map(len, chunks)) + len(shown) + 8 * n + 150 * len(chunks)
+
+    def _given_back(self, chunks: list[bytes], coded_a: list, coded_b: list, many: list[np.ndarray]) -> np.ndarray:
+        """Whether the tokens of both are the bytes of each chunk."""
+        raw, size = b"".join(chunks), np.fromiter(map(len, chunks), np.int64, len(chunks))
+        good = np.ones(len(chunks), bool)
+        for vocabulary, coded, count in ((self.bytes_a, coded_a, many[0]), (self.bytes_b, coded_b, many[1])):
+            ids = np.fromiter(chain.from_iterable(coded), np.int64, int(count.sum()))
+            data = vocabulary.bytes_of(ids).tobytes()
+            total = np.append(0, np.cumsum(vocabulary.size[ids]))
+            at = total[np.append(0, np.cumsum(count))]
+            if data != raw or not np.array_equal(np.diff(at), size):
+                at = at.tolist()
+                good &= [data[i:j] == c for i, j, c in zip(at, at[1:], chunks)]
+        return good
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Numbers of each chunk, its links, and where each chunk's begin."""
-        if self._arrays is None:
-            numbers = np.array(self.numbers, np.int64).reshape(-1, 4)
-            self._arrays = numbers, np.fromiter((x for link in self.links for x in link), np.int64, int(numbers[:, 2].sum())), np.cumsum(numbers[:, 2]) - numbers[:, 2]
-        return self._arrays
+        self.numbers, self.links = [np.concatenate(self.numbers)], [np.concatenate(self.links)]
+        count = self.numbers[0][:, 2]
+        return self.numbers[0], self.links[0], np.cumsum(count) - count
 
     def align(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Of texts that each begin with a blank: (A tokens, B tokens, groups) and the digest of the groups of each, and the distinct links of
@@ -150,7 +195,7 @@ class Aligner:
         per = sums[edge[1:]] - sums[edge[:-1]]
         good = (per[:, 3] == np.diff(edge)) & (np.diff(at) > 1)
         order = slots.tolist()
-        digests = [hashlib.sha256(";".join([self.shown[s] for s in order[i:j]]).encode()).hexdigest() if ok else "" for i, j, ok in zip(edge, edge[1:], good.tolist())]
+        digests = [hashlib.sha256(b"".join([self.shown[s] for s in order[i:j]])[:-1]).hexdigest() if ok else "" for i, j, ok in zip(edge, edge[1:], good.tolist())]
         text = np.repeat(np.arange(len(at) - 1), np.diff(edge))
         kept = good[text]
         used, text = slots[kept], text[kept]
