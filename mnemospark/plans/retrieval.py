@@ -91,6 +91,27 @@ def t1(spark, sf):
     return dense(spark, sf, 10)
 
 
+def vector_index(spark, sf, cells=64):
+    from ..operators import vector_index as V
+    from ..storage import shared_folder
+
+    return V.build(vectors(spark, sf)[0], f"{shared_folder(spark)}/vectors", cells)
+
+
+@query("t1_indexed_exact", f"WITH {CORPUS} SELECT qid, path, score, rank FROM de WHERE rank <= 10")
+def t1_indexed(spark, sf):
+    """The exact search over the index: cells that cannot hold a better hit are not read."""
+    return vector_index(spark, sf).search(vectors(spark, sf)[1], 10, probes=8, exact=True)
+
+
+@query("t1_indexed_probes")
+def t1_probes(spark, sf):
+    """For each query the hits of as many of its nearest cells as 95 of 100 exact hits take, and whether they are among the exact ten."""
+    index = vector_index(spark, sf)
+    got = index.search(vectors(spark, sf)[1], 10, probes=index.probes_for(10))
+    return got.join(dense(spark, sf, 10).select("qid", "path", F.lit(True).alias("hit")), ["qid", "path"], "left").select("qid", "path", "score", "rank", F.coalesce("hit", F.lit(False)).alias("hit"))
+
+
 # Hybrid: a vector stands for the document of the same id, a pairing made for this query alone.
 HYBRID = views.with_views("md", f"""WITH {CORPUS},
 qt AS (SELECT qid, body AS query FROM vq JOIN md ON doc_id = qid),

@@ -27,3 +27,10 @@ def spark():
 @pytest.fixture(scope="session")
 def sf():
     return SF
+
+
+@pytest.fixture(autouse=True, scope="module")
+def no_cached_tables(spark):
+    """What a module caches goes with it: the planner would read such tables in place of the files, in plans of other modules too."""
+    yield
+    spark.catalog.clearCache()
