@@ -61,6 +61,19 @@ def t10(spark, sf):
     return hits(spark, sf, 20)
 
 
+@query("t10_indexed", bm("SELECT * FROM bm WHERE rank <= 20"))
+def t10_indexed(spark, sf):
+    """The same over a stored index: half of the documents are added, then the others, and the segments are merged."""
+    from ..operators.text_index import TextIndex
+    from ..storage import shared_folder
+
+    index, docs = TextIndex(spark, f"{shared_folder(spark)}/index"), views.memory_docs(spark, sf)
+    index.add(docs.where("doc_id % 2 = 0"))
+    index.add(docs.where("doc_id % 2 = 1"))
+    index.merge()
+    return index.search(asked(spark, sf).select("qid", "query"), 20)
+
+
 @query("f16_bm25_idf", bm("SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM df, sz"))
 def f16(spark, sf):
     docs = views.memory_docs(spark, sf)
