@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import views
 from ..operators import claims as O
+from ..storage import shared_folder, written
 from .registry import query
 
 ASSERTS = """
@@ -129,6 +130,40 @@ def sk5(spark, sf):
     return O.reconcile(desired, present)
 
 
+APPLIED = """
+want AS (SELECT topic_key AS name, sha256(value) AS sha FROM st WHERE stance = 'current'),
+have AS (SELECT topic_key AS name, CASE WHEN length(topic_key) % 2 = 0 THEN sha256(value) ELSE 'old' END AS sha FROM asr WHERE ts < 900000000
+  QUALIFY row_number() OVER (PARTITION BY topic_key ORDER BY ts DESC, source_event_id DESC) = 1)"""
+
+
+def applied(spark, sf):
+    """A projection written over an older one, and once more: the table, and what each of the three rounds did."""
+    from ..sources.store import Store
+
+    _, a, _ = parts(spark, sf)
+    desired = written(state(spark, sf).where("stance = 'current'").select(F.col("topic_key").alias("name"), F.sha2("value", 256).alias("sha")))
+    old = a.where("ts < 900000000").groupBy("topic_key").agg(F.max_by("value", F.struct("ts", "source_event_id")).alias("value"))
+    present = old.select(F.col("topic_key").alias("name"), F.when(F.length("topic_key") % 2 == 0, F.sha2("value", 256)).otherwise("old").alias("sha"))
+    store = Store(spark, f"{shared_folder(spark)}/projection", desired.schema, "name", buckets=16)
+    return store, [store.sync(rows) for rows in (present, desired, desired)]
+
+
+@query("sk5_applied", with_claims("SELECT name, sha FROM want", f", {APPLIED}"))
+def sk5_applied(spark, sf):
+    return applied(spark, sf)[0].rows()
+
+
+@query("sk5_rounds", with_claims("""SELECT 1 AS round, count(*) AS written, 0 AS deleted, 0 AS kept FROM have
+UNION ALL SELECT 2, count(*) FILTER (w.name IS NOT NULL AND h.sha IS DISTINCT FROM w.sha), count(*) FILTER (w.name IS NULL), count(*) FILTER (h.sha = w.sha) FROM want w FULL JOIN have h ON w.name = h.name
+UNION ALL SELECT 3, 0, 0, count(*) FROM want""", f", {APPLIED}"))
+def sk5_rounds(spark, sf):
+    """Rows that each round wrote, deleted and left; the last finds nothing to do, and writes no version."""
+    store, rounds = applied(spark, sf)
+    if store.manifests.latest() != 2:
+        raise ValueError("a round without changes has written a version")
+    return spark.createDataFrame([(k, r["written"], r["deleted"], r["kept"]) for k, r in enumerate(rounds, 1)], "round int, written long, deleted long, kept long")
+
+
 @query("t12_presorted_batch", views.with_views("ob", "SELECT event_id FROM (SELECT * FROM ob ORDER BY ts, CASE WHEN kind LIKE 'tombstone%' THEN 1 ELSE 0 END, event_id LIMIT 500)"))
 def t12(spark, sf):
     return views.observations(spark, sf).orderBy("ts", F.col("kind").startswith("tombstone").cast("int"), "event_id").limit(500).select("event_id")

@@ -336,6 +336,30 @@ def sk8(spark, sf):
     return d.join(d.where("source <> 'src4'").select("doc_id"), "doc_id", "left_anti").select("doc_id")
 
 
+def upserted(spark, sf):
+    """An index of documents by id, in which a fifth is missing and a seventh is out of date, brought up to date."""
+    from ..sources.store import Store
+    from ..storage import shared_folder
+
+    d = views.table(spark, sf, "documents").select("doc_id", "source", F.col("n_chars").alias("mtime"))
+    store = Store(spark, f"{shared_folder(spark)}/points", d.schema, "doc_id", buckets=16)
+    store.upsert(d.where("doc_id % 5 <> 0").withColumn("mtime", F.when(F.col("doc_id") % 7 == 0, F.col("mtime") + 1).otherwise(F.col("mtime"))))
+    store.upsert(d)
+    return store
+
+
+@query("sk7_applied", "SELECT doc_id, source, n_chars AS mtime FROM documents")
+def sk7_applied(spark, sf):
+    return upserted(spark, sf).rows()
+
+
+@query("sk8_applied", "SELECT doc_id, source, n_chars AS mtime FROM documents WHERE source <> 'src4'")
+def sk8_applied(spark, sf):
+    store = upserted(spark, sf)
+    store.delete(store.rows().where("source = 'src4'"))
+    return store.rows()
+
+
 @query("sk10_serialized", bm("""SELECT qid, rank, '{"path":"' || path || '","rank":' || CAST(rank AS VARCHAR) || '}' AS json FROM bm WHERE rank <= 3"""))
 def sk10(spark, sf):
     return hits(spark, sf, 3).select("qid", "rank", F.to_json(F.struct("path", "rank")).alias("json"))
