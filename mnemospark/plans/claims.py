@@ -78,7 +78,21 @@ def w3_fold(spark, sf):
     return O.fold(strict(parts(spark, sf)[1]))
 
 
-@query("st5_late_events")
+def moves_sql(asserts: str, state: str | None = None) -> str:
+    """The fold in SQL: of a slot's events of one time the first by id takes it, and the others lose to it. What is not after the state before loses to that."""
+    events = f"SELECT a.*, {'s.claim_id' if state else 'NULL'} AS sc, {'s.fp' if state else 'NULL'} AS sf, {'coalesce(a.ts <= s.ts, false)' if state else 'false'} AS late FROM {asserts} a" + (f" LEFT JOIN {state} s USING (topic_key, claim_subject)" if state else "")
+    return f"""ev AS ({events}),
+gr AS (SELECT *, first_value(claim_id) OVER w AS fc, first_value(fp) OVER w AS ff, row_number() OVER w AS rn FROM ev WHERE NOT late WINDOW w AS (PARTITION BY topic_key, claim_subject, ts ORDER BY source_event_id)),
+hd AS (SELECT *, lag(claim_id, 1, sc) OVER w AS pc, lag(fp, 1, sf) OVER w AS pf FROM gr WHERE rn = 1 WINDOW w AS (PARTITION BY topic_key, claim_subject ORDER BY ts)),
+mv AS (SELECT pc AS old, claim_id AS "new" FROM hd WHERE pf <> fp UNION ALL SELECT claim_id, fc FROM gr WHERE rn > 1 AND ff <> fp UNION ALL SELECT claim_id, sc FROM ev WHERE late AND sf <> fp)"""
+
+
+LATE = """
+a1 AS (SELECT * FROM asr WHERE ts >= 870000000),
+s1 AS (SELECT * FROM asr WHERE ts < 880000000 QUALIFY row_number() OVER (PARTITION BY topic_key, claim_subject ORDER BY ts DESC, claim_id) = 1)"""
+
+
+@query("st5_late_events", with_claims('SELECT old, "new" FROM mv', f", {LATE}, {moves_sql('a1', 's1')}"))
 def st5(spark, sf):
     """The fold over all slots, ties and late arrivals included, after a state before."""
     _, a, _ = parts(spark, sf)
@@ -164,6 +178,48 @@ def sk5_rounds(spark, sf):
     return spark.createDataFrame([(k, r["written"], r["deleted"], r["kept"]) for k, r in enumerate(rounds, 1)], "round int, written long, deleted long, kept long")
 
 
+MESSY = """
+me AS (SELECT *, CASE WHEN CAST(event_id AS BIGINT) % 31 = 0 THEN 2 ELSE 1 END AS schema_version, CAST(event_id AS BIGINT) % 37 = 0 AS noval, CAST(event_id AS BIGINT) % 41 = 0 AS nots FROM ob),
+gd AS (SELECT * FROM me WHERE schema_version = 1 AND NOT noval AND NOT nots),
+as2 AS (SELECT asr.* FROM asr SEMI JOIN gd ON gd.event_id = asr.source_event_id),
+go2 AS (SELECT DISTINCT claim_id FROM as2 JOIN gd t ON t.kind = 'tombstone-deleted' AND t.supersedes_event_id = as2.source_event_id),
+cu2 AS (SELECT * FROM as2 WHERE claim_id NOT IN (SELECT claim_id FROM go2) QUALIFY row_number() OVER (PARTITION BY topic_key, claim_subject ORDER BY ts DESC, claim_id) = 1)"""
+
+
+def consolidated(spark, sf):
+    """A dry run, a run, and a run on the same events again, of which none is after the watermark: the memory and the counters."""
+    from ..operators.consolidate import Memory, consolidate
+
+    n = F.col("event_id").cast("long")
+    o = views.observations(spark, sf).withColumn("schema_version", F.when(n % 31 == 0, 2).otherwise(1)).withColumn("value", F.when(n % 37 == 0, " ").otherwise(F.col("value"))).withColumn("ts", F.when(n % 41 != 0, F.col("ts")))
+    memory = Memory(spark, f"{shared_folder(spark)}/memory")
+    return memory, [consolidate(memory, o, dry_run=dry) for dry in (True, False, False)]
+
+
+COUNTERS = """
+c AS (SELECT (SELECT count(*) FROM me) AS events_total, (SELECT count(*) FROM gd) AS events_conforming, (SELECT count(*) FROM me WHERE schema_version > 1) AS events_skipped_future_schema,
+  (SELECT count(*) FROM me WHERE schema_version = 1 AND noval) + (SELECT count(*) FROM gd WHERE kind = 'tombstone-deleted' AND supersedes_event_id IS NULL) AS events_skipped_missing_required,
+  (SELECT count(*) FROM me WHERE schema_version = 1 AND NOT noval AND nots) AS events_skipped_unparseable_ts, (SELECT count(*) FROM as2) AS claims_asserted,
+  (SELECT count(*) FROM mv) AS supersedes_appended, (SELECT count(*) FROM go2) AS retracts_appended, (SELECT count(*) FROM cu2) AS shown)"""
+_SKIPPED = "events_skipped_future_schema, {0} AS events_skipped_missing_required, events_skipped_unparseable_ts"
+
+
+@query("st8_counters", with_claims(f"""SELECT 1 AS round, events_total, events_conforming, {_SKIPPED.format('events_skipped_missing_required')}, claims_asserted, supersedes_appended, retracts_appended, 0 AS overrides_applied, 0 AS re_election_supersedes, 0 AS projection_written, 0 AS projection_unchanged, 0 AS projection_orphans_deleted FROM c
+UNION ALL SELECT 2, events_total, events_conforming, {_SKIPPED.format('events_skipped_missing_required')}, claims_asserted, supersedes_appended, retracts_appended, 0, 0, shown, 0, 0 FROM c
+UNION ALL SELECT 3, events_total, 0, {_SKIPPED.format('(SELECT count(*) FROM me WHERE schema_version = 1 AND noval)')}, 0, 0, 0, 0, 0, 0, shown, 0 FROM c""", f", {MESSY}, {moves_sql('as2')}, {COUNTERS}"))
+def st8_counters(spark, sf):
+    _, rounds = consolidated(spark, sf)
+    schema = "round int, " + ", ".join(f"{k} long" for k in rounds[0])
+    return spark.createDataFrame([(k, *r.values()) for k, r in enumerate(rounds, 1)], schema)
+
+
+@query("st8_state", with_claims("""SELECT claim_id, CASE WHEN claim_id IN (SELECT claim_id FROM go2) THEN 'tombstone' WHEN claim_id IN (SELECT claim_id FROM cu2) THEN 'current' ELSE 'superseded' END AS stance FROM as2""", f", {MESSY}"))
+def st8_state(spark, sf):
+    """The state after the runs, elected from the store."""
+    rows = consolidated(spark, sf)[0].claims.rows()
+    return O.elect(rows.drop("retracted"), rows.where("retracted")).select("claim_id", "stance")
+
+
 @query("t12_presorted_batch", views.with_views("ob", "SELECT event_id FROM (SELECT * FROM ob ORDER BY ts, CASE WHEN kind LIKE 'tombstone%' THEN 1 ELSE 0 END, event_id LIMIT 500)"))
 def t12(spark, sf):
     return views.observations(spark, sf).orderBy("ts", F.col("kind").startswith("tombstone").cast("int"), "event_id").limit(500).select("event_id")

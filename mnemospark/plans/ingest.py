@@ -12,6 +12,7 @@ from ..operators import lint as L
 from ..operators import redact as R
 from ..operators.ordered import row_numbers
 from ..sources import jsonl, transcripts
+from .claims import moves_sql, with_claims
 from .registry import query
 
 EVENT = "event_id long, event_type string, value double, schema_version string"
@@ -237,7 +238,7 @@ def st11(spark, sf):
     return said.select("session_id", F.when(F.col("n") >= 3, F.substring("first", 1, 40)).alias("title"), F.when(F.col("n") < 3, "too short").alias("error"))
 
 
-@query("st8_consolidation")
+@query("st8_consolidation", with_claims("SELECT 'assert' AS event_type, count(*) AS n FROM asr UNION ALL SELECT 'supersede', count(*) FROM mv UNION ALL SELECT 'retract', count(*) FROM gone", f", {moves_sql('asr')}"))
 def st8(spark, sf):
     """One run over a batch: asserts, transitions and retracts as rows of the log to be appended."""
     o = views.observations(spark, sf)
