@@ -144,6 +144,16 @@ class _Reader:
         self.last: dict[int, tuple[int, bytes, bool]] = {}  # counter, packet, and whether it came twice
         self.units: list[tuple[int, bool, list[bytes]]] = []  # first packet, random access, parts
         self.open: dict[int, list[bytes] | None] = {}
+        self.waiting: dict[int, list[tuple[int, bool, bool, int, bytes]]] = {}  # payloads of PIDs that no table has named so far
+
+    def _named(self, pid: int) -> None:
+        """Takes what came before the table that names its PID."""
+        for held in self.waiting.pop(pid, ()):
+            self._take(pid, *held)
+
+    def unmapped(self) -> list[tuple[int, str]]:
+        """A fault for each PID with payload that no table has named. PIDs below 32 are kept for tables."""
+        return [(held[0][0], "unmapped") for pid, held in self.waiting.items() if pid >= 0x20]
 
     def _checked(self, number: int, section: bytes, table_id: int) -> bool:
         if section[0] != table_id or len(section) < 12:
@@ -157,14 +167,17 @@ class _Reader:
         if self._checked(number, section, 0):
             for at in range(8, len(section) - 7, 4):
                 program, pid = struct.unpack_from(">HH", section, at)
-                if program:  # 0 names the network's PID
-                    self.tables.setdefault(pid & 0x1FFF, _Sections(self.parts))
+                # 0 names the network's PID, whose tables are passed over.
+                self.tables.setdefault(pid & 0x1FFF, _Sections(self.parts if program else lambda *_: None))
+                self._named(pid & 0x1FFF)
 
     def parts(self, number: int, section: bytes) -> None:
         if self._checked(number, section, 2):
             at = 12 + (struct.unpack_from(">H", section, 10)[0] & 0xFFF)
             while at + 5 <= len(section) - 4:
-                self.streams.add(struct.unpack_from(">H", section, at + 1)[0] & 0x1FFF)
+                pid = struct.unpack_from(">H", section, at + 1)[0] & 0x1FFF
+                self.streams.add(pid)
+                self._named(pid)
                 at += 5 + (struct.unpack_from(">H", section, at + 3)[0] & 0xFFF)
 
     def packet(self, number: int, packet: bytes) -> None:
@@ -193,18 +206,23 @@ class _Reader:
             if flags & 15 != counter + 1 & 15:
                 self.faults.append((number, "continuity"))
         self.last[pid] = flags & 15, packet, False
+        self._take(pid, number, begins, marked, flags, packet[body:])
+
+    def _take(self, pid: int, number: int, begins: bool, marked: bool, flags: int, body: bytes) -> None:
         if pid in self.tables:
-            self.tables[pid].take(number, begins, packet[body:])
+            self.tables[pid].take(number, begins, body)
         elif pid in self.streams:
             if flags & 0xC0:
                 self.faults.append((number, "scrambled"))
             elif begins:
-                self.open[pid] = [packet[body:]]
+                self.open[pid] = [body]
                 self.units.append((number, marked, self.open[pid]))
             elif self.open.get(pid) is not None:
-                self.open[pid].append(packet[body:])
+                self.open[pid].append(body)
             else:
                 self.open[pid] = None  # the stream begins within a unit
+        else:
+            self.waiting.setdefault(pid, []).append((number, begins, marked, flags, body))
 
     @staticmethod
     def _same(packet: bytes, before: bytes) -> bool:
@@ -235,7 +253,8 @@ class _Reader:
 def demux(ts: bytes) -> Stream:
     """Reads a stream. Damage is listed in ``faults``: lost sync bytes (sync), a cut last packet (cut), marked errors (error), impossible
     adaptation fields (field), tables of a wrong checksum (table), gaps (continuity), scrambled packets (scrambled), units that
-    are no PES packets (unit) or not of their length (length)."""
+    are no PES packets (unit) or not of their length (length), payload of PIDs that no table names, wherever it lies (unmapped). What comes before
+    the tables that name it is read once they are there."""
     reader, at, number = _Reader(), 0, 0
     while at + PACKET <= len(ts):
         if ts[at] != SYNC:
@@ -249,7 +268,8 @@ def demux(ts: bytes) -> Stream:
     if at < len(ts):
         reader.faults.append((number, "cut"))
     payload, stamps, access = [], [], []
-    for first, marked, parts in reader.units:
+    reader.faults += reader.unmapped()
+    for first, marked, parts in sorted(reader.units, key=lambda u: u[0]):
         found = reader.unit(first, b"".join(parts))
         if found:
             payload.append(found[0])

@@ -145,3 +145,33 @@ def test_a_table_for_later_is_passed_over():
     late = section(0, b"\0\1\xe0\x31", current=0)
     s = read([packet(0, 0, b"\0" + late, True), *[packet(p, c + 1, b"\0" + t, True) for p, c, t in ((0, 0, pat([(1, 0x30)])), (0x30, 0, pmt([(6, 0x101, b"")])))], packet(0x101, 0, pes(b"x"), True)])
     assert s.payload == b"x"
+
+
+def test_tables_may_come_late():
+    body, more = cut(0x101, pes(DATA, 900)), cut(0x102, pes(b"other", 901))
+    program, parts = tables([(6, 0x101, b""), (6, 0x102, b"")])
+    for order in ([*body, *more, program, parts], [body[0], parts, *body[1:], program, *more], [program, *body[:3], *more, parts, *body[3:]]):
+        s = read(order)
+        assert (s.payload, s.stamps, s.faults) == (DATA + b"other", [900, 901], [])
+
+
+def test_a_written_stream_with_its_tables_moved_back():
+    text = bytes(range(32, 127)) * 96
+    whole = media.mux(text)
+    parts = [whole[k : k + 188] for k in range(0, len(whole), 188)]
+    moved = media.demux(b"".join(parts[2:12] + parts[:2] + parts[12:]))
+    straight = media.demux(whole)
+    assert (moved.payload, moved.stamps, moved.faults) == (straight.payload, straight.stamps, []) and text in moved.payload
+
+
+def test_payload_that_no_table_names_is_a_fault():
+    s = read([*tables(), packet(0x101, 0, pes(b"x"), True), packet(0x150, 0, pes(b"lost"), True), packet(0x150, 1, b"more" * 46), packet(0x11, 0, b"service table", True)])
+    assert s.payload == b"x" and s.faults == [(3, "unmapped")]
+    only = read(cut(0x101, pes(DATA, 900)))
+    assert only.payload == b"" and only.faults == [(0, "unmapped")]
+
+
+def test_the_network_pid_is_no_loss():
+    first = packet(0, 0, b"\0" + pat([(0, 0x40), (1, 0x30)]), True)
+    s = read([first, packet(0x30, 0, b"\0" + pmt([(6, 0x101, b"")]), True), packet(0x40, 0, b"\0" + section(0x40, b"abcd"), True), packet(0x101, 0, pes(b"x"), True)])
+    assert s.payload == b"x" and s.faults == []
