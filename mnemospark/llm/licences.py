@@ -15,6 +15,7 @@ running sums bound every block's cosine, and only blocks whose bound exceeds the
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,6 +56,7 @@ TEMPLATES = [
     ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License, version 2.1"),
     ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below."),
     ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("BSD-3-Clause", f"{_BSD}: {_BSD_1} {_BSD_3} {_BSD_END}"),
     ("BSD-2-Clause", f"{_BSD}: {_BSD_1} {_BSD_END}"),
@@ -204,8 +206,50 @@ class Matcher:
         return kind, best, block
 
 
+_WORD = re.compile(rb"[^a-z0-9.]+")
+_GNU = re.compile(rb"(affero |lesser |library )?general public license|free documentation license")
+_VERSION = re.compile(rb"\bv(?:ersion |ersion|\.? ?)([0-9]+(?:\.[0-9]+)*)\b")
+_TAG = re.compile(rb"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]+)")
+#: What a text has to say of itself to have the licence of a family whose members differ in a few words.
+_SELF = {"Apache": re.compile(rb"apache (?:software )?license"), "MPL": re.compile(rb"mozilla public license"), "CC": re.compile(rb"creative ?commons|\bcc by\b")}
+
+
+def settled(name: str, text: bytes) -> str | None:
+    """The member of the family of a matched template that the text names, None if it names none.
+
+    Versions of one family share hundreds of words, so the cosine cannot tell them apart. The first naming of the family in the text and the
+    first version behind it do (or before it, if none follows); without a version the name of the family alone is given.
+    """
+    family = name.split("-")[0]
+    if family not in ("GPL", "LGPL", "AGPL", *_SELF):
+        return name
+    words = _WORD.sub(b" ", text.lower())
+    found = (_SELF.get(family) or _GNU).search(words)
+    if not found:
+        return None
+    if family == "CC":
+        return name
+    if family not in _SELF:
+        kind = found[1] or (b"" if b"public" in found[0] else b"free")
+        family = {b"": "GPL", b"affero ": "AGPL", b"lesser ": "LGPL", b"library ": "LGPL", b"free": "GFDL"}[kind]
+    version = _VERSION.search(words, found.end()) or _VERSION.search(words)
+    if not version:
+        return family
+    number = version[1].decode()
+    return f"{family}-{number if '.' in number else number + '.0'}"
+
+
+def tags(raw: np.ndarray, at: np.ndarray) -> dict[int, str]:
+    """The first SPDX tag of each text that has one."""
+    out: dict[int, str] = {}
+    for m in _TAG.finditer(raw.tobytes()):
+        out.setdefault(int(np.searchsorted(at, m.start(), side="right")) - 1, m[1].decode().rstrip("."))
+    return out
+
+
 def best_matches(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """The columns id, path, k1, k2 of ``files`` with licence, cosine and scope (block or file) of the best match."""
+    """The columns id, path, k1, k2 of ``files`` with licence, cosine and scope (tag, block or file) of the best match, and whether it is the file's
+    ``own``: a tag, or a match that reaches the threshold and that the text bears out."""
     common.small_batches(files.sparkSession)
     vocabulary = Vocabulary(templates)
     matcher = Matcher(vocabulary, *word_files(files, vocabulary), threshold)
@@ -214,23 +258,30 @@ def best_matches(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
         for batch in batches:
             for part, raw, at in common.slices(batch):
                 kind, best, block = matcher.match(raw, at)
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(4)), pa.array([vocabulary.names[k] for k in kind]), pa.array(best), pa.array(np.where(block, "block", "file").tolist())], names=["id", "path", "k1", "k2", "licence", "cosine", "scope"])
+                names, scope = [vocabulary.names[k] for k in kind], np.where(block, "block", "file").tolist()
+                for d in np.flatnonzero(best >= threshold):
+                    names[d] = settled(names[d], raw[at[d] : at[d + 1]].tobytes())
+                own = (best >= threshold) & np.array([n is not None for n in names], bool)
+                for d, tag in tags(raw, at).items():
+                    names[d], scope[d], own[d] = tag, "tag", True
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(4)), pa.array(names, pa.string()), pa.array(best), pa.array(scope, pa.string()), pa.array(own)], names=["id", "path", "k1", "k2", "licence", "cosine", "scope", "own"])
 
-    return files.select("id", "path", "k1", "k2", "text").mapInArrow(common.lean(task), "id long, path string, k1 long, k2 long, licence string, cosine double, scope string")
+    return files.select("id", "path", "k1", "k2", "text").mapInArrow(common.lean(task), "id long, path string, k1 long, k2 long, licence string, cosine double, scope string, own boolean")
 
 
 def scan(files: DataFrame, id_col: str = "id", path_col: str = "path", text_col: str = "text", threshold: float = THRESHOLD, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """id, path, licence, cosine, scope, origin (own, inherited or none) and directory of each file.
 
     ``cosine`` is that of the file's own best match: of a block that reaches the threshold, else of the whole file. Equal
-    cosines go to the template that stands first. Where licence files of one
+    cosines go to the template that stands first. Of families with versions the text's own words settle which it is (``settled``), and a
+    text that names another licence than its match has none. An SPDX tag goes before any match. Where licence files of one
     directory disagree, the highest cosine wins, then the first path, then the name of the licence. Null
     and empty texts match nothing but inherit; a null path inherits nothing. Texts of any length are compared whole and
     in all their blocks. Repeated rows give repeated results. Other columns are ignored, whatever their names.
     """
     text = common.text_of(text_col)
     rows = files.select(F.col(id_col).cast("long").alias("id"), F.col(path_col).cast("string").alias("path"), *[c.alias(f"k{k + 1}") for k, c in enumerate(common.row_key(id_col, F.coalesce(F.col(path_col).cast("string"), F.lit(""))))], text.alias("text"))
-    found = common.written(best_matches(rows, templates, threshold).withColumn("own", F.col("cosine") >= threshold))
+    found = common.written(best_matches(rows, templates, threshold))
     parent = F.regexp_replace("path", r"/?[^/]*$", "")
     files_of = found.where("own").where(F.col("path").rlike(LICENCE_FILE)).select(parent.alias("dir"), "licence", "cosine", "path")
     directories = common.written(files_of.groupBy("dir").agg(F.min_by("licence", F.struct(-F.col("cosine"), "path", "licence")).alias("dir_licence")))
