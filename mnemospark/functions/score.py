@@ -30,6 +30,7 @@ def priority(size: Column, canonical: Column, staged_at: Column, as_of: Column)
     return F.greatest(F.lit(1), F.coalesce(size, F.lit(1))) * F.greatest(F.lit(0.1), F.coalesce(canonical, F.lit(0.1))) * age_factor(staged_at, as_of)
 
 
+# Words in a command that make it important, or somewhat.
 HIGH = r"(?i)\b(deploy|release|migrate|rollback|production|secret|credential)\b"
 MEDIUM = r"(?i)\b(config|schema|test|build|install)\b"
 

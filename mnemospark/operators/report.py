@@ -159,8 +159,21 @@ def recall_report(events: DataFrame) -> DataFrame:
 
 
 def failure_flags(episodes: DataFrame, days: int = 14, threshold: int = 3) -> DataFrame:
-    """Failures of a skill in the window up to each of its failures, and whether it is to be flagged."""
+    """Failures of a skill in the window up to each of its failures, and whether it is to be flagged.
+
+    Whole days are summed by day, and seconds count only within the first and the last day, so that a task holds a day of a skill, not all of a hot one.
+    """
     seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
-    window = Window.partitionBy("skill").orderBy("__s").rangeBetween(-days * 86400, 0)
-    out = episodes.where("result = 'failure'").withColumn("__s", seconds).withColumn("recent", F.count(F.lit(1)).over(window))
+    day, second = F.floor(seconds / 86400), F.pmod(seconds, F.lit(86400))
+    failed = episodes.where("result = 'failure'").select("ord", "skill", "pain_score", day.alias("day"), second.alias("second"))
+    # Each failure stands in its own day, and asks the first day of its window what came before its time of day.
+    both = failed.withColumn("own", F.lit(True)).union(failed.select("ord", "skill", "pain_score", F.col("day") - days, "second", F.lit(False)))
+    upto = Window.partitionBy("skill", "day").orderBy("second").rangeBetween(Window.unboundedPreceding, 0)
+    less = Window.partitionBy("skill", "day").orderBy("second").rangeBetween(Window.unboundedPreceding, -1)
+    own = F.count_if(F.col("own"))
+    within = both.select("ord", "skill", "pain_score", F.when(F.col("own"), F.col("day")).otherwise(F.col("day") + days).alias("day"), F.when(F.col("own"), own.over(upto)).otherwise(-own.over(less)).alias("n"))
+    edges = within.groupBy("ord", "skill", "pain_score", "day").agg(F.sum("n").alias("edges"))
+    by_day = Window.partitionBy("skill").orderBy("day").rangeBetween(-days, -1)
+    daily = failed.groupBy("skill", "day").agg(F.count(F.lit(1)).alias("n")).select("skill", "day", F.coalesce(F.sum("n").over(by_day), F.lit(0)).alias("before"))
+    out = edges.join(daily, ["skill", "day"]).withColumn("recent", F.col("edges") + F.col("before"))
     return out.select("ord", "skill", "recent", (F.col("recent") >= threshold).alias("flagged"), F.when(F.col("recent") >= threshold, 10).otherwise(F.col("pain_score")).cast("long").alias("pain"))
