@@ -7,6 +7,7 @@ comes last, and names the version of the claims that goes with it. A dry run doe
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -150,3 +151,12 @@ def consolidate(memory: Memory, events: DataFrame, overrides: DataFrame | None =
     if now != held:
         memory.marks.commit(memory.marks.latest() + 1, now)
     return out
+
+
+def batches(folder: str) -> Callable[[DataFrame, int], None]:
+    """A handler for the batches of a stream, each a run. A batch that comes again after a failure is at or before the watermark, and changes nothing."""
+
+    def handle(batch: DataFrame, number: int) -> None:
+        consolidate(Memory(batch.sparkSession, folder), batch)
+
+    return handle

@@ -9,6 +9,7 @@ from ..operators import claims as C
 from ..operators.runtime import translate
 from ..storage import shared_folder
 from ..streaming import replay, tail
+from .claims import with_claims
 from .registry import query
 from .runtime import runtime_events
 
@@ -43,6 +44,21 @@ def st8_stream(spark, sf):
     return spark.read.parquet(f"{base}/log").select("claim_id")
 
 
+@query("st8_consolidation_stream", with_claims("SELECT claim_id, stance, CASE WHEN stance = 'superseded' THEN winner END AS superseded_by FROM st"))
+def st8_consolidation_stream(spark, sf):
+    """Three periods arrive one after the other, and each batch is a consolidation run; the state is that of the batch."""
+    from ..operators.consolidate import Memory, batches
+
+    o = views.observations(spark, sf).withColumn("schema_version", F.lit(1))
+    base = shared_folder(spark)
+    source, schema = f"{base}/in", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in o.schema)
+    for low, high in ((0, 800_000_000), (800_000_000, 900_000_000), (900_000_000, 10**11)):
+        o.where((F.col("ts") >= low) & (F.col("ts") < high)).write.mode("append").parquet(source)
+        tail.drain(tail.files(spark, source, schema), f"{base}/checkpoint", batches(f"{base}/memory"))
+    rows = Memory(spark, f"{base}/memory").claims.rows()
+    return C.elect(rows.drop("retracted"), rows.where("retracted")).select("claim_id", "stance", "superseded_by")
+
+
 @query("st1_engine_stream")
 def st1_stream(spark, sf):
     """The engine over a stream; its last state is that of the batch replay. Each session's operations come in one file, many sessions in each."""

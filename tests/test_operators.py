@@ -392,3 +392,18 @@ def test_fold_streams_over_batches(spark):
         assert sorted(map(tuple, out.collect())) == [(0, 334, 999), (1, 333, 997), (2, 333, 998)]
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_failures_within_days_to_the_second(spark):
+    """Borders fall on the second, ties count for each other, and a skill's failures of one day may be many."""
+    import random
+    from datetime import datetime, timedelta
+
+    from mnemospark.operators import report
+
+    rng, zero = random.Random(6), datetime(2024, 3, 1, 12, 0, 0)
+    times = [zero + timedelta(days=rng.randrange(8), seconds=rng.choice([-1, 0, 0, 1, 43199, 43200])) for _ in range(120)]
+    rows = [(k, f"s{k % 2}", "failure" if k % 5 else "success", t, 2) for k, t in enumerate(times)]
+    got = {r.ord: r.recent for r in report.failure_flags(spark.createDataFrame(rows, "ord long, skill string, result string, ts timestamp_ntz, pain_score long").repartition(3), days=3).collect()}
+    failed = [r for r in rows if r[2] == "failure"]
+    assert got == {r[0]: sum(o[1] == r[1] and r[3] - timedelta(days=3) <= o[3] <= r[3] for o in failed) for r in failed}
