@@ -12,7 +12,7 @@ from .test_neardup import brute_groups, partition
 def test_stages_in_order_and_registered():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "line dedup", "near-duplicates", "decontamination", "packing"]
     registered = __spark_entry__.queries()
-    assert {f"op{n}_" for n in range(1, 11)} == {k.split("_")[0] + "_" for k in registered if k.startswith("op")} and "pipeline" in registered
+    assert {f"op{n}_" for n in range(1, 14)} == {k.split("_")[0] + "_" for k in registered if k.startswith("op")} and "pipeline" in registered
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
 
 
