@@ -69,80 +69,98 @@ def bags(docs: DataFrame, more: list[str] | None = None) -> DataFrame:
     return written(docs.select(F.col("path").cast("string").alias("path"), text.terms(F.col("body")).alias("bag"), *(more or [])))
 
 
-class Asked:
-    """Queries (qid, query) over documents' bags: numbered, weighted by BM25, and cut into blocks of whole queries."""
-
-    def __init__(self, docs: DataFrame, queries: DataFrame):
-        asked = queries.select("qid", F.explode(text.terms(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
-        wanted = asked.select("term").distinct()
-        df = docs.select(F.explode(F.array_distinct("bag")).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        n, self.mean = docs.agg(F.count(F.lit(1)), F.avg(F.size("bag"))).first()
-        idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        self.numbers = written(row_numbers(asked.select("qid").distinct(), ["qid"]))
-        self.weights = written(asked.join(df, "term").join(self.numbers, "qid").select("n", "qid", "term", (F.col("qtf") * idf).alias("w")))
-        most = self.weights.groupBy("n").count().agg(F.max("count"), F.max("n")).first()
-        self.step = max(1, min(BLOCK, BLOCK_TERMS // (most[0] or 1)))
-        self.last = most[1] or 0
-
-    def blocks(self) -> Iterator[tuple[int, int, list]]:
-        """For each block its first number, the number of its queries, and its (number, term, weight)."""
-        for first in range(1, self.last + 1, self.step):
-            rows = self.weights.where(F.col("n").between(first, first + self.step - 1)).select("n", "term", "w").collect()
-            yield first, self.step, rows
-
-
-def scorer(rows: list, first: int, queries: int, mean: float) -> Callable[[pa.Array], Iterator[tuple[int, int, np.ndarray]]]:
-    """A function from bags to (first, last, scores) of some documents at once; -inf where no term is shared."""
-    terms = sorted({r["term"] for r in rows})
-    place = {t: k for k, t in enumerate(terms)}
-    term = np.array([place[r["term"]] for r in rows], np.int64)
-    order = np.argsort(term, kind="stable")
-    query = np.array([r["n"] - first for r in rows], np.int64)[order]
-    weight = np.array([r["w"] for r in rows], float)[order]
-    start = np.searchsorted(term[order], np.arange(len(terms) + 1))
-
-    def scores(bag: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
-        found = pc.fill_null(pc.index_in(bag.flatten(), value_set=pa.array(terms, pa.string())), -1).to_numpy().astype(np.int64)
+class Block:
+    """Some whole queries, numbered from ``first`` on, as arrays: what a task holds of them. Rows are (number, term, weight)."""
+
+    def __init__(self, rows: pa.Table, first: int, queries: int):
+        self.first, self.queries = first, queries
+        terms = pc.unique(rows["term"])
+        self.terms = terms.take(pc.array_sort_indices(terms))
+        term = pc.index_in(rows["term"].combine_chunks(), value_set=self.terms).to_numpy(zero_copy_only=False).astype(np.int64)
+        order = np.lexsort((rows["n"].to_numpy(), term))
+        self.query = (rows["n"].to_numpy() - first)[order].astype(np.int32)
+        self.weight = rows["w"].to_numpy()[order].astype(float)
+        self.start = np.searchsorted(term[order], np.arange(len(self.terms) + 1))
+        self.sizes = np.bincount(self.query, minlength=queries)
+
+    def sums(self, bag: pa.Array, part: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(first, last, sums) of some bags at once: for each query the sum of weight times ``part``, which takes the counts of terms in bags and the bags' sizes."""
+        found = pc.fill_null(pc.index_in(bag.flatten(), value_set=self.terms), -1).to_numpy().astype(np.int64)
         size = pc.fill_null(pc.list_value_length(bag), 0).to_numpy().astype(np.int64)
         doc = np.repeat(np.arange(len(bag)), size)
-        pairs, tf = np.unique(doc[found >= 0] * len(terms) + found[found >= 0], return_counts=True)
-        doc, at = np.divmod(pairs, max(1, len(terms)))
-        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / (mean or 1)))
-        many = start[at + 1] - start[at]
+        pairs, tf = np.unique(doc[found >= 0] * len(self.terms) + found[found >= 0], return_counts=True)
+        doc, at = np.divmod(pairs, max(1, len(self.terms)))
+        parts = part(tf, size[doc])
+        many = self.start[at + 1] - self.start[at]
         for low in range(0, len(bag), ROWS):
             high = min(low + ROWS, len(bag))
             a, b = np.searchsorted(doc, (low, high))
             times = many[a:b]
             upto = np.cumsum(times)
-            spread = np.repeat(start[at[a:b]] - upto + times, times) + np.arange(upto[-1] if len(upto) else 0)
-            cell = np.repeat((doc[a:b] - low) * queries, times) + query[spread]
-            value = np.bincount(cell, np.repeat(part[a:b], times) * weight[spread], minlength=(high - low) * queries)
-            value = np.round(value, 6) + 0.0
-            yield low, high, np.where(value > 0, value, -np.inf).reshape(high - low, queries)
+            spread = np.repeat(self.start[at[a:b]] - upto + times, times) + np.arange(upto[-1] if len(upto) else 0)
+            cell = np.repeat((doc[a:b] - low) * self.queries, times) + self.query[spread]
+            yield low, high, np.bincount(cell, np.repeat(parts[a:b], times) * self.weight[spread], minlength=(high - low) * self.queries).reshape(high - low, self.queries)
 
-    return scores
+    def bm25(self, bag: pa.Array, mean: float) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(first, last, scores) of some documents at once; -inf where no term is shared."""
+        for low, high, value in self.sums(bag, lambda tf, size: tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / (mean or 1)))):
+            value = np.round(value, 6) + 0.0
+            yield low, high, np.where(value > 0, value, -np.inf)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(qid, path, score, rank) of the best ``k`` documents (path, body) for each query (qid, query), by all its terms.
+class Asked:
+    """Terms of queries (qid, term, weight), numbered, and cut into blocks of whole queries.
 
-    Document lengths and frequencies are aggregated over all documents, which are tokenised once.
+    A block holds at most ``BLOCK`` queries, and ``BLOCK_TERMS`` rows or one query. It is cut by the running number of
+    terms, so that a long query makes its own block small and no other.
     """
-    spark, texts = docs.sparkSession, bags(docs)
-    asked, out = Asked(texts, queries), None
-    for first, number, rows in asked.blocks():
-        held = spark.sparkContext.broadcast(rows)
 
-        def task(batches: Iterator[pa.RecordBatch], first=first, number=number, held=held, mean=asked.mean) -> Iterator[pa.RecordBatch]:
-            scores, best = scorer(held.value, first, number, mean), Best(number, k)
+    def __init__(self, terms: DataFrame):
+        self.numbers = written(row_numbers(terms.select("qid").distinct(), ["qid"]))
+        rows = terms.join(self.numbers, "qid").select("n", "term", "w")
+        self.rows = written(rows.repartitionByRange("n").sortWithinPartitions("n"))
+        self.last, self.total = self.rows.agg(F.max("n"), F.count(F.lit(1))).first()
+        self.several = bool(self.last) and (self.last > BLOCK or self.total > BLOCK_TERMS)
+
+    def blocks(self) -> Iterator[Block]:
+        first = 1
+        while first <= (self.last or 0):
+            some = self.rows.where(F.col("n").between(first, first + BLOCK - 1))
+            sizes = np.zeros(min(BLOCK, self.last - first + 1), np.int64)
+            for n, size in some.groupBy("n").count().collect():  # a row a query of the block
+                sizes[n - first] = size
+            number = max(1, int(np.searchsorted(np.cumsum(sizes), BLOCK_TERMS, "right")))
+            yield Block(some.where(F.col("n") < first + number).toArrow(), first, number)
+            first += number
+
+
+def weighed(docs: DataFrame, queries: DataFrame) -> tuple[Asked, float]:
+    """The terms of queries (qid, query) with their BM25 weights over documents' bags, and the mean size of a bag."""
+    asked = queries.select("qid", F.explode(text.terms(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    wanted = asked.select("term").distinct()
+    df = docs.select(F.explode(F.array_distinct("bag")).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n, mean = docs.agg(F.count(F.lit(1)), F.avg(F.size("bag"))).first()
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return Asked(asked.join(df, "term").select("qid", "term", (F.col("qtf") * idf).alias("w"))), mean
+
+
+def best_of_blocks(rows: DataFrame, asked: Asked, k: int, scores: Callable[[Block, pa.RecordBatch], Iterator[tuple[int, int, np.ndarray]]]) -> DataFrame:
+    """(qid, path, score, rank) of the best ``k`` rows for each query. ``scores`` gives those of some rows of a batch, whose first column is the path."""
+    spark, out = rows.sparkSession, None
+    for block in asked.blocks():
+        held = spark.sparkContext.broadcast(block)
+
+        def task(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            block = held.value
+            best = Best(block.queries, k)
             for batch in batches:
                 paths = np.array(batch.column(0).to_pylist(), dtype=object)
-                for low, high, value in scores(batch.column(1)):
+                for low, high, value in scores(block, batch):
                     best.take(value, paths[low:high])
-            yield best.batch(first)
+            yield best.batch(block.first)
 
-        part = texts.select("path", "bag").mapInArrow(task, "n long, path string, score double")
-        if asked.last > asked.step:  # one block's queries go before the next one's come
+        part = rows.mapInArrow(task, "n long, path string, score double")
+        if asked.several:  # one block's queries go before the next one's come
             part = written(ranked(part, "n", k).drop("rank"))
             held.unpersist()
         out = part if out is None else out.union(part)
@@ -151,6 +169,41 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return ranked(out.join(asked.numbers, "n").select("qid", "path", "score"), k=k)
 
 
+def overlap(docs: DataFrame, queries: DataFrame, k: int, jaccard: bool = False, least: float = 0.0, boost: float = 0.0, most: float = 0.0) -> DataFrame:
+    """(qid, path, score, rank) of the best ``k`` documents (path, words, and tags if there is a boost) for each query (qid, words), by words in common.
+
+    Words are sets. The score is the number of common words or, with ``jaccard``, its share of both sets' union, plus ``boost`` for each of
+    the document's tags among the query's words, ``most`` at the utmost. Documents without a common word, or of a score below ``least``, are no hits.
+    Null or empty sets have none. Frequent words cost no rows: sets are met in blocks of queries, and a task hands on its best.
+    """
+    tags = ["tags"] if boost else []
+    asked = Asked(queries.select("qid", F.explode(F.array_distinct("words")).alias("term"), F.lit(1.0).alias("w")))
+    rows = docs.select(F.col("path").cast("string").alias("path"), F.array_distinct("words").alias("words"), *[F.array_distinct(t).alias(t) for t in tags])
+
+    def scores(block: Block, batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
+        one = lambda tf, size: np.ones(len(tf))
+        sizes = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy().astype(np.int64)
+        marks = block.sums(batch.column(2), one) if boost else None
+        for low, high, common in block.sums(batch.column(1), one):
+            value = common / np.maximum(sizes[low:high, None] + block.sizes[None, :] - common, 1) if jaccard else common
+            if boost:
+                value = value + np.minimum(most, boost * next(marks)[2])
+            value = np.floor(value * 1e6 + 0.5) / 1e6  # halves go up, as SQL rounds them: shares such as 1/128 have them
+            yield low, high, np.where((common > 0) & (value >= least), value, -np.inf)
+
+    return best_of_blocks(rows, asked, k, scores)
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(qid, path, score, rank) of the best ``k`` documents (path, body) for each query (qid, query), by all its terms.
+
+    Document lengths and frequencies are aggregated over all documents, which are tokenised once.
+    """
+    texts = bags(docs)
+    asked, mean = weighed(texts, queries)
+    return best_of_blocks(texts.select("path", "bag"), asked, k, lambda block, batch: block.bm25(batch.column(1), mean))
+
+
 def standing(docs: DataFrame, queries: DataFrame, support: DataFrame, size: Column) -> DataFrame:
     """(qid, best, depth) for the queries of ``support`` (qid, path): the rank of the best supporting document among all, and the sum of
     ``size`` up to it; null if it is no hit.
@@ -158,31 +211,29 @@ def standing(docs: DataFrame, queries: DataFrame, support: DataFrame, size: Colu
     Ranks are counted, not sorted: supporting documents are scored first, then the documents before the best of them.
     """
     spark, texts = docs.sparkSession, bags(docs, [size.cast("long").alias("size")])
-    asked, out = Asked(texts, queries), None
-    for first, number, rows in asked.blocks():
-        held = spark.sparkContext.broadcast(rows)
+    (asked, mean), out = weighed(texts, queries), None
+    for block in asked.blocks():
+        first, number, held = block.first, block.queries, spark.sparkContext.broadcast(block)
         mine = support.select("qid", "path").distinct().join(asked.numbers.where(F.col("n").between(first, first + number - 1)), "qid")
 
-        def own(batches: Iterator[pa.RecordBatch], first=first, number=number, held=held, mean=asked.mean) -> Iterator[pa.RecordBatch]:
-            scores = scorer(held.value, first, number, mean)
+        def own(batches: Iterator[pa.RecordBatch], first=first, held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 n = batch.column(3).to_numpy() - first
-                value = np.concatenate([v[np.arange(high - low), n[low:high]] for low, high, v in scores(batch.column(1))])
+                value = np.concatenate([v[np.arange(high - low), n[low:high]] for low, high, v in held.value.bm25(batch.column(1), mean)])
                 yield pa.RecordBatch.from_arrays([batch.column(3), batch.column(0), batch.column(2), pa.array(value)], names=["n", "path", "size", "score"])
 
         scored = texts.join(mine.select("n", "path"), "path").select("path", "bag", "size", "n").mapInArrow(own, "n long, path string, size long, score double").where("score > 0")
         top = [tuple(r) for r in scored.groupBy("n").agg(F.min_by(F.struct("score", "path", "size"), F.struct(-F.col("score"), "path")).alias("b")).select("n", "b.*").collect()]  # a row a query of the block
         marks = spark.sparkContext.broadcast(top)
 
-        def before(batches: Iterator[pa.RecordBatch], first=first, number=number, held=held, marks=marks, mean=asked.mean) -> Iterator[pa.RecordBatch]:
-            scores = scorer(held.value, first, number, mean)
+        def before(batches: Iterator[pa.RecordBatch], first=first, held=held, marks=marks) -> Iterator[pa.RecordBatch]:
             known = sorted(marks.value)
             at = np.array([n - first for n, *_ in known], np.int64)
             mark, name = np.array([s for _, s, *_ in known]), np.array([p for _, _, p, _ in known], dtype=object)
             count, depth = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
             for batch in batches:
                 paths, sizes = np.array(batch.column(0).to_pylist(), dtype=object), batch.column(2).to_numpy()
-                for low, high, value in scores(batch.column(1)) if len(at) else ():
+                for low, high, value in held.value.bm25(batch.column(1), mean) if len(at) else ():
                     value = value[:, at]
                     ahead = value > mark
                     for d, q in zip(*np.nonzero(value == mark)):

@@ -290,15 +290,10 @@ p AS (SELECT qid, doc_id, count(*) AS c FROM (SELECT qid, unnest(t) AS w FROM q)
 s AS (SELECT qid, CAST(doc_id AS VARCHAR) AS path, round(c / CAST(len(q.t) + len(d.t) - c AS DOUBLE) + least(0.6, 0.2 * len(list_intersect(q.t, tags))), 6) AS score FROM p JOIN q USING (qid) JOIN d USING (doc_id))
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, path) AS rank FROM s WHERE score >= 0.02) WHERE rank <= 5""")
 def t8(spark, sf):
-    """Overlap by joining tokens; sizes come along, so that only pairs with a common token are met."""
-    q = views.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), text.prompt_tokens(F.col("text")).alias("q"))
-    d = views.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), text.prompt_tokens(F.col("text")).alias("d"), F.array("lang", "source").alias("tags"))
-    left = q.select("qid", F.size("q").alias("nq"), "q", F.explode("q").alias("w"))
-    right = d.select("path", F.size("d").alias("nd"), "tags", F.explode("d").alias("w"))
-    pairs = left.drop("q").join(right, "w").groupBy("qid", "path", "nq", "nd", "tags").agg(F.count(F.lit(1)).alias("c"))
-    boost = F.least(F.lit(0.6), 0.2 * F.size(F.array_intersect("q", "tags")))
-    scored = pairs.join(q, "qid").select("qid", "path", F.round(F.col("c") / (F.col("nq") + F.col("nd") - F.col("c")) + boost, 6).alias("score")).where("score >= 0.02")
-    return O.ranked(scored, k=5)
+    """Jaccard similarity of token sets plus a boost by tags; all documents meet all items in blocks, and no pair becomes a row."""
+    q = views.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), text.prompt_tokens(F.col("text")).alias("words"))
+    d = views.spread(views.table(spark, sf, "documents")).select(F.col("doc_id").alias("path"), text.prompt_tokens(F.col("text")).alias("words"), F.array("lang", "source").alias("tags"))
+    return O.overlap(d, q, 5, jaccard=True, least=0.02, boost=0.2, most=0.6)
 
 
 @query("t9_context_block", bm("SELECT qid, substr(string_agg(part, chr(10) ORDER BY rank), 1, 800) AS block FROM (SELECT qid, rank, part, sum(length(part)) OVER (PARTITION BY qid ORDER BY rank ROWS UNBOUNDED PRECEDING) AS upto FROM (SELECT qid, rank, substr(body, 1, 300) AS part FROM bm JOIN md USING (path) WHERE rank <= 5)) WHERE upto <= 800 OR rank = 1 GROUP BY 1"))
@@ -318,9 +313,11 @@ OVER = "list_distinct(list_filter(regexp_split_to_array(translate(lower({0}), '/
 @query("t11_overlap_baseline", f"""WITH q AS (SELECT item_id AS qid, unnest({OVER.format('text')}) AS w FROM benchmark), d AS (SELECT doc_id, unnest({OVER.format('text')}) AS w FROM documents)
 SELECT qid, path, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, path) AS rank FROM (SELECT qid, CAST(doc_id AS VARCHAR) AS path, count(*) AS score FROM q JOIN d USING (w) GROUP BY 1, 2)) WHERE rank <= 5""")
 def t11(spark, sf):
-    q = views.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.explode(F.array_distinct(text.overlap_words(F.col("text")))).alias("w"))
-    d = views.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.explode(F.array_distinct(text.overlap_words(F.col("text")))).alias("w"))
-    return O.ranked(q.join(d, "w").groupBy("qid", "path").agg(F.count(F.lit(1)).alias("score")), k=5)
+    """The number of common words. There is no stop list, so most documents share words with most items; they are met in blocks."""
+    words = text.overlap_words(F.col("text")).alias("words")
+    q = views.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), words)
+    d = views.spread(views.table(spark, sf, "documents")).select(F.col("doc_id").alias("path"), words)
+    return O.overlap(d, q, 5).withColumn("score", F.col("score").cast("long"))
 
 
 @query("sk7_changed_set", "SELECT doc_id, CASE WHEN o.id IS NULL THEN 'insert' ELSE 'update' END AS op FROM documents d LEFT JOIN (SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN n_chars + 1 ELSE n_chars END AS mtime FROM documents WHERE doc_id % 5 <> 0) o ON o.id = d.doc_id WHERE o.id IS NULL OR o.mtime <> d.n_chars")

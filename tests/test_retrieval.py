@@ -86,3 +86,39 @@ def test_vectors_with_ties(spark, monkeypatch, block, rows):
     want = {(k, n + 1): p for k, v in queries for n, (_, p) in enumerate(sorted((-(round(float(unit[p] @ unit[f"v{k:02d}"]), 6) + 0.0), p) for p in unit)[:7])}
     got = retrieval.dense(spark.createDataFrame(vectors, "path string, embedding array<double>").repartition(3), spark.createDataFrame(queries, "qid long, embedding array<double>"), 7)
     assert {(r.qid, r["rank"]): r.path for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("block, pairs, rows", [(4096, 10**6, 256), (3, 10**6, 7), (4096, 30, 4)])
+@pytest.mark.parametrize("jaccard", [False, True])
+def test_overlap(spark, monkeypatch, block, pairs, rows, jaccard):
+    for name, value in (("BLOCK", block), ("BLOCK_TERMS", pairs), ("ROWS", rows)):
+        monkeypatch.setattr(retrieval, name, value)
+    rng = random.Random(6)
+    words = ["the", *[f"w{k}" for k in range(30)], "\u00e9t\u00e9", "e\u0301"]
+    bag = lambda: ["the"] * rng.randrange(3) + rng.choices(words, k=rng.randrange(9))
+    docs = [(f"d{k:03d}", bag(), [rng.choice(words), "w1", "w1"]) for k in range(80)] + [("null", None, None), ("empty", [], ["w2"])]
+    queries = [(k, bag()) for k in range(20)] + [(30, None), (31, ["unheard"]), (32, words * 3)]
+    want = set()
+    for q, x in queries:
+        found = []
+        for p, y, tags in docs:
+            common, union = len(set(x or ()) & set(y or ())), len(set(x or ()) | set(y or ()))
+            score = round((common / union if jaccard else common) + min(0.5, 0.3 * len(set(x or ()) & set(tags or ()))), 6) if common else 0.0
+            if common and score >= 0.1:
+                found.append((-score, p))
+        want |= {(q, p, -s, n) for n, (s, p) in enumerate(sorted(found)[:4], 1)}
+    d = spark.createDataFrame(docs, "path string, words array<string>, tags array<string>").repartition(3)
+    q = spark.createDataFrame(queries, "qid long, words array<string>")
+    got = [tuple(r) for r in retrieval.overlap(d, q, 4, jaccard, least=0.1, boost=0.3, most=0.5).select("qid", "path", "score", "rank").collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert retrieval.overlap(d, q.limit(0), 4).count() == 0 and retrieval.overlap(d.limit(0), q, 4).count() == 0
+
+
+def test_a_long_query_makes_only_its_own_block_small(spark, monkeypatch):
+    """Blocks are cut by the running number of terms; every row is in one of them."""
+    monkeypatch.setattr(retrieval, "BLOCK_TERMS", 100)
+    sizes = [3] * 10 + [250] + [3] * 40
+    terms = spark.createDataFrame([(q, f"t{k}", 1.0) for q, n in enumerate(sizes) for k in range(n)], "qid long, term string, w double")
+    blocks = list(retrieval.Asked(terms).blocks())
+    assert [b.queries for b in blocks] == [10, 1, 33, 7] and [b.first for b in blocks] == [1, 11, 12, 45]
+    assert [int(b.sizes.sum()) for b in blocks] == [30, 250, 99, 21]
