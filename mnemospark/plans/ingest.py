@@ -130,6 +130,17 @@ def j9(spark, sf):
     return c.join(named, F.col("conv_id") == F.col("s").try_cast("long")).select(F.col("conv_id").alias("session_id"), "doc_id").distinct()
 
 
+@query("j9_top_digests", """SELECT session_id, digest, digests FROM (SELECT conv_id AS session_id, 'digest-' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || '.md' AS digest, count(*) OVER (PARTITION BY conv_id) AS digests, row_number() OVER (PARTITION BY conv_id ORDER BY doc_id) AS place
+  FROM (SELECT DISTINCT conv_id FROM conversations) c JOIN documents d ON d.doc_id % (SELECT count(DISTINCT conv_id) FROM conversations) = c.conv_id) WHERE place <= 3""")
+def j9_top(spark, sf):
+    """The first three digests of each session by name, and how many it has. Sessions' ids stand in the digests' names here; documents are dealt to sessions in turn."""
+    c = views.table(spark, sf, "conversations").select("conv_id").distinct()
+    n = c.agg(F.count(F.lit(1)).alias("n"))  # one row
+    d = views.table(spark, sf, "documents").join(F.broadcast(n)).select(F.col("doc_id"), F.concat(F.lit("session-"), F.col("doc_id") % F.col("n"), F.lit(" of ")).alias("line"))
+    named = d.select(F.format_string("digest-%08d.md", "doc_id").alias("digest"), F.regexp_extract("line", r"session-(\d+) ", 1).try_cast("long").alias("conv_id"))
+    return transcripts.first_digests(c.join(named, "conv_id").select(F.col("conv_id").alias("session_id"), "digest"), 3)
+
+
 @query("j10_rule_join", views.with_views("ep", "SELECT ord, coalesce(min_by(cat, r.k), 'none') AS category FROM ep LEFT JOIN (VALUES (1, 9, 'top'), (2, 6, 'mid'), (3, 3, 'low')) r(k, least, cat) ON importance >= least GROUP BY ord"))
 def j10(spark, sf):
     """Rules in a table: three rows, broadcast; the first that fits by its place."""

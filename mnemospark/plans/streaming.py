@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from .. import views
 from ..operators import claims as C
 from ..operators.runtime import translate
+from ..sources import jsonl, lines, transcripts
 from ..storage import shared_folder
 from ..streaming import replay, tail
 from .claims import with_claims
-from .registry import query
+from .ingest import records
+from .registry import ORACLES, query
 from .runtime import runtime_events
 
 EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
@@ -33,6 +35,66 @@ def sc13(spark, sf):
     return spark.read.parquet(f"{base}/out")
 
 
+@query("sc13_byte_tail", "SELECT event_id, event_type FROM events")
+def sc13_bytes(spark, sf):
+    """The events as a log of JSON lines that grows twice. A batch reads the bytes that came since; a line's file and first byte are its key, so a batch that comes twice adds nothing."""
+    e = views.table(spark, sf, "events").select("event_id", "event_type")
+    source, base = f"{shared_folder(spark)}/log", shared_folder(spark)
+    keyed = F.concat_ws(":", "file", F.col("offset").cast("string")).alias("at")
+    for part in (0, 1):
+        jsonl.append(e.where(F.col("event_id") % 2 == part), source)
+        tail.drain(lines.stream(spark, source, pattern="*.json").select(keyed, "line"), f"{base}/checkpoint", tail.append_new(f"{base}/out", "at"))
+    return jsonl.read(spark.read.parquet(f"{base}/out"), "event_id long, event_type string")
+
+
+@query("j2_pair_stream", ORACLES["j2_tool_pairs"] + """
+UNION ALL SELECT conv_id, 't' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR), 'unanswered' FROM conversations a WHERE role = 'assistant' AND turn % 4 <> 3 AND conv_id % 5 <> 0
+  AND NOT EXISTS (SELECT 1 FROM conversations u WHERE u.conv_id = a.conv_id AND u.turn = a.turn + 1 AND u.role = 'user')""")
+def j2_stream(spark, sf):
+    """Calls and results arrive as a stream and are paired within ten minutes; calls that nobody answers come out once the watermark has passed them."""
+    r = records(spark, sf).where("session_id % 5 <> 0").withColumn("record", F.col("record").withField("sessionId", F.col("session_id").cast("string")))
+    source, base = copied(spark, r, 4), shared_folder(spark)
+    # What the log holds last moves the watermark past all that came before.
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in r.schema)
+    when = F.to_timestamp("record.timestamp")
+
+    def keep(batch, number):
+        batch.write.mode("append").parquet(f"{base}/out")
+
+    late = r.limit(1).withColumn("session_id", F.lit(-1).cast("long")).withColumn("record", F.col("record").withField("timestamp", F.lit("2024-01-02T00:00:00Z")))
+    late.write.mode("append").parquet(source)
+    tail.drain(transcripts.paired(tail.files(spark, source, schema, per_batch=100), when, "10 minutes"), f"{base}/checkpoint", keep)
+    return spark.read.parquet(f"{base}/out").where("session_id >= 0").select("session_id", "id", "result")
+
+
+def repeated_log(spark, sf):
+    """A folder of the events, which come in three parts: the first half, all of them, and the second half again."""
+    e = views.table(spark, sf, "events")
+    source = f"{shared_folder(spark)}/in"
+    for part in ("event_id % 2 = 0", "true", "event_id % 2 = 1"):
+        e.where(part).write.mode("append").parquet(source)
+        yield source
+
+
+@query("j12_seen_stream", "SELECT event_id, event_type FROM events")
+def j12_stream(spark, sf):
+    """Events that were seen in any batch before are dropped by the state of the stream; what was written is never read again."""
+    base = shared_folder(spark)
+    for source in repeated_log(spark, sf):
+        tail.drain(tail.deduplicated(tail.files(spark, source, EVENTS), "event_id"), f"{base}/checkpoint", tail.append_once(f"{base}/out"))
+    return spark.read.parquet(f"{base}/out").select("event_id", "event_type")
+
+
+@query("j12_seen_within", "SELECT event_id, event_type FROM events")
+def j12_within(spark, sf):
+    """As ``j12_seen_stream``, with keys kept for forty days of event time, which is longer than the events' span."""
+    base = shared_folder(spark)
+    for source in repeated_log(spark, sf):
+        rows = tail.files(spark, source, EVENTS).withColumn("at", F.col("ts").cast("timestamp"))
+        tail.drain(tail.deduplicated(rows, "event_id", "at", "40 days"), f"{base}/checkpoint", tail.append_once(f"{base}/out"))
+    return spark.read.parquet(f"{base}/out").select("event_id", "event_type")
+
+
 @query("st8_claim_stream", views.with_views("ob", "SELECT sha256(topic_key || chr(0) || claim_subject || chr(0) || event_id) AS claim_id FROM ob WHERE kind <> 'tombstone-deleted'"))
 def st8_stream(spark, sf):
     """Observations arrive as files; each batch's claims are appended to the log, once."""

@@ -39,17 +39,51 @@ def sessions(records: DataFrame) -> DataFrame:
     return heads.join(said, "session_id")
 
 
+def calls_and_results(records: DataFrame, *more: Column) -> tuple[DataFrame, DataFrame]:
+    """(session_id, id, tool, used) of calls that tell something, and (session_id, id, failed, got) of results; ``used`` and ``got`` are places."""
+    b = records.select("session_id", "ord", *more, F.col("record.type").alias("kind"), F.posexplode(blocks(F.col("record.message.content"))).alias("pos", "b"))
+    at, kept = F.struct("ord", "pos"), [c for c in b.columns if c not in ("session_id", "ord", "kind", "pos", "b")]
+    uses = b.where("kind = 'assistant' and b.type = 'tool_use'").where(~F.col("b.name").isin(LOW_SIGNAL)).select("session_id", F.col("b.id").alias("id"), F.col("b.name").alias("tool"), at.alias("used"), *kept)
+    results = b.where("kind = 'user' and b.type = 'tool_result'").select("session_id", F.col("b.tool_use_id").alias("id"), F.coalesce("b.is_error", F.lit(False)).alias("failed"), at.alias("got"), *kept)
+    return uses, results
+
+
+def paired(records: DataFrame, when: Column, within: str) -> DataFrame:
+    """``tool_pairs`` of a stream: (session_id, id, tool, result), a row as soon as a call's result comes; "unanswered" if none came ``within`` the interval.
+
+    Calls and results are joined on session and id with watermarks on ``when``, their event times. So state holds what is younger than the
+    interval, and a call's failure to be answered is known once the watermark passes it. Of repeats of an id in a session the first call and the first
+    result to arrive within the interval count. Rows later than the watermark are dropped, and rows without a time are none.
+    """
+    # All records move the watermark, not those alone that call or answer.
+    uses, results = calls_and_results(records.withColumn("__when", when).withWatermark("__when", within), F.col("__when").alias("when"))
+    once = lambda rows: rows.dropDuplicatesWithinWatermark(["session_id", "id"])
+    uses, results = once(uses).alias("u"), once(results).alias("r")
+    same = (F.col("u.session_id") == F.col("r.session_id")) & (F.col("u.id") == F.col("r.id")) & (F.col("u.used") < F.col("r.got"))
+    near = (F.col("r.when") >= F.col("u.when")) & (F.col("r.when") <= F.col("u.when") + F.expr(f"INTERVAL {within}"))
+    result = F.when(F.col("r.id").isNull(), "unanswered").when(F.col("r.failed"), "failure").otherwise("success")
+    return uses.join(results, same & near, "left").select("u.session_id", "u.id", "u.tool", result.alias("result"))
+
+
 def tool_pairs(records: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """Tool calls with the first result that follows, by id within a session; calls of low signal and ids in ``seen`` are left out."""
-    b = records.select("session_id", "ord", F.col("record.type").alias("kind"), F.posexplode(blocks(F.col("record.message.content"))).alias("pos", "b"))
-    at = F.struct("ord", "pos")
-    uses = b.where("kind = 'assistant' and b.type = 'tool_use'").where(~F.col("b.name").isin(LOW_SIGNAL)).select("session_id", F.col("b.id").alias("id"), F.col("b.name").alias("tool"), at.alias("used"))
-    results = b.where("kind = 'user' and b.type = 'tool_result'").select("session_id", F.col("b.tool_use_id").alias("id"), F.coalesce("b.is_error", F.lit(False)).alias("failed"), at.alias("got"))
+    uses, results = calls_and_results(records)
     pairs = uses.join(results, ["session_id", "id"]).where(F.col("used") < F.col("got"))
     first = pairs.groupBy("session_id", "id").agg(F.min_by(F.struct("tool", "failed"), F.struct("got", "used")).alias("p")).select("session_id", "id", "p.tool", F.when(F.col("p.failed"), "failure").otherwise("success").alias("result"))
     return first if seen is None else first.join(seen, "id", "left_anti")
 
 
+def first_digests(digests: DataFrame, k: int) -> DataFrame:
+    """(session_id, digest, digests): the first ``k`` digests of each session by name, and how many it has.
+
+    Of a session's digests, each task hands on its first ``k`` and a count: a session with many gathers no list. Repeats count once.
+    """
+    rows = digests.select("session_id", "digest").distinct()
+    many = rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("digests"))
+    first = rows.withColumn("place", F.row_number().over(Window.partitionBy("session_id").orderBy("digest"))).where(F.col("place") <= k)
+    return first.join(many, "session_id").select("session_id", "digest", "digests")
+
+
 def history_time(ts: Column) -> Column:
     """Seconds or, from a trillion on, milliseconds."""
     return F.timestamp_seconds(F.when(ts >= 1e12, ts / 1000).otherwise(ts))

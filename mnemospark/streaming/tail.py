@@ -37,9 +37,28 @@ def append_new(target: str, key: str) -> Callable[[DataFrame, int], None]:
     return handle
 
 
-def deduplicated(stream: DataFrame, key: str, time: str, late: str = "10 minutes") -> DataFrame:
-    """Drops repeats of a key that come within the watermark; state beyond it is dropped."""
-    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
+def append_once(target: str) -> Callable[[DataFrame, int], None]:
+    """A handler that writes each batch to a folder of its own, ``batch=N``: one that comes twice takes its own place, and what is there is never read.
+
+    Meant behind ``deduplicated``, whose state knows the keys already. Readers find the number as a column, ``batch``; an empty batch writes nothing.
+    """
+
+    def handle(batch: DataFrame, number: int) -> None:
+        if not batch.isEmpty():
+            batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    return handle
+
+
+def deduplicated(stream: DataFrame, key: str, time: str | None = None, late: str = "10 minutes") -> DataFrame:
+    """Drops rows whose key was there before; the first to arrive stays, and null is a key as any other.
+
+    Keys are kept by the state store, dealt by their hash, so a batch touches its own keys and rereads no table. With ``time``, keys are
+    forgotten when the watermark has passed them by ``late``, which bounds the state: rows later than that are dropped, and repeats are found
+    within it. Without it the result is exact for good and the state has a row for each key; sessions whose keys outgrow executors'
+    memory name RocksDB as ``spark.sql.streaming.stateStore.providerClass``.
+    """
+    return stream.dropDuplicates([key]) if time is None else stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
 def windowed_counts(stream: DataFrame, time: str, size: str, late: str, by: list[str]) -> DataFrame:
