@@ -67,6 +67,31 @@ def j2_stream(spark, sf):
     return spark.read.parquet(f"{base}/out").where("session_id >= 0").select("session_id", "id", "result")
 
 
+def transcript_files(spark, sf):
+    """The conversations as transcript files of JSON lines, a session whole in one file and in order, with blank and broken lines between."""
+    path = f"{shared_folder(spark)}/transcripts"
+    line = F.explode(F.when(F.col("ord") % 3 == 0, F.array(F.to_json("record"), F.lit(" "), F.lit('{"type": "us'))).otherwise(F.array(F.to_json("record"))))
+    records(spark, sf).repartition("session_id").sortWithinPartitions("session_id", "ord").select(line.alias("value")).write.text(path)
+    return path
+
+
+@query("sc11_session_files", ORACLES["sc11_sessions"])
+def sc11_files(spark, sf):
+    """``sc11_sessions`` over files: read in ranges of bytes, parsed, and ordered by places in the files."""
+    found = transcripts.sessions(transcripts.from_lines(lines.read(spark, transcript_files(spark, sf), pattern="*.txt")))
+    return found.select(F.col("session_id").cast("long").alias("session_id"), "cwd", "model", "messages", "tokens", "started_at", "ended_at")
+
+
+@query("j2_pair_files", ORACLES["j2_tool_pairs"])
+def j2_files(spark, sf):
+    """``j2_tool_pairs`` over files that a stream tails by their bytes; answered calls alone."""
+    base, source = shared_folder(spark), transcript_files(spark, sf)
+    pairs = transcripts.paired(transcripts.from_lines(lines.stream(spark, source, pattern="*.txt")), F.to_timestamp("record.timestamp"), "10 minutes")
+    tail.drain(pairs, f"{base}/checkpoint", tail.append_once(f"{base}/out"))
+    found = spark.read.parquet(f"{base}/out").where("result <> 'unanswered'")
+    return found.select(F.col("session_id").cast("long").alias("session_id"), "id", "result").where("session_id % 5 <> 0")
+
+
 def repeated_log(spark, sf):
     """A folder of the events, which come in three parts: the first half, all of them, and the second half again."""
     e = views.table(spark, sf, "events")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import jsonl
+
 #: Record types without conversation, and tools whose calls tell nothing.
 SKIPPED = ["file-history-snapshot", "permission-mode", "attachment", "queue-operation", "last-prompt", "ai-title", "pr-link", "agent-name", "system"]
 LOW_SIGNAL = ["TodoWrite", "ToolSearch"]
@@ -12,6 +14,16 @@ BLOCK = "struct<type:string,text:string,thinking:string,id:string,name:string,to
 RECORD = f"type string, timestamp string, sessionId string, cwd string, gitBranch string, message struct<role:string,model:string,content:string>"
 
 
+def from_lines(lines: DataFrame) -> DataFrame:
+    """(session_id, ord, record) of lines (file, offset, line), as ``lines.read`` and ``lines.stream`` give them of transcript files.
+
+    A record's place is its line's first byte. A record without a session's id belongs to the session that its file is named after. Content may be
+    text or nested blocks. Blank lines and lines that hold no object are left out.
+    """
+    name = F.regexp_extract("file", r"([^/]+?)(?:\.[^./]*)?$", 1)
+    return jsonl.parse(lines, RECORD).where("status = 'ok'").select(F.coalesce("record.sessionId", name).alias("session_id"), F.col("offset").alias("ord"), "record")
+
+
 def blocks(content: Column) -> Column:
     """A message's content as blocks; plain text is one text block."""
     listed = F.from_json(content, f"array<{BLOCK}>")

@@ -2,9 +2,10 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from mnemospark.sources import transcripts
+from mnemospark.sources import lines, transcripts
 from mnemospark.storage import shared_folder
 from mnemospark.streaming import tail
 
@@ -77,3 +78,20 @@ def test_first_digests(spark):
     got = transcripts.first_digests(spark.createDataFrame(rows, "session_id long, digest string"), 3)
     assert sorted(tuple(r) for r in got.collect()) == [(1, "d00", 30), (1, "d01", 30), (1, "d02", 30), (2, "y", 2), (2, "z", 2)]
     assert transcripts.first_digests(got.limit(0).select("session_id", "digest"), 3).count() == 0
+
+
+@pytest.mark.parametrize("split", [7, 1 << 20])
+def test_transcript_files(spark, tmp_path, split):
+    """Nested and plain content, a session named by its file, broken and half-written lines; bytes are cut anywhere."""
+    rows = [
+        {"type": "user", "timestamp": "t1", "cwd": "/w", "message": {"role": "user", "content": "h\u00e9llo"}},
+        {"type": "assistant", "timestamp": "t2", "message": {"role": "assistant", "model": "m", "content": [{"type": "text", "text": "so"}, {"type": "tool_use", "id": "a", "name": "Bash", "input": {"x": [1]}}]}},
+        {"type": "user", "timestamp": "t3", "message": {"role": "user", "content": [{"type": "tool_result", "tool_use_id": "a", "content": "out"}]}},
+        {"type": "user", "timestamp": "t4", "sessionId": "other", "message": {"role": "user", "content": "x"}},
+    ]
+    text = "".join(json.dumps(r, ensure_ascii=False) + "\n\n{broken\n" for r in rows) + json.dumps(rows[0])
+    (tmp_path / "s1.jsonl").write_text(text, encoding="utf-8")
+    found = transcripts.from_lines(lines.read(spark, f"file://{tmp_path}", splitBytes=split))
+    assert [(r.session_id, r.record.timestamp) for r in found.orderBy("ord").collect()] == [("s1", "t1"), ("s1", "t2"), ("s1", "t3"), ("other", "t4")]
+    assert [(r.role, r.text, r.tool_calls) for r in transcripts.messages(found).orderBy("ord").collect()] == [("user", "h\u00e9llo", 0), ("assistant", "so", 1), ("user", "out", 0), ("user", "x", 0)]
+    assert [tuple(r) for r in transcripts.tool_pairs(found).collect()] == [("s1", "a", "Bash", "success")]
