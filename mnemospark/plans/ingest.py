@@ -135,8 +135,8 @@ def j9(spark, sf):
 def j9_top(spark, sf):
     """The first three digests of each session by name, and how many it has. Sessions' ids stand in the digests' names here; documents are dealt to sessions in turn."""
     c = views.table(spark, sf, "conversations").select("conv_id").distinct()
-    n = c.agg(F.count(F.lit(1)).alias("n"))  # one row
-    d = views.table(spark, sf, "documents").join(F.broadcast(n)).select(F.col("doc_id"), F.concat(F.lit("session-"), F.col("doc_id") % F.col("n"), F.lit(" of ")).alias("line"))
+    n = max(1, c.count())
+    d = views.table(spark, sf, "documents").select("doc_id", F.concat(F.lit("session-"), F.col("doc_id") % n, F.lit(" of ")).alias("line"))
     named = d.select(F.format_string("digest-%08d.md", "doc_id").alias("digest"), F.regexp_extract("line", r"session-(\d+) ", 1).try_cast("long").alias("conv_id"))
     return transcripts.first_digests(c.join(named, "conv_id").select(F.col("conv_id").alias("session_id"), "digest"), 3)
 
