@@ -41,7 +41,12 @@ def elect(claims: DataFrame, retracted: DataFrame) -> DataFrame:
 
     Ties in time go to the lower claim id.
     """
-    marked = claims.join(retracted.select("claim_id", F.lit(True).alias("gone")).distinct(), "claim_id", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+    return elected(claims.join(retracted.select("claim_id", F.lit(True).alias("retracted")).distinct(), "claim_id", "left"))
+
+
+def elected(claims: DataFrame) -> DataFrame:
+    """``elect`` of claims that have their own mark, ``retracted``."""
+    marked = claims.withColumn("gone", F.coalesce("retracted", F.lit(False))).drop("retracted")
     # The winner by aggregation, not by an ordered window, so that a hot slot is combined before the shuffle.
     winner = marked.where("not gone").groupBy(*SLOT).agg(F.min_by("claim_id", F.struct(-F.col("ts"), "claim_id")).alias("winner"))
     stance = F.when(F.col("gone"), "tombstone").when(F.col("claim_id") == F.col("winner"), "current").otherwise("superseded")

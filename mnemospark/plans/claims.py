@@ -217,7 +217,7 @@ def st8_counters(spark, sf):
 def st8_state(spark, sf):
     """The state after the runs, elected from the store."""
     rows = consolidated(spark, sf)[0].claims.rows()
-    return O.elect(rows.drop("retracted"), rows.where("retracted")).select("claim_id", "stance")
+    return O.elected(rows).select("claim_id", "stance")
 
 
 @query("t12_presorted_batch", views.with_views("ob", "SELECT event_id FROM (SELECT * FROM ob ORDER BY ts, CASE WHEN kind LIKE 'tombstone%' THEN 1 ELSE 0 END, event_id LIMIT 500)"))

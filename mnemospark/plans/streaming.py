@@ -143,7 +143,7 @@ def st8_consolidation_stream(spark, sf):
         o.where((F.col("ts") >= low) & (F.col("ts") < high)).write.mode("append").parquet(source)
         tail.drain(tail.files(spark, source, schema), f"{base}/checkpoint", batches(f"{base}/memory"))
     rows = Memory(spark, f"{base}/memory").claims.rows()
-    return C.elect(rows.drop("retracted"), rows.where("retracted")).select("claim_id", "stance", "superseded_by")
+    return C.elected(rows).select("claim_id", "stance", "superseded_by")
 
 
 @query("st1_engine_stream")

@@ -4,6 +4,8 @@ Rows lie in Parquet by bucket of their key's hash. A change rewrites the buckets
 own, and a manifest then names the files of every bucket; what is not named is in no version, whether a task was run twice or a writer died.
 Rows that are there already, column by column, are no change: a run that changes nothing writes nothing.
 
+New rows are dealt by bucket and written once; where a bucket had no rows, or keeps none of them, what was written is its new content as it lies.
+
 Two writers do not lose each other's rows: the one whose version is taken works out its change anew, on the version of the other.
 """
 
@@ -21,6 +23,8 @@ from ..storage import written
 from .manifest import Conflict, Manifests
 
 BUCKETS = 64
+#: Parts in which a bucket is dealt, and how its files are packed: keys are digests often, which Snappy leaves as they are.
+PARTS, PACKED = 4, "zstd"
 
 
 @dataclass(frozen=True)
@@ -77,59 +81,86 @@ class Store:
             kinds = self._read(files).select(self.key).join(gone.withColumn("__gone", F.lit(True)), self.key, "left").select(self._bucket(), kind)
             return kinds, lambda touched: self._read(files, touched).join(gone, self.key, "left_anti").select(*self.schema.names)
 
-        return self._commit(change)
+        return self._commit(change)[0]
 
     def _put(self, rows: DataFrame, prune: bool) -> dict[str, int]:
-        new = written(self._one_each(rows))
+        name = f"data-{uuid.uuid4().hex}"
+        self._one_each(rows).write.partitionBy("__bucket").option("compression", PACKED).parquet(f"{self.folder}/{name}")
+        own = {b: name for b in self._sizes(name)}
 
         def digest(t: DataFrame, name: str) -> DataFrame:
             parts = [x for c in self.schema.names for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
             return t.select(self.key, F.struct(F.xxhash64(*parts), F.xxhash64(F.lit(1), *parts)).alias(name))
 
         def change(files: dict[str, str]) -> tuple[DataFrame, Callable[[list[int]], DataFrame]]:
-            met = None if prune else [r[0] for r in new.select(self._bucket()).distinct().collect()]  # as many as buckets
-            both = digest(self._read(files, met), "__old").join(digest(new, "__new"), self.key, "full_outer")
+            met = files if prune else {b: f for b, f in files.items() if b in own}
+            both = digest(self._read(met), "__old").join(digest(self._read({b: name for b in own if b in met}), "__new"), self.key, "full_outer")
             missing = F.col("__new").isNull()
             kind = F.when(missing, "deleted" if prune else "kept").when(F.col("__old").isNull() | (F.col("__old") != F.col("__new")), "written").otherwise("kept").alias("kind")
 
             def content(touched: list[int]) -> DataFrame:
-                mine = new.where(self._bucket().isin(touched))
-                return mine if prune else mine.unionByName(self._read(files, touched).join(new.select(self.key), self.key, "left_anti").select(*self.schema.names))
+                mine = self._read(own, touched)
+                return mine.unionByName(self._read(files, touched).join(mine.select(self.key), self.key, "left_anti").select(*self.schema.names))
 
             return both.select(self._bucket(), kind), content
 
-        return self._commit(change)
+        adopted = False
+        try:
+            count, adopted = self._commit(change, name, prune)
+            return count
+        finally:
+            if not adopted:
+                self._remove(name)
 
     def _one_each(self, rows: DataFrame) -> DataFrame:
-        """Rows of the table's columns and types, one a key. A null key is no key."""
+        """Rows of the table's columns and types, one a key, with their bucket, by which they are dealt. A null key is no key."""
         typed = rows.where(F.col(f"`{self.key}`").isNotNull()).select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in self.schema])
+        part = F.pmod(F.xxhash64(F.lit(2), F.col(f"`{self.key}`")), F.lit(PARTS)).cast("int").alias("__part")
+        dealt, by = typed.select("*", self._bucket(), part).repartition("__bucket", "__part"), ["__bucket", "__part", self.key]
         rest = [f"`{c}`" for c in self.schema.names if c != self.key]
         if not rest:
-            return typed.distinct()
-        return typed.groupBy(self.key).agg(F.max(F.struct(*rest)).alias("__rest")).select(*[F.col(c) if c == self.key else F.col(f"__rest.{c}").alias(c) for c in self.schema.names])
-
-    def _commit(self, change: Callable[[dict[str, str]], tuple[DataFrame, Callable[[list[int]], DataFrame]]]) -> dict[str, int]:
-        """Rows written, deleted and left of the buckets that were met. ``change`` gives, on the files of a version, what happens to each row (__bucket, kind) and
-        the new content of touched buckets; it is worked out anew on the newest version whenever another writer was first."""
+            return dealt.groupBy(*by).agg(F.count(F.lit(1))).select(*self.schema.names, "__bucket")
+        out = dealt.groupBy(*by).agg(F.max(F.struct(*rest)).alias("__rest"))
+        return out.select(*[F.col(c) if c == self.key else F.col(f"__rest.{c}").alias(c) for c in self.schema.names], "__bucket")
+
+    def _sizes(self, name: str) -> dict[str, int]:
+        """The buckets of a folder, and their rows."""
+        rows = self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("__bucket", T.IntegerType())])).parquet(f"{self.folder}/{name}")
+        return {str(b): n for b, n in rows.groupBy("__bucket").count().collect()}  # as many as buckets
+
+    def _commit(self, change: Callable[[dict[str, str]], tuple[DataFrame, Callable[[list[int]], DataFrame]]], new: str | None = None, whole: bool = False) -> tuple[dict[str, int], bool]:
+        """Rows written, deleted and left of the buckets that were met, and whether the folder ``new`` is in the version. ``change`` gives, on the files of a version,
+        what happens to each row (__bucket, kind) and the new content of touched buckets; it is worked out anew on the newest version whenever another writer was
+        first. Buckets that had no rows, or all that are touched if ``new`` has the ``whole`` table, lie in ``new`` already."""
+        own = self._sizes(new) if new else {}
         while True:
             version = self.manifests.latest()
             files = self._files(version)
             kinds, content = change(files)
-            changes = kinds.groupBy("__bucket", "kind").count().collect()  # three rows a bucket at most
+            changes = kinds.groupBy("__bucket", "kind").count().collect() if files else []  # three rows a bucket at most
             count = {k: sum(r["count"] for r in changes if r["kind"] == k) for k in ("written", "deleted", "kept")}
             touched = sorted({r["__bucket"] for r in changes if r["kind"] != "kept"})
-            if not touched:
-                return count
-            name = f"data-{uuid.uuid4().hex}"
-            content(touched).select("*", self._bucket()).repartition("__bucket").write.partitionBy("__bucket").parquet(f"{self.folder}/{name}")
-            full = {str(r[0]) for r in self._read({str(b): name for b in touched}).select(self._bucket()).distinct().collect()}
-            left = {b: f for b, f in files.items() if int(b) not in touched}
+            fresh = {b: n for b, n in own.items() if b not in files}
+            count["written"] += sum(fresh.values())
+            if not touched and not fresh:
+                return count, False
+            now = {b: f for b, f in files.items() if int(b) not in touched} | {b: new for b in fresh}
+            if touched and whole:
+                now |= {b: new for b in own if int(b) in touched}
+            elif touched:
+                name = f"data-{uuid.uuid4().hex}"
+                content(touched).select("*", self._bucket()).repartition("__bucket").write.partitionBy("__bucket").option("compression", PACKED).parquet(f"{self.folder}/{name}")
+                now |= {b: name for b in self._sizes(name)}
             try:
-                self.manifests.commit(version + 1, {"buckets": left | {b: name for b in full}})
-                return count
+                self.manifests.commit(version + 1, {"buckets": now})
+                return count, new in now.values()
             except Conflict:
                 continue
 
+    def _remove(self, name: str) -> bool:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return place.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
     def vacuum(self, keep: int = 1) -> list[str]:
         """Deletes the data that none of the newest ``keep`` versions names, and returns its folders. No writer may be at work meanwhile."""
         latest = self.manifests.latest()

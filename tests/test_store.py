@@ -93,3 +93,13 @@ def test_other_columns_and_types(spark, store):
     store.upsert(spark.createDataFrame([("a", 1, "n", "other")], "k string, v int, note string, __bucket string"))
     assert held(store) == {"a": (1, "n")} and store.rows().columns == ["k", "v", "note"]
     assert store.upsert(frame(spark, [])) == {"written": 0, "deleted": 0, "kept": 0}
+
+
+def test_rows_of_new_buckets_are_written_once(spark, store, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    made, parquet = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: made.append(path) or parquet(self, path, *a, **k))
+    store.upsert(frame(spark, [(f"k{k}", k, "") for k in range(40)]))
+    store.sync(frame(spark, [(f"k{k}", -k, "") for k in range(1, 41)]))
+    assert len(made) == 2 and held(store) == {f"k{k}": (-k, "") for k in range(1, 41)}
