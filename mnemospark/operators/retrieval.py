@@ -24,6 +24,8 @@ from .ordered import row_numbers
 K1, B, RRF_K = 1.2, 0.75, 60
 #: Queries, and (query, term) pairs, that a task holds at once; documents that it scores at once.
 BLOCK, BLOCK_TERMS, ROWS = 4096, 1_000_000, 256
+#: Terms of documents that are looked up at once, and (document, query, term) parts of scores that a task holds at once.
+LOOKED_UP, CELLS = 500_000, 1_000_000
 
 
 def postings(docs: DataFrame, path: str = "path", body: str = "body") -> DataFrame:
@@ -85,21 +87,38 @@ class Block:
 
     def sums(self, bag: pa.Array, part: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[int, int, np.ndarray]]:
         """(first, last, sums) of some bags at once: for each query the sum of weight times ``part``, which takes the counts of terms in bags and the bags' sizes."""
-        found = pc.fill_null(pc.index_in(bag.flatten(), value_set=self.terms), -1).to_numpy().astype(np.int64)
         size = pc.fill_null(pc.list_value_length(bag), 0).to_numpy().astype(np.int64)
-        doc = np.repeat(np.arange(len(bag)), size)
+        upto = np.concatenate([[0], np.cumsum(size)])
+        first = 0
+        while first < len(bag):
+            many = int(np.searchsorted(upto, upto[first] + LOOKED_UP, "right")) - 1 - first
+            last = min(len(bag), first + max(ROWS, many // ROWS * ROWS))  # whole steps, so that columns of one batch go in step
+            found = pc.fill_null(pc.index_in(bag.slice(first, last - first).flatten(), value_set=self.terms), -1).to_numpy()
+            for low in range(first, last, ROWS):
+                high = min(low + ROWS, last)
+                yield low, high, self._sums(found[upto[low] - upto[first] : upto[high] - upto[first]], size[low:high], part)
+            first = last
+
+    def _sums(self, found: np.ndarray, size: np.ndarray, part: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        """The sums of documents of given sizes, of whose terms ``found`` are the places; one document has no more parts than the block has rows."""
+        doc = np.repeat(np.arange(len(size)), size)
         pairs, tf = np.unique(doc[found >= 0] * len(self.terms) + found[found >= 0], return_counts=True)
         doc, at = np.divmod(pairs, max(1, len(self.terms)))
         parts = part(tf, size[doc])
         many = self.start[at + 1] - self.start[at]
-        for low in range(0, len(bag), ROWS):
-            high = min(low + ROWS, len(bag))
-            a, b = np.searchsorted(doc, (low, high))
+        ends = np.searchsorted(doc, np.arange(len(size) + 1))
+        cells = np.concatenate([[0], np.cumsum(many)])[ends]
+        out, low = np.zeros((len(size), self.queries)), 0
+        while low < len(size):
+            high = max(low + 1, int(np.searchsorted(cells, cells[low] + CELLS, "right")) - 1)
+            a, b = ends[low], ends[high]
             times = many[a:b]
             upto = np.cumsum(times)
             spread = np.repeat(self.start[at[a:b]] - upto + times, times) + np.arange(upto[-1] if len(upto) else 0)
             cell = np.repeat((doc[a:b] - low) * self.queries, times) + self.query[spread]
-            yield low, high, np.bincount(cell, np.repeat(parts[a:b], times) * self.weight[spread], minlength=(high - low) * self.queries).reshape(high - low, self.queries)
+            out[low:high] = np.bincount(cell, np.repeat(parts[a:b], times) * self.weight[spread], minlength=(high - low) * self.queries).reshape(high - low, self.queries)
+            low = high
+        return out
 
     def bm25(self, bag: pa.Array, mean: float) -> Iterator[tuple[int, int, np.ndarray]]:
         """(first, last, scores) of some documents at once; -inf where no term is shared."""

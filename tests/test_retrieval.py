@@ -122,3 +122,20 @@ def test_a_long_query_makes_only_its_own_block_small(spark, monkeypatch):
     blocks = list(retrieval.Asked(terms).blocks())
     assert [b.queries for b in blocks] == [10, 1, 33, 7] and [b.first for b in blocks] == [1, 11, 12, 45]
     assert [int(b.sizes.sum()) for b in blocks] == [30, 250, 99, 21]
+
+
+def test_frequent_terms_are_scored_in_bounded_memory():
+    """256 documents and 1000 queries that share all of 50 terms have 12.8 million parts of scores, of which a task holds a few at once."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    n, term = np.repeat(np.arange(1, 1001), 50), [f"t{k:02}" for k in range(50)]
+    block = retrieval.Block(pa.table({"n": pa.array(n), "term": pa.array(term * 1000), "w": pa.array(np.ones(50_000))}), 1, 1000)
+    tracemalloc.start()
+    sums = list(block.sums(pa.array([term] * 300), lambda tf, size: np.ones(len(tf))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(low, high) for low, high, _ in sums] == [(0, 256), (256, 300)] and all((v == 50).all() for *_, v in sums)
+    assert peak < 120e6
