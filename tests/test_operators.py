@@ -351,6 +351,15 @@ def test_importance_has_the_word_edges_of_sql(spark):
     assert got == want and {3, 6, 9} == set(want)
 
 
+def test_pain_has_the_word_edges_of_sql(spark):
+    import duckdb
+
+    rows = spark.createDataFrame([(w, ok) for w in WORDS for ok in (True, False)], "w string, ok boolean").coalesce(1)
+    got = [tuple(r) for r in rows.select("w", "ok", score.pain(score.importance(F.lit("Bash"), F.col("w")), F.col("ok"))).collect()]
+    sql = "SELECT CASE WHEN NOT ok THEN CASE WHEN i < 9 THEN 8 ELSE 10 END WHEN i >= 8 THEN 5 WHEN i >= 6 THEN 3 ELSE 2 END FROM (SELECT ? AS ok, CASE WHEN regexp_matches(?, ?) THEN 9 WHEN regexp_matches(?, ?) THEN 6 ELSE 3 END AS i)"
+    assert got == [(w, ok, duckdb.execute(sql, [ok, w, score.HIGH, w, score.MEDIUM]).fetchone()[0]) for w in WORDS for ok in (True, False)]
+
+
 def test_markdown_folder(spark, tmp_path):
     (tmp_path / "in" / "sub").mkdir(parents=True)
     (tmp_path / "in" / "a.md").write_text("---\nname: N\n---\nbody")
