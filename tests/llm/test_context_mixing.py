@@ -169,3 +169,12 @@ def test_head_is_bounded_in_bytes(spark, monkeypatch):
     head = lm.head_of(counts)
     assert [w for w, _ in head][:1] == [b"common"] and b"" in [w for w, _ in head] and sum(len(w) for w, _ in head) <= 40
     assert all(r.score < 0 for r in lm.score_documents(docs(spark, rows)).collect())
+
+
+def test_no_choice_of_rows_decides_a_score(spark):
+    """The same texts under other ids of the same folds have the same scores: nothing is learned from rows that their ids pick."""
+    rng = random.Random(9)
+    texts = [" ".join(f"w{min(rng.randrange(90), rng.randrange(90))}" for _ in range(rng.randrange(1, 30))) for _ in range(900)]
+    learned = [k for k in range(4000) if zlib.crc32(str(k).encode()) % 7 != 2]
+    a, b = ({texts.index(r.t): r.score for r in lm.score_documents(docs(spark, list(zip(ids, texts)))).join(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, t string"), "doc_id").collect()} for ids in (learned[:900], learned[-900:]))
+    assert a.keys() == b.keys() and [a[k] for k in sorted(a)] == pytest.approx([b[k] for k in sorted(a)], rel=1e-6)
