@@ -178,3 +178,11 @@ def test_no_choice_of_rows_decides_a_score(spark):
     learned = [k for k in range(4000) if zlib.crc32(str(k).encode()) % 7 != 2]
     a, b = ({texts.index(r.t): r.score for r in lm.score_documents(docs(spark, list(zip(ids, texts)))).join(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, t string"), "doc_id").collect()} for ids in (learned[:900], learned[-900:]))
     assert a.keys() == b.keys() and [a[k] for k in sorted(a)] == pytest.approx([b[k] for k in sorted(a)], rel=1e-6)
+
+
+def test_bits_of_a_code_are_one_number():
+    code = lm.huffman([b"", b"a", b"bb", b"c"], [10, 6, 3, 1], 2)
+    assert code.bits.dtype == np.int32 and len(code.bits) == code.first[-1]
+    assert ((code.node << 5 | code.gate << 1 | code.bit) == code.bits).all() and set(code.bit.tolist()) == {0, 1}
+    assert code.gate.tolist() == [k for n in np.diff(code.first) for k in range(n)] and code.node.max() < len(code.share)
+    assert code.drawn[:, 1] == pytest.approx(lm.DRAW * code.share)
