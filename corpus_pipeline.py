@@ -41,8 +41,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near duplicates (0.8 of five-word shingles or more) the document of the smallest id.
 
-    SimHash with BK-trees (``simhash``) does not reach a similarity of 0.8, so candidates come from MinHash buckets; see the
-    README. Null ids come after all others; of equal ids the row whose key is smallest stays, once. Texts without words are one group.
+    Candidates are SimHash fingerprints within four bits, linked by BK-trees (``simhash``). These do not reach down to a similarity of 0.8, so
+    MinHash buckets add the others, and all are verified; see the README. Null ids come after all others; of equal ids the row whose key is smallest stays, once. Texts without words are one group.
     """
     groups = neardup.near_duplicates(docs, width=5, threshold=0.8)
     least = groups.groupBy("__component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__k1", "__k2")).alias("one"))

@@ -1,6 +1,7 @@
 """Near-duplicate groups by Jaccard similarity of word shingles, verified on the shingles themselves.
 
-1. A task turns each text into the set of its shingles' hashes. Equal sets are one node. A node has
+1. A task turns each text into the set of its shingles' hashes and into its SimHash fingerprint. Equal sets are one node.
+   Fingerprints are linked by BK-trees (``simhash``), and each component of them is a bucket. A node also has
    ``BANDS`` x ``ROWS`` minimum hashes; ``ROWS`` of them are a bucket, and two nodes of similarity s share
    one with probability 1 - (1 - s^ROWS)^BANDS: at 0.8 all but two in a million pairs do, above it fewer are missed.
 2. Each member of a bucket is verified against the bucket's smallest: its shingle set and the other's are
@@ -9,11 +10,11 @@
    bucket of a bounded number of shingles, each with an index from shingle to members. Every member of the bucket
    visits each tree; one pass over the index counts the shingles that it shares with each member there, exactly, and
    only links that join two components leave the task. So each pair in a bucket is either linked by a path or has been
-   compared, while a large group of near copies makes no more rows than it has members. A few bands go first, as
+   compared, while a large group of near copies makes no more rows than it has members. The fingerprints' buckets and a few bands go first, as
    they join most components.
 
-SimHash fingerprints do not serve here: at a Jaccard similarity of 0.8 they differ in ten bits on average, and
-radii that reach so far are beyond blocks of bits.
+SimHash fingerprints alone do not reach the threshold: at a Jaccard similarity of 0.8 they differ in ten bits on average, and
+radii that reach so far are beyond blocks of bits. So their trees find the closest pairs, and minimum hashes the others.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from . import common
+from . import common, simhash
 from .decontam import _roll
 
 BANDS, ROWS = 25, 4
@@ -77,7 +78,7 @@ def minimum_hashes(h: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def print_table(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """doc_id, node, buckets, size of the set, and the row's key, for each row."""
+    """doc_id, node, buckets, size of the set, fingerprint, and the row's key, for each row."""
     common.small_batches(docs.sparkSession)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,10 +91,12 @@ def print_table(docs: DataFrame, id_col: str, text_col: str, width: int) -> Data
                 low = minimum_hashes(h, first)
                 band = common.mixed((low.reshape(-1, BANDS, ROWS) * _JOIN).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * BANDS, pa.int32()), pa.array(band.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node.view(np.int64)), lists, pa.array(size.astype(np.int64)), part.column(2), part.column(3)], names=["doc_id", "node", "bands", "size", "__k1", "__k2"])
+                data = raw.tobytes()
+                fp = np.concatenate([simhash.fingerprints([data[at[i] : at[i + 1]] for i in range(k, min(k + 64, len(part)))], width) for k in range(0, len(part), 64)])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node.view(np.int64)), lists, pa.array(size.astype(np.int64)), pa.array(fp), part.column(2), part.column(3)], names=["doc_id", "node", "bands", "size", "fp", "__k1", "__k2"])
 
     text = common.text_of(text_col)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *common.row_key(id_col, text)).mapInArrow(common.lean(task), "doc_id long, node long, bands array<long>, size long, __k1 long, __k2 long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *common.row_key(id_col, text)).mapInArrow(common.lean(task), "doc_id long, node long, bands array<long>, size long, fp long, __k1 long, __k2 long")
 
 
 def set_table(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -223,15 +226,23 @@ def across(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return dealt.mapInArrow(common.lean(task), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint_buckets(prints: DataFrame, radius: int) -> DataFrame:
+    """(node, size, kind, band): the components of fingerprints (``fp``) within ``radius`` bits, linked through BK-trees, as buckets of kind -1."""
+    own = common.written(prints.select("node", "size", "fp").distinct())
+    found = simhash.links(common.written(own.select("fp").distinct()), radius)
+    roots = components(found.select(F.col("fp").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("fp"), "root")
+    return own.join(roots, "fp", "left").select("node", "size", F.lit(-1).alias("kind"), F.xxhash64(F.lit("tree"), F.coalesce("root", "fp")).alias("band")).distinct()
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
     """doc_id, __component and the row's key for each row: rows are linked if their shingle sets have a Jaccard similarity of ``threshold``.
 
     Null, empty and blank texts have the empty set and are one group; a text of fewer words than ``width`` is one shingle.
-    Repeated rows fall into one component. Other columns are ignored.
+    Repeated rows fall into one component. Other columns are ignored. Candidates are fingerprints within ``radius`` bits, and buckets of minimum hashes.
     """
     prints = common.written(print_table(docs, id_col, text_col, width))
     nodes = common.written(prints.groupBy("node").agg(F.min(F.struct("__k1", "__k2")).alias("row"), F.first("bands").alias("bands"), F.first("size").alias("size")))
-    posts = nodes.select("node", "size", F.posexplode("bands").alias("kind", "band"))
+    posts = nodes.select("node", "size", F.posexplode("bands").alias("kind", "band")).union(common.written(fingerprint_buckets(prints, radius)))
     buckets = common.written(posts.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("band", "low"))
     shared = common.written(posts.join(buckets, "band"))
     some = nodes.join(shared.select("node").distinct(), "node", "left_semi")

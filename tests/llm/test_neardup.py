@@ -91,3 +91,17 @@ def test_stage_over_a_whole_table(spark, sf):
     rows = [(r.doc_id, r.text) for r in table.collect()]
     expected = partition((g, k) for g, (k, _) in zip(brute_groups(rows), rows))
     assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, table, sf).collect()} == {min(g) for g in expected}
+
+
+def test_fingerprints_within_the_radius_are_candidates(spark):
+    """The BK-trees' components are buckets of their own, and what is in them is verified."""
+    rng = random.Random(3)
+    long = [f"w{rng.randrange(5000)}" for _ in range(6000)]
+    near, other = [*long[:300], "x", *long[301:]], [f"v{rng.randrange(5000)}" for _ in range(600)]
+    rows = [(k, " ".join(t)) for k, t in enumerate((long, near, other))]
+    table = docs(spark, rows)
+    prints = neardup.print_table(table, "doc_id", "text", 5)
+    buckets = {r.node: r.band for r in neardup.fingerprint_buckets(prints, 4).collect()}
+    node = {r.doc_id: r.node for r in prints.collect()}
+    assert len(set(node.values())) == 3 and buckets[node[0]] == buckets[node[1]] != buckets[node[2]]
+    assert partition((r["__component"], r.doc_id) for r in neardup.near_duplicates(table).collect()) == {frozenset({0, 1}), frozenset({2})}
