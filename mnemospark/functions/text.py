@@ -5,8 +5,16 @@ Word classes are spelled out, since Java's ``\\w`` is ASCII: letters and digits
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..storage import written
 
 # The three stop lists; each belongs to one tokeniser and to no other.
 STOP_WORDS = """
@@ -22,6 +30,9 @@ a an and are as at be by can did do does for from had has have how i if in into
 than that the their them then there this to use was we what when where which who why with you your
 """.split()
 
+#: Terms that a task counts at once.
+COUNTED = 500_000
+
 WORD = r"[a-zA-Z][a-zA-Z0-9_-]{2,}"
 PROMPT_TOKEN = r"[a-z0-9][a-z0-9\-_]+"
 TERM = r"[a-z0-9_]+"
@@ -102,3 +113,28 @@ def summary(reflection: Column, action: Column, size: int = 120) -> Column:
 def indexed_text(name: Column, description: Column, body: Column) -> Column:
     """What is indexed of a document: the description counts three times."""
     return F.trim(F.concat_ws(" ", name, description, description, description, body))
+
+
+def term_counts(docs: DataFrame, key: str, body: str) -> DataFrame:
+    """(key, term, tf) of a bag's terms for each key. Terms are counted within each row, so that no task holds more than a batch of rows;
+    rows that share their key, or have none, are added up after that."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy().astype(np.int64)
+            upto, low = np.concatenate([[0], np.cumsum(size)]), 0
+            while low < len(batch):  # some rows at once, or one
+                high = max(low + 1, int(np.searchsorted(upto, upto[low] + COUNTED, "right")) - 1)
+                row = np.repeat(np.arange(low, high), size[low:high])
+                found = pa.table({"row": row, "term": batch.column(1).slice(low, high - low).flatten()}).group_by(["row", "term"]).aggregate([([], "count_all")])
+                for part in found.to_batches(max_chunksize=COUNTED // 10):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(part.column("row")), part.column("term"), part.column("count_all")], names=[key, "term", "tf"])
+                low = high
+
+    bags = docs.select(F.col(key), terms(F.col(body)).alias("bag"))
+    counted = bags.mapInArrow(task, T.StructType([docs.schema[key], T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())]))
+    shared = written(docs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col(key).isNull()).select(F.col(key).alias("__key")))
+    if shared.isEmpty():
+        return counted
+    same = F.col(key).eqNullSafe(F.col("__key"))
+    return counted.join(shared, same, "left_anti").union(counted.join(shared, same, "left_semi").groupBy(key, "term").agg(F.sum("tf").alias("tf")))

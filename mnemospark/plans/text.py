@@ -37,7 +37,7 @@ def f2(spark, sf):
 
 @query("f3_terms", f"SELECT doc_id, t AS term, count(*) AS tf FROM (SELECT doc_id, unnest({TERMS.format('text')}) AS t FROM documents) GROUP BY 1, 2")
 def f3(spark, sf):
-    return documents(spark, sf).select("doc_id", F.explode(text.terms(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return text.term_counts(documents(spark, sf), "doc_id", "text")
 
 
 @query("f4_overlap_words", "SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(translate(lower(text), '/:', '  '), '\\s+'), lambda x: length(x) > 2)) AS BIGINT) AS n FROM documents")

@@ -440,3 +440,14 @@ def test_failures_within_days_to_the_second(spark):
     got = {r.ord: r.recent for r in report.failure_flags(spark.createDataFrame(rows, "ord long, skill string, result string, ts timestamp_ntz, pain_score long").repartition(3), days=3).collect()}
     failed = [r for r in rows if r[2] == "failure"]
     assert got == {r[0]: sum(o[1] == r[1] and r[3] - timedelta(days=3) <= o[3] <= r[3] for o in failed) for r in failed}
+
+
+def test_term_counts_hold_no_map_of_all_rows(spark, monkeypatch):
+    """Counts by row, over rows that share a key or have none; and no aggregation of terms where no key is shared."""
+    monkeypatch.setattr(text, "COUNTED", 20)
+    rows = [(1, "Red red blue"), (2, "red " * 50 + "x1 x2"), (3, None), (None, "zed"), (1, "red green"), (None, "zed zed"), (4, "")]
+    table = spark.createDataFrame(rows, "k long, t string")
+    got = sorted((r.k or 0, r.term, r.tf) for r in text.term_counts(table, "k", "t").collect())
+    assert got == [(0, "zed", 3), (1, "blue", 1), (1, "green", 1), (1, "red", 3), (2, "red", 50), (2, "x1", 1), (2, "x2", 1)]
+    plan = text.term_counts(table.where("k > 1"), "k", "t")._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "MapInArrow" in plan
