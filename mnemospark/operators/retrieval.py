@@ -218,7 +218,11 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     Document lengths and frequencies are aggregated over all documents, which are tokenised once.
     """
-    texts = bags(docs)
+    return bm25_of(bags(docs), queries, k)
+
+
+def bm25_of(texts: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``bm25`` of documents as bags (path, bag), which are read several times."""
     asked, mean = weighed(texts, queries)
     return best_of_blocks(texts.select("path", "bag"), asked, k, lambda block, batch: block.bm25(batch.column(1), mean))
 

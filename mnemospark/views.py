@@ -87,6 +87,15 @@ def memory_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def memory_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, path and body of ``memory_docs``. Labels only decide how often a document comes, which is once unless their ids repeat, so texts are not joined with them."""
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null")
+    if not labels.isEmpty():
+        return memory_docs(spark, sf_dir).select("doc_id", "path", "body")
+    path = F.concat(F.lit("doc/"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("path")
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", path, F.col("text").alias("body"))
+
+
 SQL = {
     "ep": """
 ep0 AS (
