@@ -12,9 +12,13 @@ those of ``retrieval.bm25``. It is meant for prompts; texts of whole documents a
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +30,56 @@ from .retrieval import K1, B, ranked
 #: Documents of a range, buckets of terms, and ranges that are scored to find the floor.
 RANGE, BUCKETS, FIRST = 128, 32, 8
 
-POSTINGS = "term string, range long, n int, most int, least int, docs array<int>, tfs array<int>, dls array<int>, bucket int"
+BLOCKS = "term string, range long, n int, most int, least int, docs array<int>, tfs array<int>, dls array<int>"
+POSTINGS = f"{BLOCKS}, bucket int"
+#: Terms whose blocks a task makes at once.
+COUNTED = 500_000
+
+
+def _blocks(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task that turns (doc, bag), ascending, into blocks of ``size`` documents. A range that is cut, by a file's splits or at ``COUNTED`` terms, has
+    two blocks of a term: counts of documents still add up, and the sum of both maxima is still a bound."""
+
+    def made(docs: np.ndarray, bag: pa.Array) -> Iterator[pa.RecordBatch]:
+        dl = pc.fill_null(pc.list_value_length(bag), 0).to_numpy().astype(np.int64)
+        coded = bag.flatten().dictionary_encode()
+        if not len(coded):
+            return
+        kinds, row = len(coded.dictionary), np.repeat(np.arange(len(docs)), dl)
+        base = docs // size
+        number = np.cumsum(np.concatenate([[0], np.diff(base) != 0]))  # of the range
+        keys, tf = np.unique((number[row] * kinds + coded.indices.to_numpy()) * len(docs) + row, return_counts=True)
+        block, row = np.divmod(keys, len(docs))
+        first = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+        edge = np.append(first, len(keys)).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(edge), pa.array(x.astype(np.int32))) for x in (docs[row] % size, tf, dl[row])]
+        sizes = (np.diff(edge), np.maximum.reduceat(tf, first), np.minimum.reduceat(dl[row], first))
+        columns = [coded.dictionary.take(pa.array(block[first] % kinds)), pa.array(base[row[first]]), *(pa.array(x.astype(np.int32)) for x in sizes), *lists]
+        whole = pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in BLOCKS.split(", ")])
+        for k in range(0, len(whole), 50_000):
+            yield whole.slice(k, 50_000)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            whole = pa.Table.from_batches(held).combine_chunks()
+            docs, bag = whole.column(0).to_numpy(), whole.column(1).combine_chunks()
+            upto = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(bag), 0).to_numpy())])
+            ends = np.flatnonzero(np.diff(docs // size)) + 1  # of whole ranges
+            low = 0
+            while upto[-1] - upto[low] > COUNTED:
+                most = max(low + 1, int(np.searchsorted(upto, upto[low] + COUNTED, "right")) - 1)
+                fit = ends[(ends > low) & (ends <= most)]
+                high = int(fit[-1]) if len(fit) else most
+                yield from made(docs[low:high], bag.slice(low, high - low))
+                low = high
+            held = whole.slice(low).to_batches()
+        if held:
+            whole = pa.Table.from_batches(held).combine_chunks()
+            yield from made(whole.column(0).to_numpy(), whole.column(1).combine_chunks())
+
+    return task
 
 
 def bucket_of(term: Column) -> Column:
@@ -59,27 +112,40 @@ class TextIndex:
         self._commit(self._segment(docs.select(F.col("path").cast("string").alias("path"), text.terms(F.coalesce("body", F.lit(""))).alias("bag"))), replaced=None)
 
     def merge(self) -> None:
-        """All segments as one. A segment that is added meanwhile stays beside it."""
+        """All segments as one: their blocks with ranges that follow on each other; no text is counted again. A segment that is added meanwhile stays beside it."""
         old = self.segments()
-        if len(old) > 1:
-            self._commit(self._segment(self._documents(old)), replaced={s["name"] for s in old})
-
-    def _documents(self, segments: list[dict]) -> DataFrame:
-        return reduce(DataFrame.union, [self.spark.read.parquet(f"{self.folder}/{s['name']}/docs").select("path", "bag") for s in segments])
+        if len(old) < 2:
+            return
+        docs, blocks, first = [], [], 0
+        for s in old:
+            part = self.spark.read.schema("path string, doc long").parquet(f"{self.folder}/{s['name']}/docs")
+            rows = self.spark.read.schema(POSTINGS).parquet(f"{self.folder}/{s['name']}/postings")
+            docs.append(part.select("path", (F.col("doc") + first * RANGE).alias("doc")))
+            blocks.append(rows.withColumn("range", F.col("range") + first))
+            last = part.agg(F.max("doc")).first()[0]
+            first += 0 if last is None else last // RANGE + 1
+        name = self._named()
+        reduce(DataFrame.union, docs).write.parquet(f"{self.folder}/{name}/docs")
+        self._deal(reduce(DataFrame.union, blocks), name)
+        self._commit({"name": name, "docs": sum(s["docs"] for s in old), "length": sum(s["length"] for s in old)}, replaced={s["name"] for s in old})
+
+    def _named(self) -> str:
+        return f"segment-{uuid.uuid4().hex}"
+
+    def _deal(self, blocks: DataFrame, name: str) -> None:
+        """Writes blocks by bucket, sorted by term."""
+        columns = [c.split()[0] for c in POSTINGS.split(", ")]
+        dealt = blocks.select(*columns).repartition("bucket", F.pmod(F.xxhash64("range"), F.lit(4))).sortWithinPartitions("bucket", "term", "range")
+        dealt.write.partitionBy("bucket").parquet(f"{self.folder}/{name}/postings")
 
     def _segment(self, bags: DataFrame) -> dict:
-        """Writes (path, bag) as a segment that is in no version yet."""
-        name = f"segment-{uuid.uuid4().hex}"
-        bags.withColumn("doc", F.monotonically_increasing_id()).write.parquet(f"{self.folder}/{name}/docs")
-        docs = self.spark.read.parquet(f"{self.folder}/{name}/docs")
-        size = F.size("bag")
-        each = docs.select("doc", size.alias("dl"), F.explode("bag").alias("term")).groupBy("term", "doc", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-        place = F.struct((F.col("doc") % RANGE).cast("int").alias("doc"), "tf", "dl")
-        blocks = each.groupBy("term", F.floor(F.col("doc") / RANGE).alias("range")).agg(F.array_sort(F.collect_list(place)).alias("p"))
-        rows = blocks.select("term", "range", F.size("p").alias("n"), F.array_max("p.tf").alias("most"), F.array_min("p.dl").alias("least"), F.col("p.doc").alias("docs"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls"), bucket_of(F.col("term")).alias("bucket"))
-        dealt = rows.repartition("bucket", F.pmod(F.xxhash64("range"), F.lit(4))).sortWithinPartitions("bucket", "term", "range")
-        dealt.write.partitionBy("bucket").parquet(f"{self.folder}/{name}/postings")
-        n, length = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+        """Writes (path, bag) as a segment that is in no version yet. Documents of a range lie in one task, which makes the range's blocks, so that blocks alone are shuffled."""
+        name = self._named()
+        numbered = written(bags.withColumn("doc", F.monotonically_increasing_id()))
+        numbered.select("path", "doc").write.parquet(f"{self.folder}/{name}/docs")
+        rows = numbered.select("doc", "bag").mapInArrow(_blocks(RANGE), BLOCKS)
+        self._deal(rows.withColumn("bucket", bucket_of(F.col("term"))), name)
+        n, length = numbered.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("bag")), F.lit(0))).first()
         return {"name": name, "docs": n, "length": length}
 
     def _commit(self, segment: dict, replaced: set[str] | None) -> None:

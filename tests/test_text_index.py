@@ -101,3 +101,26 @@ def test_segments_of_two_writers_both_stay(spark, made, monkeypatch):  # noqa: F
     monkeypatch.undo()
     assert len(index.segments()) == 2
     assert rows_of(index.search(queries, 5)) == rows_of(retrieval.bm25(docs, queries, 5))
+
+
+def test_blocks_are_made_where_documents_lie():
+    """Blocks of a task against plain counts, whole ranges at once and cut ones."""
+    import pyarrow as pa
+
+    bags = [["a", "b", "a"], [], None, ["b"], ["c", "a"], ["a"] * 5]
+    docs = [0, 1, 2, 3, 4, 9]
+    for cut in (1, 4, 100):
+        text_index.COUNTED, before = cut, text_index.COUNTED
+        batches = [pa.RecordBatch.from_arrays([pa.array(docs[k : k + 2], pa.int64()), pa.array(bags[k : k + 2], pa.list_(pa.string()))], names=["doc", "bag"]) for k in (0, 2, 4)]
+        rows = [r for b in text_index._blocks(4)(iter(batches)) for r in b.to_pylist()]
+        text_index.COUNTED = before
+        got = sorted((r["term"], r["range"] * 4 + d, tf, dl) for r in rows for d, tf, dl in zip(r["docs"], r["tfs"], r["dls"]))
+        assert got == sorted((t, d, bag.count(t), len(bag)) for d, bag in zip(docs, bags) for t in set(bag or []))
+        assert all((r["n"], r["most"], r["least"]) == (len(r["docs"]), max(r["tfs"]), min(r["dls"])) for r in rows)
+
+
+def test_texts_are_not_joined_with_labels(spark, sf):
+    from mnemospark import views
+
+    a, b = views.memory_texts(spark, sf), views.memory_docs(spark, sf)
+    assert "Join" not in plan_of(a) and a.exceptAll(b.select(a.columns)).count() == 0 == b.select(a.columns).exceptAll(a).count()
