@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -186,3 +187,43 @@ def test_bits_of_a_code_are_one_number():
     assert ((code.node << 5 | code.gate << 1 | code.bit) == code.bits).all() and set(code.bit.tolist()) == {0, 1}
     assert code.gate.tolist() == [k for n in np.diff(code.first) for k in range(n)] and code.node.max() < len(code.share)
     assert code.drawn[:, 1] == pytest.approx(lm.DRAW * code.share)
+
+
+def random_slice(n=400, seed=8):
+    rng = random.Random(seed)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randrange(0, 900))) for _ in range(n)]
+    code = lm.huffman([b"", *(w.encode() for w in vocabulary)], [n, *range(3000, 0, -1)], 5)
+    raw, at = common.utf8(pa.array(texts))
+    return lm.Slice(code, raw, at), code, np.random.default_rng(seed).integers(0, 30, (lm.CONTEXTS, 1 << lm.TABLE_BITS, 2)).astype(np.float32)
+
+
+def test_mixing_holds_features_of_some_bits_at_a_time(monkeypatch):
+    """Memory beside the slice is a few bytes a bit (it was ninety), and blocks of turns don't show in the result."""
+    s, code, tables = random_slice()
+    start = np.tile(np.array(lm.WEIGHTS, np.float32), (lm.GATES, 1))
+    tracemalloc.start()
+    whole, after = lm.mix(s, code, tables, start)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(whole) > 20 * lm.MIXED_BITS and peak < 24 * len(whole)
+    monkeypatch.setattr(lm, "MIXED_BITS", 1)
+    again, after_again = lm.mix(s, code, tables, start)
+    assert (whole == again).all() and (after == after_again).all()
+
+
+def test_marks_are_slots_and_bits():
+    s, _, _ = random_slice(20)
+    for k, marks in enumerate(s.marks()):
+        assert (marks == s.slots(k) * 2 + s.bit).all()
+
+
+def test_words_of_many_slices_are_counted_at_once(spark, monkeypatch):
+    """However much text is counted at once, the counts are those of plain loops."""
+    texts = [" ".join(f"W{(k * j) % 97}" for j in range(50)) for k in range(200)] + ["", " \t", None]
+    want = Counter(w.encode() for t in texts for w in [*words(t or ""), ""])
+    rows = docs(spark, list(enumerate(texts))).select("text").coalesce(1)
+    for limit in (1, 1 << 12, 32 << 20):
+        monkeypatch.setattr(lm, "COUNT_BYTES", limit)
+        assert {bytes(r.token): r.n for r in lm.token_counts(rows).collect()} == want
+    assert lm.token_counts(docs(spark, []).select("text")).collect() == []
