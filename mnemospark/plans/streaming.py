@@ -8,7 +8,7 @@ from .. import views
 from ..operators import claims as C
 from ..operators.runtime import translate
 from ..sources import jsonl, lines, transcripts
-from ..storage import shared_folder
+from ..storage import BLOCK, shared_folder
 from ..streaming import replay, tail
 from .claims import with_claims
 from .ingest import records
@@ -19,9 +19,9 @@ EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING,
 
 
 def copied(spark, table, parts, *keys):
-    """The table as a folder of files, as a growing log would be; rows of equal keys lie in one file."""
+    """The table as a folder of files, as a growing log would be; rows of equal keys lie in one file. A task reads row groups whole, so these are small."""
     path = f"{shared_folder(spark)}/in"
-    table.repartition(parts, *keys).write.parquet(path)
+    table.repartition(parts, *keys).write.option("parquet.block.size", BLOCK).parquet(path)
     return path
 
 
@@ -124,7 +124,7 @@ def j12_within(spark, sf):
 def st8_stream(spark, sf):
     """Observations arrive as files; each batch's claims are appended to the log, once."""
     o = views.observations(spark, sf)
-    source, base = copied(spark, o, 3), shared_folder(spark)
+    source, base = copied(spark, o, 3, "event_id"), shared_folder(spark)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in o.schema)
     stream = C.extract(tail.files(spark, source, schema, per_batch=1))
     tail.drain(stream, f"{base}/checkpoint", tail.append_new(f"{base}/log", "claim_id"))

@@ -10,6 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows and held keys that a task of ``append_new`` gets on average.
+PART_ROWS = 250_000
+
 
 def files(spark: SparkSession, path: str, schema: str, form: str = "parquet", per_batch: int = 100) -> DataFrame:
     """A stream of the files in a folder, old and new."""
@@ -23,15 +26,23 @@ def drain(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int],
 
 
 def append_new(target: str, key: str) -> Callable[[DataFrame, int], None]:
-    """A handler that adds the rows whose key the target does not hold: a batch that comes twice changes nothing."""
+    """A handler that adds the rows whose key the target does not hold: a batch that comes twice changes nothing.
+
+    Rows and held keys are dealt by key to as many tasks as there are ``PART_ROWS`` of them, before anything is sorted, so a task
+    sorts about so many, whatever the sizes of batch, files and target. Rows of one key lie in one task. The batch is read once more, to be counted.
+    """
 
     def handle(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = batch.dropDuplicates([key])
+        spark, rows, held = batch.sparkSession, batch.count(), None
         jvm = spark._jvm
         place = jvm.org.apache.hadoop.fs.Path(target)
         if place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place):
-            new = new.join(spark.read.parquet(target).select(key), key, "left_anti").select(*batch.columns)
+            held = spark.read.parquet(target).select(key)
+            rows += held.count()
+        parts = -(-rows // PART_ROWS) or 1
+        new = batch.repartition(parts, key).dropDuplicates([key])
+        if held is not None:
+            new = new.join(held.repartition(parts, key), key, "left_anti").select(*batch.columns)
         new.write.mode("append").parquet(target)
 
     return handle

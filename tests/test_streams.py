@@ -1,10 +1,13 @@
 """Streams of pairs and of seen keys, batch after batch."""
 
 import json
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from mnemospark.plans import streaming
 from mnemospark.sources import lines, transcripts
 from mnemospark.storage import shared_folder
 from mnemospark.streaming import tail
@@ -73,6 +76,27 @@ def test_a_batch_that_comes_twice_changes_nothing(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()) == [(0, 0), (1, 0), (2, 0), (3, 0), (4, 0), (4, 1)]
 
 
+def test_new_rows_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    """Tasks of ``append_new`` grow in number with the rows of batch and target, not in size; repeated and held keys come once."""
+    monkeypatch.setattr(tail, "PART_ROWS", 100)
+    put, out = tail.append_new(f"file://{tmp_path}/out", "k"), f"file://{tmp_path}/out"
+    rows = spark.range(1000).select(F.when(F.col("id") > 0, F.col("id")).alias("k"), F.lit("x").alias("v"))
+    put(rows.union(rows).coalesce(1), 0)
+    sizes = [spark.read.parquet(f"file://{p}").count() for p in (tmp_path / "out").glob("part-*")]
+    assert sum(sizes) == 1000 and len(sizes) > 15 and max(sizes) < 150
+    put(rows.where("k >= 990").union(spark.range(2000, 2003).select(F.col("id").alias("k"), F.lit("y").alias("v"))), 1)
+    put(rows.limit(0), 2)
+    got = sorted((r.k is None, r.k, r.v) for r in spark.read.parquet(out).where("k is not null").collect())
+    assert got == [(False, k, "x") for k in range(1, 1000)] + [(False, k, "y") for k in range(2000, 2003)]
+
+
+def test_arriving_files_have_small_row_groups(spark, monkeypatch):
+    monkeypatch.setattr(streaming, "BLOCK", 1 << 16)
+    path = streaming.copied(spark, spark.range(100_000).select(F.sha2(F.col("id").cast("string"), 256).alias("k")), 1, "k")
+    (file,) = Path(path.removeprefix("file:")).glob("part-*")
+    assert pq.ParquetFile(file).metadata.num_row_groups > 10
+
+
 def test_first_digests(spark):
     rows = [(1, f"d{k:02d}") for k in range(30)] * 2 + [(2, "z"), (2, "y")]
     got = transcripts.first_digests(spark.createDataFrame(rows, "session_id long, digest string"), 3)
