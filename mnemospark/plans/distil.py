@@ -80,8 +80,7 @@ pt AS (SELECT bs.cluster, bs.n, bs.s, bs.claim, bs.origin, top, substr(md5({CLAI
 def a14(spark, sf):
     rows = token_rows(spark, sf)
     d = views.table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), F.col("text").alias("claim"), (moment() - F.make_dt_interval((F.col("doc_id") % 20).cast("int"))).alias("ts"), (F.col("doc_id") % 10 + 1).alias("pain_score"), (F.col("doc_id") % 7 + 3).alias("importance"))
-    members = O.clusters(rows, THETA).join(rows, "ord").join(d, "ord")
-    return O.patterns(O.written(members), moment()).select("cluster", "id", "name", "cluster_size", "canonical_salience")
+    return O.patterns(O.clustered(rows, THETA).join(d, "ord"), moment()).select("cluster", "id", "name", "cluster_size", "canonical_salience")
 
 
 @query("u3_common_tokens", f"WITH ws AS (SELECT conv_id, {WORDSET.format('text')} AS w FROM conversations), n AS (SELECT conv_id, count(*) AS n FROM ws GROUP BY 1) SELECT x.conv_id, t AS token FROM (SELECT conv_id, t, count(*) AS c FROM (SELECT conv_id, unnest(w) AS t FROM ws) GROUP BY 1, 2) x JOIN n ON n.conv_id = x.conv_id AND c = n")
