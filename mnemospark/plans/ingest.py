@@ -271,8 +271,9 @@ def st12(spark, sf):
 
     rows = token_rows(spark, sf)
     d = views.table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), F.col("text").alias("claim"), (moment() - F.make_dt_interval((F.col("doc_id") % 20).cast("int"))).alias("ts"), (F.col("doc_id") % 10 + 1).alias("pain_score"), (F.col("doc_id") % 7 + 3).alias("importance"), F.col("source").alias("skill"), F.lit("success").alias("result"))
-    members = D.written(D.clusters(rows, 0.5).join(rows, "ord").join(d, "ord"))
-    calm = D.bursts(members).where("not burst").select("cluster")
+    members = D.clustered(rows, 0.5).join(d, "ord")
+    calm = D.written(D.bursts(members).where("not burst").select("cluster"))
     found = D.patterns(members.join(calm, "cluster", "left_semi"), moment()).where((score.narration(F.col("claim")) == "") & (F.col("canonical_salience") >= 7.0))
+    found = D.written(found.select("id", "claim"))
     prior = found.where(F.length("claim") % 5 == 0).select(F.col("id").alias("slug"), F.lit("graduated").alias("place"), F.lit("accepted").alias("status"), F.array().cast("array<string>").alias("snapshot"), F.lit(True).alias("blocked"))
     return D.stage(found.select(F.col("id").alias("slug"), "claim", F.array("id").alias("evidence")), prior)
