@@ -56,6 +56,15 @@ def records(spark, sf):
     return c.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("ord"), record.alias("record"))
 
 
+def timed(rows):
+    """Records of ``records`` whose time is as many minutes after the first as their turn, however long the conversation. Their own
+    stamps, which ``sc11_sessions`` shows, have two digits for the turn: from turn 60 on they are no times, and from 100 on those of other turns."""
+    turn, two = F.col("ord"), lambda n: F.lpad(n.cast("string"), 2, "0")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.floor(turn / 1440).cast("int")).cast("string")
+    stamp = F.concat(day, F.lit("T"), two(F.floor(turn % 1440 / 60)), F.lit(":"), two(turn % 60), F.lit(":00Z"))
+    return rows.withColumn("record", F.col("record").withField("timestamp", stamp))
+
+
 @query("sc11_sessions", """SELECT conv_id AS session_id, max(CASE WHEN turn > 0 THEN '/work' END) AS cwd, max(CASE WHEN role = 'assistant' THEN 'm1' END) AS model, count(*) AS messages, CAST(sum(length(text) + CASE WHEN role = 'user' AND turn > 0 THEN 4 ELSE 0 END) // 4 AS BIGINT) AS tokens,
   min('2024-01-01T00:' || lpad(CAST(turn AS VARCHAR), 2, '0') || ':00Z') AS started_at, max('2024-01-01T00:' || lpad(CAST(turn AS VARCHAR), 2, '0') || ':00Z') AS ended_at FROM conversations WHERE role <> 'system' GROUP BY 1""")
 def sc11(spark, sf):

@@ -11,7 +11,7 @@ from ..sources import jsonl, lines, transcripts
 from ..storage import BLOCK, shared_folder
 from ..streaming import replay, tail
 from .claims import with_claims
-from .ingest import records
+from .ingest import records, timed
 from .registry import ORACLES, query
 from .runtime import runtime_events
 
@@ -52,7 +52,7 @@ UNION ALL SELECT conv_id, 't' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS
   AND NOT EXISTS (SELECT 1 FROM conversations u WHERE u.conv_id = a.conv_id AND u.turn = a.turn + 1 AND u.role = 'user')""")
 def j2_stream(spark, sf):
     """Calls and results arrive as a stream and are paired within ten minutes; calls that nobody answers come out once the watermark has passed them."""
-    r = records(spark, sf).where("session_id % 5 <> 0").withColumn("record", F.col("record").withField("sessionId", F.col("session_id").cast("string")))
+    r = timed(records(spark, sf)).where("session_id % 5 <> 0").withColumn("record", F.col("record").withField("sessionId", F.col("session_id").cast("string")))
     source, base = copied(spark, r, 4), shared_folder(spark)
     # What the log holds last moves the watermark past all that came before.
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in r.schema)
@@ -61,31 +61,31 @@ def j2_stream(spark, sf):
     def keep(batch, number):
         batch.write.mode("append").parquet(f"{base}/out")
 
-    late = r.limit(1).withColumn("session_id", F.lit(-1).cast("long")).withColumn("record", F.col("record").withField("timestamp", F.lit("2024-01-02T00:00:00Z")))
+    late = r.limit(1).withColumn("session_id", F.lit(-1).cast("long")).withColumn("record", F.col("record").withField("timestamp", F.lit("9999-01-01T00:00:00Z")))
     late.write.mode("append").parquet(source)
     tail.drain(transcripts.paired(tail.files(spark, source, schema, per_batch=100), when, "10 minutes"), f"{base}/checkpoint", keep)
     return spark.read.parquet(f"{base}/out").where("session_id >= 0").select("session_id", "id", "result")
 
 
-def transcript_files(spark, sf):
-    """The conversations as transcript files of JSON lines, a session whole in one file and in order, with blank and broken lines between."""
+def transcript_files(spark, rows):
+    """Conversations' records as transcript files of JSON lines, a session whole in one file and in order, with blank and broken lines between."""
     path = f"{shared_folder(spark)}/transcripts"
     line = F.explode(F.when(F.col("ord") % 3 == 0, F.array(F.to_json("record"), F.lit(" "), F.lit('{"type": "us'))).otherwise(F.array(F.to_json("record"))))
-    records(spark, sf).repartition("session_id").sortWithinPartitions("session_id", "ord").select(line.alias("value")).write.text(path)
+    rows.repartition("session_id").sortWithinPartitions("session_id", "ord").select(line.alias("value")).write.text(path)
     return path
 
 
 @query("sc11_session_files", ORACLES["sc11_sessions"])
 def sc11_files(spark, sf):
     """``sc11_sessions`` over files: read in ranges of bytes, parsed, and ordered by places in the files."""
-    found = transcripts.sessions(transcripts.from_lines(lines.read(spark, transcript_files(spark, sf), pattern="*.txt")))
+    found = transcripts.sessions(transcripts.from_lines(lines.read(spark, transcript_files(spark, records(spark, sf)), pattern="*.txt")))
     return found.select(F.col("session_id").cast("long").alias("session_id"), "cwd", "model", "messages", "tokens", "started_at", "ended_at")
 
 
 @query("j2_pair_files", ORACLES["j2_tool_pairs"])
 def j2_files(spark, sf):
     """``j2_tool_pairs`` over files that a stream tails by their bytes; answered calls alone."""
-    base, source = shared_folder(spark), transcript_files(spark, sf)
+    base, source = shared_folder(spark), transcript_files(spark, timed(records(spark, sf)))
     pairs = transcripts.paired(transcripts.from_lines(lines.stream(spark, source, pattern="*.txt")), F.to_timestamp("record.timestamp"), "10 minutes")
     tail.drain(pairs, f"{base}/checkpoint", tail.append_once(f"{base}/out"))
     found = spark.read.parquet(f"{base}/out").where("result <> 'unanswered'")

@@ -119,3 +119,20 @@ def test_transcript_files(spark, tmp_path, split):
     assert [(r.session_id, r.record.timestamp) for r in found.orderBy("ord").collect()] == [("s1", "t1"), ("s1", "t2"), ("s1", "t3"), ("other", "t4")]
     assert [(r.role, r.text, r.tool_calls) for r in transcripts.messages(found).orderBy("ord").collect()] == [("user", "h\u00e9llo", 0), ("assistant", "so", 1), ("user", "out", 0), ("user", "x", 0)]
     assert [tuple(r) for r in transcripts.tool_pairs(found).collect()] == [("s1", "a", "Bash", "success")]
+
+
+@pytest.mark.parametrize("name", ["j2_pair_stream", "j2_pair_files"])
+def test_calls_of_long_conversations_are_paired(spark, tmp_path, name):
+    """A conversation of 250 turns, in which some calls are not answered, and short ones: pairs are those of the SQL."""
+    import duckdb
+
+    from mnemospark import plans
+
+    rows = [(1, k, "user" if k % 2 == 0 and k % 22 else "assistant", f"text {k}") for k in range(250)] + [(c, k, ("system", "user", "assistant")[k % 3], "text") for c in range(2, 9) for k in range(5)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"file://{tmp_path}/conversations.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    columns = ["session_id", "id", "result"]
+    got = sorted(map(tuple, plans.QUERIES[name](spark, str(tmp_path)).select(columns).collect()))
+    want = sorted(db.execute(f"SELECT {', '.join(columns)} FROM ({plans.ORACLES[name]})").fetchall())
+    assert got == want and ("unanswered" in {r for *_, r in want}) == (name == "j2_pair_stream") and max(int(i.split("-")[1]) for _, i, _ in want) > 200
