@@ -124,3 +124,27 @@ def test_texts_are_not_joined_with_labels(spark, sf):
 
     a, b = views.memory_texts(spark, sf), views.memory_docs(spark, sf)
     assert "Join" not in plan_of(a) and a.exceptAll(b.select(a.columns)).count() == 0 == b.select(a.columns).exceptAll(a).count()
+
+
+def test_a_search_makes_no_row_for_each_posting(index, made, monkeypatch):  # noqa: F811
+    """Blocks meet by ranges and are scored in the task; no posting becomes a row. Queries in several blocks find the same."""
+    _, _, docs, queries = made
+    assert "Generate" not in plan_of(index.search(queries, 8)) and "MapInArrow" in plan_of(index.search(queries, 8))
+    monkeypatch.setattr(retrieval, "BLOCK", 3)
+    assert rows_of(index.search(queries, 8)) == rows_of(retrieval.bm25(docs, queries, 8))
+
+
+def test_files_of_a_segment_are_sorted_by_term(spark):
+    """Each task writes its own blocks, so a segment has no more files of a bucket than tasks, each of them sorted."""
+    from pyspark.sql import functions as F
+
+    rows = [(f"p{k}", " ".join(f"w{(k * j) % 97}" for j in range(20))) for k in range(400)]
+    index = TextIndex(spark, f"{shared_folder(spark)}/i")
+    index.add(spark.createDataFrame(rows[:200], "path string, body string").repartition(3))
+    index.add(spark.createDataFrame(rows[200:], "path string, body string").repartition(2))
+    index.merge()
+    (segment,) = index.segments()
+    files = spark.read.parquet(f"{index.folder}/{segment['name']}/postings").select(F.input_file_name().alias("f"), "bucket", "term", "range").collect()
+    for name in {r.f for r in files}:
+        mine = [(r.term, r.range) for r in files if r.f == name]
+        assert mine == sorted(mine) and len({r.bucket for r in files if r.f == name}) == 1
