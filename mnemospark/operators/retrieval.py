@@ -25,7 +25,9 @@ K1, B, RRF_K = 1.2, 0.75, 60
 #: Queries, and (query, term) pairs, that a task holds at once; documents that it scores at once.
 BLOCK, BLOCK_TERMS, ROWS = 4096, 1_000_000, 256
 #: Terms of documents that are looked up at once, and (document, query, term) parts of scores that a task holds at once.
-LOOKED_UP, CELLS = 500_000, 1_000_000
+LOOKED_UP, CELLS = 500_000, 131_072
+#: Terms of a block that are added up by a matrix product: the most frequent ones, in blocks of so many queries, of those that one query in ``FREQUENT`` has.
+PRODUCT_TERMS, PRODUCT_QUERIES, FREQUENT = 512, 64, 16
 
 
 def postings(docs: DataFrame, path: str = "path", body: str = "body") -> DataFrame:
@@ -50,14 +52,17 @@ class Best:
 
     def take(self, scores: np.ndarray, paths: np.ndarray) -> None:
         """Scores (document, query); those of -inf are no hits."""
-        place = np.argsort(np.argsort(paths, kind="stable"), kind="stable")
-        for q in np.flatnonzero((scores.max(axis=0, initial=-np.inf) >= self.least) & (scores.max(axis=0, initial=-np.inf) > -np.inf)):
-            column = scores[:, q]
-            some = np.flatnonzero((column >= self.least[q]) & (column > -np.inf))
+        place, most = np.argsort(np.argsort(paths, kind="stable"), kind="stable"), scores.max(axis=0, initial=-np.inf)
+        active = np.flatnonzero((most >= self.least) & (most > -np.inf))
+        columns = np.ascontiguousarray(scores[:, active].T)
+        row, at = np.nonzero((columns >= self.least[active, None]) & (columns > -np.inf))
+        edges = np.searchsorted(row, np.arange(len(active) + 1))
+        for n, q in enumerate(active):
+            column, some = columns[n], at[edges[n] : edges[n + 1]]
             if len(some) > self.k:
                 some = some[column[some] >= np.partition(column[some], -self.k)[-self.k]]
                 some = some[np.lexsort((place[some], -column[some]))[: self.k]]
-            rows = self.rows[q] = sorted(self.rows[q] + [(-column[i], paths[i]) for i in some])[: self.k]
+            rows = self.rows[q] = sorted(self.rows[q] + list(zip((-column[some]).tolist(), paths[some])))[: self.k]
             if len(rows) == self.k:
                 self.least[q] = -rows[-1][0]
 
@@ -84,6 +89,20 @@ class Block:
         self.weight = rows["w"].to_numpy()[order].astype(float)
         self.start = np.searchsorted(term[order], np.arange(len(self.terms) + 1))
         self.sizes = np.bincount(self.query, minlength=queries)
+        self.product = None
+
+    def frequent(self) -> tuple[np.ndarray, np.ndarray]:
+        """(column of each term, or -1; matrix) of terms so frequent that a product with their weights costs less than a part of a score for each of their queries."""
+        if self.product is None:  # made by the worker that scores
+            times = np.diff(self.start)
+            some = np.flatnonzero(times * FREQUENT > self.queries) if self.queries >= PRODUCT_QUERIES else np.zeros(0, np.int64)
+            some = np.sort(some[np.argsort(-times[some], kind="stable")[:PRODUCT_TERMS]])
+            column, matrix = np.full(len(self.terms), -1), np.zeros((len(some), self.queries))
+            column[some] = np.arange(len(some))
+            for k, t in enumerate(some):
+                np.add.at(matrix[k], self.query[self.start[t] : self.start[t + 1]], self.weight[self.start[t] : self.start[t + 1]])
+            self.product = column, matrix
+        return self.product
 
     def sums(self, bag: pa.Array, part: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[int, int, np.ndarray]]:
         """(first, last, sums) of some bags at once: for each query the sum of weight times ``part``, which takes the counts of terms in bags and the bags' sizes."""
@@ -104,11 +123,17 @@ class Block:
         doc = np.repeat(np.arange(len(size)), size)
         pairs, tf = np.unique(doc[found >= 0] * len(self.terms) + found[found >= 0], return_counts=True)
         doc, at = np.divmod(pairs, max(1, len(self.terms)))
-        parts = part(tf, size[doc])
+        parts, (column, matrix) = part(tf, size[doc]), self.frequent()
+        out, low = np.zeros((len(size), self.queries)), 0
+        if len(matrix) and len(at):
+            often = column[at] >= 0
+            held = np.zeros((len(size), len(matrix)))
+            held[doc[often], column[at[often]]] = parts[often]
+            out = held @ matrix
+            doc, at, parts = doc[~often], at[~often], parts[~often]
         many = self.start[at + 1] - self.start[at]
         ends = np.searchsorted(doc, np.arange(len(size) + 1))
         cells = np.concatenate([[0], np.cumsum(many)])[ends]
-        out, low = np.zeros((len(size), self.queries)), 0
         while low < len(size):
             high = max(low + 1, int(np.searchsorted(cells, cells[low] + CELLS, "right")) - 1)
             a, b = ends[low], ends[high]
@@ -116,7 +141,7 @@ class Block:
             upto = np.cumsum(times)
             spread = np.repeat(self.start[at[a:b]] - upto + times, times) + np.arange(upto[-1] if len(upto) else 0)
             cell = np.repeat((doc[a:b] - low) * self.queries, times) + self.query[spread]
-            out[low:high] = np.bincount(cell, np.repeat(parts[a:b], times) * self.weight[spread], minlength=(high - low) * self.queries).reshape(high - low, self.queries)
+            out[low:high] += np.bincount(cell, np.repeat(parts[a:b], times) * self.weight[spread], minlength=(high - low) * self.queries).reshape(high - low, self.queries)
             low = high
         return out
 
@@ -157,7 +182,7 @@ def weighed(docs: DataFrame, queries: DataFrame) -> tuple[Asked, float]:
     """The terms of queries (qid, query) with their BM25 weights over documents' bags, and the mean size of a bag."""
     asked = queries.select("qid", F.explode(text.terms(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
     wanted = asked.select("term").distinct()
-    df = docs.select(F.explode(F.array_distinct("bag")).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = written(docs.select(F.explode(F.array_distinct("bag")).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     n, mean = docs.agg(F.count(F.lit(1)), F.avg(F.size("bag"))).first()
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     return Asked(asked.join(df, "term").select("qid", "term", (F.col("qtf") * idf).alias("w"))), mean

@@ -139,3 +139,30 @@ def test_frequent_terms_are_scored_in_bounded_memory():
     tracemalloc.stop()
     assert [(low, high) for low, high, _ in sums] == [(0, 256), (256, 300)] and all((v == 50).all() for *_, v in sums)
     assert peak < 120e6
+
+
+@pytest.mark.parametrize("cells", [7, 131_072])
+def test_frequent_terms_are_added_up_by_a_product(monkeypatch, cells):
+    """Terms that many of a block's queries have make no parts of scores of their own; sums are those of plain loops. A query's term may come twice."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(retrieval, "CELLS", cells)
+    queries = [{"all": 2.0, "half": 1.5} if q % 2 else {"all": 1.0, f"own{q}": 3.0} for q in range(100)]
+    rows = [(q + 1, t, w) for q, terms in enumerate(queries) for t, w in terms.items()] + [(1, "all", 0.5)]
+    block = retrieval.Block(pa.table({"n": [r[0] for r in rows], "term": [r[1] for r in rows], "w": [r[2] for r in rows]}), 1, 100)
+    bags = [["all", "all", "own4", "none"], [], None, ["half"], ["own0", "own98", "half", "all"]]
+    column, matrix = block.frequent()
+    assert [t for t, c in zip(block.terms.to_pylist(), column) if c >= 0] == ["all", "half"] and matrix.shape == (2, 100)
+    got = np.concatenate([v for _, _, v in block.sums(pa.array(bags, pa.list_(pa.string())), lambda tf, size: tf.astype(float))])
+    want = [[sum((bag or []).count(t) * w for n, t, w in rows if n == q + 1) for q in range(100)] for bag in bags]
+    assert np.allclose(got, want)
+
+
+def test_legs_of_hybrid_queries_leave_texts_unjoined(spark, sf, monkeypatch):
+    """Texts are read without their labels: no join moves them."""
+    from mnemospark import views
+    from mnemospark.plans import retrieval as queries
+
+    monkeypatch.setattr(views, "memory_docs", None)
+    assert queries.legs(spark, sf).columns == ["qid", "variant", "path", "rank"]
